@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe
+from sparkloom.llm import bpe, mixing, ngram_join, quality
 from sparkloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,29 @@ Query = Callable[[SparkSession, str], DataFrame]
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents")).drop("th")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), BPE_FILE, digests=True)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("src")
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op5_bpe": op5_bpe}
+    return {
+        "op1_quality": op1_quality,
+        "op5_bpe": op5_bpe,
+        "op7_mixing": op7_mixing,
+        "op10_ngram_join": op10_ngram_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
