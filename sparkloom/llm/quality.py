@@ -125,7 +125,7 @@ def clean(docs: DataFrame, min_docs: int = 20, percent: int = 10, **limits: int)
 
     ``n_chars``, where it is a column, follows the new text.
     """
-    verdict = quality(docs, min_docs, percent, **limits).where("kept").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
+    verdict = durable(quality(docs, min_docs, percent, **limits)).where("kept").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
     lost = removed_lines(docs, min_docs, percent).groupBy(F.col("doc_id").alias("__d2"), F.col("th").alias("__t2")).agg(F.collect_set("pos").alias("__lost"))
     marks = durable(verdict.join(lost, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__t") == F.col("__t2")), "left").select("__d", "__t", "__lost"))
     out = docs.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit(""))))
