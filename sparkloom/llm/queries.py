@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, line_dedup, mixing, ngram_join, quality
+from sparkloom.llm import bpe, embed_dedup, line_dedup, mixing, ngram_join, quality
 from sparkloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), BPE_FILE, digests=True)
 
 
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embed_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("src")
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Query]:
         "pipeline": pipeline,
         "op1_quality": op1_quality,
         "op5_bpe": op5_bpe,
+        "op6_embed_dedup": op6_embed_dedup,
         "op7_mixing": op7_mixing,
         "op8_line_dedup": op8_line_dedup,
         "op10_ngram_join": op10_ngram_join,
