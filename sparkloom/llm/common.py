@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ NOT_WS = r"[^\x20\x09-\x0D]"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables. Python workers then find this package also where the session was started elsewhere."""
+    root = str(Path(__file__).parents[2])
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in path.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{path}".strip(":")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, embed_dedup, line_dedup, mixing, ngram_join, quality
+from sparkloom.llm import bpe, embed_dedup, html_text, line_dedup, mixing, ngram_join, quality, toxicity
 from sparkloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents")).drop("th")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), BPE_FILE, digests=True)
 
@@ -39,6 +44,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "kept_lines", "lost_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_text(read(spark, sf_dir, "pages"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
 
@@ -51,10 +60,12 @@ def queries() -> dict[str, Query]:
     return {
         "pipeline": pipeline,
         "op1_quality": op1_quality,
+        "op2_toxicity": op2_toxicity,
         "op5_bpe": op5_bpe,
         "op6_embed_dedup": op6_embed_dedup,
         "op7_mixing": op7_mixing,
         "op8_line_dedup": op8_line_dedup,
+        "op9_html_text": op9_html_text,
         "op10_ngram_join": op10_ngram_join,
     }
 
