@@ -11,8 +11,8 @@ that share such a shingle, pairs pass
 * the suffix filter: the sets are parted by hash into ``BITS`` ranges, and the
   ranges with an odd difference bound the sets' Hamming distance from below,
 
-and a pair is handed on at its first common shingle only, then verified on the
-whole sets. Exact copies are one node from the start. Groups are cut into blocks
+and each pair that passes somewhere (the positional filter is sharp at its first
+common shingle) is verified once on the whole sets. Exact copies are one node from the start. Groups are cut into blocks
 of bounded size that meet pair by pair, so a shingle held by very many documents
 is many small tasks; for such groups a first round links each block to its first
 document, and later only pairs of different components are looked at. That loses
@@ -38,6 +38,8 @@ SKETCH, CELL = 2**18, 2**14
 BITS = 512
 #: Documents of a group in one block; groups over HOT get the first round.
 BLOCK, HOT = 256, 64
+#: Bytes kept of a shingle's hash where two whole sets are compared: for 20,000 shingles a side 0.0004 chance matches.
+KEPT = 5
 #: Rows up to which a counted side is broadcast.
 SMALL = 2_000_000
 
@@ -104,7 +106,6 @@ def _groups(members: DataFrame, star: bool) -> DataFrame:
     """Rows dealt to (token, bi, bj): a block with itself, and unless ``star`` each pair of a group's blocks."""
     rows = members.select("doc", "n", "bits", "comp", "toks", F.posexplode("toks").alias("k", "t")).select(
         F.col("t.token").alias("token"), "doc", "n", F.col("t.pos").alias("pos"), "bits", "comp",
-        F.transform(F.slice("toks", 1, F.col("k")), lambda t: F.hash(t["token"])).alias("early"),
         F.ceil(F.col("t.g") / BLOCK).cast("int").alias("nb"), F.col("t.g").alias("g"),
     )
     rows = rows.withColumn("b", F.pmod(F.hash("doc", "token"), F.col("nb")))
@@ -112,14 +113,14 @@ def _groups(members: DataFrame, star: bool) -> DataFrame:
         rows = rows.where(F.col("g") > HOT).withColumn("j", F.col("b"))
     else:
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("token", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "n", "doc", "pos", "bits", "comp", "early", "b")
+    rows = rows.select("token", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "n", "doc", "pos", "bits", "comp", "b")
     return rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "n", "doc")
 
 
 def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs (a, b), a before b by size, that pass the filters at their first common shingle."""
+    """Pairs (a, b), a before b by size, that pass the filters at a common shingle, each once."""
 
-    def pairs(t: dict[str, np.ndarray], early: list) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         size = len(t["token"])
         group = np.concatenate([[0], np.cumsum((np.diff(t["token"]) != 0) | (np.diff(t["bi"]) != 0) | (np.diff(t["bj"]) != 0))]) if size else np.empty(0, int)
         starts = np.searchsorted(group, np.arange(group[-1] + 1)) if size else group
@@ -146,11 +147,10 @@ def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
             x, y, need = x[keep], y[keep], need[keep]
             far = np.bitwise_count(t["bits"][x] ^ t["bits"][y]).sum(axis=1)
             keep = far <= t["n"][x] + t["n"][y] - 2 * need
-            for i, j in zip(x[keep], y[keep], strict=True):
-                if star or early[i].isdisjoint(early[j]):
-                    left.append(t["doc"][i])
-                    right.append(t["doc"][j])
-        return np.array(left, np.int64), np.array(right, np.int64)
+            left.append(t["doc"][x[keep]])
+            right.append(t["doc"][y[keep]])
+        found = np.unique(np.array([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.empty((2, 0), np.int64)
+        return found[0], found[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -171,7 +171,7 @@ def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
             return
         t = {c: table.column(c).to_numpy() for c in ("token", "bi", "bj", "n", "doc", "pos", "comp", "b")}
         t["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
-        a, b = pairs(t, [frozenset(x) for x in table.column("early").to_pylist()])
+        a, b = pairs(t)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return _groups(members, star).mapInArrow(run, "a long, b long").distinct()
@@ -182,19 +182,32 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text_words(x.as_py()), width).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc", "s"])
+            sets = [np.sort(shingle_set(text_words(x.as_py()), width) >> np.uint64(64 - 8 * KEPT)) for x in batch.column(1)]
+            packed = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "s"])
+
+    def unpack(packed: bytes) -> np.ndarray:
+        out = np.zeros((len(packed) // KEPT, 8), np.uint8)
+        out[:, :KEPT] = np.frombuffer(packed, np.uint8).reshape(-1, KEPT)
+        return out.view("<u8")[:, 0]
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = unpack(x.as_py()), unpack(y.as_py())
+                both = len(np.intersect1d(x, y))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = durable(pairs)
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     wanted = maybe_broadcast(durable(wanted), SMALL)
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc long, s array<long>")
-    both = (
-        pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
-        .join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
-        .withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc long, s binary")
+    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(
+        sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")).hint("merge"), "b"
     )
-    return both.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long").distinct()
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
