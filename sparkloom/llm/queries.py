@@ -9,13 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, embed_dedup, html_text, line_dedup, mixing, ngram_join, quality, toxicity
+from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, quality, toxicity
 from sparkloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The vocabulary file of the BPE operator; a parameter of it.
+#: The vocabulary files of the BPE operator and of the lattice model; parameters of them.
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(read(spark, sf_dir, "documents"), RANKS_FILE)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), BPE_FILE, digests=True)
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Query]:
         "pipeline": pipeline,
         "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
+        "op3_lattice_lm": op3_lattice_lm,
         "op5_bpe": op5_bpe,
         "op6_embed_dedup": op6_embed_dedup,
         "op7_mixing": op7_mixing,
