@@ -37,7 +37,7 @@ from sparkloom.llm.shingles import shingle_set, text_words
 SKETCH, CELL = 2**18, 2**14
 BITS = 512
 #: Documents of a group in one block; groups over HOT get the first round.
-BLOCK, HOT = 256, 64
+BLOCK, HOT = 256, 8
 #: Bytes kept of a shingle's hash where two whole sets are compared: for 20,000 shingles a side 0.0004 chance matches.
 KEPT = 5
 #: Rows up to which a counted side is broadcast.
@@ -120,7 +120,7 @@ def _groups(members: DataFrame, star: bool) -> DataFrame:
 def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
     """Pairs (a, b), a before b by size, that pass the filters at a common shingle, each once."""
 
-    def pairs(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(t: dict[str, np.ndarray]) -> np.ndarray:
         size = len(t["token"])
         group = np.concatenate([[0], np.cumsum((np.diff(t["token"]) != 0) | (np.diff(t["bi"]) != 0) | (np.diff(t["bj"]) != 0))]) if size else np.empty(0, int)
         starts = np.searchsorted(group, np.arange(group[-1] + 1)) if size else group
@@ -149,11 +149,10 @@ def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
             keep = far <= t["n"][x] + t["n"][y] - 2 * need
             left.append(t["doc"][x[keep]])
             right.append(t["doc"][y[keep]])
-        found = np.unique(np.array([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.empty((2, 0), np.int64)
-        return found[0], found[1]
+        return np.array([np.concatenate(left), np.concatenate(right)]) if left else np.empty((2, 0), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, ready, waiting = None, [], 0
         for batch in batches:
             table = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks()
             if not table.num_rows:
@@ -162,17 +161,26 @@ def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
             same = np.all([k == k[-1] for k in keys], axis=0)
             cut = int(table.num_rows - np.argmin(same[::-1])) if not same.all() else 0
             kept = table.slice(cut).combine_chunks().to_batches()[0]
-            yield from found(table.slice(0, cut))
+            ready.append(found(table.slice(0, cut)))
+            waiting += ready[-1].shape[1]
+            if waiting > 1_000_000:
+                yield once(ready)
+                ready, waiting = [], 0
         if kept is not None:
-            yield from found(pa.Table.from_batches([kept]))
+            ready.append(found(pa.Table.from_batches([kept])))
+        if ready:
+            yield once(ready)
 
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def once(ready: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(ready, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def found(table: pa.Table) -> np.ndarray:
         if table.num_rows < 2:
-            return
+            return np.empty((2, 0), np.int64)
         t = {c: table.column(c).to_numpy() for c in ("token", "bi", "bj", "n", "doc", "pos", "comp", "b")}
         t["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
-        a, b = pairs(t)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return pairs(t)
 
     return _groups(members, star).mapInArrow(run, "a long, b long").distinct()
 

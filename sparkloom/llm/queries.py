@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, quality, toxicity
+from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, pii, quality, toxicity
 from sparkloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(read(spark, sf_dir, "documents"), RANKS_FILE)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(read(spark, sf_dir, "documents"))
+    return out.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), BPE_FILE, digests=True)
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
         "op3_lattice_lm": op3_lattice_lm,
+        "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
         "op6_embed_dedup": op6_embed_dedup,
         "op7_mixing": op7_mixing,
