@@ -1,0 +1,131 @@
+"""Hybrid retrieval: postings, BM25, symbol scoring, nearest vectors, fusion, packaging."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sparkloom.functions import exprs as X
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """The inverted index: term, id, tf, and the chunk's length in terms."""
+    terms = chunks.select("id", X.terms_of(F.col("text_raw")).alias("ts"))
+    return terms.select("id", F.size("ts").cast("long").alias("len"), F.explode("ts").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+
+
+def bm25(chunks: DataFrame, terms: list[str], every: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """id, score (6 places) and matched terms of the chunks with any (or every) term.
+
+    Only chunks' lengths and the query's postings leave the scan; the term list is
+    given by the query, so matching is an expression, not a join.
+    """
+    doc = chunks.select("id", X.terms_of(F.col("text_raw")).alias("ts"))
+    stats = doc.agg(F.count("*").cast("double").alias("total"), F.avg(F.size("ts")).alias("avgdl"))
+    hit = doc.where(F.arrays_overlap("ts", F.array(*map(F.lit, terms)))).select(
+        "id", F.size("ts").alias("len"), F.explode(F.filter("ts", lambda t: t.isin(*terms))).alias("term")
+    )
+    tf = hit.groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    rows = tf.join(F.broadcast(df.withColumn("idf", idf)), "term")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    out = rows.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
+    return out.where(F.col("matched") == len(terms)) if every else out
+
+
+def ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows in an order, with their rank; the window sees ``k`` rows."""
+    return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)).cast("long"))
+
+
+def symbol_score(chunks: DataFrame, exact: list[str], terms: list[str], kind: str | None = None) -> DataFrame:
+    """Additive score of symbol and path matches: exact terms, then plain terms, then the language hint."""
+    sym, path = F.lower("symbol_name"), F.lower("path")
+    points = [F.when(sym == t, 90).when(sym.contains(t), 50).otherwise(0) + F.when(path.contains(t), 40).otherwise(0) for t in exact]
+    points += [F.when(sym.contains(t), 14).otherwise(0) + F.when(path.contains(t), 10).otherwise(0) for t in terms]
+    score = sum(points, F.lit(0))
+    if kind:
+        score = F.when(score > 0, score + F.when(F.col("language") == kind, 5).otherwise(0)).otherwise(0)
+    return chunks.select("id", "path", "start_line", score.cast("long").alias("score")).where("score > 0")
+
+
+def fuse_variants(variants: list[tuple[DataFrame, float]], offset: int = 6) -> DataFrame:
+    """Sum of weight / (offset + rank) over ranked variants."""
+    parts = [v.select("id", (F.lit(w) / (offset + F.col("rank"))).alias("part")) for v, w in variants]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("variants"))
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """The ``k`` nearest vectors of each query: qid, vec_id, distance, rank.
+
+    The query set is small and given; distances are kept with ids alone, and each task
+    keeps its best before the ranks are settled.
+    """
+    v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    q = queries.select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    if metric == "l2":
+        distance = F.sqrt(add(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b))))
+    else:
+        dot = add(F.zip_with("v", "q", lambda a, b: a * b))
+        norm = lambda c: F.sqrt(add(F.transform(c, lambda a: a * a)))
+        distance = 1 - dot / (norm("v") * norm("q"))
+    pairs = v.crossJoin(F.broadcast(q)).where("vec_id <> qid").select("qid", "vec_id", F.round(distance, 6).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id")).cast("long")
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def rrf(left: DataFrame, right: DataFrame, k: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion of two ranked lists: id, score, source."""
+    both = left.select("id", F.col("rank").alias("lr")).join(right.select("id", F.col("rank").alias("rr")), "id", "full_outer")
+    part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
+    source = F.when(F.col("lr").isNull(), "vector").when(F.col("rr").isNull(), "lexical").otherwise("both")
+    return both.select("id", F.round(part("lr") + part("rr"), 9).alias("score"), source.alias("source"))
+
+
+def rerank(results: DataFrame, query: str, terms: list[str]) -> DataFrame:
+    """Adds the capped additive rerank score and its reasons to (id, symbol_name, path, text_raw, score)."""
+    wanted = X.compact(F.lit(query))
+    base = F.lower(F.regexp_extract("path", r"([^/]+?)(\.[^.]*)?$", 1))
+    header = F.lower(F.concat_ws(" ", "symbol_name", "path"))
+    body = F.lower("text_raw")
+    n_head = sum((F.when(header.contains(t), 1).otherwise(0) for t in terms), F.lit(0))
+    n_body = sum((F.when(body.contains(t) & ~header.contains(t), 1).otherwise(0) for t in terms), F.lit(0))
+    sym = X.compact(F.col("symbol_name"))
+    rules = [
+        ("exact_symbol", sym == wanted, F.lit(0.036)),
+        ("symbol_match", sym.contains(wanted) & (sym != wanted), F.lit(0.02)),
+        ("basename_match", X.compact(base).startswith(wanted), F.lit(0.026)),
+        ("header_overlap", n_head > 0, F.least(F.lit(0.018), n_head * 0.0045)),
+        ("all_terms_in_header", (n_head == len(terms)) & F.lit(len(terms) > 1), F.lit(0.008)),
+        ("body_overlap", n_body > 0, F.least(F.lit(0.009), n_body * 0.0025)),
+    ]
+    bonus = F.least(F.lit(0.09), sum((F.when(c, p).otherwise(0.0) for _, c, p in rules), F.lit(0.0)))
+    reasons = F.array_join(F.array_compact(F.array(*(F.when(c, n) for n, c, _ in rules))), ",")
+    return results.withColumn("final", F.round(F.col("score") + bonus, 6)).withColumn("reasons", reasons)
+
+
+def per_path(results: DataFrame, most: int) -> DataFrame:
+    """At most so many results of a path, the best first."""
+    place = F.row_number().over(Window.partitionBy("path").orderBy("rank"))
+    return results.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
+def within_budget(results: DataFrame, budget: int) -> DataFrame:
+    """The longest prefix, by rank, whose tokens fit; ``results`` is a top-k, so one window task sees few rows."""
+    used = F.sum("tokens").over(Window.partitionBy().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return results.withColumn("used", used).where(F.col("used") <= budget)
+
+
+def highlights(chunks: DataFrame, terms: list[str], most: int = 4) -> DataFrame:
+    """The lines that hold most terms, up to ``most`` a chunk, in text order."""
+    lines = chunks.select("id", F.posexplode(F.split("text_raw", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    low = F.lower("line")
+    score = sum((F.when(low == t, 6).when(low.contains(t), 2).otherwise(0) for t in terms), F.lit(0))
+    rows = lines.withColumn("score", score.cast("long")).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("id", F.col("pos").cast("long").alias("pos"), "line", "score")
