@@ -1,0 +1,82 @@
+"""Cutting source files into chunks: by lines anywhere, by blocks in build scripts, by definitions in Python."""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: A line that may begin a chunk, lines that are comments, and names of a declaration.
+BOUNDARY = r"^\s*$|^\s*(fun|class|interface|object|enum|def|function|export|public|private|protected|import|package)\b"
+COMMENT = r"^\s*(//|#|\*|/\*)"
+DECLARES = r"\b(?:fun|class|interface|object|enum|def|function|type|const)\s+(\w+)"
+
+
+def line_spans(lines: Column, most: int) -> Column:
+    """Spans (first, last) of an array of lines: one if there are at most ``most``; else a chunk
+    ends before the first boundary line at which it has that many lines, that line counted."""
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+
+    def step(s: Column, line: Column) -> Column:
+        cut = line.rlike(BOUNDARY) & (s["at"] - s["first"] + 1 >= most) & (s["at"] > s["first"])
+        span = F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last")))
+        return F.struct(
+            F.when(cut, s["at"]).otherwise(s["first"]).alias("first"), (s["at"] + 1).alias("at"), F.when(cut, F.concat(s["done"], span)).otherwise(s["done"]).alias("done")
+        )
+
+    end = lambda s: F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last"))))
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.size(lines) - 1).alias("last")))
+    return F.when(F.size(lines) <= most, whole).otherwise(F.aggregate(lines, start, step, end))
+
+
+def generic_chunks(files: DataFrame, most: int = 100) -> DataFrame:
+    """Chunks of (path, content): path, start_line, end_line (from 1), symbol_name, text_raw; blank chunks go."""
+    lines = files.select("path", F.split("content", "\n", -1).alias("lines"))
+    spans = lines.withColumn("span", F.explode(line_spans(F.col("lines"), most)))
+    part = F.slice("lines", F.col("span.first") + 1, F.col("span.last") - F.col("span.first") + 1)
+    base = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    first = F.get(F.filter("part", lambda x: ~x.rlike(COMMENT) & (F.trim(x) != "")), 0)
+    name = F.regexp_extract(F.coalesce(first, F.lit("")), DECLARES, 1)
+    out = spans.withColumn("part", part).withColumn("text_raw", F.array_join("part", "\n")).where(F.col("text_raw").rlike(r"\S"))
+    return out.select(
+        "path", (F.col("span.first") + 1).alias("start_line"), (F.col("span.last") + 1).alias("end_line"), F.when(name != "", name).otherwise(base).alias("symbol_name"), "text_raw"
+    )
+
+
+def gradle_dependencies(files: DataFrame) -> DataFrame:
+    """Dependency coordinates of build scripts, with signing secrets redacted in the text: path, uses, text_raw."""
+    clean = F.regexp_replace("content", r"((?:storePassword|keyPassword)\s*=?\s*)(\"[^\"]*\"|'[^']*'|\S+)", "$1<REDACTED>")
+    found = F.regexp_extract_all("content", F.lit(r"""(?:implementation|api|kapt|ksp|testImplementation|compileOnly|runtimeOnly)\s*\(?\s*["']([^"']+)["']"""), F.lit(1))
+    return files.select("path", F.array_distinct(found).alias("uses"), clean.alias("text_raw"))
+
+
+PYTHON_CHUNK = "path string, kind string, symbol_name string, start_line int, end_line int, tags string, text_raw string"
+
+
+def python_chunks(files: DataFrame) -> DataFrame:
+    """Top-level classes and functions of Python files, with decorators; files that do not parse give none."""
+
+    def cut(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    body = ast.parse(content).body
+                except (SyntaxError, ValueError):
+                    continue
+                lines = content.split("\n")
+                for node in body:
+                    if not isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+                        continue
+                    marks = [ast.unparse(d).split("(")[0].rpartition(".")[2] for d in node.decorator_list]
+                    is_class = isinstance(node, ast.ClassDef)
+                    kind = "dataclass" if is_class and "dataclass" in marks else "class" if is_class else "function"
+                    tags = [*marks, *["async"] * isinstance(node, ast.AsyncFunctionDef), *["abc"] * (is_class and any(ast.unparse(b).endswith("ABC") for b in node.bases))]
+                    start = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+                    rows.append((path, kind, node.name, start, node.end_lineno, ",".join(sorted(set(tags))), "\n".join(lines[start - 1 : node.end_lineno])))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PYTHON_CHUNK.split(", ")])
+
+    return files.where("content is not null").select("path", "content").mapInPandas(cut, PYTHON_CHUNK)
