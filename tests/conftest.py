@@ -13,6 +13,6 @@ from sparkloom.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("4", 4, "tests")
+    s = get_session("2", 4, "tests")
     s.sparkContext.setLogLevel("ERROR")
     return s
