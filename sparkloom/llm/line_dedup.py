@@ -43,44 +43,45 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     bit = lambda x, k: F.when(x.bitwiseAND(F.lit(1 << k)) != 0, 1).otherwise(0)
     inv = lambda x: F.lit(full) - x.bitwiseAND(F.lit(full))
 
-    def matches(c: Column, i: Column) -> Column:
-        terms = [F.when(F.get(F.col("__chars"), i + (k - edits)) == c, 1 << k).otherwise(0) for k in range(width)]
-        out = terms[0]
-        for t in terms[1:]:
-            out = out + t
-        return F.struct(out.alias("m"), i.alias("i"))
+    def distance(p: Column) -> Column:
+        def matches(c: Column, i: Column) -> Column:
+            terms = [F.when(F.get(p["chars"], i + (k - edits)) == c, 1 << k).otherwise(0) for k in range(width)]
+            out = terms[0]
+            for t in terms[1:]:
+                out = out + t
+            return F.struct(out.alias("m"), i.alias("i"))
 
-    def column(s: Column, x: Column) -> Column:
-        vp, vn, m = s["vp"], s["vn"], x["m"]
-        d0 = (m.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(F.lit(full))
+        def column(s: Column, x: Column) -> Column:
+            vp, vn, m = s["vp"], s["vn"], x["m"]
+            d0 = (m.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(F.lit(full))
 
-        def across(d: Column) -> Column:
-            flat = F.struct(vn.bitwiseOR(inv(d.bitwiseOR(vp))).alias("hp"), d.bitwiseAND(vp).alias("hn"))
+            def across(d: Column) -> Column:
+                flat = F.struct(vn.bitwiseOR(inv(d.bitwiseOR(vp))).alias("hp"), d.bitwiseAND(vp).alias("hn"))
 
-            def down(h: Column) -> Column:
-                row = F.col("__last") - 1 - x["i"] + edits
-                at = lambda v: F.call_function("shiftright", v, row).bitwiseAND(F.lit(1))
-                low = F.when(x["i"] < F.col("__last") - edits, 1 - bit(d, width - 1)).when(row >= 0, at(h["hp"]) - at(h["hn"])).otherwise(0)
-                half = F.shiftright(d, 1)
-                return F.struct(
-                    h["hn"].bitwiseOR(inv(half.bitwiseOR(h["hp"]))).alias("vp"),
-                    half.bitwiseAND(h["hp"]).alias("vn"),
-                    (s["dist"] + low).alias("dist"),
-                )
+                def down(h: Column) -> Column:
+                    row = p["n"] - 1 - x["i"] + edits
+                    at = lambda v: F.call_function("shiftright", v, row).bitwiseAND(F.lit(1))
+                    low = F.when(x["i"] < p["n"] - edits, 1 - bit(d, width - 1)).when(row >= 0, at(h["hp"]) - at(h["hn"])).otherwise(0)
+                    half = F.shiftright(d, 1)
+                    return F.struct(
+                        h["hn"].bitwiseOR(inv(half.bitwiseOR(h["hp"]))).alias("vp"),
+                        half.bitwiseAND(h["hp"]).alias("vn"),
+                        (s["dist"] + low).alias("dist"),
+                    )
 
-            return let(flat, down)
+                return let(flat, down)
 
-        return let(d0, across)
+            return let(d0, across)
 
-    start = F.struct(F.lit(full & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"))
-    return F.aggregate(F.transform(F.split(b, ""), matches), start, column, lambda s: s["dist"] <= edits)
+        start = F.struct(F.lit(full & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"))
+        return F.aggregate(F.transform(F.split(b, ""), matches), start, column, lambda s: s["dist"] <= edits)
+
+    return let(F.struct(F.split(a, "").alias("chars"), F.length(a).alias("n")), distance)
 
 
 def near_pairs(pairs: DataFrame, edits: int) -> DataFrame:
     """The rows of (a, b, la, lb) whose lines are within the edits."""
-    close = F.abs(F.length("la") - F.length("lb")) <= edits
-    pairs = pairs.where(close).withColumn("__chars", F.split("la", "")).withColumn("__last", F.length("la"))
-    return pairs.where(within_edits(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    return pairs.where(F.abs(F.length("la") - F.length("lb")) <= edits).where(within_edits(F.col("la"), F.col("lb"), edits)).select("a", "b")
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -93,18 +94,15 @@ def line_rows(docs: DataFrame) -> DataFrame:
 def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     """Index and probe keys of (lh, line): key, lh, line, index (whether from the line's own partition)."""
     parts = edits + 1
-    size = F.length("line")
+    lines = lines.withColumn("n", F.length("line"))
+    for shorter in range(edits + 1):  # columns, so that a length is counted once a line
+        lines = lines.withColumn(f"base{shorter}", F.expr(f"int((n - {shorter}) div {parts})")).withColumn(f"long{shorter}", F.expr(f"int((n - {shorter}) % {parts})"))
 
     def key(shorter: int, i: int, move: int) -> Column:
-        whole = size - shorter
-        base = F.floor(whole / parts).cast("int")
-        longer = (whole % parts).cast("int")
+        base, longer = F.col(f"base{shorter}"), F.col(f"long{shorter}")
         start = i * base + F.greatest(F.lit(0), i - (parts - longer))
         seg = base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-        return F.struct(
-            F.xxhash64(whole, F.lit(i), F.substring(F.col("line"), start + (move + 1), seg)).alias("key"),
-            F.lit(shorter == 0 and move == 0).alias("index"),
-        )
+        return F.xxhash64(F.col("n") - shorter, F.lit(i), F.substring(F.col("line"), start + (move + 1), seg))
 
     moves = [
         (shorter, i, move)
@@ -112,7 +110,10 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
         for i in range(parts)
         for move in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)
     ]
-    return lines.select("lh", "line", F.explode(F.array(*(key(*m) for m in moves))).alias("k")).select("k.key", "lh", "line", "k.index")
+    own = [k for k, (shorter, _, move) in enumerate(moves) if shorter == 0 and move == 0]
+    lines = lines.select("lh", "line", *(key(*m).alias(f"key{k}") for k, m in enumerate(moves)))
+    lines = lines.select("lh", "line", F.posexplode(F.array(*(f"key{k}" for k in range(len(moves))))).alias("k", "key"))
+    return lines.select("key", "lh", "line", F.col("k").isin(*own).alias("index"))
 
 
 def line_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
@@ -125,8 +126,10 @@ def line_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     counts = F.array(*(F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in COUNTED))
     members = durable(members.withColumn("counts", counts))
 
-    hubs = durable(members.groupBy("key").agg(F.min_by("line", F.struct(~F.col("index"), "lh")).alias("la"), F.count("*").alias("g")))
-    star = members.join(hubs.hint("merge"), "key").select(F.xxhash64("la").alias("a"), F.col("lh").alias("b"), "la", F.col("line").alias("lb")).where("a <> b")
+    apart = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y) <= 2 * edits
+    hubs = members.groupBy("key").agg(F.min_by(F.struct("line", "counts"), F.struct(~F.col("index"), "lh")).alias("hub"), F.count("*").alias("g"))
+    hubs = durable(hubs.select("key", F.col("hub.line").alias("la"), F.col("hub.counts").alias("ca"), "g"))
+    star = members.join(hubs.hint("merge"), "key").where(apart("ca", "counts")).select(F.xxhash64("la").alias("a"), F.col("lh").alias("b"), "la", F.col("line").alias("lb")).where("a <> b")
     first = durable(near_pairs(star.dropDuplicates(["a", "b"]), edits))
     label = durable(components(first)).withColumnsRenamed({"node": "lh", "component": "comp"})
 
@@ -135,10 +138,9 @@ def line_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     rows = rows.withColumn("blk", F.pmod(F.hash("lh", "key"), nb)).withColumn("j", F.explode(F.sequence(F.lit(0), nb - 1)))
     rows = durable(rows.select("key", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj"), "blk", "lh", "comp", "index", "line", "counts"))
     x, y = rows.alias("x"), rows.alias("y")
-    apart = F.aggregate(F.zip_with("x.counts", "y.counts", lambda p, q: F.abs(p - q)), F.lit(0), lambda p, q: p + q)
     second = x.join(
         y.hint("merge"),
-        F.expr("x.key = y.key and x.bi = y.bi and x.bj = y.bj and x.lh < y.lh and x.comp <> y.comp and (x.index or y.index) and (x.bi = x.bj or x.blk <> y.blk)") & (apart <= 2 * edits),
+        F.expr("x.key = y.key and x.bi = y.bi and x.bj = y.bj and x.lh < y.lh and x.comp <> y.comp and (x.index or y.index) and (x.bi = x.bj or x.blk <> y.blk)") & apart("x.counts", "y.counts"),
     )
     second = second.select(F.col("x.lh").alias("a"), F.col("y.lh").alias("b"), F.col("x.line").alias("la"), F.col("y.line").alias("lb")).dropDuplicates(["a", "b"])
     second = durable(near_pairs(second, edits))
