@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, pii, quality, toxicity
+from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, oracles, pii, quality, toxicity
 from sparkloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality": oracles.QUALITY, "op6_embed_dedup": oracles.EMBED_DEDUP, "op10_ngram_join": oracles.NGRAM_JOIN}
