@@ -28,8 +28,8 @@ LOG10 = log(10)
 BLANK = set(b" \t\n\x0b\x0c\r")
 #: The end of a text as a piece and as a word; neither can be in a text.
 END = b"\n"
-#: Most frequent words that every task knows; the others' counts come by a join.
-COMMON = 50_000
+#: Every task knows the words that are at least one in so many tokens (so there are no more of them); the others' counts come by a join.
+COMMON = 100_000
 
 
 def start_scores(path: str) -> dict[bytes, float]:
@@ -151,7 +151,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     words = durable(word_counts(docs))
-    n, v, once = (x or 0 for x in words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first())
+    n, v, once, tokens = (x or 0 for x in words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.sum("n")).first())
     new = max(once, 1) / (n + 1)  # the share of words that training hasn't seen, by Good and Turing
     scores = learned_scores(words, path)
     shared = spark.sparkContext.broadcast((scores, max(map(len, scores))))
@@ -166,7 +166,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.float64())], ["word", "c", "n", "lp"])
 
     scored = durable(words.select("word", "c", "n").mapInArrow(lattice, "word binary, c long, n long, lp double"))
-    common = {bytes(r.word): (r.c, r.lp) for r in scored.orderBy(F.desc("n"), "word").limit(COMMON).collect()}
+    common = {bytes(r.word): (r.c, r.lp) for r in scored.where(F.col("n") * COMMON >= tokens).collect()}
     known = spark.sparkContext.broadcast(common)
     base = lambda c: log((c + 1) / (n + v + 1)) / LOG10
     kind = dict(docs.dtypes)["doc_id"]
