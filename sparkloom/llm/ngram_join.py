@@ -11,8 +11,8 @@ that share such a shingle, pairs pass
 * the suffix filter: the sets are parted by hash into ``BITS`` ranges, and the
   ranges with an odd difference bound the sets' Hamming distance from below,
 
-and each pair that passes somewhere (the positional filter is sharp at its first
-common shingle) is verified once on the whole sets. Exact copies are one node from the start. Groups are cut into blocks
+and a pair is handed on at its first common shingle only, then verified once on the
+whole sets. Exact copies are one node from the start. Groups are cut into blocks
 of bounded size that meet pair by pair, so a shingle held by very many documents
 is many small tasks; for such groups a first round links each block to its first
 document, and later only pairs of different components are looked at. That loses
@@ -106,6 +106,7 @@ def _groups(members: DataFrame, star: bool) -> DataFrame:
     """Rows dealt to (token, bi, bj): a block with itself, and unless ``star`` each pair of a group's blocks."""
     rows = members.select("doc", "n", "bits", "comp", "toks", F.posexplode("toks").alias("k", "t")).select(
         F.col("t.token").alias("token"), "doc", "n", F.col("t.pos").alias("pos"), "bits", "comp",
+        F.transform(F.slice("toks", 1, F.col("k")), lambda t: t["token"]).alias("early"),
         F.ceil(F.col("t.g") / BLOCK).cast("int").alias("nb"), F.col("t.g").alias("g"),
     )
     rows = rows.withColumn("b", F.pmod(F.hash("doc", "token"), F.col("nb")))
@@ -113,14 +114,14 @@ def _groups(members: DataFrame, star: bool) -> DataFrame:
         rows = rows.where(F.col("g") > HOT).withColumn("j", F.col("b"))
     else:
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("token", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "n", "doc", "pos", "bits", "comp", "b")
+    rows = rows.select("token", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "n", "doc", "pos", "bits", "comp", "early", "b")
     return rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "n", "doc")
 
 
 def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs (a, b), a before b by size, that pass the filters at a common shingle, each once."""
+    """Pairs (a, b), a before b by size, that pass the filters at their first common shingle."""
 
-    def pairs(t: dict[str, np.ndarray]) -> np.ndarray:
+    def pairs(t: dict[str, np.ndarray], early: list[frozenset]) -> np.ndarray:
         size = len(t["token"])
         group = np.concatenate([[0], np.cumsum((np.diff(t["token"]) != 0) | (np.diff(t["bi"]) != 0) | (np.diff(t["bj"]) != 0))]) if size else np.empty(0, int)
         starts = np.searchsorted(group, np.arange(group[-1] + 1)) if size else group
@@ -147,9 +148,11 @@ def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
             x, y, need = x[keep], y[keep], need[keep]
             far = np.bitwise_count(t["bits"][x] ^ t["bits"][y]).sum(axis=1)
             keep = far <= t["n"][x] + t["n"][y] - 2 * need
-            left.append(t["doc"][x[keep]])
-            right.append(t["doc"][y[keep]])
-        return np.array([np.concatenate(left), np.concatenate(right)]) if left else np.empty((2, 0), np.int64)
+            for i, j in zip(x[keep], y[keep], strict=True):
+                if star or early[i].isdisjoint(early[j]):
+                    left.append(t["doc"][i])
+                    right.append(t["doc"][j])
+        return np.array([left, right], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, ready, waiting = None, [], 0
@@ -180,7 +183,7 @@ def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
             return np.empty((2, 0), np.int64)
         t = {c: table.column(c).to_numpy() for c in ("token", "bi", "bj", "n", "doc", "pos", "comp", "b")}
         t["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
-        return pairs(t)
+        return pairs(t, [frozenset(x) for x in table.column("early").to_pylist()])
 
     return _groups(members, star).mapInArrow(run, "a long, b long").distinct()
 
@@ -236,7 +239,10 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     reps = whole.where("n > 0 and doc_id is not null").join(maybe_broadcast(durable(extra), SMALL), "doc_id", "left_anti")
 
     tokens = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = durable(tokens.groupBy("token").agg(F.count("*").alias("g")).where("g > 1"))
+    held_by = [F.count("*").alias("g"), F.bit_xor(F.xxhash64("doc_id")).alias("sig"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("pos").alias("places")]
+    shared = tokens.groupBy("token").agg(*held_by).where("g > 1")
+    # Shingles held by the same documents stand for each other; the first of them in the order is the one at the least places.
+    shared = durable(shared.groupBy("g", "sig", "lo", "hi").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token", "g"))
     held = (
         tokens.join(maybe_broadcast(shared, SMALL), "token")
         .groupBy("doc_id")
@@ -251,7 +257,8 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     second = durable(verified(docs, candidates(labelled, percent, star=False), width, percent))
     found = components(first.union(second)).select(F.col("node").alias("rep"), "component")
 
-    named = whole.select("doc_id", "seq", "n").join(copies.hint("merge"), "seq", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    named = whole.select("doc_id", "seq", "n").join(copies.hint("merge"), "seq", "left")
+    named = named.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     return named.join(durable(found).hint("merge"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
