@@ -293,8 +293,11 @@ def test_lattice_sums_all_segmentations():
         return 1.0 if not word else sum(math.exp(s) * every(word[len(p) :]) for p, s in scores.items() if word.startswith(p))
 
     for word in (b" abba", b" a", b" bab"):
-        assert math.exp(lattice_lm.forward(word, scores, 2)[-1]) == pytest.approx(every(word))
-        assert sum(len(p) * e for p, e in lattice_lm.expected(word, scores, 2).items()) == pytest.approx(len(word))
+        table = lattice_lm.with_prefixes(scores)
+        assert math.exp(lattice_lm.forward(lattice_lm.arcs(word, table), len(word))[-1]) == pytest.approx(every(word))
+        long = lattice_lm.expected(word, table)
+        assert sum(len(p) * e for p, e in long.items()) == pytest.approx(len(word))
+        assert lattice_lm.expected_short(word, {p: s if s is None else math.exp(s) for p, s in table.items()}) == pytest.approx(long)
 
 
 def base_pii(t):
