@@ -69,24 +69,24 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "host", "th", "pos", F.xxhash64(plain).alias("lh"), F.size(words(F.col("line"))).alias("lw"))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, percent: int) -> DataFrame:
-    """(host, lh) of the lines above the limit: over ``min_docs`` documents and over ``percent`` of the host's.
+def frequent_lines(docs: DataFrame, min_docs: int, percent: int, ceiling: int) -> DataFrame:
+    """(host, lh) of the lines above the limit: over ``min_docs`` documents, and over ``percent`` of the host's or over ``ceiling``.
 
     Documents are counted by content: copies of one text in a host count once, so a
     document that is merely copied often does not turn its own lines into boilerplate.
-    A line's limit is a share of its host's documents, so a host has few such lines.
+    The ceiling holds the limit where it is however large the host is.
     """
     lines = line_rows(docs).groupBy("host", "lh", "th").agg(F.lit(1).alias("one"))
     per_line = lines.groupBy("host", "lh").agg(F.count("*").alias("n_docs"))
     per_host = docs.select(F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     per_host = per_host.groupBy("host", "th").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
     per_line = per_line.where(F.col("n_docs") > min_docs)
-    return per_line.join(per_host, "host").where(F.col("n_docs") * 100 > F.col("host_docs") * percent).select("host", "lh")
+    return per_line.join(per_host, "host").where((F.col("n_docs") * 100 > F.col("host_docs") * percent) | (F.col("n_docs") > ceiling)).select("host", "lh")
 
 
-def removed_lines(docs: DataFrame, min_docs: int, percent: int) -> DataFrame:
+def removed_lines(docs: DataFrame, min_docs: int, percent: int, ceiling: int) -> DataFrame:
     """The line rows to remove, once per document and place."""
-    frequent = durable(frequent_lines(docs, min_docs, percent))
+    frequent = durable(frequent_lines(docs, min_docs, percent, ceiling))
     lines = line_rows(docs)
     if at_most(frequent, SMALL):
         found = lines.join(F.broadcast(frequent), ["host", "lh"], "left_semi")
@@ -96,7 +96,7 @@ def removed_lines(docs: DataFrame, min_docs: int, percent: int) -> DataFrame:
     return found.select("doc_id", "th", "pos", "lw").distinct()
 
 
-def quality(docs: DataFrame, min_docs: int = 20, percent: int = 10, depleted: int = 50, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+def quality(docs: DataFrame, min_docs: int = 20, percent: int = 10, depleted: int = 50, min_words: int = 50, max_repeat: int = 50, ceiling: int = 20) -> DataFrame:
     """Counts and verdict per row of ``docs`` (doc_id, text, source).
 
     Returns doc_id, th, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -107,7 +107,7 @@ def quality(docs: DataFrame, min_docs: int = 20, percent: int = 10, depleted: in
     results and count as one document; a null doc_id is a value like others. An empty
     table gives an empty result. Other columns are not read.
     """
-    lost = removed_lines(docs, min_docs, percent).groupBy("doc_id", "th").agg(F.count("*").alias("removed_lines"), F.sum("lw").alias("removed_words"))
+    lost = removed_lines(docs, min_docs, percent, ceiling).groupBy("doc_id", "th").agg(F.count("*").alias("removed_lines"), F.sum("lw").alias("removed_words"))
     lost = lost.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "removed_lines", "removed_words")
     counts = base_counts(docs)
     out = counts.join(lost, counts.doc_id.eqNullSafe(lost.d) & (counts.th == lost.t), "left").drop("d", "t", "host")
@@ -120,13 +120,13 @@ def quality(docs: DataFrame, min_docs: int = 20, percent: int = 10, depleted: in
     )
 
 
-def clean(docs: DataFrame, min_docs: int = 20, percent: int = 10, **limits: int) -> DataFrame:
+def clean(docs: DataFrame, min_docs: int = 20, percent: int = 10, ceiling: int = 20, **limits: int) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns, without the removed lines.
 
     ``n_chars``, where it is a column, follows the new text.
     """
-    verdict = durable(quality(docs, min_docs, percent, **limits)).where("kept").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
-    lost = removed_lines(docs, min_docs, percent).groupBy(F.col("doc_id").alias("__d2"), F.col("th").alias("__t2")).agg(F.collect_set("pos").alias("__lost"))
+    verdict = durable(quality(docs, min_docs, percent, ceiling=ceiling, **limits)).where("kept").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
+    lost = removed_lines(docs, min_docs, percent, ceiling).groupBy(F.col("doc_id").alias("__d2"), F.col("th").alias("__t2")).agg(F.collect_set("pos").alias("__lost"))
     marks = durable(verdict.join(lost, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__t") == F.col("__t2")), "left").select("__d", "__t", "__lost"))
     out = docs.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = out.join(marks, out.doc_id.eqNullSafe(marks["__d"]) & (F.col("__x") == F.col("__t")))

@@ -116,6 +116,13 @@ def test_frequent_lines_go(spark):
     assert clean[3] == body(3) and 200 not in clean
 
 
+def test_frequent_lines_go_from_hosts_of_any_size(spark):
+    rows = [(1000 * n + k, f"all rights reserved\nown line {'x' * k}" if k < 25 else f"other line {'x' * k}", f"h{n}", "en", "x") for n in (30, 400) for k in range(n)]
+    rows += [(500_000 + k, f"a few hold this\nown line {'y' * k}" if k < 20 else f"other line {'y' * k}", "h20", "en", "x") for k in range(400)]
+    got = {r.doc_id: r.removed_lines for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: int(i < 500_000 and i % 1000 < 25) for i, *_ in rows}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
