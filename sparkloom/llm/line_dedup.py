@@ -18,13 +18,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NOT_WS, at_most, components, durable, maybe_broadcast
+from sparkloom.llm.common import NOT_WS, at_most, components, durable, maybe_broadcast, words
 
 #: Characters counted for the lower bound; any sixteen are right, frequent ones are sharp.
 COUNTED = "etaonirshdlcum g"
 BLOCK = 256
-#: Rows up to which a counted side is broadcast, and salts where it is more.
-SMALL, SALTS = 200_000, 64
+#: Rows up to which a counted side is broadcast, and salts where it is more; occurrences from which a line is dealt over salts.
+SMALL, SALTS, HOT = 200_000, 64, 1000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -147,42 +147,51 @@ def line_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return components(first.union(second))
 
 
-def repeated_lines(docs: DataFrame, edits: int, min_chars: int, copies: int) -> DataFrame:
-    """The lines of every class with over ``copies`` occurrences: lh, and the (doc_id, pos) of the class's first."""
+def repeated_lines(docs: DataFrame, edits: int, min_chars: int, copies: int, long_words: int, long_chars: int) -> DataFrame:
+    """The lines of every class to thin out: lh, n (the line's occurrences), and the (doc_id, pos) of the class's first.
+
+    A class counts as long by its longest line: then its second occurrence goes already,
+    otherwise it needs over ``copies`` of them.
+    """
     found = durable(line_links(docs, edits, min_chars))
-    per_line = line_rows(docs).groupBy("lh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    long = (F.length("line") >= long_chars) | ((F.length("line") >= 2 * long_words - 1) & (F.size(words(F.col("line"))) >= long_words))
+    per_line = line_rows(docs).withColumn("long", long).groupBy("lh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"), F.max("long").alias("long"))
     per_line = durable(per_line)
     named = per_line.join(found.hint("merge"), F.col("lh") == F.col("node"), "left").withColumn("class", F.coalesce("component", "lh"))
-    often = named.groupBy("class").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") > copies)
+    often = named.groupBy("class").agg(F.sum("n").alias("all"), F.min("first").alias("first"), F.max("long").alias("long"))
+    often = often.where((F.col("all") > copies) | (F.col("long") & (F.col("all") > 1)))
     often = durable(often.select("class", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")))
-    return named.select("lh", "class").join(maybe_broadcast(often, SMALL), "class").select("lh", "first_doc", "first_pos")
+    return named.select("lh", "n", "class").join(maybe_broadcast(often, SMALL), "class").select("lh", "n", "first_doc", "first_pos")
 
 
-def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 30, copies: int = 6) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 30, copies: int = 6, long_words: int = 20, long_chars: int = 100) -> DataFrame:
     """Per text that loses lines: d, t (doc_id and hash of the text), lost (places of the lines)."""
-    often = durable(repeated_lines(docs, edits, min_chars, copies))
+    often = durable(repeated_lines(docs, edits, min_chars, copies, long_words, long_chars))
     lines = line_rows(docs).drop("line")
     if at_most(often, SMALL):
-        hit = lines.join(F.broadcast(often), "lh")
+        hit = lines.join(F.broadcast(often.drop("n")), "lh")
     else:
-        salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = lines.withColumn("salt", F.pmod(F.hash("doc_id", "pos"), F.lit(SALTS))).join(salted, ["lh", "salt"])
+        salts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        hot = maybe_broadcast(durable(often.where(F.col("n") > HOT).select("lh", F.lit(SALTS).alias("salts"))), SMALL)
+        dealt = lines.join(hot, "lh", "left").withColumn("salt", F.pmod(F.hash("doc_id", "pos"), F.coalesce("salts", F.lit(1))))
+        hit = dealt.join(often.withColumn("salt", F.explode(salts)).drop("n"), ["lh", "salt"])
     hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
     return hit.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_set("pos").alias("__lost"))
 
 
-def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 30, copies: int = 6) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) without the later occurrences of often repeated lines.
+def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 30, copies: int = 6, long_words: int = 20, long_chars: int = 100) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) without the later occurrences of repeated lines.
 
     Lines, trimmed, that differ by at most ``edits`` edits form classes (linked lines
     are of one class; lines under ``min_chars`` characters match exactly only). Of a
-    class with over ``copies`` occurrences the first stays, by doc_id and place (null
-    first); the others go. Adds kept_lines and lost_lines (lines with a word) and keeps
+    class that holds a line of ``long_words`` words or ``long_chars`` characters, too long
+    to recur by accident, and of any other with over ``copies`` occurrences, the first
+    stays, by doc_id and place (null first); the others go. Adds kept_lines and lost_lines (lines with a word) and keeps
     every row, also those whose text is empty now. Null texts stay null with no lines;
     blank lines stay and are not counted; repeated rows are treated alike, their lines
     count as occurrences each. Lines are never shortened, whatever their length.
     """
-    lost = durable(removed_lines(docs, edits, min_chars, copies))
+    lost = durable(removed_lines(docs, edits, min_chars, copies, long_words, long_chars))
     out = docs.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = out.join(maybe_broadcast(lost, SMALL), out.doc_id.eqNullSafe(lost["__d"]) & (F.col("__x") == F.col("__t")), "left")
     split = F.split("text", "\n", -1)

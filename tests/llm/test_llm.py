@@ -183,6 +183,19 @@ def test_line_dedup(spark, edge, empty):
     assert line_dedup.line_dedup(edge).count() == len(EDGE) and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_long_lines_go_from_the_second_on(spark, monkeypatch):
+    passage = lambda k: " ".join(f"word{k}x{j}" for j in range(25))
+    rows = [(2 * k + c, f"{passage(k)}{'.' * c}\nits own {k} {c}\nsaid twice by {k} or so", "s", "en", "x") for k in range(40) for c in (0, 1)]
+    rows += [(500, "\u4e2d" * 120 + "\n" + "\u4e2d" * 120, "s", "en", "x")]
+    wanted = {i: t if i % 2 == 0 else t.split("\n", 1)[1] for i, t, *_ in rows} | {500: "\u4e2d" * 120}
+    df = spark.createDataFrame(rows, DOCS)
+    for small, hot in ((200_000, 1000), (3, 1)):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(df, edits=1).collect()}
+        assert got == wanted
+
+
 def brute_groups(rows, width, percent):
     sets = {}
     for i, text in rows:
