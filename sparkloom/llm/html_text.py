@@ -1,8 +1,8 @@
 """Main text of web pages: site templates are found as recurring subtrees and removed.
 
 Every page is parsed into elements. First each container element's subtree (its tag,
-text and parts) is hashed and the pages of a host that hold it are counted in Spark;
-subtrees on a large share of a host's pages are its template. Then each page's main
+text and parts) is hashed and the different pages of a host that hold it are counted
+in Spark; subtrees on many of a host's pages are its template. Then each page's main
 part (its articles, else main, else body) is written block by block, without
 elements that are no content by tag, role or class, and without template subtrees.
 """
@@ -15,11 +15,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import durable, maybe_broadcast
+from sparkloom.llm.common import at_most, durable
 
+#: Template subtrees up to which all are sent to every task.
+SMALL = 200_000
 #: Fixed values of HTML: elements without content, with raw text, those a new one of the same kind ends, and blocks.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe".split())
@@ -153,57 +155,80 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def subtree_key(host: str, digest: bytes) -> int:
+    """A host's subtree as one number."""
+    return int.from_bytes(hashlib.md5(digest + host.encode(errors="replace"), usedforsecurity=False).digest()[:8], "big", signed=True)
+
+
+def page_key() -> Column:
+    """The same for rows of equal url and html."""
+    return F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+
+
 def subtree_rows(pages: DataFrame) -> DataFrame:
-    """host, page (1 for the page's own row), digest of each distinct container subtree of a page (null for the page's row)."""
+    """host, page (its key), content (hash of its main text), subtree: each distinct container of a page (null for the page's own row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
-            for url, page in zip(batch.column(0), batch.column(1), strict=True):
-                host, own = host_of(url.as_py()), []
-                digests(parse(page.as_py() or ""), own)
-                own = [None, *dict.fromkeys(own)]
+            hosts, keys, contents, found = [], [], [], []
+            for url, page, key in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                host, own, root = host_of(url.as_py()), [], parse(page.as_py() or "")
+                digests(root, own)
+                own = [None, *(subtree_key(host, d) for d in dict.fromkeys(own))]
+                content = hashlib.md5(main_text(root, set()).encode(errors="replace"), usedforsecurity=False).digest()
                 hosts += [host] * len(own)
+                keys += [key.as_py()] * len(own)
+                contents += [int.from_bytes(content[:8], "big", signed=True)] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.binary())], ["host", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (keys, contents, found))], ["host", "page", "content", "subtree"]
+            )
 
-    return pages.select("url", "html").mapInArrow(run, "host string, digest binary")
+    return pages.select("url", "html", page_key().alias("page")).mapInArrow(run, "host string, page long, content long, subtree long")
 
 
-def templates(pages: DataFrame, min_pages: int, percent: int) -> DataFrame:
-    """(host, template): the digests on over ``min_pages`` pages and over ``percent`` of the host's; a share, so few to a host."""
-    counts = durable(subtree_rows(pages).groupBy("host", "digest").agg(F.count("*").alias("n")).where(f"digest is null or n > {min_pages}"))
-    of_host = counts.where("digest is null").select("host", F.col("n").alias("pages"))
-    often = counts.where("digest is not null").join(of_host, "host").where(F.col("n") * 100 > F.col("pages") * percent)
-    return often.groupBy("host").agg(F.sort_array(F.collect_set("digest")).alias("template"))
+def templates(rows: DataFrame, min_pages: int, percent: int, ceiling: int) -> DataFrame:
+    """The subtrees on over ``min_pages`` pages of a host, and on over ``percent`` of them or over ``ceiling``; pages of one main text count once."""
+    different = rows.groupBy("host", "subtree", "content").agg(F.lit(1).alias("one"))
+    counts = durable(different.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(f"subtree is null or n > {min_pages}"))
+    of_host = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
+    often = counts.where("subtree is not null").join(of_host, "host")
+    return often.where((F.col("n") * 100 > F.col("pages") * percent) | (F.col("n") > ceiling)).select("subtree")
 
 
-def page_text(pages: DataFrame, min_pages: int = 5, percent: int = 20) -> DataFrame:
+def page_text(pages: DataFrame, min_pages: int = 5, percent: int = 20, ceiling: int = 20) -> DataFrame:
     """Main text of every row of ``pages`` (page_id, url, html).
 
     Returns page_id, url, text (blocks in page order, one to a line, references decoded,
     white space runs as one space; empty if there is none) and n_chars (its code points).
     A null or empty html gives the empty text; a url that is null or has no host belongs
-    to the host "". Repeated rows each give a row and count as pages each; an empty table
-    gives an empty result. Paragraphs, headings and list items are never taken for a
+    to the host "". Repeated rows each give a row; for templates pages of one main text
+    count once. An empty table gives an empty result. Paragraphs, headings and list items are never taken for a
     template, however often they recur; other columns are not read.
     """
     types = dict(pages.dtypes)
-    marks = maybe_broadcast(durable(templates(pages, min_pages, percent)), 200_000)
-    host = F.lower(F.coalesce(F.regexp_extract(F.trim("url"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
+    found = durable(subtree_rows(pages))
+    often = durable(templates(found, min_pages, percent, ceiling))
+    everywhere = None
+    rows = pages.select("page_id", "url", "html")
+    if at_most(often, SMALL):
+        everywhere = pages.sparkSession.sparkContext.broadcast(frozenset(r.subtree for r in often.collect()))
+        rows = rows.withColumn("template", F.lit(None).cast("array<long>"))
+    else:
+        held = found.join(often.distinct().hint("merge"), "subtree", "left_semi").groupBy("page").agg(F.collect_set("subtree").alias("template"))
+        rows = rows.withColumn("page", page_key()).join(durable(held), "page", "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, template in zip(batch.column(2), batch.column(3), strict=True):
-                root = parse(page.as_py() or "")
-                known = set(template.as_py() or ())
+            for url, page, own in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                root, host, all_digests = parse(page.as_py() or ""), host_of(url.as_py()), []
+                known = everywhere.value if everywhere is not None else set(own.as_py() or ())
                 if known:
-                    digests(root, [])
-                texts.append(main_text(root, known))
+                    digests(root, all_digests)
+                texts.append(main_text(root, {d for d in set(all_digests) if subtree_key(host, d) in known}))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(marks, "host", "left").select("page_id", "url", "html", "template")
     return rows.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")

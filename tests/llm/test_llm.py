@@ -358,6 +358,18 @@ def test_page_text(spark):
     assert html_text.page_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_are_counted_over_different_pages(spark, monkeypatch):
+    own = lambda k: f"<article><div class='body'><p>Story {k}</p></div></article>"
+    box = "<div class='box'><p>Join us</p></div>"
+    rows = [(k, "http://copies/same", f"<!-- {k % 7} -->{own(0)}") for k in range(60)]
+    rows += [(1000 + k, f"http://large/{k}", f"{own(k)[:-10]}{box if k < 25 else ''}</article>") for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for small in (200_000, 0):
+        monkeypatch.setattr(html_text, "SMALL", small)
+        got = {r.page_id: r.text for r in html_text.page_text(pages).collect()}
+        assert got == {i: f"Story {i - 1000 if i >= 1000 else 0}" for i, *_ in rows}
+
+
 def test_toxicity(spark, edge, empty):
     random.seed(6)
     rows, labels = [], []
