@@ -28,10 +28,11 @@ RAW = set("script style textarea title noscript template iframe".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = set("aside details div dl fieldset figure footer form header nav ol section table ul".split())
-#: What is no content: by tag, by role, and by a word of the class or id.
+#: What is no content: by tag, by role, and by a whole name of the class or id; elements that hold the content are never judged by names.
 NOT_TAGS = RAW | set("nav header footer aside form button select svg head dialog menu canvas object video audio".split())
 NOT_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NOT_WORDS = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related newsletter subscribe signup popup modal pagination pager comment comments commentlist disqus replies respond skip".split())
+NOT_WORDS = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing newsletter subscribe signup popup modal pagination pager comment comments commentlist disqus replies".split())
+BY_TAG = set("html body main article figure".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[A-Za-z!?/][^<>]*\Z", re.S)
 ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 
@@ -45,7 +46,7 @@ class Element:
         if attrs and not self.drop:
             for k, v in ATTR.findall(attrs):
                 k, v = k.lower(), v.strip("\"'").lower()
-                if (k == "role" and v in NOT_ROLES) or (k in ("class", "id") and not NOT_WORDS.isdisjoint(re.split(r"[^a-z]+", v))):
+                if (k == "role" and v in NOT_ROLES) or (k in ("class", "id") and tag not in BY_TAG and not NOT_WORDS.isdisjoint(v.split())):
                     self.drop = True
 
 

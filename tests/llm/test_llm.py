@@ -358,6 +358,16 @@ def test_page_text(spark):
     assert html_text.page_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_class_names_drop_whole_names_only(spark):
+    kept = ["<p class='related-work'>A</p>", "<div class=social-science>A</div>", "<figure class='banner wide'>A</figure>", "<div class='related'>A</div>", "<div id=no-sidebar>A</div>"]
+    pages = [f"<body class='has-sidebar'><article class='post comments-open'>{x}<p>B</article></body>" for x in kept]
+    pages += [f"<html class='no-sidebar nav'><body class=sidebar><main class=comments><p>{x}</p><p>B</main>" for x in "A"]
+    gone = [f"<body><article><{t} class='x {c}'>A</{t}><p>B</article></body>" for t, c in (("div", "sidebar"), ("p", "AD"), ("section", "comments"))]
+    rows = [(k, f"http://h{k}/", x) for k, x in enumerate(pages + gone)]
+    got = {r.page_id: r.text for r in html_text.page_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "A\nB" if k < len(pages) else "B" for k in range(len(rows))}
+
+
 def test_templates_are_counted_over_different_pages(spark, monkeypatch):
     own = lambda k: f"<article><div class='body'><p>Story {k}</p></div></article>"
     box = "<div class='box'><p>Join us</p></div>"
