@@ -23,7 +23,9 @@ The vocabulary file's path is a parameter.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +40,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Words kept with their ids in a worker (beyond it the words that came first stay), and windows kept (beyond it the table starts anew).
 CACHED_WORDS = 250_000
 KEPT_WINDOWS = 250_000
+#: Tokens after which a task hands on its rows.
+BATCH = 500_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -193,37 +197,50 @@ def _automaton(path: str) -> tuple[Automaton, dict[str, list[int]]]:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, digests: bool = False, decoded: bool = True) -> DataFrame:
     """Every text of ``docs`` (doc_id, text) as token ids, and the ids decoded again.
 
-    Returns doc_id, n_tokens, ids (array of int) and decoded; with ``digests`` instead of
-    the last two ids_sha256 and decoded_sha256. Null and empty texts have no ids and
-    decode to the empty text. Rows are kept as they come, repeated ones and null
-    doc_id included; other columns are not read. Texts are encoded whole, one at a time.
+    Returns doc_id, n_tokens, ids (array of int) and, unless ``decoded`` is false, decoded;
+    with ``digests`` instead of the last two ids_sha256 and decoded_sha256. Null and empty
+    texts have no ids and decode to the empty text. Rows are kept as they come, repeated
+    ones and null doc_id included; an empty table gives an empty result; other columns are
+    not read. Texts are encoded whole, one at a time; rows are handed on whenever BATCH
+    tokens are gathered, in flat buffers, so a task holds little beside its largest text.
     """
     types = dict(docs.dtypes)
+    decoded = decoded or digests
+    names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded") if decoded else ("ids",))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, known = _automaton(path)
+
+        def rows(doc_ids: pa.Array, n: list[int], flat: array, marks: list[str], texts: list[str]) -> pa.RecordBatch:
+            columns = [doc_ids, pa.array(n, pa.int64())]
+            if digests:
+                columns.append(pa.array(marks, pa.string()))
+            else:
+                ends = pa.array([0, *itertools.accumulate(n)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])))
+            if decoded:
+                columns.append(pa.array(texts, pa.string()))
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1):
+            start, held, n, flat, marks, texts = 0, 0, [], array("i"), [], []
+            for k, text in enumerate(batch.column(1)):
                 ids = automaton.encode(text.as_py() or "", known)
                 n.append(len(ids))
-                decoded = automaton.decode(ids)
+                held += len(ids)
                 if digests:
-                    a.append(hashlib.sha256(",".join(map(automaton.name.__getitem__, ids)).encode()).hexdigest())
-                    b.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    marks.append(hashlib.sha256(",".join(map(automaton.name.__getitem__, ids)).encode()).hexdigest())
+                    texts.append(hashlib.sha256(automaton.decode(ids).encode()).hexdigest())
                 else:
-                    a.append(ids)
-                    b.append(decoded)
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, kind), pa.array(b, pa.string())],
-                ["doc_id", "n_tokens", "a", "b"],
-            )
-
-    kind = "string" if digests else "array<int>"
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {types['doc_id']}, n_tokens bigint, a {kind}, b string")
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    return out.withColumnsRenamed({"a": names[0], "b": names[1]})
+                    flat.extend(ids)
+                    if decoded:
+                        texts.append(automaton.decode(ids))
+                if held >= BATCH or k == batch.num_rows - 1:
+                    yield rows(batch.column(0).slice(start, len(n)), n, flat, marks, texts)
+                    start, held, n, flat, marks, texts = k + 1, 0, [], array("i"), [], []
+
+    kinds = {"ids": "array<int>", "n_tokens": "bigint", "doc_id": types["doc_id"]}
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names))
