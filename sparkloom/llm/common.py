@@ -43,6 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def names_beside(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has or begins with, however its columns are called."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table written in the shared folder; cuts the lineage."""
     spark = df.sparkSession

@@ -4,7 +4,9 @@ Slots of equal size (``block`` words) are numbered; slot i takes the golden-rati
 point frac((i + 1) * 0.618...), which the cumulative target shares map to a source,
 so that every stretch of slots holds the sources nearly in proportion. The r-th
 slot of a source takes the r-th block of that source's stream: its documents in a
-seeded shuffled order, one after the other, up to ``repeats`` times over.
+seeded shuffled order, one after the other, up to ``repeats`` times over. A source
+ends with the block in which its target is reached, which is cut there; slots beyond
+that stay empty, and the few blocks for which the points left no slot follow at the end.
 
 Prefix sums over a source are made in two levels (hash-range buckets, then the
 buckets' offsets), as one source may hold most rows; slots are ranked likewise in
@@ -16,16 +18,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import durable, words
+from sparkloom.llm.common import NOT_WS, WS, durable, names_beside, words
 
 #: floor(2**31 / golden ratio), made odd: (i * GOLDEN) mod 2**31 walks the golden-ratio points in integers.
 GOLDEN = 1327217885
 POINTS = 2**31
 #: Cells of [0, 1) in which points and sources' intervals meet.
 CELLS = 4096
+#: Words in one file of the mixed texts, at least and at most: the least where that gives no more files than the cluster has cores four times over.
+FILE_WORDS = (2**20, 2**24)
 
 
 def source_plan(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
@@ -58,8 +62,8 @@ def source_plan(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> Dat
     )
 
 
-def schedule(plan: DataFrame, slots: int) -> DataFrame:
-    """Slots in order with their source and their rank in it: slot, src, rank (from 0)."""
+def schedule(plan: DataFrame, slots: int, block: int) -> DataFrame:
+    """Filled slots with their source and their rank in it: slot, src, rank (from 0)."""
     spark = plan.sparkSession
     chunk = max(1024, math.isqrt(slots))
     cell = lambda x: F.floor(x * CELLS).cast("long")
@@ -74,60 +78,115 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     )
     dealt = durable(dealt)
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("src", "chunk").count().select("src", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    return dealt.join(offsets, ["src", "chunk"]).select("slot", "src", (F.col("offset") + F.col("r") - 1).alias("rank"))
+    sizes = durable(dealt.groupBy("src", "chunk").count())
+    offsets = sizes.select("src", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    blocks = plan.select("src", F.ceil(F.round("target") / block).cast("long").alias("blocks"))
+    ranked = dealt.join(offsets, ["src", "chunk"]).select("slot", "src", (F.col("offset") + F.col("r") - 1).alias("rank"))
+    ranked = ranked.join(blocks, "src").where("rank < blocks").drop("blocks")
+    left = blocks.join(sizes.groupBy("src").agg(F.sum("count").alias("served")), "src", "left").withColumn("served", F.coalesce("served", F.lit(0)))
+    left = left.where("served < blocks").withColumn("before", F.sum(F.col("blocks") - F.col("served")).over(Window.partitionBy().orderBy("src").rowsBetween(Window.unboundedPreceding, -1)))
+    tail = left.select("src", "served", F.coalesce("before", F.lit(0)).alias("before"), F.explode(F.sequence("served", F.col("blocks") - 1)).alias("rank"))
+    return ranked.unionByName(tail.select((slots + F.col("before") + F.col("rank") - F.col("served")).alias("slot"), "src", "rank"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns: rows that agree in it and in doc_id are copies, and any of them may stand for any other."""
+    return F.xxhash64(*(F.to_json(F.struct(f"`{c}`")) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in docs.dtypes))
+
+
+def placed(docs: DataFrame, seed: int) -> DataFrame:
+    """A row per row of ``docs``: doc_id, rk (its key), copy (number among its equals), src, size, at (its place in the shuffled order)."""
+    rows = docs.select(
+        "doc_id", row_key(docs).alias("rk"), F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("src"), F.size(words(F.col("text"))).cast("long").alias("size")
+    )
+    counted = rows.groupBy("doc_id", "rk", "src", "size").agg(F.count("*").alias("n"))
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    return each.withColumn("at", F.xxhash64(F.lit(seed), "doc_id", "rk", "copy"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block: int = 1024, seed: int = 7) -> DataFrame:
-    """How many words of each document the mix takes, repeats counted.
+def scheduled(docs: DataFrame, weights: tuple[int, ...], repeats: int, block: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix as rows of word ranges, the sizes of all rows, and the plan of the sources.
 
-    Returns a row per row of ``docs`` (doc_id, text, source): doc_id, src, size,
-    source_size, target, taken. Size counts the words; null and empty texts have none
-    and give none. ``block`` is the most words in a slot; small inputs get smaller
-    slots, 2**17 at least while words last, so that whole slots come near each target.
-    Repeated rows and rows with a null doc_id are documents of their own, null sources
-    one source, an empty table gives an empty result; other columns are not read.
-    The order of a source's documents depends on doc_id and ``seed`` alone.
+    The first has slot, src, rank, doc_id, rk, copy, size, round (from 0), from_word and
+    to_word (end exclusive), p (place in the source's stream).
     """
-    sizes = durable(
-        docs.select(
-            "doc_id",
-            F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("src"),
-            F.size(words(F.col("text"))).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("at"),
-        )
-    )
+    sizes = durable(placed(docs, seed))
     plan = durable(source_plan(sizes, weights, repeats))
-    n_rows = sizes.count()
     total = (plan.agg(F.max("total")).first()[0]) or 0
-    bits = max(8, math.ceil(math.log2(max(1, n_rows) / 20_000)))
-    block = max(1, min(block, total // 2**17))
-    slots = schedule(plan, total // block)
-    slots = durable(slots)
-
-    placed = sizes.withColumn("b", F.shiftright("at", 64 - bits))
-    inside = Window.partitionBy("src", "b").orderBy("at", "doc_id", "size")
-    placed = placed.withColumn("rn", F.row_number().over(inside)).withColumn("start", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    bits = max(8, math.ceil(math.log2(max(1, sizes.count()) / 20_000)))
+    slots = durable(schedule(plan, total // block, block))
+
+    bucket = F.shiftright("at", 64 - bits)
+    inside = Window.partitionBy("src", "b").orderBy("at", "doc_id", "rk", "copy")
+    start = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     before = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sizes.groupBy("src", F.shiftright("at", 64 - bits).alias("b"))
+        sizes.groupBy("src", bucket.alias("b"))
         .agg(F.sum("size").alias("words"))
         .select("src", "b", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-        .join(plan.select("src", "source_size", "target"), "src")
-        .join(slots.groupBy("src").agg(F.count("*").alias("n_slots")), "src", "left")
-        .withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
+        .join(plan.select("src", "source_size", F.round("target").cast("long").alias("wanted")), "src")
     )
-    rounds = F.greatest(F.lit(1), F.least(F.lit(repeats), F.ceil(F.try_divide(F.col("n_slots") * block, F.col("source_size"))))).cast("int")
     pieces = (
-        placed.join(offsets, ["src", "b"])
-        .withColumn("round", F.explode(F.sequence(F.lit(0), F.coalesce(rounds, F.lit(1)) - 1)))
-        .withColumn("p", F.col("offset") + F.col("start") + F.col("round") * F.col("source_size"))
-        .withColumn("rank", F.explode(F.sequence(F.floor(F.col("p") / block), F.floor((F.col("p") + F.greatest("size", F.lit(1)) - 1) / block))))
-    )
-    held = F.least(F.col("p") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("p"), F.col("rank") * block)
-    return (
-        pieces.join(slots, ["src", "rank"], "left")
-        .groupBy("src", "b", "rn", "doc_id", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull() & (F.col("size") > 0), held)), F.lit(0)).cast("long").alias("taken"))
-        .select("doc_id", "src", "size", "source_size", "target", "taken")
+        sizes.where("size > 0").withColumn("b", bucket).withColumn("start", start)
+        .join(offsets, ["src", "b"])
+        .withColumn("p", F.col("offset") + F.col("start"))
+        .where("p < wanted")
+        .withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(wanted - 1 - p) div source_size"))))
+        .withColumn("p", F.col("p") + F.col("round") * F.col("source_size"))
+        .withColumn("end", F.least(F.col("p") + F.col("size"), F.col("wanted")))
+        .withColumn("rank", F.explode(F.sequence(F.expr(f"p div {block}"), F.expr(f"(end - 1) div {block}"))))
+        .withColumn("from_word", F.greatest(F.col("rank") * block - F.col("p"), F.lit(0)))
+        .withColumn("to_word", F.least(F.col("end"), (F.col("rank") + 1) * block) - F.col("p"))
     )
+    mix = pieces.join(slots, ["src", "rank"]).select("slot", "src", "rank", "doc_id", "rk", "copy", "size", "round", "from_word", "to_word", "p")
+    return mix, sizes, plan
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block: int = 1024, seed: int = 7) -> DataFrame:
+    """How many words of each document the mix takes, repeats counted.
+
+    Returns a row per row of ``docs`` (doc_id, text, source): doc_id, src, size,
+    source_size, target, taken. Size counts the words; null and empty texts have none
+    and give none. ``block`` is the words in a slot, whatever the input; a source's last
+    slot holds what is left of its target, so it takes its target to the word.
+    Repeated rows and rows with a null doc_id are documents of their own, null sources
+    one source, an empty table gives an empty result; other columns are not read.
+    The order of a source's documents depends on their rows and ``seed`` alone; equal rows are told apart by a number.
+    """
+    pieces, sizes, plan = scheduled(docs.select("doc_id", "text", "source"), weights, repeats, block, seed)
+    taken = pieces.groupBy(F.col("doc_id").alias("d"), F.col("rk").alias("r"), F.col("copy").alias("c")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    rows = sizes.join(taken, sizes.doc_id.eqNullSafe(taken.d) & (F.col("rk") == F.col("r")) & (F.col("copy") == F.col("c")), "left")
+    return rows.join(plan.select("src", "source_size", "target"), "src").select("doc_id", "src", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block: int = 1024, seed: int = 7) -> DataFrame:
+    """The mix itself, in slot order: the columns of ``docs``, a row per document and slot with that slot's share of the text.
+
+    The words of ``mix`` and no others, each with the white space before it (and the last
+    one of a text with what follows); a document within one slot stands there unchanged.
+    ``n_chars``, where it is a column, follows the piece. Texts without words are in no
+    slot. Rows, nulls and empty tables as in ``mix``; other columns are handed on, whatever
+    their names. Rows are written by ranges of slots, in order.
+    """
+    d, r, slot, p, first, last = names_beside(docs, "d", "r", "slot", "p", "first", "last")
+    pieces, _, plan = scheduled(docs, weights, repeats, block, seed)
+    pieces = durable(pieces)
+    total = plan.agg(F.sum(F.round("target"))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    files = max(1, math.ceil(total / FILE_WORDS[1]), min(math.ceil(total / FILE_WORDS[0]), 4 * cores))
+    # Of equal rows one is enough, as the pieces number them.
+    keyed = docs.withColumn(r, row_key(docs))
+    again = durable(keyed.groupBy(F.col("doc_id").alias(d), r).count().where("count > 1").drop("count").withColumnRenamed(r, p))
+    if not again.isEmpty():
+        same = keyed["doc_id"].eqNullSafe(again[d]) & (keyed[r] == again[p])
+        keyed = keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", r]))
+    renamed = pieces.select(F.col("doc_id").alias(d), F.col("rk").alias(p), F.col("slot").alias(slot), F.col("p").alias(first + "_p"), F.col("from_word").alias(first), F.col("to_word").alias(last), F.col("size").alias(slot + "_n"))
+    out = keyed.join(renamed, keyed["doc_id"].eqNullSafe(renamed[d]) & (keyed[r] == renamed[p]))
+    units = F.regexp_extract_all("text", F.lit(rf"{WS}*+{NOT_WS}++(?:{WS}++\z)?"), F.lit(0))
+    part = F.array_join(F.slice(units, F.col(first).cast("int") + 1, (F.col(last) - F.col(first)).cast("int")), "")
+    whole = (F.col(first) == 0) & (F.col(last) == F.col(slot + "_n"))
+    text = F.when(whole, F.col("text")).otherwise(part)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"]))
+    out = out.withColumn("text", text).repartitionByRange(files, slot, first + "_p").sortWithinPartitions(slot, first + "_p")
+    return out.select(*[f"`{c}`" for c in docs.columns])

@@ -228,25 +228,88 @@ def test_ngram_join(spark, docs, edge, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def brute_plan(sizes, weights=(5, 2, 1), repeats=3):
+    """Targets by the rule in words: share by weight, stop at the cap, share the excess again until none is above."""
+    names = sorted(sizes)
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    total, stopped = sum(sizes.values()), {}
+    while True:
+        rest = [s for s in names if s not in stopped]
+        level = (total - sum(stopped.values())) / sum(w[s] for s in rest) if rest else 0
+        over = [s for s in rest if w[s] * level > repeats * sizes[s]]
+        if not over:
+            return stopped | {s: w[s] * level for s in rest}
+        stopped |= {s: repeats * sizes[s] for s in over}
+
+
 def test_mixing(spark, docs, edge, empty):
-    rows = mixing.mix(docs).collect()
-    assert rows == mixing.mix(docs).collect() or sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs).collect()))
-    sizes = {r.doc_id: len(split(r.text)) for r in docs.collect()}
-    assert {r.doc_id: r["size"] for r in rows} == sizes
-    assert all(r.taken <= 3 * r["size"] for r in rows)
-    by = collections.defaultdict(list)
+    copies = spark.createDataFrame([(7, "a b c " * 60, "src1", "en", 1)] * 5 + [(None, f"x{k} y z", None, "en", 1) for k in range(40)], docs.schema)
+    df = docs.unionByName(copies)
+    table = collections.Counter((r.doc_id, r.text, r.source) for r in df.collect())
+    pieces, sizes, _ = mixing.scheduled(df.select("doc_id", "text", "source"), (5, 2, 1), 3, 64, 7)
+    order = sorted((tuple(r) for r in sizes.select("src", "at", F.coalesce("doc_id", F.lit(-1)), "rk", "copy", "size").collect()))
+    of = collections.defaultdict(int)
+    for src, *_, size in order:
+        of[src] += size
+    targets = brute_plan(of)
+    # Each source's stream is its rows by place in the shuffled order, over and over; the mix takes the first target words of it.
+    wanted = collections.Counter()
+    for src in of:
+        left, stream = round(targets[src]), [x for x in order if x[0] == src]
+        while left:
+            for _, _, i, rk, copy, size in stream:
+                wanted[i, rk, copy] += min(size, left)
+                left -= min(size, left)
+    got = collections.Counter()
+    rows = pieces.collect()
+    for r in rows:
+        got[-1 if r.doc_id is None else r.doc_id, r.rk, r.copy] += r.to_word - r.from_word
+        assert 0 <= r.from_word < r.to_word <= r["size"] and (r.p + r.from_word) // 64 == r["rank"] == (r.p + r.to_word - 1) // 64
+    assert +got == +wanted
+    slots = collections.defaultdict(set)
     for r in rows:
-        by[r.src].append(r)
-    assert abs(sum(v[0].target for v in by.values()) - sum(sizes.values())) < 1e-6
-    for v in by.values():
-        assert v[0].source_size == sum(r["size"] for r in v) and v[0].target <= 3 * v[0].source_size + 1e-9
-        assert abs(sum(r.taken for r in v) - v[0].target) <= max(8, 0.01 * v[0].target)
+        slots[r.slot].add((r.src, r["rank"]))
+    assert all(len(x) == 1 for x in slots.values()) and len({next(iter(x)) for x in slots.values()}) == len(slots)
+    by_slot = [next(iter(slots[k]))[0] for k in sorted(slots)]
+    everything = sum(targets.values())
+    for src, t in targets.items():
+        for n in range(10, len(by_slot), 37):  # every stretch holds the sources in proportion
+            assert abs(by_slot[:n].count(src) - n * t / everything) < 8
+    counts = mixing.mix(df).collect()
+    assert sorted(map(str, counts)) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
+    assert collections.Counter((r.doc_id, r["size"]) for r in counts) == sum((collections.Counter({(i, len(split(t))): n}) for (i, t, _), n in table.items()), collections.Counter())
+    for src in {r.src for r in counts}:
+        own = [r for r in counts if r.src == src]
+        assert own[0].target == pytest.approx(targets[src]) and own[0].source_size == of[src] and all(r.taken <= 3 * r["size"] for r in own)
+        assert sum(r.taken for r in own) == round(targets[src])
     assert mixing.mix(edge).count() == len(EDGE) and mixing.mix(empty).count() == 0
     few = spark.createDataFrame([(k, "w " * n, s, "en", "x") for k, (n, s) in enumerate([(1000, "b"), (10, "a"), (1000, "c")])], DOCS)
     got = {r.src: r.target for r in mixing.mix(few).collect()}
     assert got == pytest.approx({"0a": 30, "0b": 1980 * 2 / 3, "0c": 1980 / 3})
 
 
+def test_mixed_texts(spark, edge, empty):
+    random.seed(12)
+    text = lambda k: "".join(random.choice([f"w{k}x{j}", f"v{j}"]) + random.choice([" ", "\n", " \t "]) for j in range(random.randint(1, 90)))
+    rows = [(k, text(k), random.choice(["a", "b", "c", None]), "en", "x") for k in range(60)]
+    rows += [rows[0], rows[0], (None, " lone\n", "a", "en", "x"), (0, "other text", "a", "en", "y")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"_d": F.lit(1), "__r": F.lit("z"), "__slot": F.lit(2)})
+    got = mixing.mixed(df, block=32)
+    assert got.columns == df.columns
+    seen, whole = collections.Counter(), {(r.doc_id, r.text) for r in df.collect()}
+    for r in got.collect():
+        seen[r.doc_id] += len(split(r.text))
+        assert any(r.doc_id == i and r.text in t for i, t in whole)
+    wanted = collections.Counter()
+    for r in mixing.mix(df, block=32).collect():
+        wanted[r.doc_id] += r.taken
+    assert +seen != {} and sum(seen.values()) == sum(wanted.values())
+    assert mixing.mixed(edge).columns == edge.columns and mixing.mixed(empty).count() == 0
+    one = spark.createDataFrame([(1, " a b\n c ", "s", "en", "x")], DOCS)
+    assert [r.text for r in mixing.mixed(one).collect()] == [" a b\n c "]
+    assert [r.text for r in mixing.mixed(one, block=2).collect()] == [" a b", "\n c "]
+
+
 def test_bpe(spark, docs, edge, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
