@@ -328,26 +328,34 @@ def test_bpe(spark, docs, edge, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((6, 32))
     rows = [(k, int(k % 2), (centres[k % 6] + rng.standard_normal(32) * 0.06).tolist()) for k in range(300)]
     rows += [(300 + k, 0, rng.standard_normal(32).tolist()) for k in range(200)]
-    odd = [(900, 0, None), (901, 0, []), (902, 0, [0.0] * 32), (903, 0, [None] + [1.0] * 31), (904, 0, [float("nan")] + [1.0] * 31), (905, None, rows[0][2]), (None, 0, rows[0][2])]
+    rows += [(500 + k, k % 3, rows[k % 2][2]) for k in range(60)]  # exact copies, in three labels
+    odd = [(900, 0, None), (901, 0, []), (902, 0, [0.0] * 32), (903, 0, [None] + [1.0] * 31), (904, 0, [float("nan")] + [1.0] * 31), (905, None, rows[0][2]), (None, 0, rows[0][2]), (906, 0, rows[0][2] * 2)]
     df = spark.createDataFrame(rows + odd + [rows[1]], "vec_id long, label long, embedding array<double>")
-    got = {r.vec_id: r for r in embed_dedup.embed_dedup(df).collect()}
     x = np.array([r[2] for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
+    size = len(rows)
     near = (x @ x.T >= 0.98) & (np.array([r[1] for r in rows])[:, None] == np.array([r[1] for r in rows])[None, :])
-    sets = Sets(range(500))
+    sets = Sets(range(size))
     for a, b in np.argwhere(near):
         sets.join(int(a), int(b))
-    found = sum(r.n_links for r in got.values())
-    assert near.sum() - 500 >= found >= 0.97 * (near.sum() - 500) > 1000
-    assert all(got[k].n_links <= near[k].sum() - 1 for k in range(500))
-    assert sum(got[k].component_id == sets.root(k) for k in range(500)) >= 490
-    assert all(got[k].n_links == 0 and got[k].component_id == k for k, *_ in odd if k)
+    for block, paired in ((256, 24), (8, 3)):
+        monkeypatch.setattr(embed_dedup, "BLOCK", block)
+        monkeypatch.setattr(embed_dedup, "PAIRED", paired)
+        got = {r.vec_id: r for r in embed_dedup.embed_dedup(df).collect()}
+        found = sum(r.n_links for r in got.values())
+        assert near.sum() - size >= found >= 0.98 * (near.sum() - size) > 1000
+        assert all(got[k].n_links <= near[k].sum() - 1 for k in range(size))
+        assert sum(got[k].component_id == sets.root(k) for k in range(size)) >= size - 10
+        assert all(got[k].n_links == 0 and got[k].component_id == k for k, *_ in odd if k)
+        assert got[None].component_id is None and not got[None].kept
     assert embed_dedup.embed_dedup(df.limit(0)).count() == 0
+    named = spark.createDataFrame([("b", "x", [1.0, 0.0]), ("a", "x", [2.0, 0.0]), ("c", "y", [2.0, 0.0]), ("d", "x", [1.0, 0.001])], "vec_id string, label string, embedding array<float>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embed_dedup(named).collect()} == {"a": (2, "a"), "b": (2, "a"), "c": (0, "c"), "d": (2, "a")}
 
 
 def test_language_model(spark, docs, edge, empty):
