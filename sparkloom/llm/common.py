@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,13 +37,34 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset and the session is local, as in tests.
+
+    Raises on a cluster without that setting: a folder of the driver's own would be out of the executors' sight.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def without_lines(text: Column, lost: Column) -> Column:
+    """The text without the lines at the places in the array ``lost``, in time proportional to its lines."""
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+        return F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
+
+    return let(F.split(text, "\n", -1), left)
+
+
 def names_beside(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of ``df`` has or begins with, however its columns are called."""
     mark = "_"
@@ -64,9 +86,14 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint where a count proves the bound, else as it is (a shuffle join)."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def maybe_broadcast(df: DataFrame, rows: int, entries: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint where a count proves the bound, else as it is (a shuffle join).
+
+    The other columns are few numbers or short keys; with ``entries`` (of an array) the
+    sum over all rows is held to the bound as well.
+    """
+    small = at_most(df, rows) and (entries is None or (df.agg(F.sum(entries)).first()[0] or 0) <= rows)
+    return F.broadcast(df) if small else df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

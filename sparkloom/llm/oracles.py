@@ -11,7 +11,7 @@ l AS (SELECT doc_id, host, x, unnest(string_split(x, chr(10))) AS line FROM d),
 lw AS (SELECT *, regexp_replace(trim(regexp_replace(lower(line), '{WS}', ' ', 'g')), '[0-9]', '0', 'g') AS norm, len(list_filter(regexp_split_to_array(line, '{WS}'), lambda s: s <> '')) AS nw FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
 f AS (SELECT host, norm, count(DISTINCT x) AS n FROM lw GROUP BY host, norm), h AS (SELECT host, count(DISTINCT x) AS hd FROM d GROUP BY host),
-hot AS (SELECT host, norm FROM f JOIN h USING (host) WHERE n > 20 AND n * 100 > hd * 10),
+hot AS (SELECT host, norm FROM f JOIN h USING (host) WHERE n > greatest(5, least(20, hd * 2 // 100))),
 lost AS (SELECT doc_id, count(*) AS removed_lines, CAST(sum(nw) AS BIGINT) AS removed_words FROM lw JOIN hot USING (host, norm) GROUP BY doc_id),
 c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_words, 0) AS removed_words
