@@ -1,8 +1,9 @@
 """Line dedup: lines within a few edits of each other, by a segment-partition join.
 
-Built of DataFrame functions alone. Lines at most ``edits`` apart agree exactly on
-one of the edits + 1 even segments of the shorter one, at a place that the edits to
-its left and right bound. Each line gives its own segments' hashes as an index (keyed
+Built of DataFrame functions alone. A line may differ by one edit in ``chars_per_edit``
+characters of the shorter line, ``edits`` at most; so a very short one by none. Lines at
+most t edits apart agree exactly on one of the t + 1 even segments of the shorter one, at
+a place that the edits to its left and right bound. Each line gives its own segments' hashes as an index (keyed
 by its length) and, for every length that it may be near to, the substrings in those
 places as probes. Lines that share a key are candidates; the counts of sixteen
 characters bound their distance from below, and a banded bit-parallel edit distance
@@ -13,12 +14,10 @@ already are not looked at again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NOT_WS, at_most, components, durable, maybe_broadcast, words
+from sparkloom.llm.common import NOT_WS, at_most, components, durable, let, maybe_broadcast, names_beside, without_lines, words
 
 #: Characters counted for the lower bound; any sixteen are right, frequent ones are sharp.
 COUNTED = "etaonirshdlcum g"
@@ -27,11 +26,6 @@ BLOCK = 256
 SMALL, SALTS, HOT = 200_000, 64, 1000
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether two texts longer than ``edits`` are at most so many edits apart (insert, delete, substitute).
 
@@ -79,47 +73,54 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return let(F.struct(F.split(a, "").alias("chars"), F.length(a).alias("n")), distance)
 
 
-def near_pairs(pairs: DataFrame, edits: int) -> DataFrame:
-    """The rows of (a, b, la, lb) whose lines are within the edits."""
-    return pairs.where(F.abs(F.length("la") - F.length("lb")) <= edits).where(within_edits(F.col("la"), F.col("lb"), edits)).select("a", "b")
+def near_pairs(pairs: DataFrame, edits: int, chars_per_edit: int = 0) -> DataFrame:
+    """The rows of (a, b, la, lb) whose lines are within the edits that their length allows."""
+    gap = F.abs(F.length("la") - F.length("lb"))
+    if not chars_per_edit:
+        return pairs.where(gap <= edits).where(within_edits(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    near = F.lit(False)
+    for most in range(1, edits + 1):
+        near = F.when(F.least(F.length("la"), F.length("lb")) >= most * chars_per_edit, (gap <= most) & within_edits(F.col("la"), F.col("lb"), most)).otherwise(near)
+    return pairs.where(gap <= edits).where(near).select("a", "b")
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame) -> DataFrame:
     """A row per line with a word: doc_id, th (hash of the text), pos, line (trimmed), lh (its hash)."""
     out = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     out = out.where(F.col("line").rlike(NOT_WS)).withColumn("line", F.btrim("line", F.lit(" \t\x0b\x0c\r")))
     return out.withColumn("lh", F.xxhash64("line"))
 
 
-def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+def segment_keys(lines: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
     """Index and probe keys of (lh, line): key, lh, line, index (whether from the line's own partition)."""
-    parts = edits + 1
     lines = lines.withColumn("n", F.length("line"))
-    for shorter in range(edits + 1):  # columns, so that a length is counted once a line
-        lines = lines.withColumn(f"base{shorter}", F.expr(f"int((n - {shorter}) div {parts})")).withColumn(f"long{shorter}", F.expr(f"int((n - {shorter}) % {parts})"))
-
-    def key(shorter: int, i: int, move: int) -> Column:
-        base, longer = F.col(f"base{shorter}"), F.col(f"long{shorter}")
-        start = i * base + F.greatest(F.lit(0), i - (parts - longer))
-        seg = base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-        return F.xxhash64(F.col("n") - shorter, F.lit(i), F.substring(F.col("line"), start + (move + 1), seg))
-
-    moves = [
-        (shorter, i, move)
-        for shorter in range(edits + 1)
-        for i in range(parts)
-        for move in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)
-    ]
-    own = [k for k, (shorter, _, move) in enumerate(moves) if shorter == 0 and move == 0]
+    moves = []
+    for most in range(1, edits + 1):
+        parts = most + 1
+        for shorter in range(most + 1):  # columns, so that a length is counted once a line
+            names = [f"base{most}_{shorter}", f"long{most}_{shorter}"]
+            lines = lines.withColumns({names[0]: F.expr(f"int((n - {shorter}) div {parts})"), names[1]: F.expr(f"int((n - {shorter}) % {parts})")})
+            moves += [(most, shorter, i, m) for i in range(parts) for m in range(max(-i, shorter - (most - i)), min(i, shorter + most - i) + 1)]
+
+    def key(most: int, shorter: int, i: int, move: int) -> Column:
+        base, longer = F.col(f"base{most}_{shorter}"), F.col(f"long{most}_{shorter}")
+        start = i * base + F.greatest(F.lit(0), i - (most + 1 - longer))
+        seg = base + F.when(F.lit(i) >= most + 1 - longer, 1).otherwise(0)
+        fits = F.col("n") - shorter >= most * chars_per_edit
+        if most < edits:
+            fits &= F.col("n") - shorter < (most + 1) * chars_per_edit
+        return F.when(fits, F.xxhash64(F.lit(most), F.col("n") - shorter, F.lit(i), F.substring(F.col("line"), start + (move + 1), seg)))
+
+    own = [k for k, (_, shorter, _, move) in enumerate(moves) if shorter == 0 and move == 0]
     lines = lines.select("lh", "line", *(key(*m).alias(f"key{k}") for k, m in enumerate(moves)))
-    lines = lines.select("lh", "line", F.posexplode(F.array(*(f"key{k}" for k in range(len(moves))))).alias("k", "key"))
+    lines = lines.select("lh", "line", F.posexplode(F.array(*(f"key{k}" for k in range(len(moves))))).alias("k", "key")).where("key is not null")
     return lines.select("key", "lh", "line", F.col("k").isin(*own).alias("index"))
 
 
-def line_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def line_links(docs: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
     """Components of the links between different lines: (node, component), both hashes of lines."""
-    lines = line_rows(docs).where(F.length("line") >= min_chars).select("lh", "line")
-    keys = segment_keys(lines, edits)
+    lines = lines_of(docs).where(F.length("line") >= chars_per_edit).select("lh", "line")
+    keys = segment_keys(lines, edits, chars_per_edit)
     met = keys.groupBy("key").agg(F.min("lh").alias("hub"), F.max("lh").alias("other"), F.max("index").alias("index")).where("hub <> other and index")
     met = durable(met.select("key"))
     members = keys.join(maybe_broadcast(met, SMALL * 5), "key", "left_semi").groupBy("key", "lh").agg(F.max("index").alias("index"), F.min("line").alias("line"))
@@ -130,44 +131,48 @@ def line_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     hubs = members.groupBy("key").agg(F.min_by(F.struct("line", "counts"), F.struct(~F.col("index"), "lh")).alias("hub"), F.count("*").alias("g"))
     hubs = durable(hubs.select("key", F.col("hub.line").alias("la"), F.col("hub.counts").alias("ca"), "g"))
     star = members.join(hubs.hint("merge"), "key").where(apart("ca", "counts")).select(F.xxhash64("la").alias("a"), F.col("lh").alias("b"), "la", F.col("line").alias("lb")).where("a <> b")
-    first = durable(near_pairs(star.dropDuplicates(["a", "b"]), edits))
+    first = durable(near_pairs(star.dropDuplicates(["a", "b"]), edits, chars_per_edit))
     label = durable(components(first)).withColumnsRenamed({"node": "lh", "component": "comp"})
 
-    rows = members.join(hubs.select("key", "g").hint("merge"), "key").join(maybe_broadcast(label, SMALL), "lh", "left").withColumn("comp", F.coalesce("comp", "lh"))
+    rows = members.select("key", "lh", "index", "counts").join(hubs.select("key", "g").hint("merge"), "key")
+    rows = rows.join(maybe_broadcast(label, SMALL), "lh", "left").withColumn("comp", F.coalesce("comp", "lh"))
     nb = F.ceil(F.col("g") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.hash("lh", "key"), nb)).withColumn("j", F.explode(F.sequence(F.lit(0), nb - 1)))
-    rows = durable(rows.select("key", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj"), "blk", "lh", "comp", "index", "line", "counts"))
+    rows = durable(rows.select("key", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj"), "blk", "lh", "comp", "index", "counts"))
     x, y = rows.alias("x"), rows.alias("y")
     second = x.join(
         y.hint("merge"),
         F.expr("x.key = y.key and x.bi = y.bi and x.bj = y.bj and x.lh < y.lh and x.comp <> y.comp and (x.index or y.index) and (x.bi = x.bj or x.blk <> y.blk)") & apart("x.counts", "y.counts"),
     )
-    second = second.select(F.col("x.lh").alias("a"), F.col("y.lh").alias("b"), F.col("x.line").alias("la"), F.col("y.line").alias("lb")).dropDuplicates(["a", "b"])
-    second = durable(near_pairs(second, edits))
+    second = durable(second.select(F.col("x.lh").alias("a"), F.col("y.lh").alias("b")).distinct())
+    texts = members.select("lh", "line").join(maybe_broadcast(second.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), SMALL), "lh", "left_semi").distinct()
+    texts = durable(texts)
+    second = second.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("lb")), "b")
+    second = durable(near_pairs(second, edits, chars_per_edit))
     return components(first.union(second))
 
 
-def repeated_lines(docs: DataFrame, edits: int, min_chars: int, copies: int, long_words: int, long_chars: int) -> DataFrame:
-    """The lines of every class to thin out: lh, n (the line's occurrences), and the (doc_id, pos) of the class's first.
+def repeated_lines(lines: DataFrame, found: DataFrame, copies: int) -> DataFrame:
+    """The lines of every class to thin out: lh, n (the line's occurrences), and doc_id, th and pos of the class's first.
 
     A class counts as long by its longest line: then its second occurrence goes already,
     otherwise it needs over ``copies`` of them.
     """
-    found = durable(line_links(docs, edits, min_chars))
-    long = (F.length("line") >= long_chars) | ((F.length("line") >= 2 * long_words - 1) & (F.size(words(F.col("line"))) >= long_words))
-    per_line = line_rows(docs).withColumn("long", long).groupBy("lh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"), F.max("long").alias("long"))
-    per_line = durable(per_line)
-    named = per_line.join(found.hint("merge"), F.col("lh") == F.col("node"), "left").withColumn("class", F.coalesce("component", "lh"))
+    per_line = lines.groupBy("lh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.max("long").alias("long"))
+    named = durable(per_line).join(found.hint("merge"), F.col("lh") == F.col("node"), "left").withColumn("class", F.coalesce("component", "lh"))
     often = named.groupBy("class").agg(F.sum("n").alias("all"), F.min("first").alias("first"), F.max("long").alias("long"))
     often = often.where((F.col("all") > copies) | (F.col("long") & (F.col("all") > 1)))
-    often = durable(often.select("class", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")))
-    return named.select("lh", "n", "class").join(maybe_broadcast(often, SMALL), "class").select("lh", "n", "first_doc", "first_pos")
+    often = durable(often.select("class", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos")))
+    return named.select("lh", "n", "class").join(maybe_broadcast(often, SMALL), "class").select("lh", "n", "first_doc", "first_th", "first_pos")
 
 
-def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 30, copies: int = 6, long_words: int = 20, long_chars: int = 100) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int, chars_per_edit: int, copies: int, long_words: int, long_chars: int) -> DataFrame:
     """Per text that loses lines: d, t (doc_id and hash of the text), lost (places of the lines)."""
-    often = durable(repeated_lines(docs, edits, min_chars, copies, long_words, long_chars))
-    lines = line_rows(docs).drop("line")
+    found = durable(line_links(docs, edits, chars_per_edit))
+    long = (F.length("line") >= long_chars) | ((F.length("line") >= 2 * long_words - 1) & (F.size(words(F.col("line"))) >= long_words))
+    lines = durable(lines_of(docs).select("doc_id", "th", "pos", "lh", long.alias("long")))
+    often = durable(repeated_lines(lines, found, copies))
+    lines = lines.drop("long")
     if at_most(often, SMALL):
         hit = lines.join(F.broadcast(often.drop("n")), "lh")
     else:
@@ -175,30 +180,37 @@ def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 30, copies:
         hot = maybe_broadcast(durable(often.where(F.col("n") > HOT).select("lh", F.lit(SALTS).alias("salts"))), SMALL)
         dealt = lines.join(hot, "lh", "left").withColumn("salt", F.pmod(F.hash("doc_id", "pos"), F.coalesce("salts", F.lit(1))))
         hit = dealt.join(often.withColumn("salt", F.explode(salts)).drop("n"), ["lh", "salt"])
-    hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
-    return hit.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_set("pos").alias("__lost"))
+    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("th") == F.col("first_th")) & (F.col("pos") == F.col("first_pos"))
+    return hit.where(~first).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("pos").alias("lost"))
 
 
-def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 30, copies: int = 6, long_words: int = 20, long_chars: int = 100) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) without the later occurrences of repeated lines.
+def thinned(docs: DataFrame, edits: int = 2, chars_per_edit: int = 15, copies: int = 6, long_words: int = 20, long_chars: int = 100) -> tuple[DataFrame, str, str]:
+    """``docs`` without the later occurrences of repeated lines and with two more columns, whose names come along: lines kept, lines lost."""
+    d, t, lost, n_kept, n_lost = names_beside(docs, "d", "t", "lost", "n_kept", "n_lost")
+    gone = durable(removed_lines(docs, edits, chars_per_edit, copies, long_words, long_chars)).withColumnsRenamed({"d": d, "t": t, "lost": lost})
+    gone = maybe_broadcast(gone, SMALL, F.size(lost))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone[d]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[t]), "left")
+    zero = F.lit(0).cast("long")
+    n_all = F.coalesce(F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(NOT_WS))).cast("long"), zero)
+    out = out.withColumn(n_lost, F.when(F.col(lost).isNull(), zero).otherwise(F.size(lost).cast("long")))
+    out = out.withColumn(n_kept, F.when(F.col("text").isNull(), zero).otherwise(n_all) - F.col(n_lost))
+    out = out.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col(lost))))
+    return out.select(*[f"`{c}`" for c in docs.columns], n_kept, n_lost), n_kept, n_lost
+
 
-    Lines, trimmed, that differ by at most ``edits`` edits form classes (linked lines
-    are of one class; lines under ``min_chars`` characters match exactly only). Of a
+def line_dedup(docs: DataFrame, **limits: int) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) without the later occurrences of repeated lines; limits as in ``thinned``.
+
+    Lines, trimmed, that differ by at most one edit in ``chars_per_edit`` characters and
+    ``edits`` in all form classes (linked lines are of one class). Of a
     class that holds a line of ``long_words`` words or ``long_chars`` characters, too long
     to recur by accident, and of any other with over ``copies`` occurrences, the first
-    stays, by doc_id and place (null first); the others go. Adds kept_lines and lost_lines (lines with a word) and keeps
+    stays, by doc_id (null first), text and place; the others go. Adds kept_lines and
+    lost_lines (lines with a word), in place of columns of these names, and keeps
     every row, also those whose text is empty now. Null texts stay null with no lines;
     blank lines stay and are not counted; repeated rows are treated alike, their lines
-    count as occurrences each. Lines are never shortened, whatever their length.
+    count as occurrences each. Lines are never shortened, whatever their length. An empty
+    table gives an empty result; other columns are handed on, whatever their names.
     """
-    lost = durable(removed_lines(docs, edits, min_chars, copies, long_words, long_chars))
-    out = docs.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = out.join(maybe_broadcast(lost, SMALL), out.doc_id.eqNullSafe(lost["__d"]) & (F.col("__x") == F.col("__t")), "left")
-    split = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(split, lambda _, k: ~F.array_contains("__lost", k)), "\n")
-    zero = F.lit(0).cast("long")
-    n_lost = F.greatest(F.size("__lost"), F.lit(0)).cast("long")
-    n_all = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(NOT_WS))).cast("long"), zero)
-    out = out.withColumn("lost_lines", F.when(F.col("__lost").isNull(), zero).otherwise(n_lost)).withColumn("kept_lines", F.when(F.col("text").isNull(), zero).otherwise(n_all) - F.col("lost_lines"))
-    out = out.withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(left))
-    return out.select(*[f"`{c}`" for c in docs.columns if c not in ("kept_lines", "lost_lines")], "kept_lines", "lost_lines")
+    out, n_kept, n_lost = thinned(docs, **limits)
+    return out.select(*[f"`{c}`" for c in docs.columns if c not in ("kept_lines", "lost_lines")], F.col(n_kept).alias("kept_lines"), F.col(n_lost).alias("lost_lines"))
