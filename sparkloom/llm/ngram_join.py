@@ -1,22 +1,25 @@
 """N-gram Jaccard join: rare-first prefix filtering, verified once per pair, and the components of its links.
 
 A document is the set of its distinct word shingles, ordered by how often each
-occurs in the corpus (from a fixed-size sketch over all documents), rarest first.
-Two sets of Jaccard similarity t or more share a shingle among the first
+occurs in the corpus (from a sketch over all documents that grows with them), rarest
+first. Two sets of Jaccard similarity t or more share a shingle among the first
 n - ceil(t n) + 1 of each, so documents meet only on these. In a group of documents
 that share such a shingle, pairs pass
 
 * the length filter (t times the larger size),
-* the positional filter (the first common shingle's places bound the overlap),
+* the positional filter (the common shingle's places bound the overlap),
 * the suffix filter: the sets are parted by hash into ``BITS`` ranges, and the
   ranges with an odd difference bound the sets' Hamming distance from below,
 
-and a pair is handed on at its first common shingle only, then verified once on the
-whole sets. Exact copies are one node from the start. Groups are cut into blocks
-of bounded size that meet pair by pair, so a shingle held by very many documents
-is many small tasks; for such groups a first round links each block to its first
-document, and later only pairs of different components are looked at. That loses
-no component: pairs already joined add nothing to it.
+and what passes is verified on the whole sets, a pair once in a round. Texts are the
+nodes, each of them once; rows with one doc_id are one document.
+
+A first round compares each text with one other only, the first that holds the most
+shared of its prefix's shingles: what is a copy of many others is mostly linked then, by as
+many pairs as there are texts. Later only pairs of different components are looked
+at, which loses no component. For that the members of a group are cut into blocks of
+bounded size that meet pair by pair; in a group of several blocks the members of its
+largest component don't meet each other at all.
 """
 
 from __future__ import annotations
@@ -33,31 +36,30 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import components, durable, maybe_broadcast
 from sparkloom.llm.shingles import shingle_set, text_words
 
-#: Counters of the frequency sketch, and of those in one row while it is summed.
-SKETCH, CELL = 2**18, 2**14
+#: Counters of the frequency sketch: one to a document, at least and at most; and those in one row while it is summed.
+SKETCH, CELL = (2**18, 2**24), 2**14
 BITS = 512
-#: Documents of a group in one block; groups over HOT get the first round.
-BLOCK, HOT = 256, 8
-#: Bytes kept of a shingle's hash where two whole sets are compared: for 20,000 shingles a side 0.0004 chance matches.
-KEPT = 5
-#: Rows up to which a counted side is broadcast.
-SMALL = 2_000_000
+#: Documents of a group in one block.
+BLOCK = 256
+#: Rows of at most 50 bytes up to which a counted side is broadcast.
+SMALL = 400_000
 
 
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Counts of all documents' shingles by hash; SKETCH numbers, whatever the input."""
+    """Counts of all documents' shingles by hash, a power of two of them; counts over 2**31 stop there."""
+    size = 1 << (min(SKETCH[1], max(SKETCH[0], docs.count())) - 1).bit_length()
     lanes = math.isqrt(docs.rdd.getNumPartitions()) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        seen = np.zeros(SKETCH, np.int64)
+        seen = np.zeros(size, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 s = shingle_set(text_words(text.as_py()), width)
-                np.add.at(seen, (s % np.uint64(SKETCH)).astype(np.int64), 1)
+                np.add.at(seen, (s & np.uint64(size - 1)).astype(np.int64), 1)
         lane = TaskContext.get().partitionId() % lanes
-        cells = SKETCH // CELL
+        cells = size // CELL
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(cells), pa.int32()), pa.array([lane] * cells, pa.int32()), pa.array([seen[k * CELL : (k + 1) * CELL].tobytes() for k in range(cells)])],
             ["cell", "lane", "counts"],
@@ -69,90 +71,80 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
 
     kind = "cell int, lane int, counts binary"
     summed = docs.select("text").mapInArrow(count, kind).groupBy("cell", "lane").applyInPandas(add, kind)
-    out = np.zeros(SKETCH, np.int64)
+    out = np.zeros(size, np.int32)
     for row in summed.withColumn("lane", F.lit(0)).groupBy("cell", "lane").applyInPandas(add, kind).toLocalIterator():
-        out[row.cell * CELL : (row.cell + 1) * CELL] = np.frombuffer(row.counts, np.int64)
+        out[row.cell * CELL : (row.cell + 1) * CELL] = np.minimum(np.frombuffer(row.counts, np.int64), 2**31 - 1)
     return out
 
 
 def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document: doc_id, seq (hash of its words in order, null without words), n, prefix (rare first), bits."""
+    """Per row: rid (a number for it), doc_id, th (hash of the text), seq (hash of its words in order, null without words), n, prefix (rare first), bits."""
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sketch.value
         for batch in batches:
             seqs, ns, prefixes, bits = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 ws = text_words(text.as_py())
                 s = shingle_set(ws, width)
                 n = len(s)
                 first = n - -(-percent * n // 100) + 1 if n else 0
-                order = np.lexsort((s, often[(s % np.uint64(SKETCH)).astype(np.int64)]))[:first]
+                order = np.lexsort((s, often[(s & np.uint64(len(often) - 1)).astype(np.int64)]))[:first]
                 odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
                 seqs.append(hashlib.md5(b" ".join(ws)).digest() if ws else None)
                 ns.append(n)
                 prefixes.append(s[order].view(np.int64))
                 bits.append(np.packbits(odd).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(seqs, pa.binary()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                ["doc_id", "seq", "n", "prefix", "bits"],
+                [batch.column(0), batch.column(1), pa.array(seqs, pa.binary()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                ["doc_id", "th", "seq", "n", "prefix", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, seq binary, n long, prefix array<long>, bits binary")
-
-
-def _groups(members: DataFrame, star: bool) -> DataFrame:
-    """Rows dealt to (token, bi, bj): a block with itself, and unless ``star`` each pair of a group's blocks."""
-    rows = members.select("doc", "n", "bits", "comp", "toks", F.posexplode("toks").alias("k", "t")).select(
-        F.col("t.token").alias("token"), "doc", "n", F.col("t.pos").alias("pos"), "bits", "comp",
-        F.transform(F.slice("toks", 1, F.col("k")), lambda t: t["token"]).alias("early"),
-        F.ceil(F.col("t.g") / BLOCK).cast("int").alias("nb"), F.col("t.g").alias("g"),
-    )
-    rows = rows.withColumn("b", F.pmod(F.hash("doc", "token"), F.col("nb")))
-    if star:
-        rows = rows.where(F.col("g") > HOT).withColumn("j", F.col("b"))
-    else:
-        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("token", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "n", "doc", "pos", "bits", "comp", "early", "b")
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    rows = rows.mapInArrow(run, f"doc_id {kind}, th long, seq binary, n long, prefix array<long>, bits binary")
+    return rows.select(F.monotonically_increasing_id().alias("rid"), "*")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows dealt to (token, bi, bj): the pairs of blocks of a group in which two components can meet."""
+    rows = members.select("doc", "n", "bits", "comp", F.explode("toks").alias("t")).select("t.token", "t.pos", "t.g", "doc", "n", "bits", "comp")
+    wide = rows.where(F.col("g") > BLOCK).groupBy("token", "comp").agg(F.count("*").alias("c"), F.first("g").alias("g"))
+    wide = wide.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("most"), F.first("g").alias("all"))
+    rows = rows.join(maybe_broadcast(durable(wide), SMALL), "token", "left")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = rows.withColumn("ns", F.when(F.col("major").isNull(), 1).otherwise(blocks(F.col("all") - F.col("most"))))
+    rows = rows.withColumn("nm", F.when(F.col("major").isNull(), 0).otherwise(blocks(F.col("most")))).where("ns > 0")
+    many, h = F.coalesce(F.col("comp") == F.col("major"), F.lit(False)), F.hash("doc", "token")
+    rows = rows.withColumn("b", F.when(many, F.col("ns") + F.pmod(h, F.col("nm"))).otherwise(F.pmod(h, F.col("ns"))))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(many, F.col("ns")).otherwise(F.col("ns") + F.col("nm")) - 1)))
+    rows = rows.select("token", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "n", "doc", "pos", "bits", "comp", "b")
     return rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "n", "doc")
 
 
-def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs (a, b), a before b by size, that pass the filters at their first common shingle."""
+def candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, a before b by size, that pass the filters at a common shingle."""
 
-    def pairs(t: dict[str, np.ndarray], early: list[frozenset]) -> np.ndarray:
+    def pairs(t: dict[str, np.ndarray]) -> np.ndarray:
         size = len(t["token"])
-        group = np.concatenate([[0], np.cumsum((np.diff(t["token"]) != 0) | (np.diff(t["bi"]) != 0) | (np.diff(t["bj"]) != 0))]) if size else np.empty(0, int)
-        starts = np.searchsorted(group, np.arange(group[-1] + 1)) if size else group
-        left, right = [], []
+        group = np.concatenate([[0], np.cumsum((np.diff(t["token"]) != 0) | (np.diff(t["bi"]) != 0) | (np.diff(t["bj"]) != 0))])
+        found = [np.empty((2, 0), np.int64)]
         for d in range(1, size):
-            if star:
-                if d > 1:
-                    break
-                x, y = starts[group], np.arange(size)
-                x, y = x[x != y], y[x != y]
-            else:
-                x = np.flatnonzero(group[:-d] == group[d:])
-                if not len(x):
-                    break
-                y = x + d
-                keep = (t["bi"][x] == t["bj"][x]) | (t["b"][x] != t["b"][y])
-                x, y = x[keep], y[keep]
+            x = np.flatnonzero(group[:-d] == group[d:])
+            if not len(x):
+                break
+            y = x + d
+            keep = (t["comp"][x] != t["comp"][y]) & ((t["bi"][x] == t["bj"][x]) | (t["b"][x] != t["b"][y]))
+            x, y = x[keep], y[keep]
             nx, ny = t["n"][x], t["n"][y]
             need = -(-percent * (nx + ny) // (100 + percent))
-            least = -(-2 * percent * nx // (100 + percent))
-            keep = (t["doc"][x] != t["doc"][y]) & (100 * nx >= percent * ny) & (t["pos"][x] <= nx - least)
-            keep &= np.minimum(nx - t["pos"][x], ny - t["pos"][y]) >= need
-            keep &= (t["comp"][x] != t["comp"][y]) | (t["comp"][x] == -1)
+            keep = (100 * nx >= percent * ny) & (np.minimum(nx - t["pos"][x], ny - t["pos"][y]) >= need)
             x, y, need = x[keep], y[keep], need[keep]
             far = np.bitwise_count(t["bits"][x] ^ t["bits"][y]).sum(axis=1)
             keep = far <= t["n"][x] + t["n"][y] - 2 * need
-            for i, j in zip(x[keep], y[keep], strict=True):
-                if star or early[i].isdisjoint(early[j]):
-                    left.append(t["doc"][i])
-                    right.append(t["doc"][j])
-        return np.array([left, right], np.int64)
+            found.append(np.array([t["doc"][x[keep]], t["doc"][y[keep]]]))
+        return np.unique(np.concatenate(found, axis=1), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, ready, waiting = None, [], 0
@@ -183,82 +175,85 @@ def candidates(members: DataFrame, percent: int, star: bool) -> DataFrame:
             return np.empty((2, 0), np.int64)
         t = {c: table.column(c).to_numpy() for c in ("token", "bi", "bj", "n", "doc", "pos", "comp", "b")}
         t["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
-        return pairs(t, [frozenset(x) for x in table.column("early").to_pylist()])
+        return pairs(t)
 
-    return _groups(members, star).mapInArrow(run, "a long, b long").distinct()
+    return _blocks(members).mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets reach the similarity; the texts are read again for those that need it."""
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs of rids whose whole shingle sets reach the similarity; the texts are read again for those that need it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.sort(shingle_set(text_words(x.as_py()), width) >> np.uint64(64 - 8 * KEPT)) for x in batch.column(1)]
-            packed = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "s"])
-
-    def unpack(packed: bytes) -> np.ndarray:
-        out = np.zeros((len(packed) // KEPT, 8), np.uint8)
-        out[:, :KEPT] = np.frombuffer(packed, np.uint8).reshape(-1, KEPT)
-        return out.view("<u8")[:, 0]
+            sets = [shingle_set(text_words(x.as_py()), width).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc", "s"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = unpack(x.as_py()), unpack(y.as_py())
-                both = len(np.intersect1d(x, y))
+                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = durable(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = maybe_broadcast(durable(wanted), SMALL)
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc long, s binary")
+    ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    wanted = durable(rows.select("rid", "doc_id", "th").join(maybe_broadcast(durable(ends), SMALL), "rid", "left_semi"))
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    texts = texts.join(maybe_broadcast(wanted, SMALL), ["doc_id", "th"]).select("rid", "text")
+    again = rows.groupBy("doc_id", "th").count().where("count > 1").drop("count")
+    if not wanted.join(again, ["doc_id", "th"], "left_semi").isEmpty():  # a repeated row is read once
+        texts = texts.dropDuplicates(["rid"])
+    sets = texts.mapInArrow(run, "doc long, s binary")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")).hint("merge"), "b"
     )
-    return both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """Groups of documents whose shingle sets' Jaccard similarity is ``percent`` / 100 or more.
 
-    Takes doc_id and text; other columns are not read. Returns a row per row of
-    ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by
-    links, itself included). Texts without words (null, empty, white space) have no
-    shingles and link with nothing, not with each other; fewer words than ``width``
-    are one shingle. Repeated rows are one document. Rows with a null doc_id can't be
-    named as partners: they stay alone, with a null component. An empty table gives an
-    empty result.
+    Takes doc_id (of any type that has an order) and text; other columns are not read.
+    Returns a row per row of ``docs``: doc_id, n_shingles, component_id (the smallest
+    doc_id reachable by links, itself included). Texts without words (null, empty, white
+    space) have no shingles and link with nothing, not with each other; fewer words than
+    ``width`` are one shingle. Rows of one doc_id are one document, whose texts link it
+    with whatever any of them is like. Rows with a null doc_id can't be named as
+    partners: they stay alone, with a null component. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     whole = durable(features(docs, width, percent))
-    copies = durable(whole.where("seq is not null and doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
-    extra = whole.select("doc_id", "seq").join(copies.hint("merge"), "seq").where("doc_id <> rep").select("doc_id").distinct()
-    reps = whole.where("n > 0 and doc_id is not null").join(maybe_broadcast(durable(extra), SMALL), "doc_id", "left_anti")
+    copies = whole.where("seq is not null and doc_id is not null").groupBy("seq").agg(F.min("rid").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
+    copies = durable(copies.drop("rows"))
+    extra = whole.select("rid", "seq").where("doc_id is not null").join(copies.hint("merge"), "seq").where("rid <> rep").select("rid")
+    reps = whole.where("n > 0 and doc_id is not null").join(maybe_broadcast(durable(extra), SMALL), "rid", "left_anti")
 
-    tokens = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    held_by = [F.count("*").alias("g"), F.bit_xor(F.xxhash64("doc_id")).alias("sig"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("pos").alias("places")]
-    shared = tokens.groupBy("token").agg(*held_by).where("g > 1")
+    tokens = reps.select("rid", F.posexplode("prefix").alias("pos", "token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("g"), F.bit_xor(F.xxhash64("rid")).alias("sig"), F.sum("pos").alias("places")).where("g > 1")
     # Shingles held by the same documents stand for each other; the first of them in the order is the one at the least places.
-    shared = durable(shared.groupBy("g", "sig", "lo", "hi").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token", "g"))
+    shared = durable(shared.groupBy("g", "sig").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token", "g"))
     held = (
         tokens.join(maybe_broadcast(shared, SMALL), "token")
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_set(F.struct("pos", "token", "g"))).alias("toks"))
+        .groupBy("rid")
+        .agg(F.collect_set(F.struct("pos", "token", "g")).alias("toks"), F.max(F.struct("g", "token")).alias("top"))
     )
-    members = durable(reps.select("doc_id", "n", "bits").dropDuplicates(["doc_id"]).join(held, "doc_id").select(F.col("doc_id").alias("doc"), "n", "bits", "toks"))
+    members = durable(reps.select("rid", "n", "bits").join(held, "rid").select(F.col("rid").alias("doc"), "n", "bits", "toks", F.col("top.token").alias("top")))
 
-    alone = members.withColumn("comp", F.lit(-1).cast("long"))
-    first = durable(verified(docs, candidates(alone, percent, star=True), width, percent))
+    hubs = durable(members.groupBy("top").agg(F.min(F.struct("doc", "n")).alias("hub")).select("top", F.col("hub.doc").alias("a"), F.col("hub.n").alias("na")))
+    star = members.select("doc", "n", "top").join(maybe_broadcast(hubs, SMALL), "top").where("doc <> a")
+    star = star.where(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", F.col("doc").alias("b"))
+    first = durable(verified(docs, whole, star, width, percent))
     label = durable(components(first)).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-    labelled = members.join(maybe_broadcast(label, SMALL), "doc", "left").withColumn("comp", F.coalesce("comp", F.lit(-1)))
-    second = durable(verified(docs, candidates(labelled, percent, star=False), width, percent))
-    found = components(first.union(second)).select(F.col("node").alias("rep"), "component")
-
-    named = whole.select("doc_id", "seq", "n").join(copies.hint("merge"), "seq", "left")
-    named = named.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    return named.join(durable(found).hint("merge"), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
-    )
+    labelled = members.drop("top").join(maybe_broadcast(label, SMALL), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    second = durable(verified(docs, whole, candidates(labelled, percent), width, percent))
+
+    named = whole.select("rid", "doc_id", "n", "seq").join(copies.hint("merge"), "seq", "left")
+    named = durable(named.select("doc_id", "n", F.when(F.col("doc_id").isNull(), F.col("rid")).otherwise(F.coalesce("rep", "rid")).alias("rep")))
+    several = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    same = named.select("doc_id", F.col("rep").alias("b")).join(maybe_broadcast(durable(several), SMALL), "doc_id").select("a", "b")
+    found = durable(components(first.union(second).union(same))).select(F.col("node").alias("rep"), "component")
+    named = durable(named.join(found.hint("merge"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("comp")))
+    least = named.where("doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(durable(least).hint("merge"), "comp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
