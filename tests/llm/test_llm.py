@@ -111,16 +111,17 @@ def test_frequent_lines_go(spark):
     assert all(got[k].removed_lines == 1 and got[k].kept for k in range(30))
     assert all(got[100 + k].removed_lines == 0 for k in range(3))
     depleted = {r.doc_id: r.kept for r in quality.quality(df, min_docs=5, percent=10, min_words=2).collect()}
-    assert not depleted[200]
-    clean = {r.doc_id: r.text for r in quality.clean(df, 5, 10).collect()}
+    assert not depleted[200] and all(depleted[k] for k in range(30))
+    clean = {r.doc_id: r.text for r in quality.clean(df.withColumns({"_d": F.lit(1), "__lost": F.lit("k")}), 5, 10).collect()}
     assert clean[3] == body(3) and 200 not in clean
 
 
 def test_frequent_lines_go_from_hosts_of_any_size(spark):
     rows = [(1000 * n + k, f"all rights reserved\nown line {'x' * k}" if k < 25 else f"other line {'x' * k}", f"h{n}", "en", "x") for n in (30, 400) for k in range(n)]
     rows += [(500_000 + k, f"a few hold this\nown line {'y' * k}" if k < 20 else f"other line {'y' * k}", "h20", "en", "x") for k in range(400)]
-    got = {r.doc_id: r.removed_lines for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {i: int(i < 500_000 and i % 1000 < 25) for i, *_ in rows}
+    rows += [(600_000 + k, f"on five of few\nown line {'z' * k}" if k < 5 else f"on six of few\nown line {'z' * k}" if k < 11 else "other", "few", "en", "x") for k in range(12)]
+    got = {r.doc_id: r.removed_lines for r in quality.quality(spark.createDataFrame(rows, DOCS), percent=5).collect()}
+    assert got == {i: int((i < 500_000 and i % 1000 < 25) or 600_005 <= i < 600_011) for i, *_ in rows}
 
 
 def edits(a, b):
@@ -159,14 +160,14 @@ def test_banded_distance(spark, most):
 
 def test_line_dedup(spark, edge, empty):
     random.seed(9)
-    seeds = ["".join(random.choice("abcd ") for _ in range(random.randint(32, 50))).strip() for _ in range(12)]
-    rows = [(k, "\n".join(changed(random.choice(seeds), random.randint(0, 2)) for _ in range(3)), "s", "en", "x") for k in range(60)]
+    seeds = ["".join(random.choice("abcd ") for _ in range(random.randint(*n))).strip() for n in ((32, 50), (16, 33), (8, 18)) for _ in range(7)]
+    rows = [(k, "\n".join(changed(random.choice(seeds), random.randint(0, 2)) for _ in range(3)), "s", "en", "x") for k in range(110)]
     texts = {k: t for k, t, *_ in rows}
     lines = sorted({x.strip() for t in texts.values() for x in t.split("\n")})
     sets = Sets(lines)
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+            if abs(len(a) - len(b)) <= 2 and edits(a, b) <= min(2, min(len(a), len(b)) // 15):
                 sets.join(a, b)
     seen = collections.Counter(sets.root(x.strip()) for t in texts.values() for x in t.split("\n"))
     met, wanted = set(), {}
@@ -178,14 +179,17 @@ def test_line_dedup(spark, edge, empty):
                 keep.append(x)
             met.add(c)
         wanted[k] = "\n".join(keep)
-    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == wanted
+    df = spark.createDataFrame(rows, DOCS).withColumns({"kept_lines": F.lit("v"), "_lost": F.lit(1), "__d": F.lit(2)})
+    got = line_dedup.line_dedup(df)
+    assert {r.doc_id: r.text for r in got.collect()} == wanted and got.columns[-2:] == ["kept_lines", "lost_lines"]
+    twice = spark.createDataFrame([(1, f"{'same line ' * 12}\n{k}", "s", "en", "x") for k in range(2)], DOCS)
+    assert sorted(r.lost_lines for r in line_dedup.line_dedup(twice).collect()) == [0, 1]
     assert line_dedup.line_dedup(edge).count() == len(EDGE) and line_dedup.line_dedup(empty).count() == 0
 
 
 def test_long_lines_go_from_the_second_on(spark, monkeypatch):
     passage = lambda k: " ".join(f"word{k}x{j}" for j in range(25))
-    rows = [(2 * k + c, f"{passage(k)}{'.' * c}\nits own {k} {c}\nsaid twice by {k} or so", "s", "en", "x") for k in range(40) for c in (0, 1)]
+    rows = [(2 * k + c, f"{passage(k)}{'.' * c}\nits own {k} {c}\n{hashlib.md5(bytes([k])).hexdigest()[:16]} twice", "s", "en", "x") for k in range(40) for c in (0, 1)]
     rows += [(500, "\u4e2d" * 120 + "\n" + "\u4e2d" * 120, "s", "en", "x")]
     wanted = {i: t if i % 2 == 0 else t.split("\n", 1)[1] for i, t, *_ in rows} | {500: "\u4e2d" * 120}
     df = spark.createDataFrame(rows, DOCS)
@@ -228,6 +232,21 @@ def test_ngram_join(spark, docs, edge, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_of_rows_with_one_doc_id_and_other_keys(spark, monkeypatch):
+    t, u = (" ".join(f"{x}{k}" for k in range(200)) for x in "tu")
+    rows = [(1, t), (5, t), (5, u), (9, u + " more"), (9, u + " more"), (12, None), (13, ""), (14, "t1 t2 t3")]
+    for kind, of in (("long", int), ("int", int), ("string", lambda x: f"k{x:02}")):
+        got = ngram_join.ngram_join(spark.createDataFrame([(of(i), x) for i, x in rows], f"doc_id {kind}, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(of(i), of(1 if i < 10 else i)) for i, _ in rows]
+    random.seed(14)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[: 60 - k % 12] + [f"v{k}"] * (k % 3))) for k in range(120)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "SMALL", 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows, 4, 85)
+
+
 def brute_plan(sizes, weights=(5, 2, 1), repeats=3):
     """Targets by the rule in words: share by weight, stop at the cap, share the excess again until none is above."""
     names = sorted(sizes)
@@ -358,37 +377,77 @@ def test_embeddings(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embed_dedup(named).collect()} == {"a": (2, "a"), "b": (2, "a"), "c": (0, "c"), "d": (2, "a")}
 
 
+def brute_model(texts, path, passes=2):
+    """A word's log probability, by the definition: every word's lattice alone, no arrays, no join."""
+    c = collections.Counter(w for t in texts for w in [*fold(t).encode().split(), b"\n"])
+    scores = lattice_lm.start_scores(path)
+    for _ in range(passes):
+        lattice, counts = lattice_lm.Lattice(scores), dict.fromkeys(scores, 0.1)
+        for w in c:
+            for k, e in (lattice.expected_of(b" " + w) if w != b"\n" else {}).items():
+                counts[lattice.pieces[k]] += e
+        total = sum(counts.values())
+        scores = {p: math.log(x / total) for p, x in counts.items()}
+    lattice = lattice_lm.Lattice(scores)
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.75
+    n = sum(c.values()) + 1
+
+    def log_p(w):
+        p = d * max(1, len(c)) / n * math.exp(lattice.forward_of(b" " + w)[-1]) if w != b"\n" else 0
+        m = c[w] + (w == b"\n")
+        return math.log10(p + (m - d) / n if m else p)
+
+    return log_p
+
+
 def test_language_model(spark, docs, edge, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = docs.collect()
+    random.seed(3)
+    long = "".join(random.choice("abcdefghij") for _ in range(70))
+    df = docs.where("doc_id < 60").unionByName(spark.createDataFrame([(70_000, f"A new-word zqx {long} der\u00e9 \u4e2d\u6587", "en", "s", 1), (70_000, "", "en", "s", 1), (70_003, long, "en", "s", 1)], docs.schema))
+    rows = df.collect()
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c = collections.Counter()
-    for r in rows:
-        if not held(r.doc_id):
-            c.update([*split(fold(r.text)), "\n"])
+    train = [r.text or "" for r in rows if not held(r.doc_id)]
+    c = collections.Counter(w for t in train for w in [*split(fold(t)), "\n"])
     n, v = sum(c.values()), len(c)
-    got = {r.doc_id: r for r in lattice_lm.score(docs, path).collect()}
+    log_p = brute_model(train, path)
+    got = {(r.doc_id, r.n_tokens): r for r in lattice_lm.score(df, path).collect()}
+    assert len(got) == len(rows)
     for r in rows:
         tokens = [*split(fold(r.text)), "\n"]
         base = sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens)
-        g = got[r.doc_id]
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held(r.doc_id), len(tokens), sum(c[t] > 0 for t in tokens), n)
-        assert g.base_score == pytest.approx(base) and g.score < 0
+        g = got[r.doc_id, len(tokens)]
+        assert (g.held_out, g.n_known, g.train_tokens) == (held(r.doc_id), sum(c[t] > 0 for t in tokens), n)
+        assert g.base_score == pytest.approx(base) and g.score == pytest.approx(sum(log_p(t.encode()) for t in tokens))
     assert lattice_lm.score(edge, path).count() == len(EDGE) and lattice_lm.score(empty, path).count() == 0
 
 
+def test_words_that_every_task_knows_change_nothing(spark, docs, monkeypatch):
+    path, few = public_tokenizers.path("byte_bpe_50k.tiktoken"), docs.where("doc_id < 30")
+    scores = []
+    for common in (1, 100, 1_000_000):
+        monkeypatch.setattr(lattice_lm, "COMMON", common)
+        scores.append({r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lattice_lm.score(few, path).collect()})
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_lattice_sums_all_segmentations():
     scores = {b"a": math.log(0.2), b"b": math.log(0.3), b"ab": math.log(0.1), b"ba": math.log(0.05), b" ": math.log(0.1), b" a": math.log(0.25)}
+    lattice = lattice_lm.Lattice(scores)
 
     def every(word):
         return 1.0 if not word else sum(math.exp(s) * every(word[len(p) :]) for p, s in scores.items() if word.startswith(p))
 
-    for word in (b" abba", b" a", b" bab"):
-        table = lattice_lm.with_prefixes(scores)
-        assert math.exp(lattice_lm.forward(lattice_lm.arcs(word, table), len(word))[-1]) == pytest.approx(every(word))
-        long = lattice_lm.expected(word, table)
-        assert sum(len(p) * e for p, e in long.items()) == pytest.approx(len(word))
-        assert lattice_lm.expected_short(word, {p: s if s is None else math.exp(s) for p, s in table.items()}) == pytest.approx(long)
+    words = [b"abba", b"aaab", b"a", b"bab", b"b" * 60]
+    for at, several in lattice_lm.by_length(words):
+        assert np.exp(lattice.forward(several)) == pytest.approx([every(b" " + words[k]) for k in at])
+        one = collections.Counter()
+        for k in at:
+            one.update(lattice.expected_of(b" " + words[k]))
+        assert {k: e for k, e in enumerate(lattice.expected(several)) if e} == pytest.approx(dict(one))
+        assert sum(len(lattice.pieces[k]) * e for k, e in one.items()) == pytest.approx(several.size)
+    assert math.exp(lattice.forward_of(b" abba")[-1]) == pytest.approx(every(b" abba"))
 
 
 def base_pii(t):
