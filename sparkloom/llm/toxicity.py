@@ -1,10 +1,12 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = sigmoid(w . x - theta_k) with one weight vector for all ordered
-thresholds; the answer is the expected grade. Features say that a word or a word's
-first four or five letters occur in the text. Fitted on a bounded sample of labelled
-rows (``sample`` of each label, by hash of doc_id), then applied to every document
-where it lies: the model is a map of at most ``features`` entries.
+thresholds; the answer is the expected grade. Grades are the labels' alone: 0 is not
+toxic, 1 toxic in a text of good quality, 2 toxic in one of bad quality. Features say
+that a word or a word's first four or five letters occur in the text. Fitted on a
+bounded sample of labelled rows (``sample`` of each label, by hash of doc_id), then
+applied to every document where it lies: the model has an entry for each feature that
+tells the sample's labels apart, and no more.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from sparkloom.llm.common import durable
 WORD = re.compile(r"[^\W\d_]+")
 #: Least G statistic of a feature; chance exceeds it for one in 600.
 TELLING = 10
-#: Lower bounds of the share of words that mark toxic text, for grades 2 and 3.
-DENSE = (0.01, 0.03)
 
 
 def text_features(text: str | None) -> set[str]:
@@ -33,49 +33,55 @@ def text_features(text: str | None) -> set[str]:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """d (doc_id), t (toxic), f (features) and n_words (distinct words) of at most ``sample`` labelled documents of either label, the first by hash."""
-    marked = labels.select(F.col("doc_id").alias("d"), F.col("toxic").alias("t")).where("d is not null and t in (0, 1)").groupBy("d").agg(F.max("t").alias("t"))
+    """d (doc_id), t (toxic), grade and f (features) of at most ``sample`` labelled documents of either label, the first by hash."""
+    marked = labels.select(F.col("doc_id").alias("d"), F.col("toxic").alias("t"), "quality").where("d is not null and t in (0, 1)")
+    marked = marked.groupBy("d").agg(F.max("t").alias("t"), F.min(F.when(F.col("t") == 1, F.coalesce("quality", F.lit(1)))).alias("q"))
+    marked = marked.select("d", "t", F.when(F.col("t") == 0, 0).when(F.col("q") == 0, 2).otherwise(1).alias("grade"))
     picked = [marked.where(F.col("t") == t).orderBy(F.xxhash64("d"), "d").limit(sample) for t in (0, 1)]
     ids = picked[0].unionByName(picked[1])
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [sorted(text_features(x.as_py())) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.string())), pa.array([sum(w[-1] != "*" for w in x) for x in sets], pa.int64())], ["d", "t", "f", "n_words"])
+            sets = [sorted(text_features(x.as_py())) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(sets, pa.list_(pa.string()))], ["d", "t", "grade", "f"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("d")).select(F.col("d").cast("long"), F.col("t").cast("int"), "text")
-    return texts.mapInArrow(run, "d long, t int, f array<string>, n_words long")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("d")).select("doc_id", F.col("t").cast("int"), "grade", "text")
+    return texts.distinct().mapInArrow(run, f"d {kind}, t int, grade int, f array<string>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int = 20_000, rounds: int = 500, ridge: float = 0.01) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, rounds: int = 500, ridge: float = 0.01) -> dict:
     """The model: weights by feature, thresholds, and the cut of P(grade > 0) with the best F1 on the sample,
-    its labels weighted as in the whole table. Without a document of either label it says grade 0 for all.
-
-    Features are the ``features`` most telling ones of the sample (by the
-    G statistic of presence against label, TELLING at least). Grades: 0 not toxic; else 1,
-    2 or 3 by the share of words that stand, in the sample, in toxic texts only.
+    its labels weighted as in the whole table.
+
+    ``labels`` has doc_id, toxic and quality. Rows without a doc_id or a toxic of 0 or 1
+    are not labels; of several labels of a document the worst counts, a null quality as
+    good. Null and empty texts have no features; equal rows of a document count once,
+    different texts of it each. Features are all those of the sample with a G statistic
+    of presence against label of TELLING or more. Without a document of either label
+    (an empty table too) the model says grade 0 for all. doc_ids are of any type that
+    has an order; other columns are not read.
     """
-    drawn = durable(sample_rows(docs, labels, sample))
+    drawn = durable(sample_rows(docs, labels, sample).withColumn("r", F.monotonically_increasing_id()))
     n = {r["t"]: r["count"] for r in drawn.groupBy("t").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return {"cut": 0.5, "weights": {}, "thetas": [30.0]}
-    each = drawn.select("d", "t", F.explode("f").alias("f"))
+    each = drawn.select("r", "t", F.explode("f").alias("f"))
     part = lambda x, m: F.when(F.col(x) > 0, 2 * F.col(x) * F.log(F.col(x) * (n1 + n0) / ((F.col("a") + F.col("b")) * m))).otherwise(0)
     told = each.groupBy("f").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b")).withColumn("g", part("a", n1) + part("b", n0))
-    told = told.where(F.col("g") >= TELLING).orderBy(F.desc("g"), "f").limit(features).collect()
-    names = [r["f"] for r in told]
+    names = sorted(r["f"] for r in told.where(F.col("g") >= TELLING).select("f").collect())
     number = {f: k for k, f in enumerate(names)}
-    only = {r["f"] for r in told if not r["b"] and not r["f"].endswith("*")}
-    known = drawn.sparkSession.createDataFrame([(f,) for f in names], "f string")
-    held = each.join(F.broadcast(known), "f").groupBy("d").agg(F.collect_list("f").alias("held")) if names else None
-    rows = drawn.select("d", "t", "n_words")
-    rows = rows.join(held, "d", "left") if names else rows.withColumn("held", F.array().cast("array<string>"))
-    rows = sorted(rows.collect(), key=lambda r: r["d"])
-    toxic = np.array([r["t"] for r in rows])
-    hits = [sorted(number[f] for f in r["held"] or ()) for r in rows]
-    share = np.array([len(only.intersection(r["held"] or ())) / max(1, r["n_words"]) for r in rows])
-    grade = toxic * (1 + sum((share >= d).astype(int) for d in DENSE))
+    rows = drawn.select("r", "t", "grade")
+    if names:
+        known = drawn.sparkSession.createDataFrame([(f,) for f in names], "f string")
+        held = each.join(F.broadcast(known), "f").groupBy("r").agg(F.array_sort(F.collect_list("f")).alias("held"))
+        rows = rows.join(held, "r", "left").select("t", "grade", F.coalesce("held", F.array().cast("array<string>")).alias("held"))
+    else:
+        rows = rows.select("t", "grade", F.array().cast("array<string>").alias("held"))
+    rows = sorted(rows.collect(), key=lambda r: (r["grade"], r["held"]))  # equal rows are alike: the sums below are the same in every run
+    toxic, grade = np.array([r["t"] for r in rows]), np.array([r["grade"] for r in rows])
+    hits = [[number[f] for f in r["held"]] for r in rows]
     levels = np.unique(grade)
     doc = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     feat = np.concatenate([np.array(h, int) for h in hits]) if len(doc) else np.empty(0, int)
@@ -97,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int =
     of = {r["toxic"]: r["count"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     weight = np.where(toxic == 1, of[1] / n1, of[0] / n0)
     f1 = [2 * (toxic * weight * (p >= c)).sum() / (of[1] + (weight * (p >= c)).sum()) for c in cuts]
-    best = int(np.argmax(f1))
+    best = int(np.argmax(f1))  # of equal ones the lowest
     cut = float(cuts[best] + (cuts[best - 1] if best else cuts[0])) / 2
     return {"cut": cut, "weights": dict(zip(names, weights.tolist(), strict=True)), "thetas": thetas.tolist(), "levels": levels.tolist()}
 
