@@ -1,10 +1,13 @@
 """Main text of web pages: site templates are found as recurring subtrees and removed.
 
-Every page is parsed into elements. First each container element's subtree (its tag,
-text and parts) is hashed and the different pages of a host that hold it are counted
-in Spark; subtrees on many of a host's pages are its template. Then each page's main
-part (its articles, else main, else body) is written block by block, without
-elements that are no content by tag, role or class, and without template subtrees.
+Every page is parsed into elements. First each container element's subtree is hashed in
+two ways, and the different pages of a host that hold it are counted in Spark: with its
+texts (tag, text and parts), and, where it is a menu outside of any article (half of its
+text or more is in links), by its shape alone (tags, classes, runs of equal parts as
+one), as menus list other links on every page. Subtrees on many of a host's pages are
+its template. Then each page's main parts (all of them, else body) are written block by
+block, without template subtrees, and without elements that are no content by tag, role
+or class, for what hosts of few pages have.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,81 +37,140 @@ NOT_TAGS = RAW | set("nav header footer aside form button select svg head dialog
 NOT_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NOT_WORDS = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing newsletter subscribe signup popup modal pagination pager comment comments commentlist disqus replies".split())
 BY_TAG = set("html body main article figure".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[A-Za-z!?/][^<>]*\Z", re.S)
+NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 
 
 class Element:
-    __slots__ = ("digest", "drop", "parts", "tag")
+    __slots__ = ("digest", "drop", "linked", "names", "parts", "shape", "size", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.parts, self.digest = tag, [], b""
+        self.tag, self.parts, self.names = tag, [], ""
+        self.digest, self.shape, self.size, self.linked = b"", b"", 0, 0
         self.drop = tag in NOT_TAGS
-        if attrs and not self.drop:
+        if attrs:
             for k, v in ATTR.findall(attrs):
                 k, v = k.lower(), v.strip("\"'").lower()
+                if k == "class":
+                    self.names = " ".join(v.split())
                 if (k == "role" and v in NOT_ROLES) or (k in ("class", "id") and tag not in BY_TAG and not NOT_WORDS.isdisjoint(v.split())):
                     self.drop = True
 
 
+def tag_end(page: str, at: int, lone: set[str]) -> int:
+    """The place behind the > that ends a tag, quoted ones left out; -1 if the page ends before. ``lone`` holds quotes that are never closed."""
+    while m := STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        end = -1 if m[0] in lone else page.find(m[0], m.end())
+        if end < 0:
+            lone.add(m[0])
+        at = m.end() if end < 0 else end + 1
+    return -1
+
+
 def parse(page: str) -> Element:
-    """The page as a tree; what isn't closed ends with its parent, a closing tag without an opening one is nothing."""
+    """The page as a tree; what isn't closed ends with its parent, a closing tag without an opening one is nothing.
+
+    Every character is passed a few times at most, however broken the page is; a tag that
+    the page's end cuts is no text.
+    """
     root = Element("#root")
     stack, at, size = [root], 0, len(page)
+    depth: Counter = Counter()
+    lone: set[str] = set()
+
+    def close(k: int) -> None:
+        depth.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
     while at < size:
-        m = TAG.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             stack[-1].parts.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if start > at:
+            stack[-1].parts.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        closing = page.startswith("/", start + 1)
+        m = NAME.match(page, start + 1 + closing)
+        if m is None:
+            if closing or page.startswith(("!", "?"), start + 1):
+                end = page.find(">", start)
+                at = size if end < 0 else end + 1
+            else:
+                stack[-1].parts.append("<")
+                at = start + 1
+            continue
+        end = tag_end(page, m.end(), lone)
+        if end < 0:
+            break
+        tag, attrs, at = m[0].lower(), page[m.end() : end - 1], end
+        if closing:
+            if depth[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         ends = ENDS.get(tag) or ({"p"} if tag in BLOCKS else ())
-        for k in range(len(stack) - 1, 0, -1) if ends else ():
-            if stack[k].tag in ends:
-                del stack[k:]
-                break
-            if stack[k].tag in CONTAINERS or stack[k].tag in ("article", "main", "body", "table"):
-                break
-        new = Element(tag, m[3])
+        if any(depth[t] for t in ends):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in ends:
+                    close(k)
+                    break
+                if stack[k].tag in CONTAINERS or stack[k].tag in ("article", "main", "body", "table"):
+                    break
+        new = Element(tag, attrs)
         stack[-1].parts.append(new)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
+            last = re.compile(rf"</{tag}(?![A-Za-z0-9:-])", re.I).search(page, at)
+            end = page.find(">", last.end()) if last else -1
+            at = size if end < 0 else end + 1
+        elif tag not in VOID and not attrs.endswith("/"):
             stack.append(new)
+            depth[tag] += 1
     return root
 
 
-def digests(element: Element, out: list[bytes]) -> bytes:
-    """Hashes of the subtrees of containers, into ``out``; deep pages are walked with a list of steps, not by recursion."""
-    todo = [(element, False)]
+def digests(element: Element) -> Iterator[bytes]:
+    """Hashes of the subtrees of containers; deep pages are walked with a list of steps, not by recursion."""
+    todo = [(element, False, False)]
     while todo:
-        e, ready = todo.pop()
+        e, ready, own = todo.pop()
         if not ready:
-            todo.append((e, True))
-            todo += [(p, False) for p in e.parts if isinstance(p, Element)]
+            todo.append((e, True, own))
+            inside = own or e.tag == "article"
+            todo += [(p, False, inside) for p in e.parts if isinstance(p, Element)]
             continue
-        h = hashlib.md5(e.tag.encode(), usedforsecurity=False)
+        h, shape, before = hashlib.md5(e.tag.encode(), usedforsecurity=False), hashlib.md5(f"{e.tag} {e.names}".encode(errors="replace"), usedforsecurity=False), b""
         for p in e.parts:
-            h.update(p.digest if isinstance(p, Element) else " ".join(p.split()).encode())
-        e.digest = h.digest()[:8]
+            if isinstance(p, Element):
+                h.update(p.digest)
+                e.size, e.linked, now = e.size + p.size, e.linked + p.linked, p.shape
+            else:
+                text = " ".join(p.split())
+                h.update(text.encode(errors="replace"))
+                e.size, now = e.size + len(text), b"text" if text else before
+            if now != before:
+                shape.update(now)
+                before = now
+        if e.tag == "a":
+            e.linked = e.size
+        e.digest, e.shape = h.digest()[:8], shape.digest()[:8]
         if e.tag in CONTAINERS:
-            out.append(e.digest)
-    return element.digest
+            yield e.digest
+        if e.tag in CONTAINERS and not own and e.size and 2 * e.linked >= e.size:
+            yield e.shape
 
 
 def main_parts(root: Element) -> list[Element]:
-    found: dict[str, list[Element]] = {"article": [], "main": [], "body": []}
+    """The outermost main elements, else the body, else all."""
+    found: dict[str, list[Element]] = {"main": [], "body": []}
     todo = [root]
     while todo:
         e = todo.pop()
@@ -115,10 +178,10 @@ def main_parts(root: Element) -> list[Element]:
             continue
         if e.tag in found:
             found[e.tag].append(e)
-            if e.tag == "article":
+            if e.tag == "main":
                 continue
         todo += [p for p in reversed(e.parts) if isinstance(p, Element)]
-    return found["article"] or found["main"][:1] or found["body"][:1] or [root]
+    return found["main"] or found["body"][:1] or [root]
 
 
 def main_text(root: Element, template: set[bytes]) -> str:
@@ -141,7 +204,7 @@ def main_text(root: Element, template: set[bytes]) -> str:
                 flush()
             elif e.tag == "br":
                 run.append(" ")
-            elif not (e.drop or (e.tag in CONTAINERS and e.digest in template)):
+            elif not (e.drop or (e.tag in CONTAINERS and (e.digest in template or e.shape in template))):
                 if e.tag in BLOCKS:
                     flush()
                     todo.append(None)
@@ -173,9 +236,8 @@ def subtree_rows(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, keys, contents, found = [], [], [], []
             for url, page, key in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                host, own, root = host_of(url.as_py()), [], parse(page.as_py() or "")
-                digests(root, own)
-                own = [None, *(subtree_key(host, d) for d in dict.fromkeys(own))]
+                host, root = host_of(url.as_py()), parse(page.as_py() or "")
+                own = [None, *(subtree_key(host, d) for d in dict.fromkeys(digests(root)))]
                 content = hashlib.md5(main_text(root, set()).encode(errors="replace"), usedforsecurity=False).digest()
                 hosts += [host] * len(own)
                 keys += [key.as_py()] * len(own)
@@ -204,8 +266,10 @@ def page_text(pages: DataFrame, min_pages: int = 5, percent: int = 20, ceiling:
     white space runs as one space; empty if there is none) and n_chars (its code points).
     A null or empty html gives the empty text; a url that is null or has no host belongs
     to the host "". Repeated rows each give a row; for templates pages of one main text
-    count once. An empty table gives an empty result. Paragraphs, headings and list items are never taken for a
-    template, however often they recur; other columns are not read.
+    count once. An empty table gives an empty result. Paragraphs, headings and list items
+    are never taken for a template, however often they recur, nor are menus within an
+    article unless their texts recur; other columns are not read. Pages are parsed whole,
+    in time proportional to their length.
     """
     types = dict(pages.dtypes)
     found = durable(subtree_rows(pages))
@@ -223,11 +287,9 @@ def page_text(pages: DataFrame, min_pages: int = 5, percent: int = 20, ceiling:
         for batch in batches:
             texts = []
             for url, page, own in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                root, host, all_digests = parse(page.as_py() or ""), host_of(url.as_py()), []
+                root, host = parse(page.as_py() or ""), host_of(url.as_py())
                 known = everywhere.value if everywhere is not None else set(own.as_py() or ())
-                if known:
-                    digests(root, all_digests)
-                texts.append(main_text(root, {d for d in set(all_digests) if subtree_key(host, d) in known}))
+                texts.append(main_text(root, {d for d in set(digests(root)) if subtree_key(host, d) in known} if known else set()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
