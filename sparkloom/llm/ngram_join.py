@@ -14,12 +14,14 @@ that share such a shingle, pairs pass
 and what passes is verified on the whole sets, a pair once in a round. Texts are the
 nodes, each of them once; rows with one doc_id are one document.
 
-A first round compares each text with one other only, the first that holds the most
-shared of its prefix's shingles: what is a copy of many others is mostly linked then, by as
-many pairs as there are texts. Later only pairs of different components are looked
-at, which loses no component. For that the members of a group are cut into blocks of
-bounded size that meet pair by pair; in a group of several blocks the members of its
-largest component don't meet each other at all.
+The first rounds look at groups of many texts only, and compare each text with a few
+others: first with the one text that is the hub of its largest group, then with those in
+a small random part of it. What is a copy of many others is linked then, by a few pairs
+a text. The last round looks at all pairs of different components, which loses no
+component. For that the members of a group are cut into blocks of bounded size that meet
+pair by pair; in a group of several blocks the members of its largest component don't
+meet each other at all. In large groups a pair is handed on at its first common shingle,
+as far as the first ``EARLY`` shingles of either tell.
 """
 
 from __future__ import annotations
@@ -33,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, durable, maybe_broadcast
+from sparkloom.llm.common import components, durable, let, maybe_broadcast
 from sparkloom.llm.shingles import shingle_set, text_words
 
 #: Counters of the frequency sketch: one to a document, at least and at most; and those in one row while it is summed.
 SKETCH, CELL = (2**18, 2**24), 2**14
 BITS = 512
-#: Documents of a group in one block.
-BLOCK = 256
+#: Documents of a group in one block; groups over HOT are in the first rounds, in parts of about PART documents.
+BLOCK, HOT, PART, ROUNDS = 256, 8, 8, 4
+#: Earlier shingles of large groups that a document is known by in such a group.
+EARLY = 64
 #: Rows of at most 50 bytes up to which a counted side is broadcast.
 SMALL = 400_000
 
@@ -107,9 +111,21 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("rid"), "*")
 
 
+def _parts(members: DataFrame, turn: int) -> DataFrame:
+    """Rows dealt to (token, bi, bj): random small parts of every text's largest group, other ones each turn."""
+    rows = members.select("doc", "n", "bits", "comp", F.explode(F.filter("toks", lambda t: t["token"] == F.col("top"))).alias("t")).where(F.col("t.g") > HOT)
+    part = F.pmod(F.hash("doc", "t.token", F.lit(turn)), F.ceil(F.col("t.g") / PART).cast("int"))
+    rows = rows.select("t.token", part.alias("bi"), part.alias("bj"), "n", "doc", "t.pos", "bits", "comp", F.lit(0).alias("b"), F.array().cast("array<long>").alias("early"))
+    return rows.repartition("token", "bi").sortWithinPartitions("token", "bi", "bj", "n", "doc")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """Rows dealt to (token, bi, bj): the pairs of blocks of a group in which two components can meet."""
-    rows = members.select("doc", "n", "bits", "comp", F.explode("toks").alias("t")).select("t.token", "t.pos", "t.g", "doc", "n", "bits", "comp")
+    large = F.filter("toks", lambda t: t["g"] > HOT)
+    before = lambda ts: F.transform(ts, lambda t, k: F.struct(t["token"].alias("token"), t["pos"].alias("pos"), t["g"].alias("g"), F.transform(F.slice(ts, F.lit(1), F.least(k, F.lit(EARLY))), lambda x: x["token"]).alias("early")))
+    none = lambda t: F.struct(t["token"].alias("token"), t["pos"].alias("pos"), t["g"].alias("g"), F.array().cast("array<long>").alias("early"))
+    all_of = F.concat(let(large, before), F.transform(F.filter("toks", lambda t: t["g"] <= HOT), none))
+    rows = members.select("doc", "n", "bits", "comp", F.explode(all_of).alias("t")).select("t.*", "doc", "n", "bits", "comp")
     wide = rows.where(F.col("g") > BLOCK).groupBy("token", "comp").agg(F.count("*").alias("c"), F.first("g").alias("g"))
     wide = wide.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("most"), F.first("g").alias("all"))
     rows = rows.join(maybe_broadcast(durable(wide), SMALL), "token", "left")
@@ -119,17 +135,18 @@ def _blocks(members: DataFrame) -> DataFrame:
     many, h = F.coalesce(F.col("comp") == F.col("major"), F.lit(False)), F.hash("doc", "token")
     rows = rows.withColumn("b", F.when(many, F.col("ns") + F.pmod(h, F.col("nm"))).otherwise(F.pmod(h, F.col("ns"))))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(many, F.col("ns")).otherwise(F.col("ns") + F.col("nm")) - 1)))
-    rows = rows.select("token", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "n", "doc", "pos", "bits", "comp", "b")
+    rows = rows.select("token", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "n", "doc", "pos", "bits", "comp", "b", "early")
     return rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "n", "doc")
 
 
-def candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components, a before b by size, that pass the filters at a common shingle."""
+def candidates(dealt: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, a before b by size, that pass the filters at a common shingle of a block."""
 
-    def pairs(t: dict[str, np.ndarray]) -> np.ndarray:
+    def pairs(t: dict[str, np.ndarray], early: list) -> np.ndarray:
         size = len(t["token"])
         group = np.concatenate([[0], np.cumsum((np.diff(t["token"]) != 0) | (np.diff(t["bi"]) != 0) | (np.diff(t["bj"]) != 0))])
-        found = [np.empty((2, 0), np.int64)]
+        known = [frozenset(x) for x in early]
+        left, right = [], []
         for d in range(1, size):
             x = np.flatnonzero(group[:-d] == group[d:])
             if not len(x):
@@ -143,8 +160,13 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
             x, y, need = x[keep], y[keep], need[keep]
             far = np.bitwise_count(t["bits"][x] ^ t["bits"][y]).sum(axis=1)
             keep = far <= t["n"][x] + t["n"][y] - 2 * need
-            found.append(np.array([t["doc"][x[keep]], t["doc"][y[keep]]]))
-        return np.unique(np.concatenate(found, axis=1), axis=1)
+            for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                if known[i].isdisjoint(known[j]):
+                    left.append(i)
+                    right.append(j)
+        docs, of = np.unique(t["doc"], return_inverse=True)
+        code = np.unique(of[np.array(left, int)] * len(docs) + of[np.array(right, int)])
+        return np.array([docs[code // len(docs)], docs[code % len(docs)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, ready, waiting = None, [], 0
@@ -158,7 +180,7 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
             kept = table.slice(cut).combine_chunks().to_batches()[0]
             ready.append(found(table.slice(0, cut)))
             waiting += ready[-1].shape[1]
-            if waiting > 1_000_000:
+            if waiting > 200_000:
                 yield once(ready)
                 ready, waiting = [], 0
         if kept is not None:
@@ -167,7 +189,7 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
             yield once(ready)
 
     def once(ready: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = np.unique(np.concatenate(ready, axis=1), axis=1)
+        a, b = np.concatenate(ready, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def found(table: pa.Table) -> np.ndarray:
@@ -175,9 +197,9 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
             return np.empty((2, 0), np.int64)
         t = {c: table.column(c).to_numpy() for c in ("token", "bi", "bj", "n", "doc", "pos", "comp", "b")}
         t["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
-        return pairs(t)
+        return pairs(t, table.column("early").to_pylist())
 
-    return _blocks(members).mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -236,23 +258,31 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     held = (
         tokens.join(maybe_broadcast(shared, SMALL), "token")
         .groupBy("rid")
-        .agg(F.collect_set(F.struct("pos", "token", "g")).alias("toks"), F.max(F.struct("g", "token")).alias("top"))
+        .agg(F.array_sort(F.collect_set(F.struct("pos", "token", "g"))).alias("toks"), F.max(F.struct("g", "token")).alias("top"))
     )
     members = durable(reps.select("rid", "n", "bits").join(held, "rid").select(F.col("rid").alias("doc"), "n", "bits", "toks", F.col("top.token").alias("top")))
 
     hubs = durable(members.groupBy("top").agg(F.min(F.struct("doc", "n")).alias("hub")).select("top", F.col("hub.doc").alias("a"), F.col("hub.n").alias("na")))
     star = members.select("doc", "n", "top").join(maybe_broadcast(hubs, SMALL), "top").where("doc <> a")
     star = star.where(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", F.col("doc").alias("b"))
-    first = durable(verified(docs, whole, star, width, percent))
-    label = durable(components(first)).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-    labelled = members.drop("top").join(maybe_broadcast(label, SMALL), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    second = durable(verified(docs, whole, candidates(labelled, percent), width, percent))
+    links = durable(verified(docs, whole, star, width, percent))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        label = durable(components(links)).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
+        return durable(members.join(maybe_broadcast(label, SMALL), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+
+    for turn in range(ROUNDS):
+        found = durable(verified(docs, whole, candidates(_parts(labelled(links), turn), percent), width, percent))
+        if found.isEmpty():
+            break
+        links = links.union(found)
+    links = links.union(durable(verified(docs, whole, candidates(_blocks(labelled(links)), percent), width, percent)))
 
     named = whole.select("rid", "doc_id", "n", "seq").join(copies.hint("merge"), "seq", "left")
     named = durable(named.select("doc_id", "n", F.when(F.col("doc_id").isNull(), F.col("rid")).otherwise(F.coalesce("rep", "rid")).alias("rep")))
     several = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same = named.select("doc_id", F.col("rep").alias("b")).join(maybe_broadcast(durable(several), SMALL), "doc_id").select("a", "b")
-    found = durable(components(first.union(second).union(same))).select(F.col("node").alias("rep"), "component")
+    found = durable(components(links.union(same))).select(F.col("node").alias("rep"), "component")
     named = durable(named.join(found.hint("merge"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("comp")))
     least = named.where("doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = named.join(durable(least).hint("merge"), "comp", "left")
