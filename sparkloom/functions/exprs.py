@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File extensions by language, and names of tools that explore a repository natively.
+#: Languages by file name, tools by what they do, extensions of code, accented letters and what they fold to.
 LANGUAGES = {"kotlin": r"\.kts?$", "xml": r"\.xml$", "gradle": r"\.gradle(\.kts)?$", "typescript": r"\.tsx?$", "dart": r"\.dart$", "python": r"\.py$"}
-NATIVE_TOOLS = ("Read", "Grep", "Glob", "Bash")
-CODE_EXTENSIONS = ("kt", "kts", "java", "xml", "gradle", "ts", "tsx", "js", "jsx", "dart", "py", "swift")
+ENGINE = r"^(?:mcp__.*engine.*__(?:engine_)?|pi:engine_)(search|lookup|map|context|deps|source)$"
+NATIVE = r"^(?:Read|Grep|Glob|pi:(?:read|grep|glob))$"
+ADMIN = r"^(?:mcp__.*engine.*__(?:engine_)?|pi:engine_)(status|statistics|export|reindex)$"
+CODE_EXTENSIONS = ("kt", "ts", "tsx", "js", "jsx", "dart", "py", "rb", "go", "rs", "java", "sql")
+ACCENTED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Base names that say nothing, and words that hint at a symbol in a file name.
+GENERIC_NAMES = ("app", "build", "config", "constants", "helpers", "index", "main", "package", "readme", "settings", "setup", "types", "utils")
+SYMBOL_WORDS = ("adapter", "api", "client", "controller", "dao", "handler", "hook", "manager", "model", "module", "provider", "repo", "repository", "screen", "service", "store", "use", "view", "viewmodel")
 
 
 def classify(path: Column) -> Column:
@@ -30,6 +36,10 @@ def source_set_of(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"/src/(\w+)/", 1), F.lit(""))
 
 
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
@@ -38,6 +48,11 @@ def chunk_id(path: Column, start: Column, end: Column, text_hash: Column) -> Col
     return F.substring(F.sha2(F.concat_ws(":", path, start.cast("string"), end.cast("string"), text_hash), 256), 1, 24)
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at either end."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of the code points, rounded up; null has none."""
     return F.coalesce(F.ceil(F.length(text) / 4), F.lit(0)).cast("long")
@@ -49,8 +64,8 @@ def truncate_tokens(text: Column, budget: int) -> Column:
 
 
 def terms_of(text: Column) -> Column:
-    """Letters-and-digits runs in lower case."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    """Letters-and-digits runs in lower case, without accents."""
+    return F.array_remove(F.split(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), "")
 
 
 def compact(x: Column) -> Column:
@@ -62,25 +77,65 @@ def round_half_up(x: Column, digits: int = 1) -> Column:
     return F.floor(x * 10**digits + F.lit(0.5)) / 10**digits
 
 
-def categorize(tool: Column, prefix: str = "engine_") -> Column:
-    """engine, native, admin or other use of a tool."""
-    short = tool_short(tool, prefix)
-    own = tool.rlike(rf"^(mcp__.*__|pi:){prefix}")
-    return (
-        F.when(own & short.isin("reindex", "status", "statistics", "export"), "admin")
-        .when(own, "engine")
-        .when(short.isin(*NATIVE_TOOLS), "native")
-        .otherwise("other")
-    )
+def categorize(tool: Column) -> Column:
+    """engine or native exploration, admin or other use of a tool."""
+    return F.when(tool.rlike(ENGINE), "engine").when(tool.rlike(NATIVE), "native").when(tool.rlike(ADMIN), "admin").otherwise("other")
 
 
-def tool_short(tool: Column, prefix: str = "engine_") -> Column:
-    rest = F.regexp_replace(tool, rf"^(mcp__.*__|pi:)({prefix})?", "")
-    native = F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, 2, 1000))
-    return F.when(tool.rlike("^pi:(read|grep|glob|bash)$"), native).otherwise(rest)
+def tool_short(tool: Column) -> Column:
+    """The tool's own name: without its server, and without the engine's prefix; a native one of another agent is capitalised."""
+    served, own, other = (F.regexp_extract(tool, p, 1) for p in (r"^mcp__.*__(?:engine_)?(.+)$", r"^pi:engine_(.+)$", r"^pi:(.+)$"))
+    return F.when(served != "", served).when(own != "", own).when(other != "", F.concat(F.upper(F.substring(other, 1, 1)), F.substring(other, 2, 2**31 - 1))).otherwise(tool)
 
 
 def path_extension(path: Column) -> Column:
-    name = F.element_at(F.split(path, "/"), -1)
-    ext = F.regexp_extract(name, r"\.([^.]+)$", 1)
-    return F.when(path.isNull(), "(unknown)").when(name.endswith(".d.ts"), ".d.ts").when(ext == "", "(no ext)").otherwise(F.concat(F.lit("."), F.lower(ext)))
+    name = base_name(path)
+    out = F.when(path.isNull() | (path == ""), "(unknown)").when(F.lower(name).endswith(".d.ts"), ".d.ts")
+    return out.when(~name.contains("."), "(no ext)").otherwise(F.lower(F.concat(F.lit("."), F.substring_index(name, ".", -1))))
+
+
+def is_code_path(path: Column) -> Column:
+    name = F.lower(base_name(path))
+    return name.contains(".") & F.substring_index(name, ".", -1).isin(*CODE_EXTENSIONS)
+
+
+def time_ago(then: Column, now: Column) -> Column:
+    """How long ago in words: minutes under an hour, hours under a day, else days."""
+    minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 60)
+    some = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
+    return F.when(minutes < 1, "just now").when(minutes < 60, some(minutes, " min ago")).when(minutes < 1440, some(F.floor(minutes / 60), "h ago")).otherwise(some(F.floor(minutes / 1440), "d ago"))
+
+
+def looks_like_regex(text: Column) -> Column:
+    return text.rlike(r"[\[\]{}()^$|\\]") | text.contains(".*") | text.contains(".+")
+
+
+def reason_code(tool: Column, path: Column, query: Column) -> Column:
+    """Why a native call is no exploration: it reads no code, or its pattern is for a known path."""
+    return F.when((tool == "Read") & ~is_code_path(path), "non_code_file").when((tool == "Grep") & looks_like_regex(query) & path.isNotNull(), "known_path_regex")
+
+
+def _pascal(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 2**31 - 1)))), "")
+
+
+def _hinted(parts: Column) -> Column:
+    return F.size(parts).between(2, 5) & F.exists(parts, lambda p: F.lower(p).isin(*SYMBOL_WORDS))
+
+
+def symbol_of_path(path: Column) -> Column:
+    """The symbol that a file's name looks like, or null."""
+    base = F.regexp_replace(base_name(path), r"(?i)(\.d)?\.[^.]+$", "")
+    compacted = F.regexp_replace(base, "[^a-zA-Z0-9]", "")
+    parts = F.filter(F.split(base, "[-_.]+"), lambda p: p != "")
+    ok = ~F.lower(base).isin(*GENERIC_NAMES) & (F.length(compacted) >= 3)
+    return F.when(ok & base.rlike("[A-Z]"), compacted).when(ok & _hinted(parts), _pascal(parts))
+
+
+def symbol_of(value: Column) -> Column:
+    """The symbol that a search text looks like, or null."""
+    text = F.regexp_replace(F.trim(value), "^[\"'`]+|[\"'`]+$", "")
+    tail = F.regexp_replace(F.coalesce(F.try_element_at(F.filter(F.split(text, r"\."), lambda p: p != ""), F.lit(-1)), text), "[^a-zA-Z0-9_-]", "")
+    parts = F.filter(F.split(tail, "[-_]+"), lambda p: p != "")
+    own = F.when(F.length(tail) >= 3, F.when(tail.rlike("[A-Z]"), F.regexp_replace(tail, "[^a-zA-Z0-9]", "")).when(_hinted(parts), _pascal(parts)))
+    return F.when(text == "", None).when(text.contains("/") | text.rlike(r"(?i)\.[a-z0-9]+$"), symbol_of_path(text)).otherwise(own)

@@ -8,50 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import exprs as X
-from sparkloom.operators import retrieval as R
+from sparkloom.operators import evaluation as E
+from sparkloom.operators import ingest as I
+from sparkloom.operators import packaging as K
+from sparkloom.operators import search as R
 from sparkloom.operators import structure as S
 from sparkloom.operators import telemetry as T
+from sparkloom.plans import oracle as O
+from sparkloom.plans import query_plan as P
 from sparkloom.session import table
 from sparkloom.sources import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TERMS = ["the", "tion", "shthe"]
-START = "2024-01-20 00:00:00"
-
-CALLS = """calls AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'lookup' WHEN 'purchase' THEN 'map' WHEN 'signup' THEN 'context' WHEN 'error' THEN 'status' END AS tool,
- '/repo/' || (user_id % 10) AS repo_path, ts AS called_at, CAST(floor(value) AS BIGINT) AS tokens_sent, CAST(floor(value) AS BIGINT) * (1 + k % 10) AS tokens_raw,
- CASE user_id % 3 WHEN 0 THEN 'mcp' WHEN 1 THEN 'pi' END AS channel, k FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"""
-SEEN = """seen AS (SELECT user_id AS sid, event_id AS seq, ts AS t, CASE event_type WHEN 'view' THEN 'mcp__engine__engine_search' WHEN 'click' THEN 'Read' WHEN 'purchase' THEN 'Grep' WHEN 'signup' THEN 'pi:engine_lookup' WHEN 'error' THEN 'Bash' END AS tool,
- CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'Read' WHEN 'purchase' THEN 'Grep' WHEN 'signup' THEN 'lookup' WHEN 'error' THEN 'Bash' END AS short,
- CASE WHEN event_type IN ('view', 'signup') THEN 'engine' ELSE 'native' END AS category,
- k % 2 = 0 AS is_code, CASE k % 3 WHEN 0 THEN '.kt' WHEN 1 THEN '.md' ELSE '(no ext)' END AS extension FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"""
-CHUNKS = r"""lines AS (SELECT doc_id, lang, source, i - 1 AS pos, line FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-pieces AS (SELECT doc_id, source, source || '/src/main/' || doc_id || CASE lang WHEN 'de' THEN '.kt' WHEN 'en' THEN '.ts' WHEN 'es' THEN '.py' WHEN 'fr' THEN '.xml' END AS path,
- CASE lang WHEN 'de' THEN 'kotlin' WHEN 'en' THEN 'typescript' WHEN 'es' THEN 'python' WHEN 'fr' THEN 'xml' END AS language,
- CAST(min(pos) + 1 AS BIGINT) AS start_line, CAST(max(pos) + 1 AS BIGINT) AS end_line, string_agg(line, chr(10) ORDER BY pos) AS text_raw FROM lines GROUP BY doc_id, source, lang, pos // 5),
-chunks AS (SELECT substr(sha256(path || ':' || start_line || ':' || end_line || ':' || substr(sha256(text_raw), 1, 16)), 1, 24) AS id, doc_id, source, path, ':' || source AS module, 'main' AS source_set, language,
- regexp_extract(text_raw, '([A-Za-z]+)', 1) AS symbol_name, start_line, end_line, text_raw, list_sort(list_distinct(regexp_extract_all(text_raw, '[A-Z][a-z]{5,}'))) AS uses, substr(sha256(text_raw), 1, 16) AS content_hash
- FROM pieces WHERE length(trim(text_raw)) > 0)"""
-TERM_ROWS = CHUNKS + r""", words AS (SELECT id, unnest(regexp_split_to_array(lower(text_raw), '[^\p{L}\p{N}]+')) AS term FROM chunks), terms AS (SELECT * FROM words WHERE term <> ''),
-lens AS (SELECT id, count(*) AS len FROM terms GROUP BY id), stats AS (SELECT (SELECT count(*)::DOUBLE FROM chunks) AS total, (SELECT sum(len) FROM lens)::DOUBLE / (SELECT count(*) FROM chunks) AS avgdl)"""
-SAVED = "CASE WHEN {raw} <> 0 THEN floor(100e0 * ({raw} - {sent}) / {raw} * 10 + 0.5e0) / 10 END"
-BM25 = (
-    TERM_ROWS
-    + """, tf AS (SELECT term, id, count(*) AS tf FROM terms WHERE term IN ('the', 'tion', 'shthe') GROUP BY term, id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-bm AS (SELECT tf.id, round(sum(greatest(ln((total - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / avgdl))), 6) AS score, count(*) AS matched FROM tf JOIN df USING (term) JOIN lens USING (id), stats GROUP BY tf.id)"""
-)
-SYMBOLS = """, sym AS (SELECT id, path, start_line, CAST(CASE WHEN lower(symbol_name) = 'the' THEN 90 WHEN contains(lower(symbol_name), 'the') THEN 50 ELSE 0 END + CASE WHEN contains(lower(path), 'the') THEN 40 ELSE 0 END
- + CASE WHEN contains(lower(symbol_name), 'tion') THEN 14 ELSE 0 END + CASE WHEN contains(lower(path), 'tion') THEN 10 ELSE 0 END AS BIGINT) AS base, language FROM chunks),
-symbols AS (SELECT id, path, start_line, base + CASE WHEN language = 'typescript' THEN 5 ELSE 0 END AS score FROM sym WHERE base > 0)"""
-KNN = """q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q, label AS ql FROM embeddings WHERE vec_id < 10), v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
-near AS (SELECT qid, vec_id, label, ql, round({distance}, 6) AS distance FROM v, q WHERE vec_id <> qid {more})
-, knn AS (SELECT qid, vec_id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM near QUALIFY rank <= 10)"""
-FUSED = BM25 + SYMBOLS + """, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 200), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, path, start_line) AS rank FROM symbols QUALIFY rank <= 200)"""
-RRF = FUSED + """, rrf AS (SELECT coalesce(a.id, b.id) AS id, round(coalesce(1e0 / (60 + a.rank), 0) + coalesce(1e0 / (60 + b.rank), 0), 9) AS score, CASE WHEN a.id IS NULL THEN 'vector' WHEN b.id IS NULL THEN 'lexical' ELSE 'both' END AS source FROM a FULL JOIN b ON a.id = b.id)"""
-PACKED = RRF + """, top AS (SELECT r.id, r.source, path, symbol_name, text_raw, row_number() OVER (ORDER BY r.score DESC, r.id) AS rank FROM rrf r JOIN chunks c ON c.id = r.id QUALIFY rank <= 100),
-capped AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank) AS place FROM top QUALIFY place <= 3),
-used AS (SELECT id, path, rank, CAST(ceil(length(text_raw) / 4e0) AS BIGINT) AS tokens, CAST(sum(ceil(length(text_raw) / 4e0)) OVER (ORDER BY rank) AS BIGINT) AS used FROM capped)"""
+#: The filters of the filtered searches.
+FILTER = {"language": "typescript", "tags": ("long",)}
+FILTER_SQL = "language = 'typescript' AND len(list_filter(tags, lambda tag: lower(tag) = 'long')) > 0"
 
 
 def calls(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -59,152 +31,343 @@ def calls(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def seen(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: f(V.observed(spark, d))
+    return lambda spark, d: f(T.observed_records(V.payloads(spark, d)))
 
 
 def chunks(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(V.chunks(spark, d))
 
 
-def symbols(c: DataFrame) -> DataFrame:
-    return R.symbol_score(c, ["the"], ["tion"], "typescript")
+def searching(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """``f`` of the chunks and the planned searches."""
+    return lambda spark, d: f(V.chunks(spark, d), P.plan(V.searches(spark, d)))
 
 
-def two_lists(c: DataFrame) -> tuple[DataFrame, DataFrame]:
-    lexical = R.ranked(R.bm25(c, TERMS), 200, F.desc("score"), F.col("id"))
-    return lexical, R.ranked(symbols(c), 200, F.desc("score"), F.col("path"), F.col("start_line"))
+def joined(rows: DataFrame) -> DataFrame:
+    """Lists as text, for comparison."""
+    return rows.select(*(F.array_join(c, ",").alias(c) if t == "array<string>" else F.col(c) for c, t in rows.dtypes))
 
 
-def fused(c: DataFrame) -> DataFrame:
-    return R.rrf(*two_lists(c))
+def neighbours(metric: str, label: int | None = None) -> Query:
+    """The ten nearest of every vector whose id is divisible by 50, itself aside."""
 
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        e = table(spark, d, "embeddings")
+        q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+        v = (e.where(F.col("label") == label) if label is not None else e).select(F.col("vec_id").alias("id"), "embedding")
+        near = R.distances(v, q, metric).where("id <> qid")
+        return R.ranked(near, 10, F.col("distance"), F.col("id")).select("qid", "id", "distance", F.round(1 - F.col("distance"), 6).alias("score"), "rank")
+
+    return run
 
-def packaged(c: DataFrame) -> DataFrame:
-    wide = fused(c).join(c.select("id", "path", "symbol_name", "text_raw"), "id")
-    top = R.per_path(R.ranked(wide, 100, F.desc("score"), F.col("id")), 3)
-    return R.within_budget(top.withColumn("tokens", X.token_estimate(F.col("text_raw"))), 6000).select("id", "path", "rank", "tokens", "used")
+
+def judgements(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "label")
+    return e.join(q, "label").where("vec_id <> query").select("query", F.col("vec_id").alias("item"), (1 + F.col("vec_id") % 3).alias("gain"))
 
 
-def neighbours(metric: str, same_label: bool = False) -> Query:
+def measured(metric: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        e = table(spark, d, "embeddings")
-        return R.knn(e.where("label = 3") if same_label else e, e.where("vec_id < 10"), 10, metric)
+        found = neighbours(metric)(spark, d).select(F.col("qid").alias("query"), F.col("id").alias("item"), "rank")
+        return E.rank_metrics(found, judgements(spark, d), 5)
 
     return run
 
 
-def metrics(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    found = neighbours("l2")(spark, d).select(F.col("qid").alias("query"), F.col("vec_id").alias("item"), "rank")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query"), "label")
-    expected = e.join(F.broadcast(q), "label").where("vec_id <> query").select("query", F.col("vec_id").alias("item"), (1 + F.col("vec_id") % 3).alias("gain"))
-    return S.rank_metrics(found, expected, 5)
+def tagged(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").where("vec_id % 50 = 0")
+    tags = F.array(F.concat(F.lit("label"), F.col("label").cast("string")), F.when(F.col("vec_id") % 100 == 0, "even").otherwise("odd"))
+    return E.by_tag(measured("l2")(spark, d), e.select(F.col("vec_id").alias("query"), F.explode(tags).alias("tag")))
+
+
+def against_others(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking by distance against the same one backwards."""
+    near = neighbours("l2")(spark, d).select(F.col("qid").alias("query"), F.col("id").alias("item"), "rank")
+    expected = judgements(spark, d)
+    return E.compared(E.rank_metrics(near, expected, 5), E.rank_metrics(near.withColumn("rank", 11 - F.col("rank")), expected, 5))
+
+
+def found(spark: SparkSession, d: str, filters: dict | None = None) -> DataFrame:
+    return R.hybrid(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d), filters=filters)
+
+
+def package(view: str, pick: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c, q = V.chunks(spark, d), V.searches(spark, d)
+        results = R.hybrid(c, V.chunk_vectors(spark, d), q, K.VIEWS[view][1])
+        return pick(results, K.packaged(results, c, P.plan(q), view))
+
+    return run
+
+
+def fitting(view: str) -> Query:
+    shown = ["qid", "id", "path", "rank", "tokens", "used"]
+    return package(view, lambda _, p: K.within_budget(p, K.VIEWS[view][0]).select(*shown, F.sha2("snippet", 256).alias("snippet"), F.array_join("highlights", "|").alias("highlights")))
+
+
+def fitting_sql(view: str) -> str:
+    return f"WITH {O.packed(view, K.VIEWS[view][1])} SELECT qid, id, path, rank, tokens, used, sha256(snippet) AS snippet, array_to_string(highlights, '|') AS highlights FROM fits WHERE used <= {K.VIEWS[view][0]}"
+
+
+def snapshots(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two states of the files: some are gone, some new, some changed."""
+    old = c.where("doc_id % 5 <> 0")
+    new = c.where("doc_id % 7 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 11 == 0, "x").otherwise(F.col("content_hash")))
+    return old, new
+
+
+def file_hashes(c: DataFrame) -> DataFrame:
+    return c.groupBy("path").agg(F.min("content_hash").alias("content_hash"))
+
+
+def refreshed(c: DataFrame) -> DataFrame:
+    old, new = snapshots(c)
+    return S.applied(old, new, S.changed(file_hashes(old), file_hashes(new))).select("path", "start_line", "content_hash")
+
+
+def part_files(spark: SparkSession, d: str) -> DataFrame:
+    """A build script, a manifest and a layout to every part."""
+    p = table(spark, d, "part").withColumns({"k": F.col("p_partkey").cast("string"), "z": F.col("p_size").cast("string")})
+    script = F.concat(F.lit("// of "), "k", F.lit("\nplugins {\n  id(\""), "p_brand", F.lit("\")\n}\nandroid {\n  signing { v { x } }\n}\nsigningConfigs {\n  storePassword = \""), "p_type", F.lit("\"\n  keyPassword '"), "z", F.lit("'\n}\n"))
+    deps = F.concat(F.lit("dependencies {\n  implementation(\""), "p_name", F.lit("\")\n  kapt 'x:"), "z", F.lit("'\n}\n"))
+    gradle = F.when(F.col("p_partkey") % 5 == 0, F.lit("api(\"a:b\")")).when(F.col("p_partkey") % 5 == 1, script).otherwise(F.concat(script, deps))
+    path = F.concat(F.lit("m"), "k", F.when(F.col("p_partkey") % 9 == 0, "/settings.gradle").otherwise("/build.gradle.kts"))
+    manifest = F.concat(F.lit('<manifest>\n <activity\n  android:name=".A'), "k", F.lit('"/>\n <service><x/></service>\n<provider android:name="P"></provider></manifest>'))
+    layout = F.concat(F.lit("<a.B"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(' android:id="@+id/n'), "k", F.lit('"><C android:id="@+id/z"/'))).otherwise(""), F.lit("></a.B>"))
+    return p.select("p_partkey", path.alias("path"), gradle.alias("content"), manifest.alias("manifest"), layout.alias("layout"))
 
 
-def incremental(c: DataFrame) -> DataFrame:
-    files = c.groupBy("path").agg(F.min("content_hash").alias("content_hash"), F.min("doc_id").alias("n"))
-    old = files.where("n % 5 <> 0")
-    new = files.where("n % 7 <> 0").withColumn("content_hash", F.when(F.col("n") % 11 == 0, "x").otherwise(F.col("content_hash")))
-    return S.changed(old, new)
+PART_FILES = """pf AS (SELECT p_partkey, 'm' || p_partkey || CASE WHEN p_partkey % 9 = 0 THEN '/settings.gradle' ELSE '/build.gradle.kts' END AS path, '// of ' || p_partkey || chr(10) AS head, 'plugins {' || chr(10) || '  id("' || p_brand || '")' || chr(10) || '}' AS plugins, 'android {' || chr(10) || '  signing { v { x } }' || chr(10) || '}' AS android,
+ 'signingConfigs {' || chr(10) || '  storePassword = "{0}"' || chr(10) || '  keyPassword ''{1}''' || chr(10) || '}' AS signing, 'dependencies {' || chr(10) || '  implementation("' || p_name || '")' || chr(10) || '  kapt ''x:' || p_size || '''' || chr(10) || '}' AS deps, p_name, p_size, p_type, 'api("a:b")' AS bare FROM part),
+whole AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN bare ELSE head || plugins || chr(10) || android || chr(10) || replace(replace(signing, '{0}', p_type), '{1}', p_size::VARCHAR) || chr(10) || CASE WHEN p_partkey % 5 = 1 THEN '' ELSE deps || chr(10) END END AS content,
+ CASE WHEN p_partkey % 5 = 0 THEN ['a:b'] WHEN p_partkey % 5 = 1 THEN [] ELSE [p_name, 'x:' || p_size] END AS uses FROM pf),
+blocks AS (SELECT path, 'gradle_settings' AS kind, 1 AS start_line, uses, content AS text_raw FROM whole WHERE p_partkey % 9 = 0 UNION ALL SELECT path, 'gradle_dependencies', 1, uses, content FROM whole WHERE p_partkey % 9 > 0 AND p_partkey % 5 = 0
+ UNION ALL SELECT path, 'gradle_plugins', 2, [], plugins FROM whole WHERE p_partkey % 9 > 0 AND p_partkey % 5 > 0 UNION ALL SELECT path, 'gradle_android', 5, [], android FROM whole WHERE p_partkey % 9 > 0 AND p_partkey % 5 > 0
+ UNION ALL SELECT path, 'gradle_signing', 8, [], replace(replace(signing, '{0}', '<REDACTED>'), '{1}', '<REDACTED>') FROM whole WHERE p_partkey % 9 > 0 AND p_partkey % 5 > 0 UNION ALL SELECT path, 'gradle_dependencies', 12, uses, deps FROM whole WHERE p_partkey % 9 > 0 AND p_partkey % 5 > 1)"""
 
 
+def odd_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Parts' names as paths below directories and with extensions, some of which are never read."""
+    p = table(spark, d, "part")
+    n = F.col("p_partkey")
+    folder = F.element_at(F.array(*map(F.lit, ["src", "build", "a/node_modules", "lib/x", ".git"])), (n % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, [".kt", ".PNG", ".key", "", ".env", ".tar.gz", ".py"])), (n % 7 + 1).cast("int"))
+    stem = F.when(n % 11 == 0, F.lit("id_rsa")).when(n % 13 == 0, ".env").otherwise(F.concat(F.lit("f"), n.cast("string")))
+    return p.select("p_partkey", F.concat(folder, F.lit("/"), stem, name).alias("path"))
+
+
+ODD_PATHS = "odd AS (SELECT p_partkey, ['src', 'build', 'a/node_modules', 'lib/x', '.git'][p_partkey % 5 + 1] || '/' || CASE WHEN p_partkey % 11 = 0 THEN 'id_rsa' WHEN p_partkey % 13 = 0 THEN '.env' ELSE 'f' || p_partkey END || ['.kt', '.PNG', '.key', '', '.env', '.tar.gz', '.py'][p_partkey % 7 + 1] AS path FROM part)"
+
 #: name: (query, SQL or None)
 ALL: dict[str, tuple[Query, str | None]] = {
-    "hybrid_search": (chunks(packaged), f"WITH {PACKED} SELECT id, path, rank, tokens, used FROM used WHERE used <= 6000"),
-    "usage_by_tool": (calls(T.usage_by_tool), f"WITH {CALLS} SELECT tool, count(*) AS calls, CAST(sum(tokens_sent) AS BIGINT) AS sent, CAST(sum(tokens_raw) AS BIGINT) AS raw, {SAVED.format(raw='sum(tokens_raw)', sent='sum(tokens_sent)')} AS saved_pct FROM calls GROUP BY tool"),
+    # Telemetry
+    "usage_by_tool": (calls(T.usage_by_tool), f"WITH {O.CALLS} SELECT tool, {O.SUMS}, {O.SAVED_SUMS} AS saved_pct FROM calls GROUP BY tool"),
     "usage_cube": (
         calls(T.usage_cube),
-        f"WITH {CALLS}, c AS (SELECT * REPLACE (coalesce(channel, 'mcp') AS channel) FROM calls) SELECT CAST(grouping(tool, channel) AS BIGINT) AS level, coalesce(tool, '*') AS tool, coalesce(channel, '*') AS channel, count(*) AS calls, CAST(sum(tokens_sent) AS BIGINT) AS sent, CAST(sum(tokens_raw) AS BIGINT) AS raw, coalesce({SAVED.format(raw='sum(tokens_raw)', sent='sum(tokens_sent)')}, 0) AS saved_pct, rtrim(rtrim(strftime(min(called_at), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS first_call FROM c GROUP BY GROUPING SETS ((tool), (channel), ())",
+        f"WITH {O.CALLS}, c AS (SELECT * REPLACE (coalesce(channel, 'mcp') AS channel, coalesce(model, 'unknown') AS model) FROM calls) SELECT CAST(grouping(tool, channel, model) AS BIGINT) AS level, coalesce(tool, '*') AS tool, coalesce(channel, '*') AS channel, coalesce(model, '*') AS model, {O.SUMS}, coalesce({O.SAVED_SUMS}, 0) AS saved_pct, rtrim(rtrim(strftime(min(called_at), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS first_call FROM c GROUP BY GROUPING SETS ((tool), (channel), (model), ())",
+    ),
+    "usage_by_model": (calls(lambda c: T.usage_by(c, "model", "unknown")), f"WITH {O.CALLS} SELECT coalesce(model, 'unknown') AS model, count(*) AS calls, CAST(sum(tokens_sent) AS BIGINT) AS sent FROM calls GROUP BY 1"),
+    "usage_by_channel": (calls(lambda c: T.usage_by(c, "channel", "mcp")), f"WITH {O.CALLS} SELECT coalesce(channel, 'mcp') AS channel, count(*) AS calls, CAST(sum(tokens_sent) AS BIGINT) AS sent FROM calls GROUP BY 1"),
+    "usage_by_period": (
+        calls(lambda c: T.usage_by_period(c, O.NOW)),
+        f"WITH {O.CALLS} " + " UNION ALL ".join(f"SELECT '{p}' AS period, {label} AS label, {O.SUMS}, coalesce({O.SAVED_SUMS}, 0) AS saved_pct FROM calls WHERE called_at >= {start.format(O.NOW)} HAVING count(*) > 0" for (p, start), label in zip(O.PERIODS, ("'today'", "'last 7 days'", "'last 30 days'", "'all time (since ' || strftime(min(called_at), '%Y-%m-%d') || ')'"), strict=True)),
     ),
     "search_insights": (
         calls(T.search_insights),
-        f"WITH {CALLS} SELECT count(*) AS searches, floor(sum(k)::DOUBLE / count(*) * 10 + 0.5e0) / 10 AS avg_results, CAST(floor(avg(tokens_sent) + 0.5e0) AS BIGINT) AS avg_tokens, count(*) FILTER (k % 3 = 0) AS lexical, count(*) FILTER (k % 3 = 1) AS vector, count(*) FILTER (k % 3 = 2) AS \"both\" FROM calls WHERE tool = 'search'",
+        f"WITH {O.CALLS}, s AS (SELECT count(*) AS searches, {O.half_up('coalesce(sum(CASE WHEN told THEN k % 9 END), 0)::DOUBLE / count(*)')} AS avg_results, CAST(floor(avg(tokens_sent) + 0.5e0) AS BIGINT) AS avg_tokens, CAST(coalesce(sum(CASE WHEN told THEN k % 3 END), 0) AS BIGINT) AS lexical, CAST(coalesce(sum(CASE WHEN told THEN k % 4 END), 0) AS BIGINT) AS vector, CAST(coalesce(sum(CASE WHEN told THEN k % 5 END), 0) AS BIGINT) AS \"both\" FROM calls WHERE tool = 'search') SELECT *, "
+        + ", ".join(f"CAST(floor(100e0 * \"{s}\" / (lexical + vector + \"both\") + 0.5e0) AS BIGINT) AS {s}_pct" for s in ("lexical", "vector", "both")) + " FROM s WHERE searches > 0",
     ),
-    "period_filter": (calls(lambda c: T.usage_by_tool(T.since(c, START)).select("tool", "calls", "sent")), f"WITH {CALLS} SELECT tool, count(*) AS calls, CAST(sum(tokens_sent) AS BIGINT) AS sent FROM calls WHERE called_at >= TIMESTAMP '{START}' GROUP BY tool"),
-    "ttl_retention": (calls(lambda c: T.since(c, "2024-01-10 00:00:00").select("id", "tool", "repo_path")), f"WITH {CALLS} SELECT id, tool, repo_path FROM calls WHERE called_at >= TIMESTAMP '2024-01-10 00:00:00'"),
+    "ttl_retention": (calls(lambda c: T.retained(c, O.NOW, 20).select("id", "tool", "repo_path")), f"WITH {O.CALLS} SELECT id, tool, repo_path FROM calls WHERE called_at >= TIMESTAMP '{O.NOW}' - INTERVAL 20 DAYS"),
     "export_flat": (
         calls(lambda c: T.export_rows(c, False)),
-        f"WITH {CALLS} SELECT id, tool, string_split(repo_path, '/')[-1] AS repo, strftime(called_at, '%Y-%m-%d %H:%M:%S') AS called_at, tokens_sent, tokens_raw, coalesce(channel, 'mcp') AS channel, k AS results FROM calls",
+        f"WITH {O.CALLS} SELECT id, tool, string_split(repo_path, '/')[-1] AS repo, strftime(called_at, '%Y-%m-%d %H:%M:%S') AS called_at, duration_ms, tokens_sent, tokens_raw, coalesce(channel, 'mcp') AS channel, model, CASE WHEN told THEN 'q, ' || k END AS query, {O.META} FROM calls",
     ),
     "export_anonymized": (
-        calls(lambda c: T.export_rows(c, True)),
-        f"WITH {CALLS} SELECT id, tool, substr(sha256(repo_path), 1, 8) AS repo, strftime(called_at, '%Y-%m-%d') AS called_at, tokens_sent, tokens_raw, coalesce(channel, 'mcp') AS channel FROM calls",
+        calls(lambda c: T.export_rows(c, True, "search")),
+        f"WITH {O.CALLS} SELECT id, tool, substr(sha256(repo_path), 1, 8) AS repo, strftime(called_at, '%Y-%m-%d') AS called_at, duration_ms, tokens_sent, tokens_raw, coalesce(channel, 'mcp') AS channel, model, {O.META} FROM calls WHERE tool = 'search'",
+    ),
+    "export_csv": (
+        calls(lambda c: T.csv_lines(T.export_rows(c.withColumn("tool", F.concat("tool", F.lit(', "x"'))), True))),
+        f"WITH {O.CALLS} SELECT 'id,tool,repo,called_at,duration_ms,tokens_sent,tokens_raw,channel,model' AS line UNION ALL SELECT concat_ws(',', id, '\"' || tool || ', \"\"x\"\"\"', substr(sha256(repo_path), 1, 8), strftime(called_at, '%Y-%m-%d'), duration_ms, tokens_sent, tokens_raw, coalesce(channel, 'mcp'), coalesce(model, '')) FROM calls",
+    ),
+    "export_jsonl": (
+        calls(lambda c: T.json_lines(c.select("id", "tool", "channel", "tokens_sent"))),
+        f"""WITH {O.CALLS} SELECT '{{"id":' || id || ',"tool":"' || tool || '"' || coalesce(',"channel":"' || channel || '"', '') || ',"tokens_sent":' || tokens_sent || '}}' AS line FROM calls""",
+    ),
+    "time_ago": (
+        calls(lambda c: c.select("id", X.time_ago(F.col("called_at"), F.lit(O.NOW).cast("timestamp")).alias("ago"))),
+        f"WITH {O.CALLS}, a AS (SELECT id, CAST(floor((epoch(TIMESTAMP '{O.NOW}') - floor(epoch(called_at))) / 60) AS BIGINT) AS m FROM calls) SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 1440 THEN m // 60 || 'h ago' ELSE m // 1440 || 'd ago' END AS ago FROM a",
     ),
-    "export_csv": (calls(lambda c: T.csv_lines(T.export_rows(c, True))), f"WITH {CALLS} SELECT concat_ws(',', id, tool, substr(sha256(repo_path), 1, 8), strftime(called_at, '%Y-%m-%d'), tokens_sent, tokens_raw, coalesce(channel, 'mcp')) AS line FROM calls"),
-    "coverage": (
-        seen(T.coverage),
-        f"WITH {SEEN} SELECT 'category' AS dimension, category AS value, count(*) AS n FROM seen GROUP BY category UNION ALL SELECT 'tool', short, count(*) FROM seen GROUP BY short UNION ALL SELECT 'extension', extension, count(*) FROM seen GROUP BY extension",
+    "observed_records": (
+        seen(lambda r: r.select("sid", "seq", "tool", "path", "is_code", "selector", "guided_by", "policy", "reason_code")),
+        f"WITH {O.SEEN} SELECT sid, seq, tool, path, is_code, selector, guided_by, CASE WHEN category = 'native' THEN 'warn' END AS policy, reason_code FROM seen",
     ),
+    "coverage": (seen(T.coverage), f"WITH {O.COVERAGE} SELECT * FROM coverage"),
     "coverage_percent": (
-        seen(T.coverage_percent),
-        f"WITH {SEEN} SELECT count(*) FILTER (category = 'engine') AS engine, count(*) FILTER (category = 'native') AS native, count(*) FILTER (is_code AND tool = 'Read') AS code_reads, floor(100e0 * count(*) FILTER (category = 'engine') / count(*) * 10 + 0.5e0) / 10 AS pct FROM seen",
+        seen(T.coverage_summary),
+        f"WITH {O.SEEN}, c AS (SELECT count(*) FILTER (category = 'engine') AS engine, count(*) FILTER (category = 'native') AS native, count(*) FILTER (category IN ('admin', 'other')) AS other, count(*) FILTER (code_read) AS code_reads, count(*) FILTER (code_read AND guided_by IS NOT NULL) AS guided FROM seen) SELECT *, {O.half_up('100e0 * engine / (engine + native)')} AS coverage_pct, {O.half_up('100e0 * (code_reads - guided) / code_reads')} AS blind_pct FROM c",
     ),
-    "guided_reads": (
-        seen(T.guided_reads),
-        f"WITH {SEEN}, w AS (SELECT *, lag(category) OVER o AS lc, lag(short) OVER o AS ls FROM seen WINDOW o AS (PARTITION BY sid ORDER BY t, seq)) SELECT sid, seq, ls AS guided_by FROM w WHERE is_code AND tool = 'Read' AND lc = 'engine'",
+    "guided_share": (
+        seen(T.guided_share),
+        f"WITH {O.COVERAGE} SELECT tool, calls, reads, {O.half_up('100e0 * reads / nullif(calls, 0)')} AS bounce_pct FROM (SELECT value AS tool, CAST(coalesce(sum(n) FILTER (dimension = 'engine_tool'), 0) AS BIGINT) AS calls, CAST(coalesce(sum(n) FILTER (dimension = 'guided_by'), 0) AS BIGINT) AS reads FROM coverage WHERE dimension IN ('engine_tool', 'guided_by') GROUP BY value) WHERE reads > 0",
+    ),
+    "guided_reads": (seen(lambda r: r.where("guided_by is not null").select("sid", "seq", "guided_by")), f"WITH {O.SEEN} SELECT sid, seq, guided_by FROM seen WHERE guided_by IS NOT NULL"),
+    "selector_memory": (lambda spark, d: T.selectors(V.payloads(spark, d)), f"WITH {O.SEEN} SELECT sid, seq, last_query, last_symbol, last_chunk FROM seen"),
+    "guardrail": (seen(lambda r: T.decisions(r, "strict").drop("t")), f"WITH {O.DECIDED} SELECT sid, seq, CASE WHEN tool = 'Read' AND guided_by IS NOT NULL THEN 'warn' ELSE 'block' END AS action, hint, symbol FROM decided"),
+    "nudge_limit": (seen(T.nudges), f"WITH {O.DECIDED} SELECT sid, seq, row_number() OVER (PARTITION BY sid ORDER BY t, seq) AS nudge, hint FROM decided QUALIFY nudge <= 3"),
+    # Files and chunks
+    "ignore_filter": (lambda spark, d: odd_paths(spark, d).where(~I.ignored(F.col("path"))), f"WITH {ODD_PATHS} SELECT p_partkey, path FROM odd WHERE NOT {O.IGNORED}"),
+    "readable_files": (lambda spark, d: I.readable(V.files(spark, d), 2000).select("doc_id", "path"), f"WITH {O.FILES} SELECT doc_id, path FROM files WHERE NOT {O.IGNORED} AND strlen(content) <= 2000"),
+    "generic_chunks": (
+        lambda spark, d: I.generic_chunks(V.files(spark, d), 1).select("path", "start_line", "end_line", "symbol_name", F.sha2("text_raw", 256).alias("text")),
+        f"""WITH {O.FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos, len(string_split(content, chr(10))) AS n FROM files), g AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE sum((regexp_matches({O.strip('line')}, '{I.BOUNDARY}') OR {O.strip('line')} = '')::INT) OVER (PARTITION BY path ORDER BY pos) END AS part FROM l),
+p AS (SELECT path, n, CAST(min(pos) AS BIGINT) AS start_line, CAST(max(pos) AS BIGINT) AS end_line, string_agg(line, chr(10) ORDER BY pos) AS text_raw, list({O.strip('line')} ORDER BY pos) AS ls FROM g GROUP BY path, n, part)
+SELECT path, start_line, end_line, coalesce(nullif(regexp_extract(coalesce(list_filter(ls, lambda x: x <> '' AND NOT starts_with(x, '//') AND NOT starts_with(x, '/*'))[1], ''), '{I.DECLARES}', 1), ''), string_split(path, '/')[-1]) AS symbol_name, sha256(text_raw) AS text FROM p WHERE {O.strip('text_raw')} <> '' OR n <= 1""",
+    ),
+    "gradle_chunks": (
+        lambda spark, d: joined(I.gradle_chunks(part_files(spark, d)).select("path", "kind", "start_line", "end_line", "uses", "text_raw")),
+        f"WITH {PART_FILES} SELECT path, kind, CAST(start_line AS BIGINT) AS start_line, CAST(start_line + length(text_raw) - length(replace(text_raw, chr(10), '')) AS BIGINT) AS end_line, array_to_string(uses, ',') AS uses, text_raw FROM blocks",
+    ),
+    "manifest_chunks": (
+        lambda spark, d: I.manifest_chunks(part_files(spark, d).select("path", F.col("manifest").alias("content"))),
+        f"""WITH {PART_FILES} SELECT path, 'activity' AS kind, '.A' || p_partkey AS symbol_name, '<activity' || chr(10) || '  android:name=".A' || p_partkey || '"/>' AS text_raw FROM pf UNION ALL SELECT path, 'service', NULL, '<service><x/>' FROM pf UNION ALL SELECT path, 'provider', 'P', '<provider android:name="P"></provider>' FROM pf""",
+    ),
+    "layout_chunks": (
+        lambda spark, d: joined(I.layout_chunks(part_files(spark, d).select("path", F.col("layout").alias("content")))),
+        f"WITH {PART_FILES} SELECT path, string_split(path, '/')[-1] AS symbol_name, CASE WHEN p_partkey % 2 = 0 THEN '@+id/n' || p_partkey || ',@+id/z' ELSE '' END AS defines, 'Root: a.B' || chr(10) || 'IDs: ' || CASE WHEN p_partkey % 2 = 0 THEN 'n' || p_partkey || ', z' ELSE '(none)' END AS text_sketch FROM pf",
     ),
-    "nudge_limit": (seen(T.nudges), f"WITH {SEEN} SELECT sid, seq, row_number() OVER (PARTITION BY sid ORDER BY t, seq) AS nudge FROM seen WHERE category = 'native' AND is_code QUALIFY nudge <= 3"),
     "chunks": (
-        chunks(lambda c: c.withColumn("uses", F.array_join("uses", ",")).drop("text_raw")),
-        f"WITH {CHUNKS} SELECT * EXCLUDE (text_raw) REPLACE (array_to_string(uses, ',') AS uses) FROM chunks",
+        chunks(lambda c: joined(c.drop("text_raw", "text_sketch"))),
+        f"WITH {O.CHUNKS} SELECT * EXCLUDE (text_raw, text_sketch) REPLACE (array_to_string(uses, ',') AS uses, array_to_string(tags, ',') AS tags, array_to_string(annotations, ',') AS annotations) FROM chunks",
     ),
     "token_budget": (
-        chunks(lambda c: c.select("id", X.token_estimate(F.col("text_raw")).alias("tokens"), F.sha2(X.truncate_tokens(F.col("text_raw"), 200), 256).alias("sketch"))),
-        f"WITH {CHUNKS} SELECT id, CAST(ceil(length(text_raw) / 4e0) AS BIGINT) AS tokens, sha256(CASE WHEN length(text_raw) <= 800 THEN text_raw ELSE substr(text_raw, 1, 800) || chr(10) || '... (truncated)' END) AS sketch FROM chunks",
+        chunks(lambda c: c.select("id", X.token_estimate(F.col("text_raw")).alias("tokens"), F.sha2(X.truncate_tokens(F.col("text_raw"), 200), 256).alias("cut"))),
+        f"WITH {O.CHUNKS} SELECT id, CAST(ceil(length(text_raw) / 4e0) AS BIGINT) AS tokens, sha256({O.truncated('text_raw', 200)}) AS cut FROM chunks",
     ),
-    "module_summary": (chunks(S.module_summary), f"WITH {CHUNKS} SELECT module, language, count(DISTINCT path) AS files, count(*) AS chunks, CAST(sum(ceil(length(text_raw) / 4e0)) AS BIGINT) AS tokens FROM chunks GROUP BY module, language"),
-    "file_summary": (chunks(S.file_summary), f"WITH {CHUNKS} SELECT path, min(language) AS language, count(*) AS chunks, string_agg(symbol_name, ',' ORDER BY start_line) AS symbols FROM chunks GROUP BY path"),
+    "sketch": (chunks(lambda c: c.select("id", F.sha2("text_sketch", 256).alias("sketch"))), f"WITH {O.CHUNKS} SELECT id, sha256(text_sketch) AS sketch FROM chunks"),
+    "chunk_uses": (
+        chunks(lambda c: joined(c.select("id", I.used_imports(F.transform("uses", lambda u: F.concat(F.lit("pkg."), F.substring(u, 1, 5))), F.lower("text_raw")).alias("imports")))),
+        f"WITH {O.CHUNKS}, i AS (SELECT id, lower(text_raw) AS low, list_transform(uses, lambda u: 'pkg.' || substr(u, 1, 5)) AS imports FROM chunks), f AS (SELECT id, list_filter(imports, lambda u: contains(low, substr(u, 5))) AS kept FROM i) SELECT id, array_to_string({O.once('kept')}, ',') AS imports FROM f",
+    ),
+    # Structure
+    "module_summary": (
+        chunks(S.module_summary),
+        f"""WITH {O.CHUNKS}, m AS (SELECT module, count(DISTINCT path) AS files, count(*) AS chunks, CAST(sum(ceil(length(text_raw) / 4e0)) AS BIGINT) AS tokens FROM chunks WHERE module IS NOT NULL GROUP BY module), l AS (SELECT module, string_agg(l, ',' ORDER BY l) AS languages FROM (SELECT module, language || '=' || count(*) AS l FROM chunks GROUP BY module, language) GROUP BY module),
+s AS (SELECT module, symbol_name, row_number() OVER (PARTITION BY module ORDER BY kind, symbol_name, id) AS p FROM chunks WHERE kind IN ({O.texts(S.NAMED_KINDS)}) AND symbol_name IS NOT NULL QUALIFY p <= 20), t AS (SELECT module, string_agg(symbol_name, ',' ORDER BY p) AS symbols FROM s GROUP BY module) SELECT * FROM m JOIN l USING (module) LEFT JOIN t USING (module)""",
+    ),
+    "file_summary": (chunks(S.file_summary), f"WITH {O.CHUNKS} SELECT path, min(language) AS language, count(*) AS chunks, string_agg(symbol_name, ',' ORDER BY start_line) AS symbols FROM chunks GROUP BY path"),
     "tree_prefix_counts": (
         chunks(S.tree),
-        f"WITH {CHUNKS}, f AS (SELECT string_split(path, '/') AS p, count(*) AS n FROM chunks GROUP BY path), x AS (SELECT p, n, unnest(range(1, len(p) + 1)) AS i FROM f) SELECT array_to_string(p[1:i], '/') AS prefix, CAST(i - 1 AS BIGINT) AS depth, count(*) AS files, CAST(sum(n) AS BIGINT) AS chunks FROM x GROUP BY 1, 2",
+        f"WITH {O.CHUNKS}, f AS (SELECT string_split(path, '/') AS p, count(*) AS n FROM chunks GROUP BY path), x AS (SELECT p, n, unnest(range(1, len(p) + 1)) AS i FROM f) SELECT array_to_string(p[1:i], '/') AS prefix, CAST(i - 1 AS BIGINT) AS depth, count(*) AS files, CAST(sum(n) AS BIGINT) AS chunks, bool_or(i = len(p)) AS is_file FROM x GROUP BY 1, 2",
+    ),
+    "tree_lines": (
+        chunks(S.tree_lines),
+        f"WITH {O.CHUNKS}, f AS (SELECT string_split(path, '/') AS p, count(*) AS n FROM chunks GROUP BY path), x AS (SELECT p, n, unnest(range(1, 4)) AS i FROM f), t AS (SELECT array_to_string(p[1:i], '/') AS prefix, CAST(i - 1 AS BIGINT) AS depth, count(*) AS files, CAST(sum(n) AS BIGINT) AS chunks, bool_or(i = len(p)) AS is_file FROM x GROUP BY 1, 2) SELECT prefix, depth, is_file, string_split(prefix, '/')[-1] || CASE WHEN is_file THEN ' (' || chunks || ' chunks)' WHEN depth = 2 THEN '/ (' || files || ' files)' ELSE '' END AS line FROM t",
     ),
-    "context_profile": (chunks(lambda c: S.top_uses(c, 10)), f"WITH {CHUNKS}, u AS (SELECT unnest(uses) AS name FROM chunks) SELECT name, count(*) AS n FROM u GROUP BY name ORDER BY n DESC, name LIMIT 10"),
-    "lookup_definitions": (chunks(lambda c: S.definitions(c, "The")), f"WITH {CHUNKS} SELECT id, path, symbol_name, start_line, end_line FROM chunks WHERE symbol_name = 'The' OR ends_with(lower(symbol_name), 'the')"),
+    "index_totals": (chunks(S.index_totals), f"WITH {O.CHUNKS} SELECT repo_path, count(*) AS chunks, count(DISTINCT path) AS files, CAST(ceil(sum(length(text_sketch)) / 4e0) AS BIGINT) AS map_tokens, 'healthy' AS health FROM chunks GROUP BY repo_path"),
+    "health": (chunks(lambda c: S.health(c, "/repo/3").unionByName(S.health(c, "/repo/none"))), f"WITH {O.CHUNKS} SELECT r AS repo_path, CASE WHEN EXISTS (SELECT 1 FROM chunks WHERE repo_path = r) THEN 'healthy' ELSE 'empty' END AS health FROM (SELECT unnest(['/repo/3', '/repo/none']) AS r)"),
+    "context_profile": (
+        chunks(S.profile),
+        f"""WITH {O.CHUNKS}, s AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id DESC, path, start_line) AS place FROM chunks QUALIFY place <= 20), u AS (SELECT kind, place, 'annotations' AS what, unnest(annotations) AS name, generate_subscripts(annotations, 1) AS i FROM s UNION ALL SELECT kind, place, 'tags', unnest(tags), generate_subscripts(tags, 1) FROM s UNION ALL SELECT kind, place, 'uses', unnest(uses), generate_subscripts(uses, 1) FROM s),
+c AS (SELECT kind, what, name, count(*) AS n, min(place * 1000000 + i) AS first FROM u GROUP BY kind, what, name) SELECT kind, what, row_number() OVER (PARTITION BY kind, what ORDER BY n DESC, first) AS rank, name, n FROM c QUALIFY rank <= CASE WHEN what = 'uses' THEN 10 ELSE 5 END""",
+    ),
+    "context_examples": (
+        chunks(S.examples),
+        f"""WITH RECURSIVE {O.CHUNKS}, s AS (SELECT kind, id, CAST(ceil(length(text_sketch) / 4e0) AS BIGINT) AS tokens, CAST(ceil(length(text_raw) / 4e0) AS BIGINT) AS tr, row_number() OVER (PARTITION BY kind ORDER BY doc_id DESC, path, start_line) AS place FROM chunks QUALIFY place <= 20),
+walk AS (SELECT DISTINCT kind, 0::BIGINT AS place, 0::BIGINT AS used, ''::VARCHAR AS ids, 0 AS n FROM s UNION ALL SELECT w.kind, s.place, CASE WHEN n < 3 AND used + tokens <= 500 THEN used + tokens ELSE used END, CASE WHEN n < 3 AND used + tokens <= 500 THEN ids || CASE WHEN n > 0 THEN ',' ELSE '' END || id ELSE ids END, CASE WHEN n < 3 AND used + tokens <= 500 THEN n + 1 ELSE n END FROM walk w JOIN s ON s.kind = w.kind AND s.place = w.place + 1),
+a AS (SELECT kind, count(*) AS sampled, CAST(sum(tr) AS BIGINT) AS tokens_raw FROM s GROUP BY kind) SELECT kind, sampled, tokens_raw, ids, used FROM a JOIN walk USING (kind) WHERE place = sampled""",
+    ),
+    "lookup_definitions": (chunks(lambda c: S.definitions(c, O.SYMBOL)), f"WITH {O.CHUNKS} SELECT id, path, kind, symbol_name, signature, module, start_line || '-' || end_line AS lines FROM chunks WHERE symbol_name = 'The' OR ends_with(lower(symbol_fqname), 'the')"),
     "lookup_usages": (
         chunks(lambda c: S.usages(c, "Thouor")),
-        TERM_ROWS.join(["WITH ", ", m AS (SELECT id, path, list_contains(list_transform(uses, lambda u: lower(u)), 'thouor') AS named, symbol_name FROM chunks) SELECT id, path, CASE WHEN named THEN 'uses' ELSE 'text' END AS via FROM m WHERE symbol_name <> 'Thouor' AND (named OR id IN (SELECT id FROM terms WHERE term = 'thouor'))"]),
+        f"WITH {O.CHUNKS}, m AS (SELECT id, path, list_contains(list_transform(uses, lambda u: lower(u)), 'thouor') AS named, list_contains({O.TERMS.format('text_raw').replace('{{', '{').replace('}}', '}')}, 'thouor') AS held, symbol_name FROM chunks) SELECT id, path, CASE WHEN named THEN 'uses' ELSE 'text' END AS via FROM m WHERE symbol_name <> 'Thouor' AND (named OR held)",
     ),
+    "source_context": (
+        lambda spark, d: S.sources(V.chunks(spark, d), V.files(spark, d), O.SYMBOL, 3, 2).withColumn("source", F.sha2("source", 256)),
+        f"""WITH {O.CHUNKS}, f AS (SELECT DISTINCT repo_path, path, regexp_split_to_array(content, '\\r?\\n') AS ls FROM files), s AS (SELECT c.*, array_to_string(ls[greatest(1, start_line - 3):start_line - 1], chr(10)) AS b, array_to_string(ls[end_line + 1:end_line + 2], chr(10)) AS a FROM chunks c JOIN f USING (repo_path, path) WHERE symbol_name = 'The' OR ends_with(lower(symbol_fqname), 'the'))
+SELECT id, path, kind, symbol_name, start_line || '-' || end_line AS lines, sha256(text_raw) AS source, CASE WHEN {O.strip('b')} <> '' THEN b END AS before, CASE WHEN {O.strip('a')} <> '' THEN a END AS after FROM s""",
+    ),
+    "deps_forward": (chunks(lambda c: S.forward(c, O.SYMBOL)), f"WITH {O.CHUNKS}, u AS (SELECT DISTINCT unnest(uses) AS u FROM chunks WHERE symbol_name = 'The' OR ends_with(lower(symbol_fqname), 'the')) SELECT DISTINCT symbol_name, path, kind, module FROM chunks WHERE symbol_name IN (SELECT u FROM u)"),
+    "deps_reverse": (chunks(lambda c: S.reverse(c, "Thouor")), f"WITH {O.CHUNKS} SELECT DISTINCT symbol_name, path, kind, module FROM chunks WHERE list_contains(list_transform(uses, lambda u: lower(u)), 'thouor') AND symbol_name <> 'Thouor'"),
     "dependency_counts": (
         chunks(S.dependency_counts),
-        f"WITH {CHUNKS}, e AS (SELECT DISTINCT lower(symbol_name) AS s, lower(u) AS u FROM (SELECT symbol_name, unnest(uses) AS u FROM chunks)), l AS (SELECT * FROM e WHERE s <> u AND u IN (SELECT lower(symbol_name) FROM chunks)), b AS (SELECT s, 1 AS f, 0 AS r FROM l UNION ALL SELECT u, 0, 1 FROM l) SELECT s AS symbol, CAST(sum(f) AS BIGINT) AS forward, CAST(sum(r) AS BIGINT) AS reverse FROM b GROUP BY s",
+        f"WITH {O.CHUNKS}, e AS (SELECT DISTINCT lower(symbol_name) AS s, lower(u) AS u FROM (SELECT symbol_name, unnest(uses) AS u FROM chunks)), l AS (SELECT * FROM e WHERE s <> u AND u IN (SELECT lower(symbol_name) FROM chunks)), b AS (SELECT s, 1 AS f, 0 AS r FROM l UNION ALL SELECT u, 0, 1 FROM l) SELECT s AS symbol, CAST(sum(f) AS BIGINT) AS forward, CAST(sum(r) AS BIGINT) AS reverse FROM b GROUP BY s",
+    ),
+    "incremental_diff": (
+        chunks(lambda c: S.changed(*map(file_hashes, snapshots(c)))),
+        f"WITH {O.CHUNKS}, f AS (SELECT path, min(content_hash) AS h, min(doc_id) AS n FROM chunks GROUP BY path), o AS (SELECT path, h FROM f WHERE n % 5 <> 0), w AS (SELECT path, CASE WHEN n % 11 = 0 THEN 'x' ELSE h END AS h FROM f WHERE n % 7 <> 0) SELECT coalesce(o.path, w.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN w.path IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN w ON o.path = w.path WHERE o.h IS DISTINCT FROM w.h",
+    ),
+    "incremental_apply": (chunks(refreshed), f"WITH {O.CHUNKS} SELECT path, start_line, CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE content_hash END AS content_hash FROM chunks WHERE doc_id % 7 <> 0"),
+    "upserted_meta": (
+        calls(lambda c: S.latest(c.select("repo_path", "called_at", "tool"), "called_at", "repo_path").select("repo_path", "tool")),
+        f"WITH {O.CALLS} SELECT repo_path, tool FROM calls QUALIFY row_number() OVER (PARTITION BY repo_path ORDER BY called_at DESC) = 1",
+    ),
+    "deleted_by_repo": (
+        lambda spark, d: S.without(V.chunks(spark, d), table(spark, d, "nation").select(F.concat(F.lit("/repo/"), (F.col("n_nationkey") % 4).cast("string")).alias("repo_path")), "repo_path").select("id", "repo_path"),
+        f"WITH {O.CHUNKS} SELECT id, repo_path FROM chunks WHERE repo_path NOT IN (SELECT '/repo/' || n_nationkey % 4 FROM nation)",
     ),
-    "postings_df": (chunks(lambda c: R.postings(c).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))), f"WITH {TERM_ROWS} SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM terms GROUP BY term"),
-    "bm25_or": (chunks(lambda c: R.bm25(c, TERMS)), f"WITH {BM25} SELECT * FROM bm"),
-    "bm25_and": (chunks(lambda c: R.bm25(c, TERMS, every=True)), f"WITH {BM25} SELECT * FROM bm WHERE matched = 3"),
-    "symbol_score": (chunks(symbols), f"WITH {CHUNKS} {SYMBOLS} SELECT * FROM symbols"),
-    "variant_fusion": (
-        chunks(lambda c: R.fuse_variants(list(zip(two_lists(c), (1.0, 1.35), strict=True)))),
-        f"WITH {FUSED}, p AS (SELECT id, 1e0 / (6 + rank) AS part FROM a UNION ALL SELECT id, 1.35e0 / (6 + rank) FROM b) SELECT id, round(sum(part), 6) AS score, count(*) AS variants FROM p GROUP BY id",
+    # Search
+    "query_plan": (
+        lambda spark, d: joined(P.plan(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))).drop("query").withColumn("variants", F.transform("variants", lambda v: F.concat_ws(":", v["name"], F.array_join(v["terms"], " "))))),
+        "WITH " + O.plan_of("(SELECT conv_id * 1000 + turn AS qid, text AS query FROM conversations)") + " SELECT qid, identifier_like, array_to_string(terms, ',') AS terms, array_to_string(exact, ',') AS exact, array_to_string(expansions, ',') AS expansions, array_to_string(like_terms, ',') AS like_terms, array_to_string(languages, ',') AS languages, array_to_string(kinds, ',') AS kinds, array_to_string(list_filter([CASE WHEN len(exact) > 0 THEN 'exact:' || array_to_string(exact, ' ') END, CASE WHEN len(strict) > 0 THEN 'strict:' || array_to_string(strict, ' ') END, CASE WHEN len(broad) > 0 THEN 'broad:' || array_to_string(broad, ' ') END, CASE WHEN len(expansions) > 0 THEN 'expanded:' || array_to_string(expansions, ' ') END], lambda x: x IS NOT NULL), ',') AS variants FROM plan",
     ),
-    "rrf_fusion": (chunks(fused), f"WITH {RRF} SELECT * FROM rrf"),
+    "postings_df": (chunks(lambda c: R.postings(c).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))), f"WITH {O.TERM_ROWS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term"),
+    "bm25_or": (searching(lambda c, p: R.bm25(R.postings(c), p.select("qid", F.inline("variants")).where("name = 'broad'")).select("qid", "id", "score", "matched")), f"WITH {O.BM25} SELECT qid, id, score, matched FROM bm WHERE name = 'broad'"),
+    "bm25_and": (
+        searching(lambda c, p: R.bm25(R.postings(c), p.select("qid", F.lit("both").alias("name"), F.lit(True).alias("needs_all"), F.slice("terms", 1, 2).alias("terms"), F.lit(1.0).alias("weight"))).select("qid", "id", "score", "matched")),
+        f"WITH {O.BM25.replace('FROM variants)', 'FROM variants WHERE false UNION ALL SELECT qid, ' + chr(39) + 'both' + chr(39) + ', 1e0, len(terms[1:2]), unnest(terms[1:2]) FROM plan)')} SELECT qid, id, score, matched FROM bm",
+    ),
+    "symbol_score": (searching(R.symbol_scores), f"WITH {O.BM25} {O.SYMBOLS.replace('{where}', '')} SELECT qid, id, path, start_line, score FROM symbols WHERE score > 0"),
+    "heuristic_fusion": (searching(lambda c, p: R.lexical(c, p, 24)), f"WITH {O.lexical(24)} SELECT * FROM lexical"),
+    "lexical_filtered": (searching(lambda c, p: R.lexical(c, p, 10, FILTER)), f"WITH {O.lexical(10, FILTER_SQL)} SELECT * FROM lexical"),
+    "vector_filtered": (
+        lambda spark, d: R.vector_search(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d), 20, {"language": "python"}, ("Long",)),
+        f"WITH {O.CHUNKS}, {O.SEARCHES} {O.vector(20, chr(99) + '.language = ' + chr(39) + 'python' + chr(39), 'list_contains(tags, ' + chr(39) + 'Long' + chr(39) + ')')} SELECT * FROM (SELECT qid, id, distance, score, rank FROM vec)",
+    ),
+    "rrf_fusion": (lambda spark, d: R.rrf(R.lexical(V.chunks(spark, d), P.plan(V.searches(spark, d)), 24), R.vector_search(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d), 24)), f"WITH {O.lexical(24)} {O.vector(24)} {O.RRF} SELECT * FROM rrf"),
+    "hybrid_search": (lambda spark, d: found(spark, d), f"WITH {O.hybrid()} SELECT * FROM hybrid"),
+    "search_filtered": (lambda spark, d: found(spark, d, FILTER), f"WITH {O.hybrid(8, FILTER_SQL)} SELECT * FROM hybrid"),
     "rerank": (
-        chunks(lambda c: R.rerank(fused(c).join(c.select("id", "symbol_name", "path", "text_raw"), "id"), "The", ["the", "tion"]).select("id", "final", "reasons")),
-        f"""WITH {RRF}, x AS (SELECT r.id, r.score, regexp_replace(lower(symbol_name), '[^a-z0-9]', '', 'g') AS sym, regexp_replace(lower(regexp_extract(path, '([^/]+?)(\\.[^.]*)?$', 1)), '[^a-z0-9]', '', 'g') AS base, lower(symbol_name || ' ' || path) AS h, lower(text_raw) AS t FROM rrf r JOIN chunks USING (id)),
-y AS (SELECT *, contains(h, 'the')::INT + contains(h, 'tion')::INT AS nh, (contains(t, 'the') AND NOT contains(h, 'the'))::INT + (contains(t, 'tion') AND NOT contains(h, 'tion'))::INT AS nb FROM x)
-SELECT id, round(score + least(0.09e0, CASE WHEN sym = 'the' THEN 0.036e0 ELSE 0 END + CASE WHEN contains(sym, 'the') AND sym <> 'the' THEN 0.02e0 ELSE 0 END + CASE WHEN starts_with(base, 'the') THEN 0.026e0 ELSE 0 END + least(0.018e0, nh * 0.0045e0) + CASE WHEN nh = 2 THEN 0.008e0 ELSE 0 END + least(0.009e0, nb * 0.0025e0)), 6) AS final,
-concat_ws(',', CASE WHEN sym = 'the' THEN 'exact_symbol' END, CASE WHEN contains(sym, 'the') AND sym <> 'the' THEN 'symbol_match' END, CASE WHEN starts_with(base, 'the') THEN 'basename_match' END, CASE WHEN nh > 0 THEN 'header_overlap' END, CASE WHEN nh = 2 THEN 'all_terms_in_header' END, CASE WHEN nb > 0 THEN 'body_overlap' END) AS reasons FROM y""",
+        lambda spark, d: R.rerank(R.rrf(R.lexical(V.chunks(spark, d), P.plan(V.searches(spark, d)), 24), R.vector_search(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d), 24)), V.chunks(spark, d), P.plan(V.searches(spark, d))),
+        f"WITH {O.hybrid()} SELECT * FROM reranked",
+    ),
+    "search_metrics": (
+        lambda spark, d: R.metrics(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d)),
+        f"WITH {O.hybrid()}, n AS (SELECT qid, count(*) AS candidates, count(left_rank) AS lexical, count(right_rank) AS vector FROM reranked GROUP BY qid), t AS (SELECT qid, count(*) FILTER (source = 'lexical') AS from_lexical, count(*) FILTER (source = 'vector') AS from_vector, count(*) FILTER (source = 'both') AS from_both, count(*) FILTER (bonus > 0) AS reranked FROM hybrid GROUP BY qid) SELECT * FROM n JOIN t USING (qid)",
     ),
     "highlights": (
-        chunks(lambda c: R.highlights(c, ["the", "shthe"])),
-        f"""WITH {CHUNKS}, l AS (SELECT id, unnest(string_split(text_raw, chr(10))) AS line, generate_subscripts(string_split(text_raw, chr(10)), 1) - 1 AS pos FROM chunks),
-m AS (SELECT id, CAST(pos AS BIGINT) AS pos, trim(line) AS line, CAST(CASE WHEN lower(trim(line)) = 'the' THEN 6 WHEN contains(lower(trim(line)), 'the') THEN 2 ELSE 0 END + CASE WHEN lower(trim(line)) = 'shthe' THEN 6 WHEN contains(lower(trim(line)), 'shthe') THEN 2 ELSE 0 END AS BIGINT) AS score FROM l)
-SELECT id, pos, line, score FROM m WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) <= 4""",
-    ),
-    "knn_l2": (neighbours("l2"), f"WITH {KNN.format(distance='list_distance(v, q)', more='')} SELECT * FROM knn"),
-    "knn_cosine": (neighbours("cosine"), f"WITH {KNN.format(distance='1 - list_cosine_similarity(v, q)', more='')} SELECT * FROM knn"),
-    "knn_filtered": (neighbours("l2", same_label=True), f"WITH {KNN.format(distance='list_distance(v, q)', more='AND label = 3')} SELECT * FROM knn"),
-    "rank_metrics": (
-        metrics,
-        f"""WITH {KNN.format(distance='list_distance(v, q)', more='')}, ex AS (SELECT qid AS query, vec_id AS item, 1 + vec_id % 3 AS gain FROM v JOIN q ON label = ql WHERE vec_id <> qid),
-ideal AS (SELECT query, sum(gain / log2(p + 1)) AS idcg FROM (SELECT query, gain, row_number() OVER (PARTITION BY query ORDER BY gain DESC, item) AS p FROM ex) WHERE p <= 5 GROUP BY query),
-j AS (SELECT query, coalesce(1e0 / min(rank), 0) AS mrr, count(*) FILTER (rank <= 5) AS hits, count(*) AS relevant, coalesce(sum(gain / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg FROM ex LEFT JOIN knn ON qid = query AND vec_id = item GROUP BY query)
-SELECT query, round(mrr, 6) AS mrr, round(dcg / idcg, 6) AS ndcg, round(hits / 5e0, 6) AS precision, round(hits::DOUBLE / relevant, 6) AS recall FROM j JOIN ideal USING (query)""",
+        searching(lambda c, p: c.crossJoin(F.broadcast(p.orderBy("qid").limit(1).select("terms"))).select("id", F.array_join(K.highlights(F.col("text_raw"), F.col("signature"), F.col("terms")), "|").alias("lines"))),
+        f"WITH {O.CHUNKS}, {O.SEARCHES}, {O.plan_of('searches')}, one AS (SELECT terms FROM plan ORDER BY qid LIMIT 1), rows0 AS (SELECT id, text_raw, signature, terms FROM chunks, one), {O.highlighted('rows0')} SELECT id, array_to_string(highlights, '|') AS lines FROM h3",
     ),
-    "incremental_diff": (
-        chunks(incremental),
-        f"WITH {CHUNKS}, f AS (SELECT path, min(content_hash) AS h, min(doc_id) AS n FROM chunks GROUP BY path), o AS (SELECT path, h FROM f WHERE n % 5 <> 0), w AS (SELECT path, CASE WHEN n % 11 = 0 THEN 'x' ELSE h END AS h FROM f WHERE n % 7 <> 0) SELECT coalesce(o.path, w.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN w.path IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN w ON o.path = w.path WHERE o.h IS DISTINCT FROM w.h",
+    "package_sketch": (fitting("sketch"), fitting_sql("sketch")),
+    "package_implementation": (fitting("implementation"), fitting_sql("implementation")),
+    "package_raw": (fitting("raw"), fitting_sql("raw")),
+    "package_stats": (
+        package("sketch", lambda r, p: K.package_stats(r, p, K.VIEWS["sketch"][0])),
+        f"WITH {O.packed('sketch', 8)}, i AS (SELECT qid, count(*) AS input FROM hybrid GROUP BY qid), a AS (SELECT qid, count(*) AS after_diversity, count(DISTINCT path) AS files, count(*) FILTER (used <= 3000) AS packed, coalesce(max(used) FILTER (used <= 3000), 0) AS used FROM fits GROUP BY qid) SELECT qid, input, after_diversity, input - after_diversity AS rejected, files, packed, used, round(used / 3000e0, 6) AS utilization FROM i JOIN a USING (qid)",
+    ),
+    "knn_l2": (neighbours("l2"), f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid')} SELECT * FROM knn"),
+    "knn_cosine": (neighbours("cosine"), f"WITH {O.KNN.format(distance='1 - list_cosine_similarity(v, q)', more='WHERE id <> qid')} SELECT * FROM knn"),
+    "knn_dot": (neighbours("dot"), f"WITH {O.KNN.format(distance='-list_inner_product(v, q)', more='WHERE id <> qid')} SELECT * FROM knn"),
+    "knn_filtered": (neighbours("l2", 3), f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid AND label = 3')} SELECT * FROM knn"),
+    # Evaluation
+    "rank_metrics": (measured("l2"), f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid')} {O.JUDGED} SELECT * FROM metrics"),
+    "eval_by_tag": (
+        tagged,
+        f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid')} {O.JUDGED}, t AS (SELECT m.*, unnest(['label' || l.label, CASE WHEN m.query % 100 = 0 THEN 'even' ELSE 'odd' END, '*']) AS tag FROM metrics m JOIN embeddings l ON l.vec_id = m.query) SELECT tag, count(*) AS queries, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM t GROUP BY tag",
+    ),
+    "eval_compare": (
+        against_others,
+        f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid')} {O.JUDGED}, knn_back AS (SELECT * REPLACE (11 - rank AS rank) FROM knn) {O.JUDGED.replace('judged0', 'judged1').replace('ideal', 'ideal1').replace('found', 'found1').replace('metrics', 'metrics1').replace('JOIN knn ON', 'JOIN knn_back ON')}, "
+        + "a AS (SELECT " + ", ".join(f"avg(x.{m}) AS a_{m}, avg(y.{m}) AS b_{m}" for m in E.METRICS) + " FROM metrics x JOIN metrics1 y USING (query)) "
+        + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(a_{m}, 6) AS first, round(b_{m}, 6) AS second, round(b_{m} - a_{m}, 6) AS delta, CASE WHEN a_ndcg + a_mrr >= b_ndcg + b_mrr THEN 'first' ELSE 'second' END AS winner FROM a" for m in E.METRICS),
+    ),
+    "eval_worst": (
+        lambda spark, d: E.worst(measured("l2")(spark, d)).select("query", "mrr"),
+        f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid')} {O.JUDGED} SELECT query, mrr FROM metrics WHERE mrr < 1 ORDER BY mrr, query LIMIT 5",
     ),
-}
+}
 
 
 def queries() -> dict[str, Query]:

@@ -1,7 +1,7 @@
-"""Session state over a stream of events: reads that an engine call guided, and the nudge limit.
+"""Session state over a stream of events: what guided a read, what the session last asked for, and the nudge limit.
 
-The batch twins are ``operators.telemetry.guided_reads`` and ``nudges``; both answer
-the same rows when events of a session arrive in the order of time.
+The batch twins are ``operators.telemetry.guided_reads``, ``selectors`` and ``nudges``;
+both answer the same rows when events of a session arrive in the order of time.
 """
 
 from __future__ import annotations
@@ -10,43 +10,57 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkloom.functions import exprs as X
+from sparkloom.operators.telemetry import warned
 
-OUT = "sid long, seq long, guided_by string, nudge int"
-STATE = "engine boolean, short string, nudges int"
+OUT = "sid long, seq long, guided_by string, nudge int, last_query string, last_symbol string, last_chunk string"
+STATE = "tool string, engine_at timestamp, native_at timestamp, nudges int, query string, symbol string, chunk string"
 
 
-def follow(events: DataFrame, most_nudges: int = 3, idle: str = "2 hours") -> DataFrame:
-    """Per event of note: the engine tool that guided a code read, and the number of a native exploration's nudge.
+def follow(payloads: DataFrame, most_nudges: int = 3, idle: str = "2 hours") -> DataFrame:
+    """Per call: the engine tool that guided a code read, the number of its nudge, and what the session knew before it.
 
-    ``events`` streams (sid, seq, t, tool, is_code). State is a few values a session and
-    is dropped when the watermark passes its last event by ``idle``.
+    ``payloads`` streams sid, seq, t, tool, path, query, symbol and chunk_id. State is a
+    few values a session and is dropped when the watermark passes its last event by
+    ``idle``. Whether a call is warned of and what it is are expressions on the stream.
     """
-    events = events.withColumn("t", events.t.cast("timestamp"))
-    marked = events.withColumn("category", X.categorize(events.tool)).withColumn("short", X.tool_short(events.tool))
+    rows = payloads.withColumn("t", F.col("t").cast("timestamp"))
+    rows = rows.withColumns({"category": X.categorize(F.col("tool")), "short": X.tool_short(F.col("tool")), "is_code": F.coalesce(X.is_code_path(F.col("path")), F.lit(False))})
+    reason = X.reason_code(F.col("tool"), F.col("path"), F.col("query"))
+    rows = rows.withColumn("reason_code", F.when(F.col("category") == "native", reason))
+    rows = rows.withColumn("warned", F.coalesce(warned() & F.col("reason_code").isNull(), F.lit(False)))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        engine, short, nudges = state.get if state.exists else (False, "", 0)
-        rows, last = [], None
+        tool, engine_at, native_at, nudges, *known = state.get if state.exists else (None, None, None, 0, None, None, None)
+        out, last = [], None
         for r in pd.concat(list(batches)).sort_values(["t", "seq"]).itertuples():
-            guided = short if engine and r.is_code and r.tool == "Read" else None
+            free = engine_at is not None and (native_at is None or native_at < engine_at)
+            led = tool if free and r.short == "Read" and r.is_code else None
             nudge = None
-            if r.category == "native" and r.is_code and nudges < most_nudges:
+            if r.warned and nudges < most_nudges:
                 nudges += 1
                 nudge = nudges
-            if guided or nudge:
-                rows.append((key[0], r.seq, guided, nudge))
-            if r.category in ("engine", "native"):
-                engine, short = r.category == "engine", r.short
+            out.append((key[0], r.seq, led, nudge, *known))
+            if r.category == "engine":
+                tool, engine_at = r.short, r.t
+                said = lambda x: x.strip()[:200] or None if isinstance(x, str) else None
+                if r.short == "search":
+                    known[0] = said(r.query) or known[0]
+                else:
+                    known[1] = said(r.symbol) or known[1]
+                    known[2] = (said(r.chunk_id) if r.short == "source" else None) or known[2]
+            elif r.category == "native":
+                native_at = r.t
             last = r.t
-        state.update((engine, short, nudges))
+        state.update((tool, engine_at, native_at, nudges, *known))
         if last is not None:
             state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1000 * int(pd.Timedelta(idle).total_seconds()))
-        yield pd.DataFrame(rows, columns=["sid", "seq", "guided_by", "nudge"]).astype({"nudge": "Int32"})
+        yield pd.DataFrame(out, columns=["sid", "seq", "guided_by", "nudge", "last_query", "last_symbol", "last_chunk"]).astype({"nudge": "Int32"})
 
-    return marked.withWatermark("t", idle).groupBy("sid").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.withWatermark("t", idle).groupBy("sid").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
