@@ -43,11 +43,11 @@ ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 
 
 class Element:
-    __slots__ = ("digest", "drop", "linked", "names", "parts", "shape", "size", "tag")
+    __slots__ = ("digest", "drop", "linked", "menu", "names", "parts", "shape", "size", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.parts, self.names = tag, [], ""
-        self.digest, self.shape, self.size, self.linked = b"", b"", 0, 0
+        self.digest, self.shape, self.menu, self.size, self.linked = b"", b"", b"", 0, 0
         self.drop = tag in NOT_TAGS
         if attrs:
             for k, v in ATTR.findall(attrs):
@@ -165,7 +165,8 @@ def digests(element: Element) -> Iterator[bytes]:
         if e.tag in CONTAINERS:
             yield e.digest
         if e.tag in CONTAINERS and not own and e.size and 2 * e.linked >= e.size:
-            yield e.shape
+            e.menu = e.shape
+            yield e.menu
 
 
 def main_parts(root: Element) -> list[Element]:
@@ -204,7 +205,7 @@ def main_text(root: Element, template: set[bytes]) -> str:
                 flush()
             elif e.tag == "br":
                 run.append(" ")
-            elif not (e.drop or (e.tag in CONTAINERS and (e.digest in template or e.shape in template))):
+            elif not (e.drop or (e.tag in CONTAINERS and (e.digest in template or e.menu in template))):
                 if e.tag in BLOCKS:
                     flush()
                     todo.append(None)
