@@ -1,9 +1,11 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = sigmoid(w . x - theta_k) with one weight vector for all ordered
-thresholds; the answer is the expected grade. Grades are the labels' alone: 0 is not
-toxic, 1 toxic in a text of good quality, 2 toxic in one of bad quality. Features say
-that a word or a word's first four or five letters occur in the text. Fitted on a
+thresholds; the answer is the expected grade. Labels only say whether a text is toxic,
+so its grade is taken from other texts: the sample is parted in two, and a toxic text of
+one part has grade 1, 2 or 3 by the share of its words that stand, in the other part, in
+toxic texts alone. No text's grade comes from its own label's effect on the words.
+Features say that a word or a word's first four or five letters occur in the text. Fitted on a
 bounded sample of labelled rows (``sample`` of each label, by hash of doc_id), then
 applied to every document where it lies: the model has an entry for each feature that
 tells the sample's labels apart, and no more.
@@ -24,6 +26,8 @@ from sparkloom.llm.common import durable
 WORD = re.compile(r"[^\W\d_]+")
 #: Least G statistic of a feature; chance exceeds it for one in 600.
 TELLING = 10
+#: Lower bounds of the share of words that the other part has in toxic texts alone, for grades 2 and 3.
+DENSE = (0.01, 0.03)
 
 
 def text_features(text: str | None) -> set[str]:
@@ -33,10 +37,8 @@ def text_features(text: str | None) -> set[str]:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """d (doc_id), t (toxic), grade and f (features) of at most ``sample`` labelled documents of either label, the first by hash."""
-    marked = labels.select(F.col("doc_id").alias("d"), F.col("toxic").alias("t"), "quality").where("d is not null and t in (0, 1)")
-    marked = marked.groupBy("d").agg(F.max("t").alias("t"), F.min(F.when(F.col("t") == 1, F.coalesce("quality", F.lit(1)))).alias("q"))
-    marked = marked.select("d", "t", F.when(F.col("t") == 0, 0).when(F.col("q") == 0, 2).otherwise(1).alias("grade"))
+    """d (doc_id), t (toxic), part (0 or 1), f (features) and n_words (distinct words) of at most ``sample`` labelled documents of either label, the first by hash."""
+    marked = labels.select(F.col("doc_id").alias("d"), F.col("toxic").alias("t")).where("d is not null and t in (0, 1)").groupBy("d").agg(F.max("t").alias("t"))
     picked = [marked.where(F.col("t") == t).orderBy(F.xxhash64("d"), "d").limit(sample) for t in (0, 1)]
     ids = picked[0].unionByName(picked[1])
     kind = dict(docs.dtypes)["doc_id"]
@@ -44,19 +46,20 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [sorted(text_features(x.as_py())) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(sets, pa.list_(pa.string()))], ["d", "t", "grade", "f"])
+            words = pa.array([sum(w[-1] != "*" for w in x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(sets, pa.list_(pa.string())), words], ["d", "t", "part", "f", "n_words"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("d")).select("doc_id", F.col("t").cast("int"), "grade", "text")
-    return texts.distinct().mapInArrow(run, f"d {kind}, t int, grade int, f array<string>")
+    part = F.pmod(F.shiftright(F.xxhash64("d"), 7), F.lit(2)).cast("int")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("d")).select("doc_id", F.col("t").cast("int"), part.alias("part"), "text")
+    return texts.distinct().mapInArrow(run, f"d {kind}, t int, part int, f array<string>, n_words long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, rounds: int = 500, ridge: float = 0.01) -> dict:
     """The model: weights by feature, thresholds, and the cut of P(grade > 0) with the best F1 on the sample,
     its labels weighted as in the whole table.
 
-    ``labels`` has doc_id, toxic and quality. Rows without a doc_id or a toxic of 0 or 1
-    are not labels; of several labels of a document the worst counts, a null quality as
-    good. Null and empty texts have no features; equal rows of a document count once,
+    ``labels`` has doc_id and toxic. Rows without a doc_id or a toxic of 0 or 1
+    are not labels; of several labels of a document the worst counts. Null and empty texts have no features; equal rows of a document count once,
     different texts of it each. Features are all those of the sample with a G statistic
     of presence against label of TELLING or more. Without a document of either label
     (an empty table too) the model says grade 0 for all. doc_ids are of any type that
@@ -67,20 +70,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, rounds: int = 50
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return {"cut": 0.5, "weights": {}, "thetas": [30.0]}
-    each = drawn.select("r", "t", F.explode("f").alias("f"))
+    each = drawn.select("r", "t", "part", F.explode("f").alias("f"))
     part = lambda x, m: F.when(F.col(x) > 0, 2 * F.col(x) * F.log(F.col(x) * (n1 + n0) / ((F.col("a") + F.col("b")) * m))).otherwise(0)
-    told = each.groupBy("f").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b")).withColumn("g", part("a", n1) + part("b", n0))
-    names = sorted(r["f"] for r in told.where(F.col("g") >= TELLING).select("f").collect())
+    both = [F.sum(F.when(F.col("part") == k, F.col("t")).otherwise(0)).alias(f"a{k}") for k in (0, 1)] + [F.sum(F.when(F.col("part") == k, 1 - F.col("t")).otherwise(0)).alias(f"b{k}") for k in (0, 1)]
+    told = each.groupBy("f").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b"), *both).withColumn("g", part("a", n1) + part("b", n0))
+    told = sorted(told.where(F.col("g") >= TELLING).select("f", "a0", "a1", "b0", "b1").collect(), key=lambda r: r["f"])
+    names = [r["f"] for r in told]
     number = {f: k for k, f in enumerate(names)}
-    rows = drawn.select("r", "t", "grade")
+    only = [{r["f"] for r in told if r[f"a{k}"] and not r[f"b{k}"] and r["f"][-1] != "*"} for k in (0, 1)]
+    rows = drawn.select("r", "t", "part", "n_words")
     if names:
         known = drawn.sparkSession.createDataFrame([(f,) for f in names], "f string")
         held = each.join(F.broadcast(known), "f").groupBy("r").agg(F.array_sort(F.collect_list("f")).alias("held"))
-        rows = rows.join(held, "r", "left").select("t", "grade", F.coalesce("held", F.array().cast("array<string>")).alias("held"))
+        rows = rows.join(held, "r", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
     else:
-        rows = rows.select("t", "grade", F.array().cast("array<string>").alias("held"))
-    rows = sorted(rows.collect(), key=lambda r: (r["grade"], r["held"]))  # equal rows are alike: the sums below are the same in every run
-    toxic, grade = np.array([r["t"] for r in rows]), np.array([r["grade"] for r in rows])
+        rows = rows.withColumn("held", F.array().cast("array<string>"))
+    rows = sorted(rows.select("t", "part", "n_words", "held").collect())  # equal rows are alike: the sums below are the same in every run
+    toxic = np.array([r["t"] for r in rows])
+    share = np.array([len(only[1 - r["part"]].intersection(r["held"])) / max(1, r["n_words"]) for r in rows])
+    grade = toxic * (1 + sum((share >= d).astype(int) for d in DENSE))
     hits = [[number[f] for f in r["held"]] for r in rows]
     levels = np.unique(grade)
     doc = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
