@@ -49,7 +49,7 @@ def test_tools(spark):
 def test_symbols_of_names(spark):
     rows = ["src/UserStore.d.ts", "user-store.ts", "a/index.ts", "plain.py", "Ab.kt", ""]
     assert [r[0] for r in spark.createDataFrame([(x,) for x in rows], "p string").select(X.symbol_of_path(F.col("p"))).collect()] == ["UserStore", "UserStore", None, None, None, None]
-    rows = ["user_service", "a.b.UserX", "`Foo1`", "word", "src/My.kt", "ab", "  "]
+    rows = ["user_service", "a.b.UserX()", "`Foo1`", "word", "src/My.kt", "ab", "  "]
     assert [r[0] for r in spark.createDataFrame([(x,) for x in rows], "p string").select(X.symbol_of(F.col("p"))).collect()] == ["UserService", "UserX", "Foo1", None, None, None, None]
 
 

@@ -33,7 +33,7 @@ def test_lexical_search_prefers_the_symbol(spark):
     )
     plans = P.plan(spark.createDataFrame([(7, "UserStore")], "qid long, query string"))
     got = R.lexical(c, plans, 5).orderBy("rank").collect()
-    assert [r.id for r in got] == ["1", "2"] and got[0].variants == "broad,exact,strict,symbol_path"
+    assert [r.id for r in got] == ["1", "2"] and got[0].variants == "broad,exact,symbol_path"
     assert R.lexical(c, plans, 5, {"tags": ("code",), "kind": "class"}).count() == 2 and R.lexical(c, plans, 5, {"language": "dart"}).count() == 0
 
 
