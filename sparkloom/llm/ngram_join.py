@@ -42,7 +42,7 @@ from sparkloom.llm.shingles import shingle_set, text_words
 SKETCH, CELL = (2**18, 2**24), 2**14
 BITS = 512
 #: Documents of a group in one block; groups over HOT are in the first rounds, in parts of about PART documents.
-BLOCK, HOT, PART, ROUNDS = 256, 8, 8, 4
+BLOCK, HOT, PART, ROUNDS = 256, 8, 48, 2
 #: Earlier shingles of large groups that a document is known by in such a group.
 EARLY = 64
 #: Rows of at most 50 bytes up to which a counted side is broadcast.
