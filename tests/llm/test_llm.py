@@ -645,6 +645,30 @@ def test_toxicity_of_unseen_documents(spark):
     assert sum(r.said == bool(r.toxic) for r in rest) >= 0.97 * len(rest) > 1500
 
 
+def test_pipeline_stages_on_odd_rows(spark, edge, empty):
+    import corpus_pipeline
+
+    odd = edge.withColumns({"kept_lines": F.lit("v"), "__lost": F.lit(1), "_d": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long"), "a.b": F.lit(2)})
+    text = {-1: EDGE[3][1]} | {r[0]: r[1] for r in EDGE if r[0] is not None}
+    wanted = {  # every row of the edge table but 1 to 3 has words; none has 50 different ones; 4 stands twice
+        "quality_rules": [], "line_dedup": [-1, 1, 2, 3, 4, 4, 5, 6], "near_duplicates": [-1, 1, 2, 3, 4, 5, 6], "mix_sources": None, "bpe": [-1, 1, 2, 3, 4, 4, 5, 6],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, DATA)
+        rows = out.collect()
+        ids = sorted(-1 if r.doc_id is None else r.doc_id for r in rows)
+        if name == "bpe":
+            model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            assert all(r.ids == model.encode(text[-1 if r.doc_id is None else r.doc_id] or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids) for r in rows)
+        else:
+            assert out.columns == odd.columns and all(r.kept_lines == "v" and r["a.b"] == 2 and (r.text is None or r.n_chars == len(r.text)) for r in rows), name
+        if wanted[name] is None:
+            assert set(ids) <= {-1, 4, 5, 6} and sum(len(split(r.text)) for r in rows) == sum(r.taken for r in mixing.mix(odd).collect())
+        else:
+            assert ids == wanted[name], name
+        assert stage(spark, empty, DATA).count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
