@@ -280,8 +280,8 @@ a AS (SELECT kind, count(*) AS sampled, CAST(sum(tr) AS BIGINT) AS tokens_raw FR
     ),
     "lookup_definitions": (chunks(lambda c: S.definitions(c, O.SYMBOL)), f"WITH {O.CHUNKS} SELECT id, path, kind, symbol_name, signature, module, start_line || '-' || end_line AS lines FROM chunks WHERE symbol_name = 'The' OR ends_with(lower(symbol_fqname), 'the')"),
     "lookup_usages": (
-        chunks(lambda c: S.usages(c, "Thouor")),
-        f"WITH {O.CHUNKS}, m AS (SELECT id, path, list_contains(list_transform(uses, lambda u: lower(u)), 'thouor') AS named, list_contains({O.TERMS.format('text_raw').replace('{{', '{').replace('}}', '}')}, 'thouor') AS held, symbol_name FROM chunks) SELECT id, path, CASE WHEN named THEN 'uses' ELSE 'text' END AS via FROM m WHERE symbol_name <> 'Thouor' AND (named OR held)",
+        chunks(lambda c: S.usages(c, "Eriner")),
+        f"WITH {O.CHUNKS}, m AS (SELECT id, path, list_contains(list_transform(uses, lambda u: lower(u)), 'eriner') AS named, list_contains({O.TERMS.format('text_raw').replace('{{', '{').replace('}}', '}')}, 'eriner') AS held, symbol_name FROM chunks) SELECT id, path, CASE WHEN named THEN 'uses' ELSE 'text' END AS via FROM m WHERE symbol_name <> 'Eriner' AND (named OR held)",
     ),
     "source_context": (
         lambda spark, d: S.sources(V.chunks(spark, d), V.files(spark, d), O.SYMBOL, 3, 2).withColumn("source", F.sha2("source", 256)),
@@ -289,7 +289,7 @@ a AS (SELECT kind, count(*) AS sampled, CAST(sum(tr) AS BIGINT) AS tokens_raw FR
 SELECT id, path, kind, symbol_name, start_line || '-' || end_line AS lines, sha256(text_raw) AS source, CASE WHEN {O.strip('b')} <> '' THEN b END AS before, CASE WHEN {O.strip('a')} <> '' THEN a END AS after FROM s""",
     ),
     "deps_forward": (chunks(lambda c: S.forward(c, O.SYMBOL)), f"WITH {O.CHUNKS}, u AS (SELECT DISTINCT unnest(uses) AS u FROM chunks WHERE symbol_name = 'The' OR ends_with(lower(symbol_fqname), 'the')) SELECT DISTINCT symbol_name, path, kind, module FROM chunks WHERE symbol_name IN (SELECT u FROM u)"),
-    "deps_reverse": (chunks(lambda c: S.reverse(c, "Thouor")), f"WITH {O.CHUNKS} SELECT DISTINCT symbol_name, path, kind, module FROM chunks WHERE list_contains(list_transform(uses, lambda u: lower(u)), 'thouor') AND symbol_name <> 'Thouor'"),
+    "deps_reverse": (chunks(lambda c: S.reverse(c, "Eriner")), f"WITH {O.CHUNKS} SELECT DISTINCT symbol_name, path, kind, module FROM chunks WHERE list_contains(list_transform(uses, lambda u: lower(u)), 'eriner') AND symbol_name <> 'Eriner'"),
     "dependency_counts": (
         chunks(S.dependency_counts),
         f"WITH {O.CHUNKS}, e AS (SELECT DISTINCT lower(symbol_name) AS s, lower(u) AS u FROM (SELECT symbol_name, unnest(uses) AS u FROM chunks)), l AS (SELECT * FROM e WHERE s <> u AND u IN (SELECT lower(symbol_name) FROM chunks)), b AS (SELECT s, 1 AS f, 0 AS r FROM l UNION ALL SELECT u, 0, 1 FROM l) SELECT s AS symbol, CAST(sum(f) AS BIGINT) AS forward, CAST(sum(r) AS BIGINT) AS reverse FROM b GROUP BY s",
