@@ -17,11 +17,18 @@ only ones that pass a window without a partition.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkloom.llm.common import NOT_WS, WS, durable, names_beside, words
+from sparkloom.llm.common import NOT_WS, durable, names_beside, words
+
+WORD = re.compile(f"{NOT_WS}+")
 
 #: floor(2**31 / golden ratio), made odd: (i * GOLDEN) mod 2**31 walks the golden-ratio points in integers.
 GOLDEN = 1327217885
@@ -166,7 +173,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int =
     one of a text with what follows); a document within one slot stands there unchanged.
     ``n_chars``, where it is a column, follows the piece. Texts without words are in no
     slot. Rows, nulls and empty tables as in ``mix``; other columns are handed on, whatever
-    their names. Rows are written by ranges of slots, in order.
+    their names. Each file holds stretches of the schedule, in order.
     """
     d, r, slot, p, first, last = names_beside(docs, "d", "r", "slot", "p", "first", "last")
     pieces, _, plan = scheduled(docs, weights, repeats, block, seed)
@@ -182,11 +189,34 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int =
         keyed = keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", r]))
     renamed = pieces.select(F.col("doc_id").alias(d), F.col("rk").alias(p), F.col("slot").alias(slot), F.col("p").alias(first + "_p"), F.col("from_word").alias(first), F.col("to_word").alias(last), F.col("size").alias(slot + "_n"))
     out = keyed.join(renamed, keyed["doc_id"].eqNullSafe(renamed[d]) & (keyed[r] == renamed[p]))
-    units = F.regexp_extract_all("text", F.lit(rf"{WS}*+{NOT_WS}++(?:{WS}++\z)?"), F.lit(0))
-    part = F.array_join(F.slice(units, F.col(first).cast("int") + 1, (F.col(last) - F.col(first)).cast("int")), "")
-    whole = (F.col(first) == 0) & (F.col(last) == F.col(slot + "_n"))
-    text = F.when(whole, F.col("text")).otherwise(part)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"]))
-    out = out.withColumn("text", text).repartitionByRange(files, slot, first + "_p").sortWithinPartitions(slot, first + "_p")
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    n_slots = (pieces.agg(F.max("slot")).first()[0] or 0) + 1
+    stretch = F.floor(F.col(slot) * files / n_slots)
+    out, n_columns = out.drop(d, p, r), len(docs.columns)
+    kept, names = StructType([*docs.schema, StructField(slot, LongType()), StructField(first + "_p", LongType())]), out.columns
+    at_text, at_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    at_slot, at_p, at_from, at_to, at_n = (names.index(c) for c in (slot, first + "_p", first, last, slot + "_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}  # where each word ends, of the last texts that were cut: a text's pieces come one after the other
+        for batch in batches:
+            texts, chars = [], []
+            for text, low, high, n in zip(batch.column(at_text), *(batch.column(c).to_pylist() for c in (at_from, at_to, at_n)), strict=True):
+                text = text.as_py()
+                if low > 0 or high < n:
+                    if (ends := known.get(text)) is None:
+                        if len(known) > 4:
+                            known.clear()
+                        ends = known[text] = [m.end() for m in WORD.finditer(text)]
+                    text = text[ends[low - 1] if low else 0 : ends[high - 1] if high < n else len(text)]
+                    chars.append(len(text))
+                else:
+                    chars.append(None)
+                texts.append(text)
+            columns = [batch.column(c) for c in range(n_columns)]
+            columns[at_text] = pa.array(texts, batch.schema.field(at_text).type)
+            if at_chars is not None:
+                columns[at_chars] = pc.coalesce(pa.array(chars, pa.int64()).cast(columns[at_chars].type), columns[at_chars])
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(at_slot), batch.column(at_p)], kept.names)
+
+    cut = out.mapInArrow(run, kept)
+    return cut.repartition(files, stretch).sortWithinPartitions(slot, first + "_p").select(*[f"`{c}`" for c in docs.columns])
