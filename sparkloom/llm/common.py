@@ -14,12 +14,14 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that ends a word: U+0020 and U+0009 to U+000D, and nothing else.
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
+#: Rows of a few numbers up to which a counted table is broadcast.
+SMALL = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +98,24 @@ def maybe_broadcast(df: DataFrame, rows: int, entries: Column | None = None) ->
     return F.broadcast(df) if small else df
 
 
+def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """``df``, written, with ``place`` (its row's number in its group in that order, from 0), ``total`` (the group's rows), ``part`` and ``seq``.
+
+    A group of any size is spread: rows are dealt by ranges of group and order, numbered
+    within each range, and the ranges' counts give each one's offset. Rows that tie get
+    the places in any order. Within a ``part`` rows lie by ``seq``.
+    """
+    tied = df.withColumn("seq", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(group, *order, "seq").sortWithinPartitions(group, *order, "seq")
+    dealt = durable(dealt.withColumn("seq", F.monotonically_increasing_id()).withColumn("part", F.shiftright("seq", 33)))
+    counts = dealt.groupBy("part", group).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = durable(counts.select(F.col("part").alias("p"), F.col(group).alias("g"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"), F.sum("n").over(whole).alias("total")))
+    joined = dealt.join(maybe_broadcast(offsets, SMALL), (F.col("part") == F.col("p")) & F.col(group).eqNullSafe(F.col("g")))
+    return joined.withColumn("place", F.col("seq") + F.col("offset")).drop("p", "g", "offset")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b): rows (node, component), component the smallest node reached.
 

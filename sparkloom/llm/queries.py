@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, oracles, pii, quality, toxicity
+from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, merkle, mixing, ngram_join, oracles, pii, quality, toxicity
 from sparkloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents")).drop("lang", "siblings")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_html_text": op9_html_text,
         "op10_ngram_join": op10_ngram_join,
+        "op11_merkle": op11_merkle,
     }
 
 
