@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, merkle, mixing, ngram_join, oracles, pii, quality, toxicity
+from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, merkle, mixing, ngram_join, oracles, pii, quality, token_counts, toxicity
 from sparkloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The vocabulary files of the BPE operator and of the lattice model; parameters of them.
+#: The vocabulary files of the BPE operator, the token counts and the lattice model; parameters of them.
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
 RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -65,6 +66,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents")).drop("lang", "siblings")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), PIECES_FILE)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -78,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op9_html_text": op9_html_text,
         "op10_ngram_join": op10_ngram_join,
         "op11_merkle": op11_merkle,
+        "op12_token_counts": op12_token_counts,
     }
 
 

@@ -17,9 +17,12 @@ next one's entries. Then a scan in groups of chunks composes the maps of each te
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter as Tally
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import durable
 
 #: Characters of a chunk, characters before it that give its first entry, and maps that a step of the scan composes.
-CHUNK, BEFORE, GROUP = 1 << 18, 256, 64
-#: States and word counts kept in a worker; beyond it they are found anew.
-KEPT = 150_000
+CHUNK, BEFORE, GROUP = 1 << 15, 256, 64
+#: States (some 500 bytes each) and counts of words (some 150) kept in a worker; beyond it they are found anew.
+KEPT, WORDS = 200_000, 400_000
 SPACE = "▁"
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Characters of the longest word whose count is kept.
+LONG = 64
 
 
 class Transducer:
@@ -138,7 +144,7 @@ class Transducer:
         """The state and the count after a text read from a state."""
         if len(self.names) > KEPT:
             self.states, self.rows, self.names = {}, [], []
-        if len(self.fits) > 4 * KEPT:
+        if len(self.fits) > WORDS:
             self.fits = {}
         n, count = self.number(entry), 0
         rows, step = self.rows, self.step
@@ -160,32 +166,21 @@ class Counter:
         # A space ends what no piece holds together with it.
         self.apart = all(b != SPACE or a == SPACE for a, b in machine.beside)
 
-    def words(self, text: str) -> Iterator[str]:
-        """The text in parts that no token joins: a run of spaces and what follows up to the next; the whole where pieces hold inner spaces."""
-        if not self.apart:
-            yield text
-            return
-        spaces = ""
-        for part in text.split(SPACE):
-            if part:
-                yield spaces + part
-                spaces = SPACE
-            else:
-                spaces += SPACE
-        if len(spaces) > 1:
-            yield spaces[:-1]
+    def words(self, text: str) -> list[str]:
+        """A text that begins with a space in parts that no token joins: a run of spaces and what follows up to the next; the whole where pieces hold inner spaces."""
+        return WORD.findall(text) if self.apart else [text]
 
     def count(self, text: str) -> int:
         total, known = 0, self.known
-        for word in self.words(text):
+        for word, times in Tally(self.words(text)).items():
             n = known.get(word)
             if n is None:
                 n = self.machine.run(word)[1]
-                if len(word) <= 64:
-                    if len(known) > KEPT:
+                if len(word) <= LONG:
+                    if len(known) > WORDS:
                         known.clear()
                     known[word] = n
-            total += n
+            total += n * times
         return total
 
 
@@ -202,3 +197,97 @@ MADE: dict[str, Counter] = {}
 def escaped(text: str) -> str:
     """A text as the vocabulary reads it: one space before it, spaces as U+2581; an empty one stays."""
     return SPACE + text.replace(" ", SPACE) if text else ""
+
+
+MAPS = "doc_id {}, n_bytes long, key long, i long, entry string, exit string, n_tokens long"
+
+
+def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK, most: int = 4096) -> DataFrame:
+    """doc_id, n_bytes (UTF-8), n_tokens and over_limit (over ``most`` tokens) of every row's whole text.
+
+    ``path`` is a sentencepiece file of merges by score, read without its begin and end;
+    strings of its special tokens are text like any other. Null and empty texts have no
+    bytes and no tokens. Repeated rows and rows without a doc_id are rows like others,
+    no rows give none, other columns are not read. A text of over ``chunk`` characters is
+    counted in chunks by several tasks.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    short = rows.where(F.length("text") <= chunk)
+    key_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counters(path)
+        for batch in batches:
+            counts = [counter.count(escaped(x.as_py())) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    out = short.mapInArrow(whole, f"doc_id {key_type}, n_bytes long, n_tokens long")
+    out = out.unionByName(chunked(rows.where(F.length("text") > chunk), path, chunk))
+    return out.withColumn("over_limit", F.col("n_tokens") > most)
+
+
+def chunked(rows: DataFrame, path: str, chunk: int) -> DataFrame:
+    """doc_id, n_bytes and n_tokens of texts, each cut into chunks that are mapped apart and composed."""
+    key_type = rows.schema["doc_id"].dataType.simpleString()
+    maps_schema = MAPS.format(key_type)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_bytes", "key", "i", "before", "text"]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text = escaped(batch.column(3)[at].as_py())
+                for low in range(0, len(text), chunk * 16):  # so many chunks a batch
+                    starts = range(low, min(low + chunk * 16, len(text)), chunk)
+                    same = [pa.concat_arrays([batch.column(c).slice(at, 1)] * len(starts)) for c in range(3)]
+                    pieces = [pa.array([s // chunk for s in starts], pa.int64()), pa.array([text[max(0, s - BEFORE) : s] for s in starts]), pa.array([text[s : s + chunk] for s in starts])]
+                    yield pa.RecordBatch.from_arrays([*same, *pieces], names)
+
+    keyed = rows.select("doc_id", "n_bytes", F.monotonically_increasing_id().alias("key"), "text")
+    pieces = durable(keyed.mapInArrow(cut, f"doc_id {key_type}, n_bytes long, key long, i long, before string, text string").repartition("key", "i"))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = counters(path).machine
+        for batch in batches:
+            entries, exits, counts = [], [], []
+            for before, text, entry in zip(*(batch.column(c) for c in ("before", "text", "entry")), strict=True):
+                state = loaded(entry.as_py()) if entry.is_valid else machine.run(before.as_py())[0]
+                end, n = machine.run(text.as_py(), state)
+                entries.append(json.dumps(state))
+                exits.append(json.dumps(end))
+                counts.append(n)
+            done = [batch.column(c) for c in ("doc_id", "n_bytes", "key", "i")]
+            yield pa.RecordBatch.from_arrays([*done, pa.array(entries, pa.string()), pa.array(exits, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "key", "i", "entry", "exit", "n_tokens"])
+
+    start = json.dumps(Transducer.START)
+    maps = durable(pieces.withColumn("entry", F.when(F.col("i") == 0, start)).mapInArrow(mapped, maps_schema))
+    while True:
+        left = maps.select("key", (F.col("i") + 1).alias("i"), F.col("exit").alias("entry")).distinct()
+        wanted = durable(left.join(maps, ["key", "i", "entry"], "left_anti").join(maps.select("key", "i").distinct(), ["key", "i"], "left_semi"))
+        if wanted.isEmpty():
+            break
+        maps = durable(maps.unionByName(pieces.join(wanted, ["key", "i"]).mapInArrow(mapped, maps_schema)))
+
+    def composed(maps: pa.Table) -> pa.Table:
+        """The maps of consecutive chunks as one; entries without a way through are no text's."""
+        rows = sorted(maps.to_pylist(), key=lambda r: r["i"])
+        first, last = rows[0]["i"], rows[-1]["i"]
+        ways = {r["entry"]: (r["exit"], r["n_tokens"]) for r in rows if r["i"] == first}
+        for i in range(first + 1, last + 1):
+            step = {r["entry"]: (r["exit"], r["n_tokens"]) for r in rows if r["i"] == i}
+            ways = {a: (step[b][0], n + step[b][1]) for a, (b, n) in ways.items() if b in step}
+        out = [rows[0] | {"i": first // GROUP, "entry": a, "exit": b, "n_tokens": n} for a, (b, n) in ways.items()]
+        return pa.Table.from_pylist(out, maps.schema)
+
+    while (maps.agg(F.max("i")).first()[0] or 0) > 0:
+        maps = durable(maps.groupBy("key", F.floor(F.col("i") / GROUP).alias("g")).applyInArrow(composed_of(composed), maps_schema))
+    return maps.where(F.col("entry") == start).select("doc_id", "n_bytes", "n_tokens")
+
+
+def composed_of(f):
+    """A group's function of its rows alone, its key and the grouping column left out."""
+    return lambda table: f(table.select(["doc_id", "n_bytes", "key", "i", "entry", "exit", "n_tokens"]))
+
+
+def loaded(state: str) -> tuple:
+    return tuple((node, last, more) for node, last, more in json.loads(state))
