@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, merkle, mixing, ngram_join, oracles, pii, quality, token_counts, toxicity
+from sparkloom.llm import bpe, embed_dedup, html_text, lattice_lm, line_dedup, merkle, mixing, ngram_join, oracles, pii, prefix_trie, quality, token_counts, toxicity
 from sparkloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), PIECES_FILE)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op10_ngram_join": op10_ngram_join,
         "op11_merkle": op11_merkle,
         "op12_token_counts": op12_token_counts,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
