@@ -32,3 +32,54 @@ EMBED_DEDUP = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[]
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
 pair AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), nodes AS (SELECT vec_id AS id FROM embeddings), {REACH}
 SELECT id AS vec_id, (SELECT count(*) FROM pair WHERE a = id) AS n_links, component_id, component_id = id AS kept FROM comp"""
+
+#: crc32 of a text of digits: a table of bytes, then the text's bytes in order.
+CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS r(i)))"
+
+
+def crc32(text: str) -> str:
+    """crc32 of a text, in a query that also reads ``crc``."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def _levels(name: str, count: int) -> str:
+    """The levels ``name``1 and on above ``name``0 (tree, i, h, n), and the proofs ``name``p1 and on of ``name``p0 (doc_id, tree, i, n, acc, proof, ...)."""
+    out = []
+    for k in range(count):
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, i // 2 AS i, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (n + 1) // 2 AS n FROM {name}{k} GROUP BY tree, i // 2, n)")
+        out.append(
+            f"{name}p{k + 1} AS MATERIALIZED (SELECT q.* REPLACE (q.i // 2 AS i, (q.n + 1) // 2 AS n, proof || coalesce(s.h, '') AS proof, CASE WHEN q.n = 1 THEN acc WHEN s.h IS NULL THEN sha256(acc) WHEN q.i % 2 = 1 THEN sha256(s.h || acc) ELSE sha256(acc || s.h) END AS acc)"
+            f" FROM {name}p{k} q LEFT JOIN {name}{k} s ON s.tree = q.tree AND s.i = xor(q.i, 1))"
+        )
+    return ",\n".join(out)
+
+
+#: Up to 2**16 rows of a language and 2**6 languages.
+MERKLE = f"""WITH {CRC_TABLE},
+d AS (SELECT *, {_leaf('n_chars')} AS leaf, CASE WHEN {crc32('doc_id::VARCHAR')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS bad, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM documents, crc),
+o AS MATERIALIZED (SELECT doc_id, leaf, bad, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+a0 AS MATERIALIZED (SELECT tree, i, leaf AS h, n FROM o), ap0 AS MATERIALIZED (SELECT doc_id, tree, i, n, leaf, bad AS acc, '' AS proof FROM o),
+{_levels('a', 16)},
+b0 AS MATERIALIZED (SELECT 0 AS tree, tree AS i, h, count(*) OVER () AS n FROM a16), bp0 AS MATERIALIZED (SELECT doc_id, 0 AS tree, p.tree AS i, b.n, leaf, acc, proof, b.h AS subroot FROM ap16 p JOIN b0 b ON b.i = p.tree),
+{_levels('b', 6)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = h AS verified FROM bp6, b6"""
+
+PREFIX_TRIE = f"""WITH {CRC_TABLE},
+o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, {crc32('conv_id::VARCHAR')} % 4 AS h FROM o, crc),
+r AS (SELECT h.conv_id, coalesce(b.ts, [])[1:h] || h.ts[h + 1:] AS ts FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, ts[1:d] AS k, d, d = len(ts) AS last FROM (SELECT *, unnest(range(len(ts) + 1)) AS d FROM r)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256,
+ CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(k[d].t, '{WS}'), lambda w: w <> '')) END AS words FROM p GROUP BY k, d),
+c AS (SELECT a.k, a.d, count(b.d) AS n_children FROM n a LEFT JOIN n b ON b.d = a.d + 1 AND b.k[1:a.d] = a.k GROUP BY a.k, a.d),
+s AS (SELECT a.k, a.d, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved FROM c a JOIN c b ON b.d >= a.d AND b.k[1:a.d] = a.k JOIN n ON n.k = b.k AND n.d = b.d GROUP BY a.k, a.d)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN c USING (k, d) JOIN s USING (k, d) LEFT JOIN n u ON u.d = n.d - 1 AND u.k = n.k[1:n.d - 1]"""

@@ -93,4 +93,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": oracles.QUALITY, "op6_embed_dedup": oracles.EMBED_DEDUP, "op10_ngram_join": oracles.NGRAM_JOIN}
+    return {"op1_quality": oracles.QUALITY, "op6_embed_dedup": oracles.EMBED_DEDUP, "op10_ngram_join": oracles.NGRAM_JOIN, "op11_merkle": oracles.MERKLE, "op13_prefix_trie": oracles.PREFIX_TRIE}
