@@ -105,15 +105,16 @@ def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
     within each range, and the ranges' counts give each one's offset. Rows that tie get
     the places in any order. Within a ``part`` rows lie by ``seq``.
     """
+    p, g, offset = names_beside(df, "p", "g", "offset")
     tied = df.withColumn("seq", F.monotonically_increasing_id())
     dealt = tied.repartitionByRange(group, *order, "seq").sortWithinPartitions(group, *order, "seq")
     dealt = durable(dealt.withColumn("seq", F.monotonically_increasing_id()).withColumn("part", F.shiftright("seq", 33)))
     counts = dealt.groupBy("part", group).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     whole = Window.partitionBy(group)
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = durable(counts.select(F.col("part").alias("p"), F.col(group).alias("g"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"), F.sum("n").over(whole).alias("total")))
-    joined = dealt.join(maybe_broadcast(offsets, SMALL), (F.col("part") == F.col("p")) & F.col(group).eqNullSafe(F.col("g")))
-    return joined.withColumn("place", F.col("seq") + F.col("offset")).drop("p", "g", "offset")
+    offsets = durable(counts.select(F.col("part").alias(p), F.col(group).alias(g), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias(offset), F.sum("n").over(whole).alias("total")))
+    joined = dealt.join(maybe_broadcast(offsets, SMALL), (F.col("part") == F.col(p)) & F.col(group).eqNullSafe(F.col(g)))
+    return joined.withColumn("place", F.col("seq") + F.col(offset)).drop(p, g, offset)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
