@@ -190,9 +190,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int =
     renamed = pieces.select(F.col("doc_id").alias(d), F.col("rk").alias(p), F.col("slot").alias(slot), F.col("p").alias(first + "_p"), F.col("from_word").alias(first), F.col("to_word").alias(last), F.col("size").alias(slot + "_n"))
     out = keyed.join(renamed, keyed["doc_id"].eqNullSafe(renamed[d]) & (keyed[r] == renamed[p]))
     n_slots = (pieces.agg(F.max("slot")).first()[0] or 0) + 1
-    stretch = F.floor(F.col(slot) * files / n_slots)
     out, n_columns = out.drop(d, p, r), len(docs.columns)
-    kept, names = StructType([*docs.schema, StructField(slot, LongType()), StructField(first + "_p", LongType())]), out.columns
+    names = out.columns
+    # Numbered names: a dot in one would be taken for a field of a struct.
+    out = out.toDF(*(f"c{i}" for i in range(len(names))))
+    kept = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [StructField(c, LongType()) for c in ("slot", "at")])
     at_text, at_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     at_slot, at_p, at_from, at_to, at_n = (names.index(c) for c in (slot, first + "_p", first, last, slot + "_n"))
 
@@ -219,4 +221,5 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int =
             yield pa.RecordBatch.from_arrays([*columns, batch.column(at_slot), batch.column(at_p)], kept.names)
 
     cut = out.mapInArrow(run, kept)
-    return cut.repartition(files, stretch).sortWithinPartitions(slot, first + "_p").select(*[f"`{c}`" for c in docs.columns])
+    ordered = cut.repartition(files, F.floor(F.col("slot") * files / n_slots)).sortWithinPartitions("slot", "at")
+    return ordered.drop("slot", "at").toDF(*docs.columns)
