@@ -1,8 +1,9 @@
-"""Hybrid search over a table of queries: postings, BM25, symbol scores, nearest vectors, fusion and rerank.
+"""Hybrid search over a table of queries: BM25, symbol scores, nearest vectors, fusion and rerank.
 
-Every operator takes all queries at once and keeps a ranking per query. The query side
-of a join is broadcast only after its count proved small; beyond it the join on terms
-shuffles, and comparisons without a key go in blocks of queries.
+Every operator takes all queries at once and keeps a ranking per query. Searches read
+the stored tables of an index; what is asked of them is planned into a small table
+first. The query side of a join is broadcast only after a count of a stored table
+proved it small; beyond it the join shuffles, and adaptive execution splits hot terms.
 """
 
 from __future__ import annotations
@@ -13,33 +14,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import exprs as X
+from sparkloom.operators import nearest as N
+from sparkloom.operators.index import Index, pieces, saturated
 from sparkloom.plans import query_plan as P
+from sparkloom.sources.store import stored
 
-#: Rows of queries up to which they go to all tasks at once, and queries in a block of a comparison without a key.
-SMALL, BLOCK = 100_000, 500
+#: Rows of queries up to which they go to all tasks at once.
+SMALL = 100_000
 RRF_K = 60
+#: What a score may lose to rounding.
+EPSILON = 1e-6
 
 
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df`` with a broadcast hint where a count proves the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def in_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
-    """The queries in parts of about BLOCK rows, by hash of their key."""
-    parts = queries.count() // BLOCK + 1
-    return [queries.where(F.pmod(F.hash(key), F.lit(parts)) == p) for p in range(parts)]
-
-
-def searchable(chunks: DataFrame) -> Column:
-    """A chunk's text for the index: its names, text, path and tags."""
-    return F.concat_ws(" ", "symbol_name", "symbol_fqname", "text_raw", "path", F.array_join("tags", " "))
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """The inverted index: term, id, tf, and the chunk's length in terms."""
-    terms = chunks.select("id", X.terms_of(searchable(chunks)).alias("ts"))
-    return terms.select("id", F.size("ts").cast("long").alias("len"), F.explode("ts").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+def small(table: DataFrame, rows: int = SMALL) -> DataFrame:
+    """A stored table with a broadcast hint where a count proves the bound."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def ranked(rows: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -56,91 +45,115 @@ def only(chunks: DataFrame, module: str | None = None, language: str | None = No
     return chunks.where(F.size(F.array_except(F.array(*(F.lit(t.lower()) for t in tags)), folded)) == 0) if tags else chunks
 
 
-def bm25(index: DataFrame, variants: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """qid, name, weight, id and score (6 places) of the chunks that a variant's terms match: any, or with needs_all every one.
+def weighted(index: Index, variants: DataFrame) -> DataFrame:
+    """The terms that variants (qid, name, needs_all, terms, weight) ask for, with df, idf and bound: a row a query, variant and term of the index, stored."""
+    least = F.when(F.col("needs_all"), F.size("terms")).otherwise(1).alias("least")
+    wanted = stored(variants.select("qid", "name", "weight", least, F.explode("terms").alias("term")))
+    return stored(index.terms.join(small(wanted), "term"))
+
+
+def bm25(index: Index, variants: DataFrame) -> DataFrame:
+    """qid, name, weight, id, score (6 places) and matched of the chunks that a variant's terms match: any, or with needs_all every one.
 
-    ``variants`` has qid, name, needs_all, terms, weight. Lengths and frequencies are those
-    of the whole index, filters come after; the index is read once for both.
+    Lengths and frequencies are those of the whole index.
+    """
+    hits = scored(index, index.postings, small(weighted(index, variants)))
+    return summed(hits).select("qid", "name", "weight", "id", "score", "matched")
+
+
+def scored(index: Index, postings: DataFrame, known: DataFrame) -> DataFrame:
+    """What each term gives to each chunk that holds it."""
+    part = F.col("idf") * saturated(F.col("tf"), F.col("len"), F.lit(index.totals[1]))
+    return postings.join(known, "term").select("qid", "name", "weight", "least", "id", part.alias("part"))
+
+
+def summed(hits: DataFrame) -> DataFrame:
+    out = hits.groupBy("qid", "name", "weight", "least", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("matched"))
+    return out.where(F.col("matched") >= F.col("least"))
+
+
+def bm25_top(index: Index, variants: DataFrame, k: int, kept: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best rows of ``bm25`` of each query and variant, with their rank; of the chunks of ``kept`` (id) alone, if given.
+
+    A variant's rarest term gives its k-th best chunk a score that no lower one can
+    beat. Terms that together stay below it find no chunk of their own: they are
+    looked up for the other terms' chunks only. With needs_all the rarest term's chunks are all there is.
+    """
+    by = ("qid", "name")
+    postings = index.postings if kept is None else index.postings.join(kept, "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("df", "term"))
+    below = F.sum("bound").over(Window.partitionBy(*by).orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    known = stored(weighted(index, variants).withColumns({"rare": place == 1, "below": below}))
+    first = scored(index, postings, small(known.where("rare and least = 1")))
+    floor = first.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("part")))).where(F.col("r") == k).select(*by, F.col("part").alias("floor"))
+    needed = F.when(F.col("least") > 1, F.col("rare")).otherwise(F.col("floor").isNull() | (F.col("below") >= F.col("floor") - EPSILON))
+    known = stored(known.join(floor, list(by), "left").withColumn("needed", needed))
+    hits = scored(index, postings, small(known.where("needed")))
+    found = stored(hits.select(*by, "id").distinct())
+    rest = scored(index, postings.join(small(found.select("id").distinct()), "id", "left_semi"), small(known.where("not needed"))).join(small(found), [*by, "id"], "left_semi")
+    return ranked(summed(hits.unionByName(rest)), k, F.desc("score"), F.col("id"), by=by).drop("least")
+
+
+def symbol_scores(index: Index, plans: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """qid, id, path, start_line and score of the chunks whose symbol, path or signature holds one of a query's like-terms.
+
+    A term's rarest run of three letters (two of a shorter term) finds the chunks that can hold it; only those are compared.
     """
-    stats = index.select("id", "len").distinct().agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("avgdl"))
-    wanted = variants.select("qid", "name", "weight", F.when(F.col("needs_all"), F.size("terms")).otherwise(1).alias("least"), F.explode("terms").alias("term"))
-    hit = index.join(small(wanted.select("term").distinct()), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    known = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    known = known.withColumn("idf", F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)))
-    rows = hit.join(small(known), "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    out = rows.groupBy("qid", "name", "weight", "least", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
-    return out.where(F.col("matched") >= F.col("least")).select("qid", "name", "weight", "id", "score", "matched")
-
-
-def symbol_scores(chunks: DataFrame, plans: DataFrame) -> DataFrame:
-    """qid, id, path, start_line and score of the chunks whose symbol, path or signature holds one of a query's like-terms."""
-    sym, path, sig = (F.lower(F.coalesce(c, F.lit(""))) for c in ("symbol_name", "path", "signature"))
-    rows = chunks.select("id", "path", "start_line", "kind", "language", sym.alias("s"), path.alias("p"), sig.alias("g"))
     s, p, g = F.col("s"), F.col("p"), F.col("g")
-    held = F.exists("like_terms", lambda t: s.contains(t) | p.contains(t) | g.contains(t))
     points = lambda test, n: F.when(test, n).otherwise(0)
     add = lambda terms, f: F.aggregate(F.transform(terms, f), F.lit(0), lambda a, x: a + x)
     score = (
         add("exact", lambda t: F.when(s == t, 90).when(s.contains(t), 50).otherwise(0) + points(p.contains(t), 40) + points(g.contains(t), 35))
         + add("terms", lambda t: points(s.contains(t), 14) + points(p.contains(t), 10) + points(g.contains(t), 8))
         + add("expansions", lambda t: points(s.contains(t), 8) + points(p.contains(t), 6) + points(g.contains(t), 5))
-        + points(F.array_contains("kinds", F.lower("kind")), 6)
-        + points(F.array_contains("languages", F.lower("language")), 5)
+        + points(F.array_contains("kinds", F.col("kind")), 6)
+        + points(F.array_contains("languages", F.col("language")), 5)
     )
-    wanted = plans.select("qid", "like_terms", "exact", "terms", "expansions", "kinds", "languages")
-    found = [rows.join(F.broadcast(q), held).select("qid", "id", "path", "start_line", score.cast("long").alias("score")) for q in in_blocks(wanted, "qid")]
-    return reduce(DataFrame.unionByName, found).where("score > 0")
+    held = F.exists("like_terms", lambda t: s.contains(t) | p.contains(t) | g.contains(t))
+    wanted = stored(plans.select("qid", "like_terms", "exact", "terms", "expansions", "kinds", "languages"))
+    term = F.col("term")
+    asked = wanted.select("qid", F.explode("like_terms").alias("term")).select("qid", "term", F.explode(F.when(F.length(term) > 2, pieces(term, 3)).otherwise(pieces(term, 2))).alias("piece"))
+    asked = index.piece_counts.join(small(stored(asked)), "piece").groupBy("qid", "term").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    near = index.pieces.join(small(stored(asked.select("qid", "piece").distinct())), "piece").select("qid", "id").distinct()
+    names = index.names if kept is None else index.names.join(kept, "id", "left_semi")
+    rows = near.join(names, "id").join(small(wanted), "qid").where(held)
+    return rows.select("qid", "id", "path", "start_line", score.cast("long").alias("score")).where("score > 0")
 
 
-def lexical(chunks: DataFrame, plans: DataFrame, limit: int, filters: dict | None = None) -> DataFrame:
+def lexical(index: Index, plans: DataFrame, limit: int, filters: dict | None = None) -> DataFrame:
     """The fused lexical ranking: qid, id, score (9 places), n_variants, variants (sorted, joined by commas), rank up to ``limit``.
 
     A variant's hit at rank r counts weight / (6 + r), a symbol's 1.35 / (5 + r) and a
     thousandth of its score, 0.08 at most.
     """
     each = max(2 * limit, 12)
-    kept = only(chunks, **(filters or {}))
-    variants = plans.select("qid", F.inline("variants"))
-    hits = bm25(postings(chunks), variants).join(kept.select("id", "path"), "id")
-    hits = ranked(hits, each, F.desc("score"), F.col("id"), by=("qid", "name"))
-    parts = hits.select("qid", "id", "path", "name", (F.col("weight") / (6 + F.col("rank"))).alias("part"))
-    symbols = ranked(symbol_scores(kept, plans), each, F.desc("score"), F.col("path"), F.col("start_line"))
+    kept = stored(only(index.chunks, **filters).select("id")) if filters else None
+    hits = bm25_top(index, plans.select("qid", F.inline("variants")), each, kept)
+    parts = hits.select("qid", "id", "name", (F.col("weight") / (6 + F.col("rank"))).alias("part"))
+    symbols = ranked(symbol_scores(index, plans, kept), each, F.desc("score"), F.col("path"), F.col("start_line"))
     bonus = P.WEIGHTS["symbol_path"] / (5 + F.col("rank")) + F.least(F.lit(0.08), F.col("score") / 1000)
-    parts = parts.unionByName(symbols.select("qid", "id", "path", F.lit("symbol_path").alias("name"), bonus.alias("part")))
-    fused = parts.groupBy("qid", "id", "path").agg(F.round(F.sum("part"), 9).alias("score"), F.count("*").alias("n_variants"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("variants"))
+    parts = parts.unionByName(symbols.select("qid", "id", F.lit("symbol_path").alias("name"), bonus.alias("part")))
+    fused = parts.groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score"), F.count("*").alias("n_variants"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("variants"))
+    fused = small(stored(fused)).join(index.names.select("id", "path"), "id")
     return ranked(fused, limit, F.desc("score"), F.desc("n_variants"), F.col("path"), F.col("id")).select("qid", "id", "score", "n_variants", "variants", "rank")
 
 
-def _double(c: str) -> Column:
-    return F.transform(c, lambda x: x.cast("double"))
-
-
-def distances(vectors: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame:
-    """The distance (6 places) of every vector (id, embedding) to every query (qid, embedding), queries in blocks: qid, id, distance."""
-    v = vectors.select("id", _double("embedding").alias("v"))
-    q = queries.where("embedding is not null").select("qid", _double("embedding").alias("q"))
-    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    dot = add(F.zip_with("v", "q", lambda a, b: a * b))
-    norm = lambda c: F.sqrt(add(F.transform(c, lambda a: a * a)))
-    distance = {"l2": F.sqrt(add(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)))), "cosine": 1 - dot / (norm("v") * norm("q")), "dot": -dot}[metric]
-    pairs = [v.join(F.broadcast(part), F.size("v") == F.size("q")).select("qid", "id", F.round(distance, 6).alias("distance")) for part in in_blocks(q, "qid")]
-    return reduce(DataFrame.unionByName, pairs)
-
+def nearest(vectors: DataFrame | N.Cells, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """The ``k`` nearest vectors of each query: qid, id, distance, score (1 - distance), rank. Each batch keeps its best before the ranks are settled.
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """The ``k`` nearest vectors of each query: qid, id, distance, score (1 - distance), rank. Each task keeps its best before the ranks are settled."""
-    out = ranked(distances(vectors, queries, metric), k, F.col("distance"), F.col("id"))
+    ``vectors`` is a table (id, embedding), searched exactly, or cells, of which the nearest ones are searched.
+    """
+    found = vectors.nearest_rows(queries, k, metric) if isinstance(vectors, N.Cells) else N.nearest_rows(vectors, queries, k, metric)
+    out = ranked(found, k, F.col("distance"), F.col("id"))
     return out.select("qid", "id", "distance", F.round(1 - F.col("distance"), 6).alias("score"), "rank")
 
 
-def vector_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, filters: dict | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
+def vector_search(index: Index, queries: DataFrame, limit: int, filters: dict | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
     """The nearest chunks: the filters choose before the search, the tags (in their case) after its limit, which may leave fewer."""
-    kept = only(chunks, **(filters or {})).select("id", "tags")
-    near = nearest(vectors.join(kept.select("id"), "id", "left_semi"), queries, limit).join(kept, "id")
+    vectors = index.vectors.join(only(index.chunks, **filters).select("id"), "id", "left_semi") if filters else index.vectors
+    near = nearest(vectors, queries, limit)
     if tags:
-        near = near.where(F.size(F.array_except(F.array(*map(F.lit, tags)), "tags")) == 0)
+        near = near.join(index.chunks.select("id", "tags"), "id").where(F.size(F.array_except(F.array(*map(F.lit, tags)), "tags")) == 0)
     return ranked(near.drop("rank"), limit, F.col("distance"), F.col("id")).select("qid", "id", "distance", "score", "rank")
 
 
@@ -154,7 +167,8 @@ def rrf(left: DataFrame, right: DataFrame, k: int = RRF_K) -> DataFrame:
 
 def rerank(fused: DataFrame, chunks: DataFrame, plans: DataFrame) -> DataFrame:
     """Adds the capped additive rerank score, its reasons and the final score (9 places)."""
-    rows = fused.join(chunks.select("id", "symbol_name", "signature", "path", "kind", "language", "tags", "uses", "text_raw"), "id")
+    fused = stored(fused)
+    rows = small(fused).join(chunks.select("id", "symbol_name", "signature", "path", "kind", "language", "tags", "uses", "text_raw"), "id")
     rows = rows.join(small(plans.select("qid", "query", "identifier_like", "terms", "expansions", "languages", "kinds")), "qid")
     rows = rows.withColumns({
         "header": F.lower(F.concat_ws(" ", F.coalesce("symbol_name", F.lit("")), F.coalesce("signature", F.lit("")), X.base_name(F.col("path")), "path", "kind", "language", "tags", "uses")), "body": F.lower("text_raw"),
@@ -181,24 +195,28 @@ def rerank(fused: DataFrame, chunks: DataFrame, plans: DataFrame) -> DataFrame:
     return out.select(*fused.columns, "path", "bonus", "reasons", "final")
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, most: int = 8, filters: dict | None = None) -> DataFrame:
-    """The ``most`` best chunks of each query (qid, query, embedding): both searches three times as deep, fused, reranked and ordered.
+def candidates(index: Index, plans: DataFrame, most: int = 8, filters: dict | None = None, legs: str = "both") -> DataFrame:
+    """What the searches find, three times as deep as the results: fused and reranked. ``legs`` may be lexical or vector alone."""
+    words, near = lexical(index, plans, 3 * most, filters), vector_search(index, plans, 3 * most, filters)
+    words, near = (words if legs != "vector" else words.limit(0)), (near if legs != "lexical" else near.limit(0))
+    return rerank(rrf(words, near), index.chunks, plans)
+
+
+def best(out: DataFrame, most: int) -> DataFrame:
+    return ranked(out, most, F.desc("final"), F.desc("rrf"), F.desc(F.col("source") == "both"), F.col("path"), F.col("id"))
+
+
+def hybrid(index: Index, plans: DataFrame, most: int = 8, filters: dict | None = None, legs: str = "both") -> DataFrame:
+    """The ``most`` best chunks of each planned query (qid, query, embedding, ...): both searches three times as deep, fused, reranked and ordered.
 
     Returns qid, id, path, rank, final, rrf, bonus, source, reasons, variants, left_rank and right_rank.
     """
-    plans = P.plan(queries)
-    words = lexical(chunks, plans, 3 * most, filters)
-    near = vector_search(chunks, vectors, queries, 3 * most, filters)
-    out = rerank(rrf(words, near), chunks, plans)
-    return ranked(out, most, F.desc("final"), F.desc("rrf"), F.desc(F.col("source") == "both"), F.col("path"), F.col("id"))
+    return best(candidates(index, plans, most, filters, legs), most)
 
 
-def metrics(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, most: int = 8) -> DataFrame:
+def metrics(index: Index, plans: DataFrame, most: int = 8) -> DataFrame:
     """Per query: candidates of either search and of both together, how many were reranked upwards, and the sources of the results."""
-    plans = P.plan(queries)
-    words, near = lexical(chunks, plans, 3 * most), vector_search(chunks, vectors, queries, 3 * most)
-    out = rerank(rrf(words, near), chunks, plans)
-    top = ranked(out, most, F.desc("final"), F.desc("rrf"), F.desc(F.col("source") == "both"), F.col("path"), F.col("id"))
+    out = stored(candidates(index, plans, most))
     n = out.groupBy("qid").agg(F.count("*").alias("candidates"), F.count("left_rank").alias("lexical"), F.count("right_rank").alias("vector"))
-    of = top.groupBy("qid").agg(*(F.count_if(F.col("source") == s).alias(f"from_{s}") for s in ("lexical", "vector", "both")), F.count_if(F.col("bonus") > 0).alias("reranked"))
+    of = best(out, most).groupBy("qid").agg(*(F.count_if(F.col("source") == s).alias(f"from_{s}") for s in ("lexical", "vector", "both")), F.count_if(F.col("bonus") > 0).alias("reranked"))
     return n.join(of, "qid")

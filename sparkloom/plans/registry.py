@@ -14,10 +14,12 @@ from sparkloom.operators import packaging as K
 from sparkloom.operators import search as R
 from sparkloom.operators import structure as S
 from sparkloom.operators import telemetry as T
+from sparkloom.operators.index import Tables
 from sparkloom.plans import oracle as O
 from sparkloom.plans import query_plan as P
 from sparkloom.session import table
 from sparkloom.sources import views as V
+from sparkloom.sources.store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,12 +37,17 @@ def seen(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def chunks(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: f(V.chunks(spark, d))
+    return lambda spark, d: f(Tables.of(spark, d).chunks)
 
 
-def searching(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    """``f`` of the chunks and the planned searches."""
-    return lambda spark, d: f(V.chunks(spark, d), P.plan(V.searches(spark, d)))
+def searching(f: Callable[[Tables, DataFrame], DataFrame]) -> Query:
+    """``f`` of the index and the planned searches."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        index = Tables.of(spark, d)
+        return f(index, index.plans)
+
+    return run
 
 
 def joined(rows: DataFrame) -> DataFrame:
@@ -88,15 +95,15 @@ def against_others(spark: SparkSession, d: str) -> DataFrame:
     return E.compared(E.rank_metrics(near, expected, 5), E.rank_metrics(near.withColumn("rank", 11 - F.col("rank")), expected, 5))
 
 
-def found(spark: SparkSession, d: str, filters: dict | None = None) -> DataFrame:
-    return R.hybrid(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d), filters=filters)
+def fused(index: Tables, plans: DataFrame) -> DataFrame:
+    return R.rrf(R.lexical(index, plans, 24), R.vector_search(index, plans, 24))
 
 
 def package(view: str, pick: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        c, q = V.chunks(spark, d), V.searches(spark, d)
-        results = R.hybrid(c, V.chunk_vectors(spark, d), q, K.VIEWS[view][1])
-        return pick(results, K.packaged(results, c, P.plan(q), view))
+        index = Tables.of(spark, d)
+        results = stored(R.hybrid(index, index.plans, K.VIEWS[view][1]))
+        return pick(results, K.packaged(results, index.chunks, index.plans, view))
 
     return run
 
@@ -284,7 +291,7 @@ a AS (SELECT kind, count(*) AS sampled, CAST(sum(tr) AS BIGINT) AS tokens_raw FR
         f"WITH {O.CHUNKS}, m AS (SELECT id, path, list_contains(list_transform(uses, lambda u: lower(u)), 'eriner') AS named, list_contains({O.TERMS.format('text_raw').replace('{{', '{').replace('}}', '}')}, 'eriner') AS held, symbol_name FROM chunks) SELECT id, path, CASE WHEN named THEN 'uses' ELSE 'text' END AS via FROM m WHERE symbol_name <> 'Eriner' AND (named OR held)",
     ),
     "source_context": (
-        lambda spark, d: S.sources(V.chunks(spark, d), V.files(spark, d), O.SYMBOL, 3, 2).withColumn("source", F.sha2("source", 256)),
+        lambda spark, d: S.sources(Tables.of(spark, d).chunks, V.files(spark, d), O.SYMBOL, 3, 2).withColumn("source", F.sha2("source", 256)),
         f"""WITH {O.CHUNKS}, f AS (SELECT DISTINCT repo_path, path, regexp_split_to_array(content, '\\r?\\n') AS ls FROM files), s AS (SELECT c.*, array_to_string(ls[greatest(1, start_line - 3):start_line - 1], chr(10)) AS b, array_to_string(ls[end_line + 1:end_line + 2], chr(10)) AS a FROM chunks c JOIN f USING (repo_path, path) WHERE symbol_name = 'The' OR ends_with(lower(symbol_fqname), 'the'))
 SELECT id, path, kind, symbol_name, start_line || '-' || end_line AS lines, sha256(text_raw) AS source, CASE WHEN {O.strip('b')} <> '' THEN b END AS before, CASE WHEN {O.strip('a')} <> '' THEN a END AS after FROM s""",
     ),
@@ -304,7 +311,7 @@ SELECT id, path, kind, symbol_name, start_line || '-' || end_line AS lines, sha2
         f"WITH {O.CALLS} SELECT repo_path, tool FROM calls QUALIFY row_number() OVER (PARTITION BY repo_path ORDER BY called_at DESC) = 1",
     ),
     "deleted_by_repo": (
-        lambda spark, d: S.without(V.chunks(spark, d), table(spark, d, "nation").select(F.concat(F.lit("/repo/"), (F.col("n_nationkey") % 4).cast("string")).alias("repo_path")), "repo_path").select("id", "repo_path"),
+        lambda spark, d: S.without(Tables.of(spark, d).chunks, table(spark, d, "nation").select(F.concat(F.lit("/repo/"), (F.col("n_nationkey") % 4).cast("string")).alias("repo_path")), "repo_path").select("id", "repo_path"),
         f"WITH {O.CHUNKS} SELECT id, repo_path FROM chunks WHERE repo_path NOT IN (SELECT '/repo/' || n_nationkey % 4 FROM nation)",
     ),
     # Search
@@ -312,28 +319,28 @@ SELECT id, path, kind, symbol_name, start_line || '-' || end_line AS lines, sha2
         lambda spark, d: joined(P.plan(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))).drop("query").withColumn("variants", F.transform("variants", lambda v: F.concat_ws(":", v["name"], F.array_join(v["terms"], " "))))),
         "WITH " + O.plan_of("(SELECT conv_id * 1000 + turn AS qid, text AS query FROM conversations)") + " SELECT qid, identifier_like, array_to_string(terms, ',') AS terms, array_to_string(exact, ',') AS exact, array_to_string(expansions, ',') AS expansions, array_to_string(like_terms, ',') AS like_terms, array_to_string(languages, ',') AS languages, array_to_string(kinds, ',') AS kinds, array_to_string(list_filter([CASE WHEN len(exact) > 0 THEN 'exact:' || array_to_string(exact, ' ') END, CASE WHEN len(strict) > 0 THEN 'strict:' || array_to_string(strict, ' ') END, CASE WHEN len(broad) > 0 THEN 'broad:' || array_to_string(broad, ' ') END, CASE WHEN len(expansions) > 0 THEN 'expanded:' || array_to_string(expansions, ' ') END], lambda x: x IS NOT NULL), ',') AS variants FROM plan",
     ),
-    "postings_df": (chunks(lambda c: R.postings(c).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))), f"WITH {O.TERM_ROWS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term"),
-    "bm25_or": (searching(lambda c, p: R.bm25(R.postings(c), p.select("qid", F.inline("variants")).where("name = 'broad'")).select("qid", "id", "score", "matched")), f"WITH {O.BM25} SELECT qid, id, score, matched FROM bm WHERE name = 'broad'"),
+    "postings_df": (searching(lambda c, p: c.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))), f"WITH {O.TERM_ROWS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term"),
+    "bm25_or": (searching(lambda c, p: R.bm25(c, p.select("qid", F.inline("variants")).where("name = 'broad'")).select("qid", "id", "score", "matched")), f"WITH {O.BM25} SELECT qid, id, score, matched FROM bm WHERE name = 'broad'"),
     "bm25_and": (
-        searching(lambda c, p: R.bm25(R.postings(c), p.select("qid", F.lit("both").alias("name"), F.lit(True).alias("needs_all"), F.slice("terms", 1, 2).alias("terms"), F.lit(1.0).alias("weight"))).select("qid", "id", "score", "matched")),
+        searching(lambda c, p: R.bm25(c, p.select("qid", F.lit("both").alias("name"), F.lit(True).alias("needs_all"), F.slice("terms", 1, 2).alias("terms"), F.lit(1.0).alias("weight"))).select("qid", "id", "score", "matched")),
         f"WITH {O.BM25.replace('FROM variants)', 'FROM variants WHERE false UNION ALL SELECT qid, ' + chr(39) + 'both' + chr(39) + ', 1e0, len(terms[1:2]), unnest(terms[1:2]) FROM plan)')} SELECT qid, id, score, matched FROM bm",
     ),
     "symbol_score": (searching(R.symbol_scores), f"WITH {O.BM25} {O.SYMBOLS.replace('{where}', '')} SELECT qid, id, path, start_line, score FROM symbols WHERE score > 0"),
     "heuristic_fusion": (searching(lambda c, p: R.lexical(c, p, 24)), f"WITH {O.lexical(24)} SELECT * FROM lexical"),
     "lexical_filtered": (searching(lambda c, p: R.lexical(c, p, 10, FILTER)), f"WITH {O.lexical(10, FILTER_SQL)} SELECT * FROM lexical"),
     "vector_filtered": (
-        lambda spark, d: R.vector_search(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d), 20, {"language": "python"}, ("Long",)),
+        searching(lambda c, p: R.vector_search(c, p, 20, {"language": "python"}, ("Long",))),
         f"WITH {O.CHUNKS}, {O.SEARCHES} {O.vector(20, chr(99) + '.language = ' + chr(39) + 'python' + chr(39), 'list_contains(tags, ' + chr(39) + 'Long' + chr(39) + ')')} SELECT * FROM (SELECT qid, id, distance, score, rank FROM vec)",
     ),
-    "rrf_fusion": (lambda spark, d: R.rrf(R.lexical(V.chunks(spark, d), P.plan(V.searches(spark, d)), 24), R.vector_search(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d), 24)), f"WITH {O.lexical(24)} {O.vector(24)} {O.RRF} SELECT * FROM rrf"),
-    "hybrid_search": (lambda spark, d: found(spark, d), f"WITH {O.hybrid()} SELECT * FROM hybrid"),
-    "search_filtered": (lambda spark, d: found(spark, d, FILTER), f"WITH {O.hybrid(8, FILTER_SQL)} SELECT * FROM hybrid"),
+    "rrf_fusion": (searching(fused), f"WITH {O.lexical(24)} {O.vector(24)} {O.RRF} SELECT * FROM rrf"),
+    "hybrid_search": (searching(R.hybrid), f"WITH {O.hybrid()} SELECT * FROM hybrid"),
+    "search_filtered": (searching(lambda c, p: R.hybrid(c, p, filters=FILTER)), f"WITH {O.hybrid(8, FILTER_SQL)} SELECT * FROM hybrid"),
     "rerank": (
-        lambda spark, d: R.rerank(R.rrf(R.lexical(V.chunks(spark, d), P.plan(V.searches(spark, d)), 24), R.vector_search(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d), 24)), V.chunks(spark, d), P.plan(V.searches(spark, d))),
+        searching(R.candidates),
         f"WITH {O.hybrid()} SELECT * FROM reranked",
     ),
     "search_metrics": (
-        lambda spark, d: R.metrics(V.chunks(spark, d), V.chunk_vectors(spark, d), V.searches(spark, d)),
+        searching(R.metrics),
         f"WITH {O.hybrid()}, n AS (SELECT qid, count(*) AS candidates, count(left_rank) AS lexical, count(right_rank) AS vector FROM reranked GROUP BY qid), t AS (SELECT qid, count(*) FILTER (source = 'lexical') AS from_lexical, count(*) FILTER (source = 'vector') AS from_vector, count(*) FILTER (source = 'both') AS from_both, count(*) FILTER (bonus > 0) AS reranked FROM hybrid GROUP BY qid) SELECT * FROM n JOIN t USING (qid)",
     ),
     "highlights": (

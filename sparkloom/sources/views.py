@@ -102,7 +102,7 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "left").select("qid", "query", "embedding")
 
 
-def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     """A vector to every chunk of a document that has one of its id: id, embedding."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return chunks(spark, sf_dir).select("id", "doc_id").join(v, "doc_id").select("id", "embedding")
+    return chunks.select("id", "doc_id").join(v, "doc_id").select("id", "embedding")
