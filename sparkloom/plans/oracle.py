@@ -240,3 +240,29 @@ JUDGED = f""", judged0 AS (SELECT qid AS query, e.vec_id AS item, 1 + e.vec_id %
 found AS (SELECT query, coalesce(1e0 / min(rank), 0) AS mrr, count(*) FILTER (rank <= 5) AS hits, count(*) AS relevant, coalesce(sum(gain / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg FROM judged0 LEFT JOIN knn ON qid = query AND id = item GROUP BY query),
 metrics AS (SELECT query, round(mrr, 6) AS mrr, round(dcg / idcg, 6) AS ndcg, round(hits / 5e0, 6) AS precision, round(hits::DOUBLE / relevant, 6) AS recall FROM found JOIN ideal USING (query))"""
 IGNORED = f"(list_has_any(string_split(path, '/'), [{texts(I.IGNORED_DIRS)}]) OR string_split(path, '/')[-1] IN ({texts([*I.IGNORED_FILES, *I.SECRET_FILES])}) OR (contains(substr(string_split(path, '/')[-1], 2), '.') AND '.' || string_split(lower(path), '.')[-1] IN ({texts([*I.IGNORED_EXTENSIONS, *I.SECRET_EXTENSIONS])})) OR starts_with(string_split(path, '/')[-1], '.env'))"
+
+
+def spans(most: int) -> str:
+    """CTEs spans (path, first, last) and text_rows (path, start_line, end_line, text_raw, plain) of the files' chunks of lines; ``files`` has path and content. Recursive."""
+    bounds = f"list_filter(range(len(ls)), lambda i: regexp_matches({strip('ls[i + 1]')}, '{I.BOUNDARY}') OR {strip('ls[i + 1]')} = '')"
+    after = lambda first: f"list_filter(bs, lambda i: i - {first} + 1 >= {most})[1]"
+    return f"""lined AS (SELECT path, string_split(content, chr(10)) AS ls FROM files), cuts AS (SELECT path, len(ls) AS n, {bounds} AS bs FROM lined WHERE len(ls) > {most}),
+walk AS (SELECT path, bs, n, 0::BIGINT AS first, {after(0)} AS nxt FROM cuts UNION ALL SELECT path, bs, n, nxt, {after('nxt')} FROM walk WHERE nxt IS NOT NULL),
+spans AS (SELECT path, first, coalesce(nxt, n) AS last FROM walk UNION ALL SELECT path, 0, len(ls) FROM lined WHERE len(ls) <= {most}),
+text_rows AS (SELECT path, first + 1 AS start_line, last AS end_line, array_to_string(ls[first + 1:last], chr(10)) AS text_raw, list_transform(ls[first + 1:last], lambda x: {strip('x')}) AS plain, len(ls) AS n FROM spans JOIN lined USING (path))"""
+
+
+#: The name of a chunk of lines: of its first declaration, else its file's.
+LINES_NAME = f"coalesce(nullif(regexp_extract(coalesce(list_filter(plain, lambda x: x <> '' AND NOT starts_with(x, '//') AND NOT starts_with(x, '/*'))[1], ''), '{I.DECLARES}', 1), ''), string_split(path, '/')[-1])"
+
+
+def built(files: str) -> str:
+    """The chunks of an index built from ``files``: documents as files, XML ones whole, the others cut after 100 lines."""
+    return f"""WITH RECURSIVE {FILES.replace('files AS', 'all_files AS')}, files AS ({files}), {spans(100)},
+built AS (SELECT path, 'generic_block' AS kind, {LINES_NAME} AS symbol_name, start_line, end_line, text_raw FROM text_rows WHERE NOT ends_with(path, '.xml') AND ({strip('text_raw')} <> '' OR n <= 100)
+ UNION ALL SELECT path, 'layout', replace(string_split(path, '/')[-1], '.xml', ''), 1, len(string_split(content, chr(10))), content FROM files WHERE ends_with(path, '.xml'))"""
+
+
+def xml_elements(names: str) -> str:
+    """Elements of one of the names, each to the first end of one or the first closed tag; of a column ``content``."""
+    return f"regexp_extract_all(content, '(?s)<(?:{names}).*?(?:/>|</(?:{names})>)')"

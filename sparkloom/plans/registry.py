@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import exprs as X
+from sparkloom.operators import build as B
 from sparkloom.operators import evaluation as E
 from sparkloom.operators import ingest as I
+from sparkloom.operators import nearest as N
 from sparkloom.operators import packaging as K
 from sparkloom.operators import search as R
 from sparkloom.operators import structure as S
@@ -19,7 +21,7 @@ from sparkloom.plans import oracle as O
 from sparkloom.plans import query_plan as P
 from sparkloom.session import table
 from sparkloom.sources import views as V
-from sparkloom.sources.store import stored
+from sparkloom.sources.store import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,19 +57,33 @@ def joined(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.array_join(c, ",").alias(c) if t == "array<string>" else F.col(c) for c, t in rows.dtypes))
 
 
-def neighbours(metric: str, label: int | None = None) -> Query:
-    """The ten nearest of every vector whose id is divisible by 50, itself aside."""
+def own_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def without_itself(near: DataFrame, k: int = 10) -> DataFrame:
+    return R.ranked(near.where("id <> qid").drop("rank", "score"), k, F.col("distance"), F.col("id")).select("qid", "id", "distance", F.round(1 - F.col("distance"), 6).alias("score"), "rank")
+
+
+def neighbours(metric: str, label: int | None = None, indexed: bool = False) -> Query:
+    """The ten nearest of every vector whose id is divisible by 50, itself aside; exactly, or in the cells of an index."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        e = table(spark, d, "embeddings")
-        q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
-        v = (e.where(F.col("label") == label) if label is not None else e).select(F.col("vec_id").alias("id"), "embedding")
-        near = R.distances(v, q, metric).where("id <> qid")
-        return R.ranked(near, 10, F.col("distance"), F.col("id")).select("qid", "id", "distance", F.round(1 - F.col("distance"), 6).alias("score"), "rank")
+        e = own_vectors(spark, d)
+        q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+        v = e.where(F.col("label") == label) if label is not None else e
+        return without_itself(R.nearest(N.Cells.fit(v) if indexed else v, q, 11, metric))
 
     return run
 
 
+def indexed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Queries, and the share of their ten nearest vectors that the index finds."""
+    exact, near = neighbours("l2")(spark, d), neighbours("l2", indexed=True)(spark, d)
+    both = exact.select("qid", "id").join(near.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return both.agg(F.countDistinct("qid").alias("queries"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+
+
 def judgements(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "label")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "label")
@@ -99,6 +115,12 @@ def fused(index: Tables, plans: DataFrame) -> DataFrame:
     return R.rrf(R.lexical(index, plans, 24), R.vector_search(index, plans, 24))
 
 
+def highlighted(index: Tables, plans: DataFrame) -> DataFrame:
+    """The lines that each search's best chunks are shown by."""
+    rows = R.lexical(index, plans, 24).select("qid", "id").join(index.chunks.select("id", "text_raw", "signature"), "id").join(plans.select("qid", "terms"), "qid")
+    return rows.select("qid", "id", F.array_join(K.highlights(F.col("text_raw"), F.col("signature"), F.col("terms")), "|").alias("lines"))
+
+
 def package(view: str, pick: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         index = Tables.of(spark, d)
@@ -166,6 +188,70 @@ def odd_paths(spark: SparkSession, d: str) -> DataFrame:
 
 ODD_PATHS = "odd AS (SELECT p_partkey, ['src', 'build', 'a/node_modules', 'lib/x', '.git'][p_partkey % 5 + 1] || '/' || CASE WHEN p_partkey % 11 = 0 THEN 'id_rsa' WHEN p_partkey % 13 = 0 THEN '.env' ELSE 'f' || p_partkey END || ['.kt', '.PNG', '.key', '', '.env', '.tar.gz', '.py'][p_partkey % 7 + 1] AS path FROM part)"
 
+def new_store(spark: SparkSession, d: str, files: DataFrame) -> B.Store:
+    """An index built from files in a folder of its own."""
+    store = B.Store(spark, new_path(spark))
+    store.build(files, "v1")
+    return store
+
+
+def shown(store: B.Store) -> DataFrame:
+    return store.chunks.select("path", "kind", "symbol_name", "start_line", "end_line", F.sha2("text_raw", 256).alias("text"))
+
+
+def refreshed_store(spark: SparkSession, d: str) -> DataFrame:
+    """An index of some files, brought to a state in which some are gone, some new and some longer."""
+    files = V.files(spark, d)
+    store = new_store(spark, d, files.where("doc_id % 5 <> 0"))
+    longer = F.when(F.col("doc_id") % 11 == 0, F.concat("content", F.lit("\nclass Added"))).otherwise(F.col("content"))
+    store.refresh(files.where("doc_id % 7 <> 0").withColumn("content", longer), "v2")
+    return shown(store)
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """Files of which some are missing and some no text."""
+    bad = F.when(F.col("doc_id") % 50 == 1, F.unhex(F.lit("FF"))).when(F.col("doc_id") % 50 != 2, F.col("content").cast("binary"))
+    return files.withColumn("content", bad)
+
+
+def xml_files(spark: SparkSession, d: str) -> DataFrame:
+    """XML files of all kinds made of the parts' names: in any order, nested, in both cases, with comments and none of the expected elements."""
+    p = table(spark, d, "part").withColumns({"k": F.col("p_partkey").cast("string"), "m": F.col("p_partkey") % 6})
+    attribute = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
+    words = F.split("p_name", " ")
+    ids = F.array_join(F.transform(words, lambda w: F.concat(F.lit('<View android:id="@+id/'), w, F.lit('" />'))), "\n")
+    actions = F.array_join(F.transform(words, lambda w: F.concat(F.lit('\n  <action app:destination="@id/'), w, F.lit('"/>'))), "")
+    named = F.when(F.col("p_size") % 3 == 0, attribute("android:name", F.concat(F.lit("a.b."), F.element_at(words, 1)))).when(F.col("p_size") % 3 == 1, attribute("Android:Name", F.element_at(words, 2))).otherwise("")
+    manifest = F.concat(F.lit("<manifest>\n<!-- <service/> -->\n<provider"), named, F.lit("></provider><activity-alias"), named, F.lit("/>\n\n<activity>"), actions, F.lit("</activity>\n</manifest>"))
+    where = F.when(F.col("p_size") % 2 == 0, attribute("android:id", F.concat(F.lit("@+id/"), F.element_at(words, 1)))).otherwise(named)
+    graph = F.concat(F.lit("<navigation>\n <fragment"), where, F.lit(">"), actions, F.lit("\n </fragment><dialog"), named, F.lit("/>\n<composable"), where, F.lit("></composable>\n</navigation>"))
+    path = F.element_at(F.array(*map(F.lit, ["res/AndroidManifest.xml", "res/navigation/g.xml", "res/layout/l.xml", "res/values/v.xml", "res/raw/r.xml", "res/nav/empty.xml"])), (F.col("m") + 1).cast("int"))
+    content = F.when(F.col("m") == 0, F.when(F.col("p_size") % 5 == 0, F.lit("<manifest/>")).otherwise(manifest)).when(F.col("m") == 1, graph)
+    content = content.when(F.col("m") == 2, F.concat(F.lit("<?xml?>\n<a.B.C>"), F.when(F.col("p_size") % 4 > 0, ids).otherwise(""), F.lit("</a.B.C>"))).when(F.col("m") == 5, F.lit("<navigation/>\n")).otherwise(F.concat(F.lit("<resources>\n"), ids, F.lit("</resources>")))
+    return p.select(F.lit("/repo/x").alias("repo_path"), F.concat(F.lit("p"), "k", F.lit("/src/"), path).alias("path"), content.alias("content"))
+
+
+#: The same files in SQL, and their elements by regular expressions over the contents.
+_NAMED = "CASE p_size % 3 WHEN 0 THEN ' android:name=\"a.b.' || ws[1] || '\"' WHEN 1 THEN ' Android:Name=\"' || ws[2] || '\"' ELSE '' END"
+_WHERE = "CASE WHEN p_size % 2 = 0 THEN ' android:id=\"@+id/' || ws[1] || '\"' ELSE named END"
+_LINE = "len(string_split(substr(content, 1, strpos(content, e) - 1), chr(10)))"
+_ATTRIBUTE = "CASE WHEN regexp_matches(e, '(?i){0}=\"[^\"]*\"') THEN regexp_extract(e, '(?i){0}=\"([^\"]*)\"', 1) END"
+_BASE = "replace(string_split(path, '/')[-1], '.xml', '')"
+_END = "{0} + length(e) - length(replace(e, chr(10), ''))"
+XML_CHUNKS = rf"""WITH w AS (SELECT *, string_split(p_name, ' ') AS ws, p_partkey % 6 AS m FROM part), w1 AS (SELECT *, {_NAMED} AS named, array_to_string(list_transform(ws, lambda x: '<View android:id="@+id/' || x || '" />'), chr(10)) AS ids,
+ array_to_string(list_transform(ws, lambda x: chr(10) || '  <action app:destination="@id/' || x || '"/>'), '') AS actions FROM w), w2 AS (SELECT *, {_WHERE} AS wh FROM w1),
+files AS (SELECT m, 'p' || p_partkey || '/src/' || ['res/AndroidManifest.xml', 'res/navigation/g.xml', 'res/layout/l.xml', 'res/values/v.xml', 'res/raw/r.xml', 'res/nav/empty.xml'][m + 1] AS path,
+ CASE WHEN m = 0 AND p_size % 5 = 0 THEN '<manifest/>' WHEN m = 0 THEN '<manifest>' || chr(10) || '<!-- <service/> -->' || chr(10) || '<provider' || named || '></provider><activity-alias' || named || '/>' || chr(10) || chr(10) || '<activity>' || actions || '</activity>' || chr(10) || '</manifest>'
+ WHEN m = 1 THEN '<navigation>' || chr(10) || ' <fragment' || wh || '>' || actions || chr(10) || ' </fragment><dialog' || named || '/>' || chr(10) || '<composable' || wh || '></composable>' || chr(10) || '</navigation>'
+ WHEN m = 2 THEN '<?xml?>' || chr(10) || '<a.B.C>' || CASE WHEN p_size % 4 > 0 THEN ids ELSE '' END || '</a.B.C>' WHEN m = 5 THEN '<navigation/>' || chr(10) ELSE '<resources>' || chr(10) || ids || '</resources>' END AS content FROM w2),
+es AS (SELECT path, m, content, unnest(CASE WHEN m = 0 THEN list_concat(list_concat({O.xml_elements('activity')}, {O.xml_elements('service')}), list_concat({O.xml_elements('receiver')}, {O.xml_elements('provider')})) WHEN m IN (1, 5) THEN {O.xml_elements('fragment|composable|dialog')} ELSE [] END) AS e FROM files),
+el AS (SELECT *, {_LINE} AS line, CASE WHEN m = 0 THEN coalesce({_ATTRIBUTE.format('android:name')}, 'component@' || {_LINE}) ELSE coalesce({_ATTRIBUTE.format('android:id')}, {_ATTRIBUTE.format('android:name')}, 'dest@' || {_LINE}) END AS name FROM es),
+whole AS (SELECT *, CASE m WHEN 0 THEN 'manifest_component' WHEN 1 THEN 'nav_destination' WHEN 5 THEN 'nav_destination' WHEN 3 THEN 'values' ELSE 'layout' END AS kind, content AS e, regexp_extract_all(content, 'android:id="@\+id/(\w+)"', 1) AS found FROM files WHERE path NOT IN (SELECT path FROM es))
+SELECT path, CASE WHEN m = 0 THEN 'manifest_component' ELSE 'nav_destination' END AS kind, CASE WHEN m = 0 THEN string_split(name, '.')[-1] ELSE replace(name, '@+id/', '') END AS symbol_name, CASE WHEN m = 0 THEN name END AS symbol_fqname, CAST(line AS BIGINT) AS start_line, CAST({_END.format('line')} AS BIGINT) AS end_line,
+ CASE WHEN m = 0 THEN 'manifest' ELSE 'navigation' END AS tags, name AS defines, CASE WHEN m = 0 THEN '' ELSE array_to_string(regexp_extract_all(e, 'app:destination="@id/(\w+)"', 1), ',') END AS uses, sha256(e) AS text, sha256(e) AS sketch FROM el
+UNION ALL SELECT path, kind, {_BASE}, NULL, 1, CAST({_END.format('1')} AS BIGINT), CASE WHEN m = 2 THEN 'layout' ELSE '' END, CASE WHEN m = 2 THEN array_to_string(list_transform(found, lambda x: '@+id/' || x), ',') ELSE '' END, '', sha256(content),
+ sha256(CASE WHEN m = 2 THEN 'Root: ' || regexp_extract(content, '<(\w+(?:\.\w+)*)', 1) || chr(10) || 'IDs: ' || CASE WHEN len(found) > 0 THEN array_to_string(found, ', ') ELSE '(none)' END ELSE {O.truncated('content', 200)} END) FROM whole"""
+
 #: name: (query, SQL or None)
 ALL: dict[str, tuple[Query, str | None]] = {
     # Telemetry
@@ -227,10 +313,25 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "ignore_filter": (lambda spark, d: odd_paths(spark, d).where(~I.ignored(F.col("path"))), f"WITH {ODD_PATHS} SELECT p_partkey, path FROM odd WHERE NOT {O.IGNORED}"),
     "readable_files": (lambda spark, d: I.readable(V.files(spark, d), 2000).select("doc_id", "path"), f"WITH {O.FILES} SELECT doc_id, path FROM files WHERE NOT {O.IGNORED} AND strlen(content) <= 2000"),
     "generic_chunks": (
-        lambda spark, d: I.generic_chunks(V.files(spark, d), 1).select("path", "start_line", "end_line", "symbol_name", F.sha2("text_raw", 256).alias("text")),
-        f"""WITH {O.FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos, len(string_split(content, chr(10))) AS n FROM files), g AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE sum((regexp_matches({O.strip('line')}, '{I.BOUNDARY}') OR {O.strip('line')} = '')::INT) OVER (PARTITION BY path ORDER BY pos) END AS part FROM l),
-p AS (SELECT path, n, CAST(min(pos) AS BIGINT) AS start_line, CAST(max(pos) AS BIGINT) AS end_line, string_agg(line, chr(10) ORDER BY pos) AS text_raw, list({O.strip('line')} ORDER BY pos) AS ls FROM g GROUP BY path, n, part)
-SELECT path, start_line, end_line, coalesce(nullif(regexp_extract(coalesce(list_filter(ls, lambda x: x <> '' AND NOT starts_with(x, '//') AND NOT starts_with(x, '/*'))[1], ''), '{I.DECLARES}', 1), ''), string_split(path, '/')[-1]) AS symbol_name, sha256(text_raw) AS text FROM p WHERE {O.strip('text_raw')} <> '' OR n <= 1""",
+        lambda spark, d: I.generic_chunks(V.files(spark, d)).select("path", "start_line", "end_line", "symbol_name", F.sha2("text_raw", 256).alias("text")),
+        f"""WITH RECURSIVE {O.FILES}, {O.spans(100)} SELECT path, start_line, end_line, {O.LINES_NAME} AS symbol_name, sha256(text_raw) AS text FROM text_rows WHERE {O.strip('text_raw')} <> '' OR n <= 100""",
+    ),
+    "index_build": (
+        lambda spark, d: shown(new_store(spark, d, V.files(spark, d))),
+        O.built("SELECT * FROM all_files") + " SELECT path, kind, symbol_name, start_line, end_line, sha256(text_raw) AS text FROM built",
+    ),
+    "index_refresh": (
+        refreshed_store,
+        O.built("SELECT * REPLACE (CASE WHEN doc_id % 11 = 0 THEN content || chr(10) || 'class Added' ELSE content END AS content) FROM all_files WHERE doc_id % 7 <> 0") + " SELECT path, kind, symbol_name, start_line, end_line, sha256(text_raw) AS text FROM built",
+    ),
+    "index_summary": (
+        lambda spark, d: new_store(spark, d, unreadable(V.files(spark, d))).meta,
+        O.built("SELECT * FROM all_files WHERE doc_id % 50 NOT IN (1, 2)")
+        + ", f AS (SELECT repo_path, count(*) AS files, count(*) FILTER (doc_id % 50 IN (1, 2)) AS errors FROM all_files GROUP BY repo_path), c AS (SELECT repo_path, count(*) AS chunks FROM built JOIN all_files USING (path) GROUP BY repo_path) SELECT repo_path, 'v1' AS version, files, coalesce(chunks, 0) AS chunks, errors FROM f LEFT JOIN c USING (repo_path)",
+    ),
+    "xml_chunks": (
+        lambda spark, d: joined(B.file_chunks(B.file_rows(xml_files(spark, d))).select("path", "kind", "symbol_name", "symbol_fqname", "start_line", "end_line", "tags", "defines", "uses", F.sha2("text_raw", 256).alias("text"), F.sha2("text_sketch", 256).alias("sketch"))),
+        XML_CHUNKS,
     ),
     "gradle_chunks": (
         lambda spark, d: joined(I.gradle_chunks(part_files(spark, d)).select("path", "kind", "start_line", "end_line", "uses", "text_raw")),
@@ -344,8 +445,8 @@ SELECT id, path, kind, symbol_name, start_line || '-' || end_line AS lines, sha2
         f"WITH {O.hybrid()}, n AS (SELECT qid, count(*) AS candidates, count(left_rank) AS lexical, count(right_rank) AS vector FROM reranked GROUP BY qid), t AS (SELECT qid, count(*) FILTER (source = 'lexical') AS from_lexical, count(*) FILTER (source = 'vector') AS from_vector, count(*) FILTER (source = 'both') AS from_both, count(*) FILTER (bonus > 0) AS reranked FROM hybrid GROUP BY qid) SELECT * FROM n JOIN t USING (qid)",
     ),
     "highlights": (
-        searching(lambda c, p: c.crossJoin(F.broadcast(p.orderBy("qid").limit(1).select("terms"))).select("id", F.array_join(K.highlights(F.col("text_raw"), F.col("signature"), F.col("terms")), "|").alias("lines"))),
-        f"WITH {O.CHUNKS}, {O.SEARCHES}, {O.plan_of('searches')}, one AS (SELECT terms FROM plan ORDER BY qid LIMIT 1), rows0 AS (SELECT id, text_raw, signature, terms FROM chunks, one), {O.highlighted('rows0')} SELECT id, array_to_string(highlights, '|') AS lines FROM h3",
+        searching(highlighted),
+        f"WITH {O.lexical(24)}, rows0 AS (SELECT l.qid, l.id, text_raw, signature, terms FROM lexical l JOIN chunks USING (id) JOIN plan p ON p.qid = l.qid), {O.highlighted('rows0')} SELECT qid, id, array_to_string(highlights, '|') AS lines FROM h3",
     ),
     "package_sketch": (fitting("sketch"), fitting_sql("sketch")),
     "package_implementation": (fitting("implementation"), fitting_sql("implementation")),
@@ -358,6 +459,8 @@ SELECT id, path, kind, symbol_name, start_line || '-' || end_line AS lines, sha2
     "knn_cosine": (neighbours("cosine"), f"WITH {O.KNN.format(distance='1 - list_cosine_similarity(v, q)', more='WHERE id <> qid')} SELECT * FROM knn"),
     "knn_dot": (neighbours("dot"), f"WITH {O.KNN.format(distance='-list_inner_product(v, q)', more='WHERE id <> qid')} SELECT * FROM knn"),
     "knn_filtered": (neighbours("l2", 3), f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid AND label = 3')} SELECT * FROM knn"),
+    "knn_indexed": (neighbours("l2", indexed=True), None),
+    "knn_recall": (indexed_recall, None),
     # Evaluation
     "rank_metrics": (measured("l2"), f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid')} {O.JUDGED} SELECT * FROM metrics"),
     "eval_by_tag": (
