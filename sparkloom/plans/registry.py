@@ -22,6 +22,7 @@ from sparkloom.plans import query_plan as P
 from sparkloom.session import table
 from sparkloom.sources import views as V
 from sparkloom.sources.store import new_path, stored
+from sparkloom.streaming import observed_log as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,6 +232,29 @@ def xml_files(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.lit("/repo/x").alias("repo_path"), F.concat(F.lit("p"), "k", F.lit("/src/"), path).alias("path"), content.alias("content"))
 
 
+def logged(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a log of observed calls, among them blank ones and malformed ones."""
+    seen_rows = T.observed_records(V.payloads(spark, d)).withColumn("repo", F.concat(F.lit("/repo/"), (F.col("sid") % 10).cast("string")))
+    line = F.to_json(F.struct(*L.log_rows(seen_rows).columns))
+    rows = L.log_rows(seen_rows).select(line.alias("value"), (F.col("sid").cast("long") % 9).alias("k"))
+    odd = rows.where("k < 3").select(F.element_at(F.array(F.lit("  "), F.concat(F.substring("value", 1, 20), F.lit("…")), F.lit("not json")), (F.col("k") + 1).cast("int")).alias("value"))
+    return rows.select("value").unionByName(odd)
+
+
+def streamed_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log read as a stream, its records of one repository since a time appended to another log, and that one read."""
+    first, second = new_path(spark), new_path(spark)
+    logged(spark, d).write.text(first)
+    L.append(L.records(L.stream_log(spark, first), "/repo/3", LOG_SINCE), second, new_path(spark)).awaitTermination()
+    return L.records(L.read_log(spark, second))
+
+
+LOG_SINCE = "2024-01-10T00:00:00.000Z"
+_STAMP = "strftime(t, '%Y-%m-%dT%H:%M:%S.') || '000Z'"
+OBSERVED_LOG = f"""WITH {O.SEEN} SELECT {_STAMP} AS t, tool, '/repo/' || sid % 10 AS repo, sid::VARCHAR AS sid, path, is_code AS "isCodeFile", selector, start AS "offset", most AS "limit", guided_by AS "guidedBy",
+ CASE WHEN category = 'native' THEN 'warn' END AS "policyMode", reason_code AS "reasonCode" FROM seen WHERE sid % 10 = 3 AND {_STAMP} >= '{LOG_SINCE}'"""
+LOG_CLEANUP = f"""WITH {O.SEEN}, f AS (SELECT CASE WHEN t >= TIMESTAMP '{O.NOW}' - INTERVAL 20 DAYS THEN 'kept' ELSE 'old' END AS fate FROM seen UNION ALL SELECT 'malformed' FROM seen WHERE sid % 9 IN (1, 2)) SELECT fate, count(*) AS lines FROM f GROUP BY fate"""
+
 #: The same files in SQL, and their elements by regular expressions over the contents.
 _NAMED = "CASE p_size % 3 WHEN 0 THEN ' android:name=\"a.b.' || ws[1] || '\"' WHEN 1 THEN ' Android:Name=\"' || ws[2] || '\"' ELSE '' END"
 _WHERE = "CASE WHEN p_size % 2 = 0 THEN ' android:id=\"@+id/' || ws[1] || '\"' ELSE named END"
@@ -306,6 +330,8 @@ ALL: dict[str, tuple[Query, str | None]] = {
         f"WITH {O.COVERAGE} SELECT tool, calls, reads, {O.half_up('100e0 * reads / nullif(calls, 0)')} AS bounce_pct FROM (SELECT value AS tool, CAST(coalesce(sum(n) FILTER (dimension = 'engine_tool'), 0) AS BIGINT) AS calls, CAST(coalesce(sum(n) FILTER (dimension = 'guided_by'), 0) AS BIGINT) AS reads FROM coverage WHERE dimension IN ('engine_tool', 'guided_by') GROUP BY value) WHERE reads > 0",
     ),
     "guided_reads": (seen(lambda r: r.where("guided_by is not null").select("sid", "seq", "guided_by")), f"WITH {O.SEEN} SELECT sid, seq, guided_by FROM seen WHERE guided_by IS NOT NULL"),
+    "observed_log": (streamed_log, OBSERVED_LOG),
+    "log_cleanup": (lambda spark, d: L.cleaned(logged(spark, d), new_path(spark), O.NOW, 20), LOG_CLEANUP),
     "selector_memory": (lambda spark, d: T.selectors(V.payloads(spark, d)), f"WITH {O.SEEN} SELECT sid, seq, last_query, last_symbol, last_chunk FROM seen"),
     "guardrail": (seen(lambda r: T.decisions(r, "strict").drop("t")), f"WITH {O.DECIDED} SELECT sid, seq, CASE WHEN tool = 'Read' AND guided_by IS NOT NULL THEN 'warn' ELSE 'block' END AS action, hint, symbol FROM decided"),
     "nudge_limit": (seen(T.nudges), f"WITH {O.DECIDED} SELECT sid, seq, row_number() OVER (PARTITION BY sid ORDER BY t, seq) AS nudge, hint FROM decided QUALIFY nudge <= 3"),
