@@ -106,6 +106,12 @@ def time_ago(then: Column, now: Column) -> Column:
     return F.when(minutes < 1, "just now").when(minutes < 60, some(minutes, " min ago")).when(minutes < 1440, some(F.floor(minutes / 60), "h ago")).otherwise(some(F.floor(minutes / 1440), "d ago"))
 
 
+def string_array(text: Column, filled: bool = False) -> Column:
+    """The strings of a JSON array; none of a malformed text or another value. With ``filled`` blank ones and what is no string are left out."""
+    items = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    return F.filter(items, lambda v: F.trim(v) != "") if filled else items
+
+
 def looks_like_regex(text: Column) -> Column:
     return text.rlike(r"[\[\]{}()^$|\\]") | text.contains(".*") | text.contains(".+")
 

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 METRICS = ("mrr", "ndcg", "precision", "recall")
 
 
+QUERIES = "query string, repo string, expected array<string>, expected_symbols array<string>, tags array<string>, vec_id long"
+
+
+def read_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries from JSON lines: query, repo, expected (paths, the most relevant first), expected_symbols, tags, vec_id; a line that is none fails the read."""
+    return spark.read.schema(QUERIES).option("mode", "FAILFAST").json(folder)
+
+
+def graded(queries: DataFrame) -> DataFrame:
+    """What each query expects: query, item, gain (the first of n items has n)."""
+    return queries.select("query", F.posexplode("expected").alias("at", "item"), F.size("expected").alias("n")).select("query", "item", (F.col("n") - F.col("at")).cast("long").alias("gain"))
+
+
 def rank_metrics(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """Per query: reciprocal rank, and NDCG, precision and recall at ``k``.
 

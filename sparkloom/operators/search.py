@@ -195,23 +195,33 @@ def rerank(fused: DataFrame, chunks: DataFrame, plans: DataFrame) -> DataFrame:
     return out.select(*fused.columns, "path", "bonus", "reasons", "final")
 
 
-def candidates(index: Index, plans: DataFrame, most: int = 8, filters: dict | None = None, legs: str = "both") -> DataFrame:
-    """What the searches find, three times as deep as the results: fused and reranked. ``legs`` may be lexical or vector alone."""
-    words, near = lexical(index, plans, 3 * most, filters), vector_search(index, plans, 3 * most, filters)
-    words, near = (words if legs != "vector" else words.limit(0)), (near if legs != "lexical" else near.limit(0))
-    return rerank(rrf(words, near), index.chunks, plans)
+def legs(index: Index, plans: DataFrame, most: int = 8, filters: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """What either search finds, three times as deep as the results."""
+    return lexical(index, plans, 3 * most, filters), vector_search(index, plans, 3 * most, filters)
+
+
+def candidates(index: Index, plans: DataFrame, most: int = 8, filters: dict | None = None) -> DataFrame:
+    """Both searches, fused and reranked."""
+    return rerank(rrf(*legs(index, plans, most, filters)), index.chunks, plans)
+
+
+def compared(index: Index, plans: DataFrame, most: int) -> dict[str, DataFrame]:
+    """The results of the words alone, the vectors alone, and both, from one run of either search."""
+    words, near = map(stored, legs(index, plans, most))
+    settings = {"both": (words, near), "lexical": (words, near.limit(0)), "vector": (words.limit(0), near)}
+    return {name: best(rerank(rrf(*pair), index.chunks, plans), most) for name, pair in settings.items()}
 
 
 def best(out: DataFrame, most: int) -> DataFrame:
     return ranked(out, most, F.desc("final"), F.desc("rrf"), F.desc(F.col("source") == "both"), F.col("path"), F.col("id"))
 
 
-def hybrid(index: Index, plans: DataFrame, most: int = 8, filters: dict | None = None, legs: str = "both") -> DataFrame:
+def hybrid(index: Index, plans: DataFrame, most: int = 8, filters: dict | None = None) -> DataFrame:
     """The ``most`` best chunks of each planned query (qid, query, embedding, ...): both searches three times as deep, fused, reranked and ordered.
 
     Returns qid, id, path, rank, final, rrf, bonus, source, reasons, variants, left_rank and right_rank.
     """
-    return best(candidates(index, plans, most, filters, legs), most)
+    return best(candidates(index, plans, most, filters), most)
 
 
 def metrics(index: Index, plans: DataFrame, most: int = 8) -> DataFrame:

@@ -23,17 +23,25 @@ def definitions(chunks: DataFrame, symbol: str) -> DataFrame:
     return chunks.where(defines(symbol)).select("id", "path", "kind", "symbol_name", "signature", "module", F.concat_ws("-", "start_line", "end_line").alias("lines"))
 
 
-def usages(chunks: DataFrame, symbol: str) -> DataFrame:
-    """Chunks that use the symbol by name or hold it as a term; the tag says which came first."""
-    named = F.exists("uses", lambda u: F.lower(u) == symbol.lower()) & (F.col("symbol_name") != symbol)
-    held = F.array_contains(X.terms_of(F.col("text_raw")), symbol.lower()) & (F.col("symbol_name") != symbol)
-    return chunks.where(named | held).select("id", "path", F.when(named, "uses").otherwise("text").alias("via"))
-
-
-def sources(chunks: DataFrame, files: DataFrame, symbol: str, before: int, after: int) -> DataFrame:
-    """The chunks that define a symbol with the lines of their file before and after them; blank surroundings are null."""
+def usages(chunks: DataFrame, symbol: str, most: int | None = None) -> DataFrame:
+    """Chunks that use the symbol by name, and those whose text holds its terms in a row, ``most`` of these at most (by path and line); the tag says which came first."""
+    other = F.col("symbol_name") != symbol
+    named = F.exists("uses", lambda u: F.lower(u) == symbol.lower()) & other
+    spaced = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    held = spaced(X.terms_of(F.col("text_raw"))).contains(spaced(X.terms_of(F.lit(symbol)))) & other
+    rows = chunks.where(named | held).select("id", "path", "start_line", F.when(named, "uses").otherwise("text").alias("via"))
+    if most is not None:
+        rows = rows.where("via = 'uses'").unionByName(rows.where("via = 'text'").orderBy("path", "start_line", "id").limit(most))
+    return rows.drop("start_line")
+
+
+def sources(chunks: DataFrame, files: DataFrame, symbol: str | None, before: int, after: int, chunk_id: str | None = None) -> DataFrame:
+    """A chunk by its id, or those that define a symbol, with the lines of their file before and after them; blank surroundings are null."""
+    if not symbol and not chunk_id:
+        raise ValueError("a symbol or a chunk's id is needed")
     lines = F.split("content", "\\r?\\n", -1)
-    found = chunks.where(defines(symbol)).join(files.select("repo_path", "path", lines.alias("ls")).dropDuplicates(["repo_path", "path"]), ["repo_path", "path"])
+    before, after = max(0, before), max(0, after)
+    found = chunks.where(F.col("id") == chunk_id if chunk_id else defines(symbol)).join(files.select("repo_path", "path", lines.alias("ls")).dropDuplicates(["repo_path", "path"]), ["repo_path", "path"])
     first = F.greatest(F.lit(1), F.col("start_line") - before).cast("int")
     around = lambda at, n: F.array_join(F.slice("ls", at.cast("int"), F.greatest(n, F.lit(0)).cast("int")), "\n")
     shown = lambda x: F.when(X.strip(x) != "", x)
@@ -100,6 +108,34 @@ def tree_lines(chunks: DataFrame, most_depth: int = 3) -> DataFrame:
     return rows.select("prefix", "depth", "is_file", text.alias("line"))
 
 
+def tree_text(chunks: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """The map as text, a line a row in order: repo_path, place, depth (from 1), prefix, line.
+
+    Directories come before files, either by code point; ``place`` (directory or file, and
+    name, of each level) sorts the whole map at once, children behind their parents. A
+    directory below ``most_depth`` levels is one line with the files that it holds.
+    """
+    parts = F.split("path", "/")
+    per_file = chunks.groupBy("repo_path", "path").agg(F.count("*").alias("n"))
+    level = lambda i: F.named_struct(F.lit("file"), (i == F.size(parts)).cast("int"), F.lit("name"), F.element_at(parts, i))
+    deepest = F.size(parts) if most_depth is None else F.least(F.size(parts), F.lit(most_depth + 1))
+    rows = per_file.select("repo_path", "n", F.transform(F.sequence(F.lit(1), F.size(parts)), level).alias("place"), F.explode(F.sequence(F.lit(1), deepest)).alias("depth"))
+    rows = rows.groupBy("repo_path", F.slice("place", F.lit(1), F.col("depth")).alias("place")).agg(F.count("*").alias("files"), F.sum("n").alias("chunks"))
+    parent = F.slice("place", F.lit(1), F.size("place") - 1)
+    last = rows.groupBy("repo_path", parent.alias("parent")).agg(F.max(F.element_at("place", -1)).alias("last"))
+    # Whether the node and each of its ancestors are the last of their directory: a row a level.
+    levels = rows.select("repo_path", "place", "files", "chunks", F.explode(F.sequence(F.lit(1), F.size("place"))).alias("i"))
+    levels = levels.withColumn("parent", F.slice("place", F.lit(1), F.col("i") - 1)).join(last, ["repo_path", "parent"])
+    ends = levels.groupBy("repo_path", "place").agg(F.first("files").alias("files"), F.first("chunks").alias("chunks"), F.array_sort(F.collect_list(F.struct("i", (F.get("place", F.col("i") - 1) == F.col("last")).alias("end")))).alias("ends"))
+    indent = F.array_join(F.transform(F.slice("ends", F.lit(1), F.size("ends") - 1), lambda e: F.when(e["end"], "    ").otherwise("│   ")), "")
+    own = F.element_at("place", -1)
+    deep = F.lit(False) if most_depth is None else F.size("place") > most_depth
+    text = F.when(own["file"] == 1, F.concat(own["name"], F.lit(" ("), F.col("chunks"), F.lit(" chunks)"))).when(deep, F.concat(own["name"], F.lit("/ ("), F.col("files"), F.lit(" files)"))).otherwise(own["name"])
+    line = F.concat(indent, F.when(F.element_at("ends", -1)["end"], "└── ").otherwise("├── "), text)
+    out = ends.select("repo_path", "place", F.size("place").cast("long").alias("depth"), F.array_join(F.transform("place", lambda x: x["name"]), "/").alias("prefix"), line.alias("line"))
+    return out.orderBy("repo_path", "place")
+
+
 def index_totals(chunks: DataFrame) -> DataFrame:
     """Per repository: chunks, files, tokens that a map of all sketches takes, and whether there is anything."""
     return chunks.groupBy("repo_path").agg(F.count("*").alias("chunks"), F.countDistinct("path").alias("files"), F.ceil(F.sum(F.length("text_sketch")) / 4).cast("long").alias("map_tokens"), F.lit("healthy").alias("health"))

@@ -75,18 +75,23 @@ def retained(calls: DataFrame, now: str, days: int = 90) -> DataFrame:
     return calls.where(F.col("called_at") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
-def export_rows(calls: DataFrame, anonymize: bool, tool: str | None = None, limit: int = 0) -> DataFrame:
-    """The calls, newest first, with their metadata's fields as columns. Anonymised ones have a hash for the repository, a date for the time and no query."""
+def export_rows(calls: DataFrame, anonymize: bool, tool: str | None = None, limit: int = 0, period: str = "all", now: str | None = None) -> DataFrame:
+    """The calls of a tool and period (that ends ``now``) with their metadata's fields as columns; with a limit the newest ones, in order.
+
+    Anonymised ones have a hash for the repository, a date for the time and no query.
+    """
     rows = calls.where(F.col("tool") == tool) if tool else calls
+    since = period_start(period, now) if period != "all" else None
+    rows = rows.where(F.col("called_at") >= since) if since is not None else rows
+    rows = rows.orderBy(F.desc("called_at"), "id").limit(limit) if limit else rows
     m = F.from_json("metadata", META)
     repo = F.substring(F.sha2("repo_path", 256), 1, 8) if anonymize else F.element_at(F.split("repo_path", "/"), -1)
     when = F.date_format("called_at", "yyyy-MM-dd" if anonymize else "yyyy-MM-dd HH:mm:ss")
-    out = rows.orderBy(F.desc("called_at"), "id").select(
+    return rows.select(
         "id", "tool", repo.alias("repo"), when.alias("called_at"), "duration_ms", "tokens_sent", "tokens_raw", F.coalesce("channel", F.lit("mcp")).alias("channel"), "model",
         *([] if anonymize else [m["query"].alias("query")]), m["resultCount"].alias("result_count"), m["truncated"].alias("truncated"), F.to_json(m["sources"]).alias("sources"),
         m["timing"].alias("timing"), m["retrieval"].alias("retrieval"), m["packager"].alias("packager"), m["topScores"].alias("top_scores"),
     )
-    return out.limit(limit) if limit else out
 
 
 def csv_lines(rows: DataFrame) -> DataFrame:

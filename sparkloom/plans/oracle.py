@@ -100,6 +100,9 @@ MEMBER = [
 def _member(x: str) -> str:
     cut = lambda at: strip(f"regexp_replace({strip(x)}, '{at}', '')")
     parts = [f"CASE WHEN regexp_matches({strip(x) if plain else x}, '{pattern}') THEN {cut(at) if at else strip(x)}{' || CASE WHEN contains(' + x + chr(44) + chr(39) + ':' + chr(39) + ') THEN ' + chr(39) + ':' + chr(39) + ' ELSE ' + chr(39) + chr(39) + ' END' if at == ':.*$' else ''} END" for pattern, plain, at in MEMBER]
+    field = rf"CASE WHEN regexp_matches({x}, '^\s*(final|late|static|const)\s+\w+[\w<>,?\s]*\s+\w+\s*[;=]') THEN {strip(x)} END"
+    method = rf"CASE WHEN regexp_matches({x}, '^\s*(@\w+\s+)*(static\s+)?\w+[<\w>,?\s]*\s+\w+\s*\(') AND NOT regexp_matches({strip(x)}, '^(if|for|while|return)') THEN {strip(f"regexp_replace({strip(f'regexp_replace({strip(x)}, {chr(39)}' + r'\{.*$' + f'{chr(39)}, {chr(39)}{chr(39)})')}, '=>.*$', '')")} END"
+    parts[4:4] = [field, method]
     return f"list_filter([{', '.join(parts)}], lambda m: m IS NOT NULL)"
 
 
@@ -117,6 +120,8 @@ def truncated(x: str, budget: int) -> str:
     return f"CASE WHEN length({x}) <= {budget * 4} THEN {x} ELSE substr({x}, 1, {budget * 4}) || chr(10) || '... (truncated)' END"
 
 
+#: A function's first declaring line, where it has no signature.
+UNSIGNED = rf"CASE WHEN kind IN ('function', 'method', 'composable', 'di_provider') AND coalesce(signature, '') = '' THEN coalesce(list_transform(list_filter(ls, lambda x: regexp_matches(x, '\b(fun|def)\s+')), lambda x: CASE WHEN regexp_matches(x, '\bfun\s+') THEN {strip(f"regexp_replace({strip('x')}, '{chr(92)}{{.*$', '')")} ELSE {strip(f"regexp_replace({strip('x')}, ':.*$', ':')")} END)[1], {strip('ls[1]')}) END"
 CHUNKS = rf"""{FILES}, cut AS (SELECT * EXCLUDE (content), unnest(range(0, len(string_split(content, chr(10))), 5)) AS pos0, string_split(content, chr(10)) AS all_ls FROM files),
 pieces AS (SELECT * EXCLUDE (all_ls), all_ls[pos0 + 1:pos0 + 5] AS ls, array_to_string(all_ls[pos0 + 1:pos0 + 5], chr(10)) AS text_raw, CAST(pos0 + 1 AS BIGINT) AS start_line, CAST(pos0 + len(all_ls[pos0 + 1:pos0 + 5]) AS BIGINT) AS end_line FROM cut),
 named AS (SELECT *, substr(sha256(text_raw), 1, 16) AS content_hash, nullif(regexp_extract(text_raw, '([A-Za-z]+)', 1), '') AS symbol_name, 'main' AS source_set, [{texts(("class", "function", "interface", "enum", "viewmodel", "dao", "generic_block"))}][length(text_raw) % 7 + 1] AS kind,
@@ -124,7 +129,7 @@ named AS (SELECT *, substr(sha256(text_raw), 1, 16) AS content_hash, nullif(rege
  list_filter(regexp_extract_all(text_raw, '@[A-Za-z0-9.]+'), lambda x, i: list_position(regexp_extract_all(text_raw, '@[A-Za-z0-9.]+'), x) = i) AS annotations, list_sort(list_distinct(regexp_extract_all(text_raw, '[A-Z][a-z]{{5,}}'))) AS uses, list_transform(ls, lambda x: {strip('x')}) AS plain FROM pieces WHERE length(trim(text_raw)) > 0),
 docd AS (SELECT *, regexp_extract(text_raw, '/\*\*.*?\*/', 0, 's') AS block_doc, {strip(DOCSTRING)} AS string_doc,
  regexp_replace(regexp_extract(chr(10) || array_to_string(plain, chr(10)), '\n((?://[/!][^\n]*(?:\n|$))+)', 1), '\n$', '') AS run_doc FROM named),
-sketched AS (SELECT *, concat_ws(chr(10), nullif(array_to_string(annotations, ' '), ''), signature, nullif(CASE WHEN block_doc <> '' THEN block_doc WHEN string_doc <> '' THEN string_doc ELSE run_doc END, ''), nullif({_skeleton()}, '')) AS short FROM docd),
+sketched AS (SELECT *, concat_ws(chr(10), nullif(array_to_string(annotations, ' '), ''), signature, nullif(CASE WHEN block_doc <> '' THEN block_doc WHEN string_doc <> '' THEN string_doc ELSE run_doc END, ''), nullif({UNSIGNED}, ''), nullif({_skeleton()}, '')) AS short FROM docd),
 chunks AS (SELECT substr(sha256(path || ':' || start_line || ':' || end_line || ':' || content_hash), 1, 24) AS id, doc_id, repo_path, path, module, source_set, language, kind, symbol_name, concat_ws('.', substr(module, 2), symbol_name) AS symbol_fqname, signature, start_line, end_line, text_raw, tags, annotations, uses, content_hash,
  CASE WHEN {strip('short')} <> '' THEN {truncated('short', 200)} ELSE {truncated('text_raw', 200)} END AS text_sketch FROM sketched)"""
 TERMS = rf"list_filter(regexp_split_to_array(translate(lower({{0}}), '{X.ACCENTED}', '{X.PLAIN}'), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda x: x <> '')"

@@ -255,6 +255,49 @@ OBSERVED_LOG = f"""WITH {O.SEEN} SELECT {_STAMP} AS t, tool, '/repo/' || sid % 1
  CASE WHEN category = 'native' THEN 'warn' END AS "policyMode", reason_code AS "reasonCode" FROM seen WHERE sid % 10 = 3 AND {_STAMP} >= '{LOG_SINCE}'"""
 LOG_CLEANUP = f"""WITH {O.SEEN}, f AS (SELECT CASE WHEN t >= TIMESTAMP '{O.NOW}' - INTERVAL 20 DAYS THEN 'kept' ELSE 'old' END AS fate FROM seen UNION ALL SELECT 'malformed' FROM seen WHERE sid % 9 IN (1, 2)) SELECT fate, count(*) AS lines FROM f GROUP BY fate"""
 
+def eval_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The passages that some document holds as queries of their first eight words, written and read as an evaluation's file."""
+    held = V.files(spark, d).select("path", "content").join(R.small(table(spark, d, "benchmark")), F.col("content").contains(F.col("text")))
+    words = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
+    rows = held.groupBy(words.alias("query"), F.col("item_id").alias("vec_id")).agg(F.array_sort(F.collect_set("path")).alias("expected"))
+    folder = new_path(spark)
+    rows.withColumns({"repo": F.lit("/repo/x"), "tags": F.array(F.concat(F.lit("third"), (F.col("vec_id") % 3).cast("string")))}).write.json(folder)
+    return E.read_queries(spark, folder)
+
+
+def eval_settings(spark: SparkSession, d: str) -> DataFrame:
+    """MRR, NDCG, precision and recall at 5 by setting and tag, of the words alone, the vectors alone and both."""
+    asked = stored(eval_queries(spark, d))
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    plans = stored(P.plan(asked.join(vectors, "vec_id", "left").select(F.col("query").alias("qid"), "query", "embedding")))
+    expected, tags = E.graded(asked), asked.select("query", F.explode("tags").alias("tag"))
+    parts = [E.by_tag(E.rank_metrics(out.select(F.col("qid").alias("query"), F.col("path").alias("item"), "rank"), expected, 5), tags).withColumn("setting", F.lit(name)) for name, out in R.compared(Tables.of(spark, d), plans, 10).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def eval_settings_sql() -> str:
+    asked = "eq AS (SELECT array_to_string(string_split(b.text, ' ')[1:8], ' ') AS query, item_id, list(path ORDER BY path) AS expected FROM benchmark b JOIN files f ON contains(f.content, b.text) GROUP BY ALL), searches AS (SELECT query AS qid, query, embedding FROM eq LEFT JOIN embeddings ON vec_id = item_id)"
+    sides = {"both": ("lexical", "vec"), "lexical": ("lexical", "(SELECT * FROM vec WHERE false)"), "vector": ("(SELECT * FROM lexical WHERE false)", "vec")}
+    parts = []
+    for name, (left, right) in sides.items():
+        found = O.hybrid(10).replace(O.SEARCHES, asked).replace("FROM lexical l FULL JOIN vec v", f"FROM {left} l FULL JOIN {right} v")
+        parts.append(
+            f"SELECT '{name}' AS setting, * FROM (WITH {found}, ex AS (SELECT query, item_id, unnest(expected) AS item, len(expected) + 1 - unnest(range(1, len(expected) + 1)) AS gain FROM eq), "
+            "ideal AS (SELECT query, sum(gain / log2(p + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY gain DESC) AS p FROM ex) WHERE p <= 5 GROUP BY query), "
+            "m AS (SELECT query, item_id, round(coalesce(1e0 / min(rank), 0), 6) AS mrr, count(*) FILTER (rank <= 5) AS hits, count(DISTINCT item) AS relevant, coalesce(sum(gain / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg FROM ex LEFT JOIN hybrid h ON h.qid = query AND h.path = item GROUP BY query, item_id), "
+            "t AS (SELECT m.mrr, round(dcg / idcg, 6) AS ndcg, round(hits / 5e0, 6) AS precision, round(hits::DOUBLE / relevant, 6) AS recall, unnest(['*', 'third' || item_id % 3]) AS tag FROM m JOIN ideal USING (query)) "
+            "SELECT tag, count(*) AS queries, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM t GROUP BY tag)"
+        )
+    return " UNION ALL ".join(parts)
+
+
+#: The map as text: nodes, which of them end their directory, and the lines from the top down.
+TREE_TEXT = f"""WITH RECURSIVE {O.CHUNKS}, f AS (SELECT repo_path, string_split(path, '/') AS p, count(*) AS n FROM chunks GROUP BY repo_path, path), x AS (SELECT repo_path, p, n, unnest(range(1, least(len(p), 4) + 1)) AS i FROM f),
+nodes AS (SELECT repo_path, array_to_string(p[1:i], '/') AS prefix, array_to_string(p[1:i - 1], '/') AS parent, p[i] AS name, i AS depth, bool_or(i = len(p)) AS is_file, count(*) AS files, CAST(sum(n) AS BIGINT) AS chunks FROM x GROUP BY ALL),
+ended AS (SELECT *, row_number() OVER (PARTITION BY repo_path, parent ORDER BY is_file DESC, name DESC) = 1 AS ends, name || CASE WHEN is_file THEN ' (' || chunks || ' chunks)' WHEN depth > 3 THEN '/ (' || files || ' files)' ELSE '' END AS shown FROM nodes),
+lines AS (SELECT repo_path, prefix, depth, '' AS indent, ends, shown FROM ended WHERE depth = 1 UNION ALL SELECT e.repo_path, e.prefix, e.depth, indent || CASE WHEN l.ends THEN '    ' ELSE '│   ' END, e.ends, e.shown FROM lines l JOIN ended e ON e.repo_path = l.repo_path AND e.parent = l.prefix AND e.depth = l.depth + 1)
+SELECT repo_path, depth, prefix, indent || CASE WHEN ends THEN '└── ' ELSE '├── ' END || shown AS line FROM lines"""
+
 #: The same files in SQL, and their elements by regular expressions over the contents.
 _NAMED = "CASE p_size % 3 WHEN 0 THEN ' android:name=\"a.b.' || ws[1] || '\"' WHEN 1 THEN ' Android:Name=\"' || ws[2] || '\"' ELSE '' END"
 _WHERE = "CASE WHEN p_size % 2 = 0 THEN ' android:id=\"@+id/' || ws[1] || '\"' ELSE named END"
@@ -304,6 +347,10 @@ ALL: dict[str, tuple[Query, str | None]] = {
         calls(lambda c: T.export_rows(c, True, "search")),
         f"WITH {O.CALLS} SELECT id, tool, substr(sha256(repo_path), 1, 8) AS repo, strftime(called_at, '%Y-%m-%d') AS called_at, duration_ms, tokens_sent, tokens_raw, coalesce(channel, 'mcp') AS channel, model, {O.META} FROM calls WHERE tool = 'search'",
     ),
+    "export_month": (
+        calls(lambda c: T.export_rows(c, True, limit=500, period="month", now=O.NOW).select("id", "tool", "called_at")),
+        f"WITH {O.CALLS} SELECT id, tool, strftime(called_at, '%Y-%m-%d') AS called_at FROM calls WHERE calls.called_at >= TIMESTAMP '{O.NOW}' - INTERVAL 30 DAYS ORDER BY calls.called_at DESC, id LIMIT 500",
+    ),
     "export_csv": (
         calls(lambda c: T.csv_lines(T.export_rows(c.withColumn("tool", F.concat("tool", F.lit(', "x"'))), True))),
         f"WITH {O.CALLS} SELECT 'id,tool,repo,called_at,duration_ms,tokens_sent,tokens_raw,channel,model' AS line UNION ALL SELECT concat_ws(',', id, '\"' || tool || ', \"\"x\"\"\"', substr(sha256(repo_path), 1, 8), strftime(called_at, '%Y-%m-%d'), duration_ms, tokens_sent, tokens_raw, coalesce(channel, 'mcp'), coalesce(model, '')) FROM calls",
@@ -399,6 +446,7 @@ s AS (SELECT module, symbol_name, row_number() OVER (PARTITION BY module ORDER B
         chunks(S.tree_lines),
         f"WITH {O.CHUNKS}, f AS (SELECT string_split(path, '/') AS p, count(*) AS n FROM chunks GROUP BY path), x AS (SELECT p, n, unnest(range(1, 4)) AS i FROM f), t AS (SELECT array_to_string(p[1:i], '/') AS prefix, CAST(i - 1 AS BIGINT) AS depth, count(*) AS files, CAST(sum(n) AS BIGINT) AS chunks, bool_or(i = len(p)) AS is_file FROM x GROUP BY 1, 2) SELECT prefix, depth, is_file, string_split(prefix, '/')[-1] || CASE WHEN is_file THEN ' (' || chunks || ' chunks)' WHEN depth = 2 THEN '/ (' || files || ' files)' ELSE '' END AS line FROM t",
     ),
+    "tree_text": (chunks(lambda c: S.tree_text(c, 3).drop("place")), TREE_TEXT),
     "index_totals": (chunks(S.index_totals), f"WITH {O.CHUNKS} SELECT repo_path, count(*) AS chunks, count(DISTINCT path) AS files, CAST(ceil(sum(length(text_sketch)) / 4e0) AS BIGINT) AS map_tokens, 'healthy' AS health FROM chunks GROUP BY repo_path"),
     "health": (chunks(lambda c: S.health(c, "/repo/3").unionByName(S.health(c, "/repo/none"))), f"WITH {O.CHUNKS} SELECT r AS repo_path, CASE WHEN EXISTS (SELECT 1 FROM chunks WHERE repo_path = r) THEN 'healthy' ELSE 'empty' END AS health FROM (SELECT unnest(['/repo/3', '/repo/none']) AS r)"),
     "context_profile": (
@@ -417,6 +465,10 @@ a AS (SELECT kind, count(*) AS sampled, CAST(sum(tr) AS BIGINT) AS tokens_raw FR
         chunks(lambda c: S.usages(c, "Eriner")),
         f"WITH {O.CHUNKS}, m AS (SELECT id, path, list_contains(list_transform(uses, lambda u: lower(u)), 'eriner') AS named, list_contains({O.TERMS.format('text_raw').replace('{{', '{').replace('}}', '}')}, 'eriner') AS held, symbol_name FROM chunks) SELECT id, path, CASE WHEN named THEN 'uses' ELSE 'text' END AS via FROM m WHERE symbol_name <> 'Eriner' AND (named OR held)",
     ),
+    "lookup_limited": (
+        chunks(lambda c: S.usages(c, "The", 20)),
+        f"WITH {O.CHUNKS}, m AS (SELECT id, path, start_line, list_contains(list_transform(uses, lambda u: lower(u)), 'the') AS named, list_contains({O.TERMS.format('text_raw').replace('{{', '{').replace('}}', '}')}, 'the') AS held FROM chunks WHERE symbol_name <> 'The'), u AS (SELECT id, path, named, row_number() OVER (PARTITION BY named ORDER BY path, start_line, id) AS place FROM m WHERE named OR held) SELECT id, path, CASE WHEN named THEN 'uses' ELSE 'text' END AS via FROM u WHERE named OR place <= 20",
+    ),
     "source_context": (
         lambda spark, d: S.sources(Tables.of(spark, d).chunks, V.files(spark, d), O.SYMBOL, 3, 2).withColumn("source", F.sha2("source", 256)),
         f"""WITH {O.CHUNKS}, f AS (SELECT DISTINCT repo_path, path, regexp_split_to_array(content, '\\r?\\n') AS ls FROM files), s AS (SELECT c.*, array_to_string(ls[greatest(1, start_line - 3):start_line - 1], chr(10)) AS b, array_to_string(ls[end_line + 1:end_line + 2], chr(10)) AS a FROM chunks c JOIN f USING (repo_path, path) WHERE symbol_name = 'The' OR ends_with(lower(symbol_fqname), 'the'))
@@ -489,6 +541,7 @@ SELECT id, path, kind, symbol_name, start_line || '-' || end_line AS lines, sha2
     "knn_recall": (indexed_recall, None),
     # Evaluation
     "rank_metrics": (measured("l2"), f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid')} {O.JUDGED} SELECT * FROM metrics"),
+    "eval_settings": (eval_settings, eval_settings_sql()),
     "eval_by_tag": (
         tagged,
         f"WITH {O.KNN.format(distance='list_distance(v, q)', more='WHERE id <> qid')} {O.JUDGED}, t AS (SELECT m.*, unnest(['label' || l.label, CASE WHEN m.query % 100 = 0 THEN 'even' ELSE 'odd' END, '*']) AS tag FROM metrics m JOIN embeddings l ON l.vec_id = m.query) SELECT tag, count(*) AS queries, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM t GROUP BY tag",
