@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import ingest as I
+from sparkloom.operators import nearest as N
 from sparkloom.operators import search as R
 from sparkloom.operators import telemetry as T
+from sparkloom.operators.index import Index
 from sparkloom.plans import query_plan as P
 from sparkloom.sources import views as V
 from sparkloom.streaming.sessions import follow
@@ -32,16 +34,17 @@ def test_lexical_search_prefers_the_symbol(spark):
         {"symbol_fqname": F.col("symbol_name"), "tags": F.array(F.lit("Code")), "kind": F.lit("class"), "language": F.lit("kotlin"), "module": F.lit(":a"), "start_line": F.lit(1)}
     )
     plans = P.plan(spark.createDataFrame([(7, "UserStore")], "qid long, query string"))
-    got = R.lexical(c, plans, 5).orderBy("rank").collect()
+    index = Index(c)
+    got = R.lexical(index, plans, 5).orderBy("rank").collect()
     assert [r.id for r in got] == ["1", "2"] and got[0].variants == "broad,exact,symbol_path"
-    assert R.lexical(c, plans, 5, {"tags": ("code",), "kind": "class"}).count() == 2 and R.lexical(c, plans, 5, {"language": "dart"}).count() == 0
+    assert R.lexical(index, plans, 5, {"tags": ("code",), "kind": "class"}).count() == 2 and R.lexical(index, plans, 5, {"language": "dart"}).count() == 0
 
 
 def test_searches_in_blocks(spark, monkeypatch):
     e = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k)]) for k in range(40)], "id long, embedding array<double>")
     q = e.withColumnRenamed("id", "qid")
     whole = {tuple(r) for r in R.nearest(e, q, 3).collect()}
-    monkeypatch.setattr(R, "BLOCK", 6)
+    monkeypatch.setattr(N, "BLOCK", 6)
     assert {tuple(r) for r in R.nearest(e, q, 3).collect()} == whole and len(whole) == 120
 
 
@@ -81,7 +84,7 @@ def test_sketches(spark):
     rows = [("class", code, "class A", ["@X"]), ("enum", "enum E {\n  ONE,\n  TWO = 2\n}", None, []), ("interface", "export interface I {\n  a: string;\n  }", None, []), ("function", "a\nb", None, []), ("class", "async def f(self):\n    self.y = 2", None, []), ("function", "/// one\n/// two\nx", "fn x", [])]
     df = spark.createDataFrame(rows, "k string, t string, s string, a array<string>")
     got = [r[0] for r in df.select(I.sketch(F.col("k"), F.col("t"), F.col("s"), F.col("a"))).collect()]
-    assert got == ["@X\nclass A\n/** Doc. */\n  val x = 1\n  private fun go(a: Int)" if "private fun" in got[0] else "@X\nclass A\n/** Doc. */\n  val x = 1", "  ONE,\n  TWO = 2", "  a: string;", "a\nb", "  async def f(self):\n  self.y = 2", "fn x\n/// one\n/// two"]
+    assert got == ["@X\nclass A\n/** Doc. */\n  val x = 1\n  private fun go(a: Int)" if "private fun" in got[0] else "@X\nclass A\n/** Doc. */\n  val x = 1", "  ONE,\n  TWO = 2", "  a: string;", "a", "  async def f(self):\n  self.y = 2", "fn x\n/// one\n/// two"]
 
 
 def test_ignored_paths(spark):
