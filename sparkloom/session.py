@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +25,13 @@ def get_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "spark
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster on which it is not installed."""
+    folder = Path(tempfile.mkdtemp(prefix="spark-"))
+    archive = shutil.make_archive(str(folder / "sparkloom"), "zip", Path(__file__).parents[1], "sparkloom")
+    spark.sparkContext.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
