@@ -278,8 +278,9 @@ def score(docs: DataFrame, path: str) -> DataFrame:
 
     Documents whose crc32 of doc_id as text leaves 2 on division by 7 are held out; the
     others train. Returns doc_id, held_out, n_tokens (words and the end), n_known (tokens
-    that occur in training), train_tokens, base_score (add-one word unigrams) and score
-    (the lattice's marginal, which spells unknown words, while the base gives each of
+    that occur in training), train_tokens, base_score (add-one word unigrams), lattice_score
+    (the marginal of the subword pieces alone: the end of a text by its share of the tokens,
+    every word by all its segmentations) and score (the lattice's marginal with words as pieces too, which spells unknown words, while the base gives each of
     them the same and leaves its letters unsaid). Words have A-Z in lower case. Null and
     empty texts are the end alone; a null doc_id is not held out. Repeated rows of a
     doc_id are told apart by their text; equal ones count as training each and give equal
@@ -289,8 +290,10 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     words = durable(word_counts(docs).repartition(4 * spark.sparkContext.defaultParallelism))
     count = lambda c: F.count_if(F.col("c") == c)
-    n, v, once, twice, tokens = (x or 0 for x in words.agg(F.sum("c"), F.count_if(F.col("c") > 0), count(1), count(2), F.sum("n")).first())
+    ends = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
+    n, v, once, twice, tokens, ends = (x or 0 for x in words.agg(F.sum("c"), F.count_if(F.col("c") > 0), count(1), count(2), F.sum("n"), ends).first())
     new, less, of = discounts(n, v, once, twice)
+    end = (ends + 1) / (n + 2)
     shared = spark.sparkContext.broadcast(Lattice(learned_scores(words, path)))
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,30 +301,32 @@ def score(docs: DataFrame, path: str) -> DataFrame:
         for table in gathered(batches):
             found = table.column(0).to_pylist()
             c = table.column(1).to_numpy() + np.array([w == END for w in found])
-            lp = np.full(len(found), -np.inf)
+            spelt = np.full(len(found), -np.inf)
             for at, several in by_length(found):
-                lp[at] = new + lattice.forward(several)
+                spelt[at] = lattice.forward(several)
             for k, word in enumerate(found):
                 if len(word) >= LONG:
-                    lp[k] = new + lattice.forward_of(b" " + word)[-1]
+                    spelt[k] = lattice.forward_of(b" " + word)[-1]
                 elif word == END:
-                    lp[k] = -np.inf
+                    spelt[k] = -np.inf
+            lp = new + spelt
+            alone = np.where([w == END for w in found], log(end), log1p(-end) + spelt) / LOG10
             whole = np.log(np.maximum(c - less, 1e-300) / of)
             lp = np.where(c > 0, np.logaddexp(lp, whole), lp) / LOG10
-            yield from pa.table({"word": table.column(0), "c": table.column(1), "n": table.column(2), "lp": lp}).to_batches()
+            yield from pa.table({"word": table.column(0), "c": table.column(1), "n": table.column(2), "lp": lp, "alone": alone}).to_batches()
 
-    scored = durable(words.select("word", "c", "n").mapInArrow(marginal, "word binary, c long, n long, lp double"))
-    common = scored.where(F.col("n") * COMMON >= tokens).select("word", "c", "lp").toArrow()
+    scored = durable(words.select("word", "c", "n").mapInArrow(marginal, "word binary, c long, n long, lp double, alone double"))
+    common = scored.where(F.col("n") * COMMON >= tokens).select("word", "c", "lp", "alone").toArrow()
     keys = pd.util.hash_array(np.array(common.column(0).to_pylist(), dtype=object), categorize=False) if common.num_rows else np.empty(0, np.uint64)
     order = np.argsort(keys)
-    known = spark.sparkContext.broadcast((keys[order], common.column(1).to_numpy()[order], common.column(2).to_numpy()[order]))
+    known = spark.sparkContext.broadcast((keys[order], *(common.column(c).to_numpy()[order] for c in (1, 2, 3))))
     base = lambda c: np.log10((c + 1) / (n + v + 1))
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "th", "held_out", "word", "n", "n_known", "base", "lp"]
-    fields = f"doc_id {kind}, th long, held_out boolean, word binary, n long, n_known long, base double, lp double"
+    names = ["doc_id", "th", "held_out", "word", "n", "n_known", "base", "lp", "alone"]
+    fields = f"doc_id {kind}, th long, held_out boolean, word binary, n long, n_known long, base double, lp double, alone double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, probabilities = known.value
+        keys, counts, probabilities, pure = known.value
 
         def rows(batch: pa.RecordBatch, low: int, found: list[bytes], sizes: list[int]) -> pa.RecordBatch:
             """A row per text with the sums of its common words, and one per other word."""
@@ -333,7 +338,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
                 rare = keys[at] != hashes
             here, which = doc[~rare], at[~rare]
-            sums = [np.bincount(here, w, len(sizes)) for w in (np.ones(len(here)), counts[which] > 0, base(counts[which]), probabilities[which])]
+            sums = [np.bincount(here, w, len(sizes)) for w in (np.ones(len(here)), counts[which] > 0, base(counts[which]), probabilities[which], pure[which])]
             other = np.flatnonzero(rare)
             take = pa.array(np.concatenate([np.arange(len(sizes)), doc[other]]) + low)
             nulls = pa.nulls(len(other), pa.int64())
@@ -357,14 +362,14 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), held_out().alias("held_out"), "text").mapInArrow(run, fields)
     rows = durable(rows)
     rest = rows.where("word is not null").select("doc_id", "th", "held_out", "word")
-    got = rest.join(scored.select("word", "c", F.col("lp").alias("p")).hint("merge"), "word").select(
+    got = rest.join(scored.select("word", "c", F.col("lp").alias("p"), F.col("alone").alias("pure")).hint("merge"), "word").select(
         "doc_id", "th", "held_out", F.lit(1).alias("n"), F.when(F.col("c") > 0, 1).otherwise(0).alias("n_known"),
-        F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("base"), F.col("p").alias("lp"), F.lit(0).alias("rows"),
+        F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("base"), F.col("p").alias("lp"), F.col("pure").alias("alone"), F.lit(0).alias("rows"),
     )
-    whole = rows.where("word is null").select("doc_id", "th", "held_out", "n", "n_known", "base", "lp", F.lit(1).alias("rows"))
-    sums = whole.unionByName(got).groupBy("doc_id", "th", "held_out").agg(F.sum("rows").alias("r"), *(F.sum(x).alias(x) for x in ("n", "n_known", "base", "lp")))
+    whole = rows.where("word is null").select("doc_id", "th", "held_out", "n", "n_known", "base", "lp", "alone", F.lit(1).alias("rows"))
+    sums = whole.unionByName(got).groupBy("doc_id", "th", "held_out").agg(F.sum("rows").alias("r"), *(F.sum(x).alias(x) for x in ("n", "n_known", "base", "lp", "alone")))
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("r").cast("int"))))
     return each.select(
         "doc_id", "held_out", (F.col("n") / F.col("r")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("r")).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") / F.col("r")).alias("base_score"), (F.col("lp") / F.col("r")).alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") / F.col("r")).alias("base_score"), (F.col("lp") / F.col("r")).alias("score"), (F.col("alone") / F.col("r")).alias("lattice_score"),
     )

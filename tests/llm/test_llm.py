@@ -399,6 +399,8 @@ def brute_model(texts, path, passes=2):
         m = c[w] + (w == b"\n")
         return math.log10(p + (m - d) / n if m else p)
 
+    end = (c[b"\n"] + 1) / (n + 1)
+    log_p.alone = lambda w: math.log10(end) if w == b"\n" else math.log10(1 - end) + lattice.forward_of(b" " + w)[-1] / math.log(10)
     return log_p
 
 
@@ -420,6 +422,7 @@ def test_language_model(spark, docs, edge, empty):
         base = sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens)
         g = got[r.doc_id, len(tokens)]
         assert (g.held_out, g.n_known, g.train_tokens) == (held(r.doc_id), sum(c[t] > 0 for t in tokens), n)
+        assert g.lattice_score == pytest.approx(sum(log_p.alone(t.encode()) for t in tokens))
         assert g.base_score == pytest.approx(base) and g.score == pytest.approx(sum(log_p(t.encode()) for t in tokens))
     assert lattice_lm.score(edge, path).count() == len(EDGE) and lattice_lm.score(empty, path).count() == 0
 
