@@ -153,7 +153,7 @@ def digests(element: Element) -> Iterator[bytes]:
                 h.update(p.digest)
                 e.size, e.linked, now = e.size + p.size, e.linked + p.linked, p.shape
             else:
-                text = " ".join(p.split())
+                text = " ".join((html.unescape(p) if "&" in p else p).split())
                 h.update(text.encode(errors="replace"))
                 e.size, now = e.size + len(text), b"text" if text else before
             if now != before:
@@ -265,7 +265,7 @@ def page_text(pages: DataFrame, min_pages: int = 5, percent: int = 20, ceiling:
 
     Returns page_id, url, text (blocks in page order, one to a line, references decoded,
     white space runs as one space; empty if there is none) and n_chars (its code points).
-    A null or empty html gives the empty text; a url that is null or has no host belongs
+    White space is what Unicode says it is, U+00A0 (``&nbsp;``) among it. A null or empty html gives the empty text; a url that is null or has no host belongs
     to the host "". Repeated rows each give a row; for templates pages of one main text
     count once. An empty table gives an empty result. Paragraphs, headings and list items
     are never taken for a template, however often they recur, nor are menus within an
