@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,44 +118,72 @@ def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
     return joined.withColumn("place", F.col("seq") + F.col(offset)).drop(p, g, offset)
 
 
+#: Links of one file that are drawn together at once.
+LINKS = 300_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links (u, v) with the same components and no shuffle: those of each task as stars around their smallest nodes."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def stars(links: pa.Table) -> pa.RecordBatch:
+        up: dict = {}
+
+        def root(x):
+            top = x
+            while (above := up.get(top, top)) != top:
+                top = above
+            while x != top:
+                up[x], x = top, up.get(x, x)
+            return top
+
+        for a, b in zip(links.column(0).to_pylist(), links.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        pairs = [(x, r) for x in nodes if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], links.schema.types[0]), pa.array([r for _, r in pairs], links.schema.types[0])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= LINKS:
+                yield stars(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield stars(pa.Table.from_batches(held))
+
+    return edges.select("u", "v").mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b): rows (node, component), component the smallest node reached.
 
-    Alternates large-star and small-star steps (both only ever relink a node to the
-    smallest neighbour, so the edge count stays linear) until no edge changes. A node
-    with very many neighbours is looked up with a join whose two sides are shuffled
-    tables, so adaptive execution can split it. Self-links and nulls are dropped;
-    nodes without a link get no row. Raises if ``max_rounds`` do not suffice.
+    Each task first draws its links together into stars; then large-star and small-star
+    steps alternate (both only ever relink a node to the smallest neighbour, so the links
+    stay linear in the nodes) until every node has one parent that has none. The smallest
+    neighbours are looked up by a broadcast of a counted table, beyond that with a join
+    of two shuffled tables, so that adaptive execution can split a node with very many.
+    Self-links and nulls are dropped; nodes without a link get no row. Raises if
+    ``max_rounds`` do not suffice.
     """
 
-    def lowest(pairs: DataFrame) -> DataFrame:
-        return durable(pairs.groupBy("u").agg(F.min("v").alias("m")))
+    def near(links: DataFrame) -> DataFrame:
+        low = durable(links.groupBy("u").agg(F.min("v").alias("m")))
+        return F.broadcast(low) if at_most(low, SMALL) else low.hint("merge")
 
-    spark = edges.sparkSession
-    now = durable(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    mark = None
+    now = durable(contracted(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))))
     for _ in range(max_rounds):
+        stars = durable(now.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")))
+        again = stars.select(F.col("m").alias("u")).distinct()
+        if stars.where("m <> x").isEmpty() and stars.join(again, "u", "left_semi").isEmpty():
+            return stars.select(F.col("u").alias("node"), F.col("m").alias("component")).union(again.select(F.col("u").alias("node"), F.col("u").alias("component")))
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = lowest(both).select("u", F.least("u", "m").alias("m"))
-        large = durable(
-            both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = lowest(large)
-        now = durable(
-            large.join(low.hint("merge"), "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        mark = seen
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds ({spark.version})")
+        large = both.where("v > u").join(near(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = durable(contracted(large))
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        now = durable(contracted(large.join(near(large), "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v")))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

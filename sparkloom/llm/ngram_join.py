@@ -11,7 +11,7 @@ that share such a shingle, pairs pass
 * the suffix filter: the sets are parted by hash into ``BITS`` ranges, and the
   ranges with an odd difference bound the sets' Hamming distance from below,
 
-and what passes is verified on the whole sets, a pair once in a round. Texts are the
+and what passes is verified on the whole sets, a pair once. Texts are the
 nodes, each of them once; rows with one doc_id are one document.
 
 The first rounds look at groups of many texts only, and compare each text with a few
@@ -40,6 +40,8 @@ from sparkloom.llm.shingles import shingle_set, text_words
 
 #: Counters of the frequency sketch: one to a document, at least and at most; and those in one row while it is summed.
 SKETCH, CELL = (2**18, 2**24), 2**14
+#: Tasks to a core that count for the sketch.
+SPLITS = 3
 BITS = 512
 #: Documents of a group in one block; groups over HOT are in the first rounds, in parts of about PART documents.
 BLOCK, HOT, PART, ROUNDS = 256, 8, 48, 2
@@ -52,7 +54,9 @@ SMALL = 400_000
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """Counts of all documents' shingles by hash, a power of two of them; counts over 2**31 stop there."""
     size = 1 << (min(SKETCH[1], max(SKETCH[0], docs.count())) - 1).bit_length()
-    lanes = math.isqrt(docs.rdd.getNumPartitions()) + 1
+    # A task hands on one sketch, whatever it read: few tasks read many splits each.
+    tasks = min(docs.rdd.getNumPartitions(), SPLITS * docs.sparkSession.sparkContext.defaultParallelism)
+    lanes = math.isqrt(tasks) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -63,9 +67,9 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
                 s = shingle_set(text_words(text.as_py()), width)
                 np.add.at(seen, (s & np.uint64(size - 1)).astype(np.int64), 1)
         lane = TaskContext.get().partitionId() % lanes
-        cells = size // CELL
+        cells = np.flatnonzero(seen.reshape(-1, CELL).any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(cells), pa.int32()), pa.array([lane] * cells, pa.int32()), pa.array([seen[k * CELL : (k + 1) * CELL].tobytes() for k in range(cells)])],
+            [pa.array(cells, pa.int32()), pa.array([lane] * len(cells), pa.int32()), pa.array([seen[k * CELL : (k + 1) * CELL].tobytes() for k in cells], pa.binary())],
             ["cell", "lane", "counts"],
         )
 
@@ -74,7 +78,7 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
         return rows[["cell", "lane"]].head(1).assign(counts=[total.tobytes()])
 
     kind = "cell int, lane int, counts binary"
-    summed = docs.select("text").mapInArrow(count, kind).groupBy("cell", "lane").applyInPandas(add, kind)
+    summed = docs.select("text").coalesce(tasks).mapInArrow(count, kind).groupBy("cell", "lane").applyInPandas(add, kind)
     out = np.zeros(size, np.int32)
     for row in summed.withColumn("lane", F.lit(0)).groupBy("cell", "lane").applyInPandas(add, kind).toLocalIterator():
         out[row.cell * CELL : (row.cell + 1) * CELL] = np.minimum(np.frombuffer(row.counts, np.int64), 2**31 - 1)
@@ -202,8 +206,11 @@ def candidates(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of rids whose whole shingle sets reach the similarity; the texts are read again for those that need it."""
+def verified(docs: DataFrame, rows: DataFrame, repeated: bool, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs of rids, a table, whose whole shingle sets reach the similarity; the texts are read again for those that need it.
+
+    ``repeated`` says whether some doc_id and text stand in several rows, of which one is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,16 +226,14 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, per
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = durable(pairs)
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     wanted = durable(rows.select("rid", "doc_id", "th").join(maybe_broadcast(durable(ends), SMALL), "rid", "left_semi"))
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     texts = texts.join(maybe_broadcast(wanted, SMALL), ["doc_id", "th"]).select("rid", "text")
-    again = rows.groupBy("doc_id", "th").count().where("count > 1").drop("count")
-    if not wanted.join(again, ["doc_id", "th"], "left_semi").isEmpty():  # a repeated row is read once
+    if repeated:
         texts = texts.dropDuplicates(["rid"])
     sets = texts.mapInArrow(run, "doc long, s binary")
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(
+    both = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")).join(maybe_broadcast(pairs, SMALL), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")).hint("merge"), "b"
     )
     return both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
@@ -265,18 +270,29 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     hubs = durable(members.groupBy("top").agg(F.min(F.struct("doc", "n")).alias("hub")).select("top", F.col("hub.doc").alias("a"), F.col("hub.n").alias("na")))
     star = members.select("doc", "n", "top").join(maybe_broadcast(hubs, SMALL), "top").where("doc <> a")
     star = star.where(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", F.col("doc").alias("b"))
-    links = durable(verified(docs, whole, star, width, percent))
+    repeated = not whole.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
+    tried = durable(star)
+    links = durable(verified(docs, whole, repeated, tried, width, percent))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among pairs that were not compared before."""
+        nonlocal tried
+        low, high = F.least("a", "b"), F.greatest("a", "b")
+        before = tried.select(low.alias("low"), high.alias("high"))
+        fresh = durable(pairs.join(maybe_broadcast(before, SMALL), (low == F.col("low")) & (high == F.col("high")), "left_anti"))
+        tried = tried.union(fresh)
+        return durable(verified(docs, whole, repeated, fresh, width, percent))
 
     def labelled(links: DataFrame) -> DataFrame:
         label = durable(components(links)).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
         return durable(members.join(maybe_broadcast(label, SMALL), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
 
     for turn in range(ROUNDS):
-        found = durable(verified(docs, whole, candidates(_parts(labelled(links), turn), percent), width, percent))
+        found = linked(candidates(_parts(labelled(links), turn), percent))
         if found.isEmpty():
             break
         links = links.union(found)
-    links = links.union(durable(verified(docs, whole, candidates(_blocks(labelled(links)), percent), width, percent)))
+    links = links.union(linked(candidates(_blocks(labelled(links)), percent)))
 
     named = whole.select("rid", "doc_id", "n", "seq").join(copies.hint("merge"), "seq", "left")
     named = durable(named.select("doc_id", "n", F.when(F.col("doc_id").isNull(), F.col("rid")).otherwise(F.coalesce("rep", "rid")).alias("rep")))
