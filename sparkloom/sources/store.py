@@ -33,3 +33,9 @@ def stored(df: DataFrame) -> DataFrame:
 def replace_partitions(df: DataFrame, path: str, *partitions: str) -> None:
     """Writes ``df`` over those partitions of a table that it has rows of; the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of no more parts than there are cores dealt over all of them: its file may be one row group, and it is small. Larger ones stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

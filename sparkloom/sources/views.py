@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import exprs as X
 from sparkloom.operators.ingest import sketch
 from sparkloom.session import table
+from sparkloom.sources.store import spread
 
 
 def _by(column: Column, cases: dict, otherwise: str | None = None) -> Column:
@@ -70,7 +71,7 @@ KINDS = ("class", "function", "interface", "enum", "viewmodel", "dao", "generic_
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: repo_path, path, content."""
     path = F.concat("source", F.lit("/src/main/"), F.col("doc_id").cast("string"), _by(F.col("lang"), EXTENSIONS))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/repo/"), (F.col("doc_id") % 10).cast("string")).alias("repo_path"), path.alias("path"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", F.concat(F.lit("/repo/"), (F.col("doc_id") % 10).cast("string")).alias("repo_path"), path.alias("path"), F.col("text").alias("content"))
 
 
 def chunks(spark: SparkSession, sf_dir: str, lines: int = 5) -> DataFrame:
