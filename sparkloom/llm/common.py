@@ -26,12 +26,16 @@ SMALL = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables. Python workers then find this package also where the session was started elsewhere."""
+    """One of the driver's tables. Python workers then find this package also where the session was started elsewhere.
+
+    A table of no more parts than there are cores is dealt over all of them, as its file may be one row group.
+    """
     root = str(Path(__file__).parents[2])
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in path.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{path}".strip(":")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
 
 
 def words(text: Column) -> Column:
