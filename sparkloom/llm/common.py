@@ -163,7 +163,7 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, native: bool = False) -> DataFrame:
     """Connected components of (a, b): rows (node, component), component the smallest node reached.
 
     Each task first draws its links together into stars; then large-star and small-star
@@ -172,14 +172,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbours are looked up by a broadcast of a counted table, beyond that with a join
     of two shuffled tables, so that adaptive execution can split a node with very many.
     Self-links and nulls are dropped; nodes without a link get no row. Raises if
-    ``max_rounds`` do not suffice.
+    ``max_rounds`` do not suffice. With ``native`` no Python runs in the tasks: equal links
+    are dropped instead of being drawn together.
     """
+    drawn = (lambda links: links.select("u", "v").distinct()) if native else contracted
 
     def near(links: DataFrame) -> DataFrame:
         low = durable(links.groupBy("u").agg(F.min("v").alias("m")))
         return F.broadcast(low) if at_most(low, SMALL) else low.hint("merge")
 
-    now = durable(contracted(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    now = durable(drawn(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
     for _ in range(max_rounds):
         stars = durable(now.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")))
         again = stars.select(F.col("m").alias("u")).distinct()
@@ -187,7 +189,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return stars.select(F.col("u").alias("node"), F.col("m").alias("component")).union(again.select(F.col("u").alias("node"), F.col("u").alias("component")))
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.where("v > u").join(near(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = durable(contracted(large))
+        large = durable(drawn(large))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        now = durable(contracted(large.join(near(large), "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v")))
+        now = durable(drawn(large.join(near(large), "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

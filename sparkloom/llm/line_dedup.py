@@ -132,7 +132,7 @@ def line_links(docs: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
     hubs = durable(hubs.select("key", F.col("hub.line").alias("la"), F.col("hub.counts").alias("ca"), "g"))
     star = members.join(hubs.hint("merge"), "key").where(apart("ca", "counts")).select(F.xxhash64("la").alias("a"), F.col("lh").alias("b"), "la", F.col("line").alias("lb")).where("a <> b")
     first = durable(near_pairs(star.dropDuplicates(["a", "b"]), edits, chars_per_edit))
-    label = durable(components(first)).withColumnsRenamed({"node": "lh", "component": "comp"})
+    label = durable(components(first, native=True)).withColumnsRenamed({"node": "lh", "component": "comp"})
 
     rows = members.select("key", "lh", "index", "counts").join(hubs.select("key", "g").hint("merge"), "key")
     rows = rows.join(maybe_broadcast(label, SMALL), "lh", "left").withColumn("comp", F.coalesce("comp", "lh"))
@@ -149,7 +149,7 @@ def line_links(docs: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
     texts = durable(texts)
     second = second.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("lb")), "b")
     second = durable(near_pairs(second, edits, chars_per_edit))
-    return components(first.union(second))
+    return components(first.union(second), native=True)
 
 
 def repeated_lines(lines: DataFrame, found: DataFrame, copies: int) -> DataFrame:

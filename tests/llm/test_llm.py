@@ -76,7 +76,9 @@ def test_components(spark):
     sets = Sets({x for p in pairs for x in p})
     for a, b in pairs:
         sets.join(a, b)
-    got = {r.node: r.component for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    links = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.node: r.component for r in common.components(links).collect()}
+    assert got == {r.node: r.component for r in common.components(links, native=True).collect()}
     alone = {x for a, b in pairs if a == b for x in (a,) if sum(x in p for p in pairs) == 1}
     assert got == {x: sets.root(x) for x in sets.up if x not in alone}
 
