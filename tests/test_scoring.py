@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.functions import exprs as X
+from sparkloom.operators import build as B
 from sparkloom.operators import evaluation as E
 from sparkloom.operators import scoring as C
 from sparkloom.operators import search as R
@@ -86,3 +87,13 @@ def test_pipeline_decodes_what_it_encodes(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = corpus_pipeline.encode_tokens(spark, docs, "").collect()
     assert [r.decoded for r in sorted(out, key=lambda r: r.doc_id)] == [t or "" for t in texts]
+
+
+def test_built_postings_lie_with_their_chunks(spark, tmp_path):
+    made = [("/repo/1", f"a{k}.kt", f"fun f{k}() a a b") for k in range(20)]
+    files = spark.createDataFrame(made, "repo_path string, path string, content string")
+    store = B.Store(spark, str(tmp_path / "index"))
+    store.build(files, "v1")
+    assert "Exchange" not in B.chunk_postings(store.chunks)._jdf.queryExecution().executedPlan().toString()
+    got = store.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    assert {r.term: (r.df, r.cf) for r in got.where("term in ('a', 'b')").collect()} == {"a": (20, 40), "b": (20, 20)}
