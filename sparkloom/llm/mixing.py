@@ -17,18 +17,14 @@ only ones that pass a window without a partition.
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkloom.llm.common import NOT_WS, durable, names_beside, words
+from sparkloom.llm.common import NOT_WS, WS, durable, let, names_beside, words
 
-WORD = re.compile(f"{NOT_WS}+")
+#: White space between words, as trimming takes it.
+SPACES = " \t\n\x0b\x0c\r"
 
 #: floor(2**31 / golden ratio), made odd: (i * GOLDEN) mod 2**31 walks the golden-ratio points in integers.
 GOLDEN = 1327217885
@@ -166,6 +162,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     return rows.join(plan.select("src", "source_size", "target"), "src").select("doc_id", "src", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def is_cut(piece: Column) -> Column:
+    """Whether a piece (low, high: its words; size: the text's) is less than its text."""
+    return (piece["low"] > 0) | (piece["high"] < piece["size"])
+
+
+def shown(piece: Column, text: Column) -> Column:
+    return F.struct(piece["slot"].alias("slot"), piece["p"].alias("p"), is_cut(piece).alias("cut"), text.alias("text"))
+
+
+def cut_texts(text: Column, pieces: Column) -> Column:
+    """The pieces of a text that has words, each with the white space before its words, and the last one with what follows."""
+    ends = F.substring(text, F.length(F.rtrim(text, F.lit(SPACES))) + 1, F.length(text))
+
+    def cut(words: Column) -> Column:
+        own = lambda x: F.array_join(F.slice(words, x["low"] + 1, x["high"] - x["low"]), "")
+        return F.transform(pieces, lambda x: shown(x, F.when(~is_cut(x), text).otherwise(F.concat(own(x), F.when(x["high"] == x["size"], ends).otherwise("")))))
+
+    return let(F.regexp_extract_all(text, F.lit(f"{WS}*{NOT_WS}+"), F.lit(0)), cut)
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block: int = 1024, seed: int = 7) -> DataFrame:
     """The mix itself, in slot order: the columns of ``docs``, a row per document and slot with that slot's share of the text.
 
@@ -175,7 +191,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int =
     slot. Rows, nulls and empty tables as in ``mix``; other columns are handed on, whatever
     their names. Each file holds stretches of the schedule, in order.
     """
-    d, r, slot, p, first, last = names_beside(docs, "d", "r", "slot", "p", "first", "last")
+    d, r, slot, p, parts = names_beside(docs, "d", "r", "slot", "p", "parts")
     pieces, _, plan = scheduled(docs, weights, repeats, block, seed)
     pieces = durable(pieces)
     total = plan.agg(F.sum(F.round("target"))).first()[0] or 0
@@ -187,39 +203,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int =
     if not again.isEmpty():
         same = keyed["doc_id"].eqNullSafe(again[d]) & (keyed[r] == again[p])
         keyed = keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", r]))
-    renamed = pieces.select(F.col("doc_id").alias(d), F.col("rk").alias(p), F.col("slot").alias(slot), F.col("p").alias(first + "_p"), F.col("from_word").alias(first), F.col("to_word").alias(last), F.col("size").alias(slot + "_n"))
-    out = keyed.join(renamed, keyed["doc_id"].eqNullSafe(renamed[d]) & (keyed[r] == renamed[p]))
+    piece = F.struct("slot", "p", "size", F.col("from_word").cast("int").alias("low"), F.col("to_word").cast("int").alias("high"))
+    of_row = pieces.groupBy(F.col("doc_id").alias(d), F.col("rk").alias(p), "copy").agg(F.collect_list(piece).alias(parts)).drop("copy")
+    out = keyed.join(of_row, keyed["doc_id"].eqNullSafe(of_row[d]) & (keyed[r] == of_row[p]))
     n_slots = (pieces.agg(F.max("slot")).first()[0] or 0) + 1
-    out, n_columns = out.drop(d, p, r), len(docs.columns)
-    names = out.columns
-    # Numbered names: a dot in one would be taken for a field of a struct.
-    out = out.toDF(*(f"c{i}" for i in range(len(names))))
-    kept = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [StructField(c, LongType()) for c in ("slot", "at")])
-    at_text, at_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    at_slot, at_p, at_from, at_to, at_n = (names.index(c) for c in (slot, first + "_p", first, last, slot + "_n"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}  # where each word ends, of the last texts that were cut: a text's pieces come one after the other
-        for batch in batches:
-            texts, chars = [], []
-            for text, low, high, n in zip(batch.column(at_text), *(batch.column(c).to_pylist() for c in (at_from, at_to, at_n)), strict=True):
-                text = text.as_py()
-                if low > 0 or high < n:
-                    if (ends := known.get(text)) is None:
-                        if len(known) > 4:
-                            known.clear()
-                        ends = known[text] = [m.end() for m in WORD.finditer(text)]
-                    text = text[ends[low - 1] if low else 0 : ends[high - 1] if high < n else len(text)]
-                    chars.append(len(text))
-                else:
-                    chars.append(None)
-                texts.append(text)
-            columns = [batch.column(c) for c in range(n_columns)]
-            columns[at_text] = pa.array(texts, batch.schema.field(at_text).type)
-            if at_chars is not None:
-                columns[at_chars] = pc.coalesce(pa.array(chars, pa.int64()).cast(columns[at_chars].type), columns[at_chars])
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(at_slot), batch.column(at_p)], kept.names)
-
-    cut = out.mapInArrow(run, kept)
-    ordered = cut.repartition(files, F.floor(F.col("slot") * files / n_slots)).sortWithinPartitions("slot", "at")
-    return ordered.drop("slot", "at").toDF(*docs.columns)
+    # A text is split into its words once, for all of its pieces, and not at all where each is the whole.
+    out = out.withColumn(parts, F.explode(F.when(F.exists(parts, is_cut), cut_texts(F.col("text"), F.col(parts))).otherwise(F.transform(parts, lambda x: shown(x, F.col("text"))))))
+    changed = {"text": F.col(f"{parts}.text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(f"{parts}.cut"), F.length(f"{parts}.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    out = out.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns), F.col(f"{parts}.slot").alias(slot), F.col(f"{parts}.p").alias(p))
+    ordered = out.repartition(files, F.floor(F.col(slot) * files / n_slots)).sortWithinPartitions(slot, p)
+    return ordered.drop(slot, p)

@@ -332,6 +332,22 @@ def test_mixed_texts(spark, edge, empty):
     assert [r.text for r in mixing.mixed(one, block=2).collect()] == [" a b", "\n c "]
 
 
+def test_mixed_without_python(spark):
+    """The pieces are cut in Spark's own tasks: texts over many slots, odd spaces, code points beyond 16 bits, extra columns with dots."""
+    random.seed(13)
+    text = lambda n: "".join(random.choice([" ", "\n\n", "\t", "\x0b\x0c", "\r\n "]) + random.choice(["w", "\u00a0x", "\U0001f600y", "\u2028"]) for _ in range(n)) + random.choice(["", " ", "\n\t"])
+    rows = [(k, text(random.choice([1, 3, 40, 300])), random.choice(["a", None]), "en", k) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").withColumn("a.b", F.col("doc_id") + 1)
+    out = mixing.mixed(df, block=16)
+    assert "Python" not in out._jdf.queryExecution().toString() and "MapInArrow" not in out._jdf.queryExecution().toString()
+    wanted = collections.Counter()
+    for x in mixing.scheduled(df, (5, 2, 1), 3, 16, 7)[0].collect():
+        text, ends = rows[x.doc_id][1], [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", rows[x.doc_id][1])]
+        low, high = ends[x.from_word - 1] if x.from_word else 0, ends[x.to_word - 1] if x.to_word < x["size"] else len(text)
+        wanted[x.doc_id, text[low:high], high - low if high - low < len(text) else x.doc_id, x.doc_id + 1] += 1
+    assert len(wanted) > 100 and wanted == collections.Counter((r.doc_id, r.text, r.n_chars, r["a.b"]) for r in out.collect())
+
+
 def test_bpe(spark, docs, edge, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
