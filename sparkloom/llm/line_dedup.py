@@ -5,7 +5,7 @@ characters of the shorter line, ``edits`` at most; so a very short one by none.
 most t edits apart agree exactly on one of the t + 1 even segments of the shorter one, at
 a place that the edits to its left and right bound. Each line gives its own segments' hashes as an index (keyed
 by its length) and, for every length that it may be near to, the substrings in those
-places as probes. Lines that share a key are candidates; the counts of sixteen
+places as probes. Lines that share a key are candidates; the counts of their
 characters bound their distance from below, and a banded bit-parallel edit distance
 decides. Keys held by many lines are cut into blocks that meet pair by pair, after a
 first round that links each key's lines to one of them: pairs in one component
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import NOT_WS, at_most, components, durable, let, maybe_broadcast, names_beside, without_lines, words
 
-#: Characters counted for the lower bound; any sixteen are right, frequent ones are sharp.
-COUNTED = "etaonirshdlcum g"
+#: Characters counted one by one for the lower bound, the others together; any are right, those that tell lines apart are sharp.
+COUNTED = "etaonirshdlcum gfpwybvkxjqz"
 BLOCK = 256
 #: Rows up to which a counted side is broadcast, and salts where it is more; occurrences from which a line is dealt over salts.
 SMALL, SALTS, HOT = 200_000, 64, 1000
@@ -92,42 +92,52 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def segment_keys(lines: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
-    """Index and probe keys of (lh, line): key, lh, line, index (whether from the line's own partition)."""
-    lines = lines.withColumn("n", F.length("line"))
-    moves = []
-    for most in range(1, edits + 1):
-        parts = most + 1
-        for shorter in range(most + 1):  # columns, so that a length is counted once a line
-            names = [f"base{most}_{shorter}", f"long{most}_{shorter}"]
-            lines = lines.withColumns({names[0]: F.expr(f"int((n - {shorter}) div {parts})"), names[1]: F.expr(f"int((n - {shorter}) % {parts})")})
-            moves += [(most, shorter, i, m) for i in range(parts) for m in range(max(-i, shorter - (most - i)), min(i, shorter + most - i) + 1)]
-
-    def key(most: int, shorter: int, i: int, move: int) -> Column:
-        base, longer = F.col(f"base{most}_{shorter}"), F.col(f"long{most}_{shorter}")
-        start = i * base + F.greatest(F.lit(0), i - (most + 1 - longer))
-        seg = base + F.when(F.lit(i) >= most + 1 - longer, 1).otherwise(0)
-        fits = F.col("n") - shorter >= most * chars_per_edit
-        if most < edits:
-            fits &= F.col("n") - shorter < (most + 1) * chars_per_edit
-        return F.when(fits, F.xxhash64(F.lit(most), F.col("n") - shorter, F.lit(i), F.substring(F.col("line"), start + (move + 1), seg)))
-
-    own = [k for k, (_, shorter, _, move) in enumerate(moves) if shorter == 0 and move == 0]
-    lines = lines.select("lh", "line", *(key(*m).alias(f"key{k}") for k, m in enumerate(moves)))
-    lines = lines.select("lh", "line", F.posexplode(F.array(*(f"key{k}" for k in range(len(moves))))).alias("k", "key")).where("key is not null")
-    return lines.select("key", "lh", "line", F.col("k").isin(*own).alias("index"))
+    """Index and probe keys of (lh, line): key, lh, line, index (whether from the line's own partition). A row a line and key from the start: one short expression makes them all."""
+    moves = [
+        F.struct(*(F.lit(v).alias(c) for c, v in (("most", most), ("shorter", shorter), ("i", i), ("move", move))))
+        for most in range(1, edits + 1) for shorter in range(most + 1) for i in range(most + 1)
+        for move in range(max(-i, shorter - (most - i)), min(i, shorter + most - i) + 1)
+    ]
+    rows = lines.withColumn("n", F.length("line")).select("lh", "line", "n", F.inline(F.array(*moves))).withColumn("n", F.col("n") - F.col("shorter"))
+    rows = rows.where((F.col("n") >= F.col("most") * chars_per_edit) & ((F.col("most") == edits) | (F.col("n") < (F.col("most") + 1) * chars_per_edit)))
+    rows = rows.withColumns({"base": F.expr("int(n div (most + 1))"), "even": F.expr("most + 1 - int(n % (most + 1))")})
+    start = F.col("i") * F.col("base") + F.greatest(F.lit(0), F.col("i") - F.col("even"))
+    seg = F.col("base") + F.when(F.col("i") >= F.col("even"), 1).otherwise(0)
+    key = F.xxhash64("most", "n", "i", F.substring(F.col("line"), start + F.col("move") + 1, seg))
+    return rows.select(key.alias("key"), "lh", "line", ((F.col("shorter") == 0) & (F.col("move") == 0)).alias("index"))
+
+
+def met_keys(keys: DataFrame) -> DataFrame:
+    """The keys that an index row of a line shares with another line, and few that only one line has.
+
+    A line counts by 40 bits of its hash, negative in index rows: two small numbers a key are shuffled.
+    """
+    mark = F.col("lh").bitwiseAND(F.lit((1 << 40) - 1)) + 1
+    signed = F.when(F.col("index"), -mark).otherwise(mark)
+    return keys.groupBy("key").agg(F.min(signed).alias("low"), F.max(signed).alias("high")).where("low < 0 and low <> high").select("key")
+
+
+def counts(line: Column) -> Column:
+    """How often a line has each character of COUNTED, and any other."""
+    each = F.array(*(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED))
+    return let(each, lambda x: F.concat(x, F.array(F.length(line) - F.aggregate(x, F.lit(0), lambda a, y: a + y))))
+
+
+def may_be_near(p: Column, q: Column, edits: int) -> Column:
+    """Whether lines with these counts can be so near: an edit takes one character away at most, and brings one at most."""
+    total = lambda xs, f: F.aggregate(xs, F.lit(0), lambda a, x: a + f(x))
+    return let(F.zip_with(p, q, lambda x, y: x - y), lambda d: total(d, F.abs) + F.abs(total(d, lambda x: x)) <= 2 * edits)
 
 
 def line_links(docs: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
     """Components of the links between different lines: (node, component), both hashes of lines."""
     lines = lines_of(docs).where(F.length("line") >= chars_per_edit).select("lh", "line")
     keys = segment_keys(lines, edits, chars_per_edit)
-    met = keys.groupBy("key").agg(F.min("lh").alias("hub"), F.max("lh").alias("other"), F.max("index").alias("index")).where("hub <> other and index")
-    met = durable(met.select("key"))
+    met = durable(met_keys(keys))
     members = keys.join(maybe_broadcast(met, SMALL * 5), "key", "left_semi").groupBy("key", "lh").agg(F.max("index").alias("index"), F.min("line").alias("line"))
-    counts = F.array(*(F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in COUNTED))
-    members = durable(members.withColumn("counts", counts))
+    members = durable(members.withColumn("counts", counts(F.col("line"))))
 
-    apart = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y) <= 2 * edits
+    apart = lambda p, q: may_be_near(F.col(p), F.col(q), edits)
     hubs = members.groupBy("key").agg(F.min_by(F.struct("line", "counts"), F.struct(~F.col("index"), "lh")).alias("hub"), F.count("*").alias("g"))
     hubs = durable(hubs.select("key", F.col("hub.line").alias("la"), F.col("hub.counts").alias("ca"), "g"))
     star = members.join(hubs.hint("merge"), "key").where(apart("ca", "counts")).select(F.xxhash64("la").alias("a"), F.col("lh").alias("b"), "la", F.col("line").alias("lb")).where("a <> b")
@@ -159,7 +169,9 @@ def repeated_lines(lines: DataFrame, found: DataFrame, copies: int) -> DataFrame
     otherwise it needs over ``copies`` of them.
     """
     per_line = lines.groupBy("lh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.max("long").alias("long"))
-    named = durable(per_line).join(found.hint("merge"), F.col("lh") == F.col("node"), "left").withColumn("class", F.coalesce("component", "lh"))
+    # The join finds the lines where the count has put them; a line that occurs once and is linked with none is in no class to thin out.
+    named = per_line.join(found.hint("merge"), F.col("lh") == F.col("node"), "left").where("n > 1 or node is not null")
+    named = durable(named.select("lh", "n", "first", "long", F.coalesce("component", "lh").alias("class")))
     often = named.groupBy("class").agg(F.sum("n").alias("all"), F.min("first").alias("first"), F.max("long").alias("long"))
     often = often.where((F.col("all") > copies) | (F.col("long") & (F.col("all") > 1)))
     often = durable(often.select("class", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos")))
@@ -188,7 +200,7 @@ def thinned(docs: DataFrame, edits: int = 2, chars_per_edit: int = 15, copies: i
     """``docs`` without the later occurrences of repeated lines and with two more columns, whose names come along: lines kept, lines lost."""
     d, t, lost, n_kept, n_lost = names_beside(docs, "d", "t", "lost", "n_kept", "n_lost")
     gone = durable(removed_lines(docs, edits, chars_per_edit, copies, long_words, long_chars)).withColumnsRenamed({"d": d, "t": t, "lost": lost})
-    gone = maybe_broadcast(gone, SMALL, F.size(lost))
+    # A join of two shuffled tables at every size: what it costs a GB is the same for all.
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone[d]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[t]), "left")
     zero = F.lit(0).cast("long")
     n_all = F.coalesce(F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(NOT_WS))).cast("long"), zero)

@@ -161,6 +161,30 @@ def test_banded_distance(spark, most):
     assert got == {k for k, _, a, b in pairs if edits(a, b) <= most}
 
 
+def test_counts_tell_lines_apart(spark):
+    """Counts pass all lines within two edits, and stop lines that differ in rare letters or in length."""
+    random.seed(14)
+    rows = []
+    for k in range(200):
+        line = "".join(random.choice("etaonkq \u00e9") for _ in range(40))
+        near = list(line)
+        for _ in range(2):
+            at = random.randrange(len(near))
+            near[at : at + random.choice([0, 1])] = random.choice(["", "k", "z", "\u00fc"])
+        rows.append((k, line, "".join(near), True))
+    rows += [(900, "ab kfbb cd" * 3, "ab qxz cd" * 3, False), (901, "e" * 30, "e" * 33, False), (902, "kkkq" * 8, "zzzj" * 8, False)]
+    df = spark.createDataFrame(rows, "k long, a string, b string, near boolean")
+    got = df.select("near", line_dedup.may_be_near(line_dedup.counts(F.col("a")), line_dedup.counts(F.col("b")), 2).alias("kept"))
+    assert got.where("near <> kept").isEmpty()
+
+
+def test_met_keys(spark):
+    """Keys that an index row shares with another line are met; those of one line's index row, or of no index row, are not."""
+    rows = [(1, 5, True), (1, 9, False), (2, 5, True), (2, 5, True), (3, 5, False), (3, 9, False), (4, 5, True), (4, 9, True), (5, -5, False), (5, 7, False), (5, 7, True)]
+    got = line_dedup.met_keys(spark.createDataFrame(rows, "key long, lh long, index boolean"))
+    assert sorted(r.key for r in got.collect()) == [1, 4, 5]
+
+
 def test_line_dedup(spark, edge, empty):
     random.seed(9)
     seeds = ["".join(random.choice("abcd ") for _ in range(random.randint(*n))).strip() for n in ((32, 50), (16, 33), (8, 18)) for _ in range(7)]
