@@ -93,3 +93,11 @@ def test_metrics(spark):
     wanted = spark.createDataFrame([("q", 7, 1), ("z", 1, 1)], "query string, item long, gain long")
     got = {r["query"]: r for r in E.rank_metrics(found, wanted, 3).collect()}
     assert got["q"].mrr == 0.5 and got["q"].precision == round(1 / 3, 6) and got["q"].recall == 1.0 and got["z"].mrr == 0.0
+
+
+def test_part_files_are_dealt_over_all_cores(spark):
+    """The files made of parts are worked on by all cores, though their table is one small file."""
+    from sparkloom.plans import registry
+
+    for made in (registry.part_files, registry.odd_paths, registry.xml_files):
+        assert made(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
