@@ -1,15 +1,18 @@
 """Queries that read the chunks once derive them, and no more of them than they read."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from sparkloom.operators import structure as S
 from sparkloom.operators.index import Tables
 from sparkloom.plans import registry
+from sparkloom.sources import store
 from sparkloom.sources import views as V
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["tree_text"])
+@pytest.mark.parametrize("name", ["tree_text", "source_context"])
 def test_no_table_of_chunks_is_written(spark, name, monkeypatch):
     monkeypatch.setattr(Tables, "of", lambda *_: pytest.fail("the whole table of chunks is written"))
     assert registry.queries()[name](spark, DATA).limit(1).count() == 1
@@ -18,3 +21,19 @@ def test_no_table_of_chunks_is_written(spark, name, monkeypatch):
 def test_a_map_makes_no_sketch(spark):
     plan = S.tree(V.chunks(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2" not in plan and "regexp" not in plan.split("Relation")[0].replace("/src/", "")
+
+
+def test_small_tables_are_dealt_into_some_parts_a_core(spark):
+    assert store.spread(spark.range(9).coalesce(1)).rdd.getNumPartitions() == store.WAVES * spark.sparkContext.defaultParallelism
+    many = spark.range(0, 99, 1, 50)
+    assert store.spread(many).rdd.getNumPartitions() == 50
+
+
+@pytest.mark.parametrize("rows", [100, 0])
+def test_sources_of_files_listed_twice(spark, rows, monkeypatch):
+    monkeypatch.setattr(S, "small", lambda t: F.broadcast(t) if rows else t)
+    files = spark.createDataFrame([("r", "a", "1\n2\r\n3\n4"), ("r", "a", "1\n2\r\n3\n4"), ("r", "b", "x"), ("q", "a", "other")], "repo_path string, path string, content string")
+    c = [("c1", "r", "a", "class", "The", "m.The", 2, 2, "2"), ("c2", "r", "b", "class", "No", "m.No", 1, 1, "x")]
+    chunks = spark.createDataFrame(c, "id string, repo_path string, path string, kind string, symbol_name string, symbol_fqname string, start_line long, end_line long, text_raw string")
+    got = S.sources(chunks, files, "The", 1, 1)
+    assert [tuple(r) for r in got.collect()] == [("c1", "a", "class", "The", "2-2", "2", "1", "3")]
