@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import structure as S
-from sparkloom.operators.index import Tables
+from sparkloom.operators.index import Index, Tables, frequencies, terms_in
 from sparkloom.plans import registry
 from sparkloom.sources import store
 from sparkloom.sources import views as V
@@ -12,7 +12,7 @@ from sparkloom.sources import views as V
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["tree_text", "source_context"])
+@pytest.mark.parametrize("name", ["tree_text", "source_context", "postings_df"])
 def test_no_table_of_chunks_is_written(spark, name, monkeypatch):
     monkeypatch.setattr(Tables, "of", lambda *_: pytest.fail("the whole table of chunks is written"))
     assert registry.queries()[name](spark, DATA).limit(1).count() == 1
@@ -37,3 +37,9 @@ def test_sources_of_files_listed_twice(spark, rows, monkeypatch):
     chunks = spark.createDataFrame(c, "id string, repo_path string, path string, kind string, symbol_name string, symbol_fqname string, start_line long, end_line long, text_raw string")
     got = S.sources(chunks, files, "The", 1, 1)
     assert [tuple(r) for r in got.collect()] == [("c1", "a", "class", "The", "2-2", "2", "1", "3")]
+
+
+def test_frequencies_are_those_of_the_index(spark):
+    c = V.chunks(spark, DATA)
+    rows = lambda df: sorted(map(tuple, df.select("term", "df", "cf").collect()))
+    assert rows(frequencies(terms_in(c))) == rows(Index(c).terms)
