@@ -1,8 +1,10 @@
 """Queries that read the chunks once derive them, and no more of them than they read."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.operators import nearest as N
 from sparkloom.operators import structure as S
 from sparkloom.operators.index import Index, Tables, frequencies, terms_in
 from sparkloom.plans import registry
@@ -43,3 +45,15 @@ def test_frequencies_are_those_of_the_index(spark):
     c = V.chunks(spark, DATA)
     rows = lambda df: sorted(map(tuple, df.select("term", "df", "cf").collect()))
     assert rows(frequencies(terms_in(c))) == rows(Index(c).terms)
+
+
+def test_distances_held_at_a_time_are_bounded(monkeypatch):
+    rng = np.random.default_rng(5)
+    points, centers = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
+    whole, seen, measure = N.measure(centers, points, "l2"), [], N.measure
+    nearest = [(i, sorted(near.tolist())) for i, near, _ in N.best(points, centers, 5, "l2")]
+    monkeypatch.setattr(N, "HELD", 1000)
+    monkeypatch.setattr(N, "measure", lambda v, q, metric: seen.append(len(v) * len(q)) or measure(v, q, metric))
+    assert (N.closest(centers, points) == whole.argmin(axis=1)).all() and N.fitted(points, 40).shape == (40, 8)
+    assert [(i, sorted(near.tolist())) for i, near, _ in N.best(points, centers, 5, "l2")] == nearest
+    assert len(seen) > 20 and max(seen) <= 1000
