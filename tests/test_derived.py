@@ -1,5 +1,6 @@
 """Queries that read the chunks once derive them, and no more of them than they read."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +58,15 @@ def test_distances_held_at_a_time_are_bounded(monkeypatch):
     assert (N.closest(centers, points) == whole.argmin(axis=1)).all() and N.fitted(points, 40).shape == (40, 8)
     assert [(i, sorted(near.tolist())) for i, near, _ in N.best(points, centers, 5, "l2")] == nearest
     assert len(seen) > 20 and max(seen) <= 1000
+
+
+@pytest.mark.parametrize("name", ["file_summary", "chunks"])
+def test_files_without_symbols_and_of_wide_spaces(spark, tmp_path, name):
+    texts = ["12\n34", "1\n\n\n\n\nAb", "\u00a0\u3000", "\u2003Cd e\u00a0\nf", " ", "", None, "\u00a0\n1", "A\n" * 6 + "7"]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = registry.queries()[name](spark, str(tmp_path))
+    sql = registry.oracle_sql()[name]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want)) and want
