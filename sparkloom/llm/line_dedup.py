@@ -24,6 +24,8 @@ COUNTED = "etaonirshdlcum gfpwybvkxjqz"
 BLOCK = 256
 #: Rows up to which a counted side is broadcast, and salts where it is more; occurrences from which a line is dealt over salts.
 SMALL, SALTS, HOT = 200_000, 64, 1000
+#: Bits of a bitmap's row (fixed in Spark), bits for an entry, and rows at most: 16 MB.
+BITS, SPARSE, SLOTS = 32_768, 16, 4096
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -117,6 +119,15 @@ def met_keys(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.min(signed).alias("low"), F.max(signed).alias("high")).where("low < 0 and low <> high").select("key")
 
 
+def met_members(lines: DataFrame, keys: DataFrame, met: DataFrame) -> DataFrame:
+    """The lines of the keys ``met``: key, lh, index, line. Where the keys are too many to be broadcast, numbers alone are shuffled for all keys, and texts once a line."""
+    if at_most(met, SMALL * 5):
+        return keys.join(F.broadcast(met), "key", "left_semi").groupBy("key", "lh").agg(F.max("index").alias("index"), F.min("line").alias("line"))
+    found = durable(keys.select("key", "lh", "index").join(met, "key", "left_semi").groupBy("key", "lh").agg(F.max("index").alias("index")))
+    texts = lines.join(maybe_broadcast(found.select("lh").distinct(), SMALL * 5), "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line"))
+    return found.join(durable(texts), "lh").select("key", "lh", "index", "line")
+
+
 def counts(line: Column) -> Column:
     """How often a line has each character of COUNTED, and any other."""
     each = F.array(*(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED))
@@ -134,8 +145,7 @@ def line_links(docs: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
     lines = lines_of(docs).where(F.length("line") >= chars_per_edit).select("lh", "line")
     keys = segment_keys(lines, edits, chars_per_edit)
     met = durable(met_keys(keys))
-    members = keys.join(maybe_broadcast(met, SMALL * 5), "key", "left_semi").groupBy("key", "lh").agg(F.max("index").alias("index"), F.min("line").alias("line"))
-    members = durable(members.withColumn("counts", counts(F.col("line"))))
+    members = durable(met_members(lines, keys, met).withColumn("counts", counts(F.col("line"))))
 
     apart = lambda p, q: may_be_near(F.col(p), F.col(q), edits)
     hubs = members.groupBy("key").agg(F.min_by(F.struct("line", "counts"), F.struct(~F.col("index"), "lh")).alias("hub"), F.count("*").alias("g"))
@@ -196,12 +206,38 @@ def removed_lines(docs: DataFrame, edits: int, chars_per_edit: int, copies: int,
     return hit.where(~first).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("pos").alias("lost"))
 
 
+def bitmap(hashes: DataFrame, h: str) -> tuple[DataFrame, int]:
+    """The hashes as a bit each, some SPARSE bits a row as far as SLOTS goes: slot, bits (32,768 of them), and the number of slots."""
+    slots = min(hashes.count() * SPARSE // BITS + 1, SLOTS)
+    return hashes.select(F.pmod(h, F.lit(slots)).alias("slot"), bit_of(F.col(h)).alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")), slots
+
+
+def bit_of(h: Column) -> Column:
+    return F.call_function("shiftright", h, F.lit(40)).bitwiseAND(F.lit(BITS - 1))
+
+
+def in_bitmap(bits: Column, h: Column) -> Column:
+    """Whether a hash has its bit: all that the bitmap was made of, and few others."""
+    bit = bit_of(h).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
 def thinned(docs: DataFrame, edits: int = 2, chars_per_edit: int = 15, copies: int = 6, long_words: int = 20, long_chars: int = 100) -> tuple[DataFrame, str, str]:
     """``docs`` without the later occurrences of repeated lines and with two more columns, whose names come along: lines kept, lines lost."""
-    d, t, lost, n_kept, n_lost = names_beside(docs, "d", "t", "lost", "n_kept", "n_lost")
+    d, t, lost, n_kept, n_lost, slot, bits = names_beside(docs, "d", "t", "lost", "n_kept", "n_lost", "slot", "bits")
     gone = durable(removed_lines(docs, edits, chars_per_edit, copies, long_words, long_chars)).withColumnsRenamed({"d": d, "t": t, "lost": lost})
-    # A join of two shuffled tables at every size: what it costs a GB is the same for all.
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone[d]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[t]), "left")
+    # Texts that lose no line stay where they lie: a bit a text, broadcast, tells most of them. The others meet their lost lines by a
+    # join of two shuffled tables at every size: what it costs a GB is the same for all.
+    marks, slots = bitmap(gone.select(F.xxhash64(d, t).alias("h")), "h")
+    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    h = F.xxhash64(docs["doc_id"], th)
+    marked = docs.join(F.broadcast(marks.withColumnsRenamed({"slot": slot, "bits": bits})), F.pmod(h, F.lit(slots)) == F.col(slot), "left")
+    held = in_bitmap(F.col(bits), h)
+    some = marked.where(held).drop(slot, bits)
+    out = some.join(gone.hint("merge"), some["doc_id"].eqNullSafe(gone[d]) & (F.xxhash64(F.coalesce(some["text"], F.lit(""))) == gone[t]), "left")
+    whole = marked.where(~held).drop(slot, bits)
+    out = out.union(whole.withColumns({f.name: F.lit(None).cast(f.dataType) for f in gone.schema}))
     zero = F.lit(0).cast("long")
     n_all = F.coalesce(F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(NOT_WS))).cast("long"), zero)
     out = out.withColumn(n_lost, F.when(F.col(lost).isNull(), zero).otherwise(F.size(lost).cast("long")))

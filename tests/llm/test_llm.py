@@ -185,6 +185,42 @@ def test_met_keys(spark):
     assert sorted(r.key for r in got.collect()) == [1, 4, 5]
 
 
+def test_written_tables_leave_no_shuffles(spark):
+    held = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    before, setting = held(), spark.conf.get(common.CLEANUP)
+    rows = common.durable(spark.range(50).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while held() > before and time.time() < end:
+        time.sleep(0.1)
+    assert held() <= before and rows.count() == 7 and spark.conf.get(common.CLEANUP) == setting
+
+
+@pytest.mark.parametrize("slots", [line_dedup.SLOTS, 1])
+def test_texts_that_lose_no_line_are_not_shuffled(spark, monkeypatch, slots):
+    monkeypatch.setattr(line_dedup, "SLOTS", slots)
+    hashes = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    marks, n = line_dedup.bitmap(hashes, "h")
+    tell = lambda df: df.join(F.broadcast(marks), F.pmod("h", F.lit(n)) == F.col("slot"), "left").where(line_dedup.in_bitmap(F.col("bits"), F.col("h"))).count()
+    assert tell(hashes) == 20_000 and (slots == 1 or tell(spark.range(50_000, 70_000).select(F.xxhash64("id").alias("h"))) < 2000)
+    rows = [(k, f"{'same line ' * 12}\n{k}" if k in (3, 9, None) else f"own text of {k}", "s", "en", "x") for k in [*range(40), None]]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, DOCS))
+    assert sorted((r.doc_id or -1, r.lost_lines) for r in got.where("lost_lines > 0").collect()) == [(3, 1), (9, 1)] and got.count() == 41
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("LeftOuter") >= 2
+
+
+def test_members_of_many_keys_are_shuffled_as_numbers(spark, monkeypatch):
+    texts = [f"the line number {i % 40} of a text {'x' * (i % 3)} that is long enough" for i in range(120)]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "lh long, line string")
+    keys = line_dedup.segment_keys(lines, 2, 15)
+    met = common.durable(line_dedup.met_keys(keys))
+    rows = lambda: sorted(map(tuple, line_dedup.met_members(lines, keys, met).select("key", "lh", "index", "line").collect()))
+    few, shuffled, write = rows(), [], common.durable
+    monkeypatch.setattr(line_dedup, "SMALL", 0)
+    monkeypatch.setattr(line_dedup, "durable", lambda df: shuffled.append(df.columns) or write(df))
+    assert rows() == few and few and shuffled == [["key", "lh", "index"], ["lh", "line"]]
+
+
 def test_line_dedup(spark, edge, empty):
     random.seed(9)
     seeds = ["".join(random.choice("abcd ") for _ in range(random.randint(*n))).strip() for n in ((32, 50), (16, 33), (8, 18)) for _ in range(7)]
